@@ -177,3 +177,20 @@ def fingerprint(c: Column) -> Column:
 
 def confidence(score: Column) -> Column:
     return F.when(score >= 0.8, "high").when(score >= 0.55, "medium").otherwise("low")
+
+
+def map_last_wins(entries: Column) -> Column:
+    """map from array<struct<key,value>>; a repeated key keeps its last value."""
+
+    def build(e):
+        keys = F.array_distinct(F.transform(e, lambda x: x["key"]))
+        return F.when(F.size(keys) == F.size(e), F.map_from_entries(e)).otherwise(
+            F.map_from_arrays(
+                keys,
+                F.transform(
+                    keys, lambda k: F.element_at(F.filter(e, lambda x: x["key"] == k), -1)["value"]
+                ),
+            )
+        )
+
+    return let(entries, build)
