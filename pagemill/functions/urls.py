@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed
-from .text import col
+from .text import col, let
 
 _SCHEME = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
 _PARTS = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
@@ -151,17 +151,21 @@ def _v4_number(host: Column) -> Column:
     value = F.lit(0).cast("bigint")
     for i in range(4):
         value = value * 256 + F.get(octets, F.lit(i)).try_cast("bigint")
-    return F.when(host.rlike(r"^(\d{1,3})(\.\d{1,3}){3}$"), value)
+    return value
 
 
 def _not_public(host: Column) -> Column:
-    number = _v4_number(host)
-    private = F.lit(False)
-    for start, bits in fixed.NON_PUBLIC_V4:
-        net = ipaddress.ip_network(f"{start}/{bits}")
-        private = private | number.between(int(net[0]), int(net[-1]))
+    def private(number):
+        hit = F.lit(False)
+        for start, bits in fixed.NON_PUBLIC_V4:
+            net = ipaddress.ip_network(f"{start}/{bits}")
+            hit = hit | number.between(int(net[0]), int(net[-1]))
+        return F.coalesce(hit, F.lit(False))
+
     v6 = F.regexp_extract(host, r"^\[([^\]]*)\]$", 1)
-    return F.coalesce(private, F.lit(False)) | ((v6 != "") & v6.rlike(fixed.NON_PUBLIC_V6))
+    return F.when(
+        host.rlike(r"^(\d{1,3})(\.\d{1,3}){3}$"), let(_v4_number(host), private)
+    ).otherwise((v6 != "") & v6.rlike(fixed.NON_PUBLIC_V6))
 
 
 def normalize_url(raw) -> Column:
@@ -172,36 +176,60 @@ def normalize_url(raw) -> Column:
         ~text.rlike(_SCHEME) & (text != ""),
         F.concat(F.lit("https://"), F.regexp_replace(text, "^/+", "")),
     )
-    return F.when(
-        authority(full) != "",
-        F.concat(
-            scheme(full), F.lit("://"), authority(full), part(full, 3),
-            F.when(part(full, 4) != "", F.concat(F.lit("?"), part(full, 4))).otherwise(""),
+    pattern = r"(?s)^([^:/?#]*://[^/?#]+)([^#]*)(#.*)?$"
+    return let(
+        full,
+        lambda u: F.when(
+            u.rlike(pattern),
+            F.concat(F.lower(F.regexp_extract(u, pattern, 1)), F.regexp_extract(u, pattern, 2)),
         ),
     )
 
 
+def _url_problem(url: Column) -> Column:
+    """Reason for a normalized URL, from its scheme and authority alone."""
+    suffix = "(" + "|".join(s.replace(".", r"\.") for s in fixed.BLOCKED_HOST_SUFFIXES) + ")$"
+    head = F.struct(
+        F.regexp_extract(url, r"^([^:]*):", 1).alias("scheme"),
+        F.regexp_extract(url, r"^[^:]*://([^/?#]*)", 1).alias("authority"),
+    )
+
+    def located(h):
+        port_text = F.regexp_extract(
+            h["authority"], r"^(?:[^@]*@)?(?:\[[^\]]*\]|[^:]*):(.*)$", 1
+        )
+        return F.struct(
+            h["scheme"].alias("scheme"),
+            F.contains(h["authority"], F.lit("@")).alias("user"),
+            F.regexp_extract(h["authority"], r"^(?:[^@]*@)?(\[[^\]]*\]|[^:]*)", 1).alias("host"),
+            F.when(port_text == "", F.when(h["scheme"] == "https", 443).otherwise(80))
+            .otherwise(port_text.try_cast("int"))
+            .alias("port"),
+        )
+
+    def judged(p):
+        host = p["host"]
+        return (
+            F.when(~p["scheme"].isin("http", "https"), "scheme")
+            .when(p["user"], "userinfo")
+            .when(host == "", "host")
+            .when(p["port"].isNull() | ~p["port"].between(0, 65535), "port")
+            .when(p["port"].isin(fixed.BLOCKED_PORTS), "port")
+            .when(host.isin(fixed.BLOCKED_HOST_NAMES) | host.rlike(suffix), "local")
+            .when(host.isin(fixed.METADATA_HOSTS), "metadata")
+            .when(_not_public(host), "private")
+        )
+
+    return let(let(head, located), judged)
+
+
 def block_reason(raw) -> Column:
     """Why a URL must not be visited, or null. Syntactic rules only (no DNS)."""
-    url = normalize_url(raw)
-    auth = authority(url)
-    host = hostname(url)
-    port_text = F.regexp_extract(auth, r"^(?:[^@]*@)?(?:\[[^\]]*\]|[^:]*):(.*)$", 1)
-    port = F.when(port_text == "", F.when(scheme(url) == "https", 443).otherwise(80)).otherwise(
-        port_text.try_cast("int")
-    )
-    suffix = "(" + "|".join(s.replace(".", r"\.") for s in fixed.BLOCKED_HOST_SUFFIXES) + ")$"
-    return (
-        F.when(F.coalesce(F.trim(col(raw)), F.lit("")) == "", "empty")
+    return let(
+        normalize_url(raw),
+        lambda url: F.when(F.coalesce(F.trim(col(raw)), F.lit("")) == "", "empty")
         .when(url.isNull(), "invalid")
-        .when(~scheme(url).isin("http", "https"), "scheme")
-        .when(F.contains(auth, F.lit("@")), "userinfo")
-        .when(host == "", "host")
-        .when(port.isNull() | ~port.between(0, 65535), "port")
-        .when(port.isin(fixed.BLOCKED_PORTS), "port")
-        .when(host.isin(fixed.BLOCKED_HOST_NAMES) | host.rlike(suffix), "local")
-        .when(host.isin(fixed.METADATA_HOSTS), "metadata")
-        .when(_not_public(host), "private")
+        .otherwise(_url_problem(url)),
     )
 
 

@@ -63,17 +63,7 @@ def _embedded_present(html: str = "html") -> Column:
 def page_profile(dom_pages: DataFrame) -> DataFrame:
     """One row per page: what the detectors found, plus flags. Detectors run in
     one projection over the parsed page; no shuffle."""
-    anchors = links.link_array("html", "url", "dom")
-    own = lambda ls: F.slice(
-        F.array_distinct(
-            F.filter(
-                F.transform(ls, lambda l: l["url"]),
-                lambda u: urls.same_site(u, F.col("url")) & urls.is_allowed(u),
-            )
-        ),
-        1,
-        fixed.MAX_INTERNAL_LINKS,
-    )
+    anchors = links.link_array("dom")
     found = dom_pages.withColumns(
         {
             "tables": F.transform(
@@ -89,7 +79,7 @@ def page_profile(dom_pages: DataFrame) -> DataFrame:
             "page_text": H.visible_text("dom"),
             "found_links": let(
                 anchors,
-                lambda ls: F.struct(own(ls).alias("internal"), links.file_array(ls).alias("files")),
+                lambda ls: F.struct(links.internal_array(ls).alias("internal"), links.file_array(ls).alias("files")),
             ),
             "apis": links.api_url_array(),
             "has_embedded": _embedded_present(),

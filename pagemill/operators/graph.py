@@ -11,9 +11,9 @@ from .links import page_links
 MAX_NODES = 400
 
 
-def link_edges(pages: DataFrame, dom: str | None = None) -> DataFrame:
+def link_edges(dom_pages: DataFrame, dom: str = "dom") -> DataFrame:
     """Distinct (src, dst), self links left out."""
-    links = page_links(pages, dom=dom).select(F.col("url").alias("src"), F.col("link").alias("dst"))
+    links = page_links(dom_pages, dom).select(F.col("url").alias("src"), F.col("link").alias("dst"))
     return links.where(F.col("src") != F.col("dst")).distinct()
 
 

@@ -11,20 +11,6 @@ from ..functions.text import each, let, squash
 from ..sources import html as H
 
 
-def _anchors_by_regex(html: Column) -> Column:
-    """(href, text) of anchors for pages that are not parsed."""
-    found = F.regexp_extract_all(
-        html, F.lit(r"(?is)(<a\s[^>]*href\s*=\s*[\"'][^\"']*[\"'][^>]*>.*?</a>)"), F.lit(1)
-    )
-    return F.transform(
-        found,
-        lambda a: F.struct(
-            F.regexp_extract(a, r"(?is)href\s*=\s*[\"']([^\"']*)[\"']", 1).alias("href"),
-            squash(F.regexp_replace(a, "<[^>]*>", "")).alias("text"),
-        ),
-    )
-
-
 def _absolute(pairs: Column, base: Column) -> Column:
     skipped = "^(" + "|".join(fixed.SKIPPED_LINK_PREFIXES) + ")"
     kept = F.filter(pairs, lambda p: (F.trim(p["href"]) != "") & ~F.trim(p["href"]).rlike(skipped))
@@ -35,46 +21,45 @@ def _absolute(pairs: Column, base: Column) -> Column:
     return F.filter(full, lambda p: urls.is_http(p["url"]))
 
 
-def link_array(html="html", base="url", dom: str | None = None) -> Column:
+def link_array(dom: str = "dom", base: str = "url") -> Column:
     """array<struct<url,text>> of a page's links in page order."""
-    if dom is None:
-        pairs = _anchors_by_regex(F.col(html))
-    else:
-        pairs = F.transform(
-            H.nodes_of(dom, "a"),
-            lambda n: F.struct(
-                F.coalesce(n["attrs"]["href"], F.lit("")).alias("href"),
-                H.node_text(n, dom).alias("text"),
-            ),
-        )
+    pairs = F.transform(
+        H.nodes_of(dom, "a"),
+        lambda n: F.struct(
+            F.coalesce(n["attrs"]["href"], F.lit("")).alias("href"),
+            H.node_text(n, dom).alias("text"),
+        ),
+    )
     return _absolute(pairs, F.col(base))
 
 
-def page_links(pages: DataFrame, html: str = "html", dom: str | None = None) -> DataFrame:
+def page_links(dom_pages: DataFrame, dom: str = "dom") -> DataFrame:
     """(page_id, url, ordinal, link, text): one row per link."""
-    return each(pages, link_array(html, "url", dom), "ordinal", "l").select(
+    return each(dom_pages, link_array(dom), "ordinal", "l").select(
         "page_id", "url", "ordinal", F.col("l.url").alias("link"), F.col("l.text").alias("text")
     )
 
 
-def distinct_page_links(pages: DataFrame, dom: str | None = None) -> DataFrame:
+def distinct_page_links(dom_pages: DataFrame, dom: str = "dom") -> DataFrame:
     """One row per (page, URL): first position, last text. Partial aggregation
     runs before the exchange."""
-    links = page_links(pages, dom=dom)
-    return links.groupBy("page_id", "link").agg(
-        F.min("ordinal").alias("ordinal"),
-        F.max_by("text", "ordinal").alias("text"),
+    return page_links(dom_pages, dom).groupBy("page_id", "link").agg(
+        F.min("ordinal").alias("ordinal"), F.max_by("text", "ordinal").alias("text")
     )
 
 
-def internal_links(pages: DataFrame, limit: int = fixed.MAX_INTERNAL_LINKS,
-                   dom: str | None = None) -> DataFrame:
-    """Distinct allowed links to the page's own site, in page order."""
-    names = F.transform(link_array("html", "url", dom), lambda l: l["url"])
+def internal_array(links: Column, limit: int = fixed.MAX_INTERNAL_LINKS) -> Column:
+    """Distinct allowed addresses on the page's own site, in page order."""
     own = F.filter(
-        F.array_distinct(names), lambda u: urls.same_site(u, F.col("url")) & urls.is_allowed(u)
+        F.array_distinct(F.transform(links, lambda l: l["url"])),
+        lambda u: urls.same_site(u, F.col("url")) & urls.is_allowed(u),
     )
-    return each(pages, F.slice(own, 1, limit), "ordinal", "link").select(
+    return F.slice(own, 1, limit)
+
+
+def internal_links(dom_pages: DataFrame, dom: str = "dom",
+                   limit: int = fixed.MAX_INTERNAL_LINKS) -> DataFrame:
+    return each(dom_pages, internal_array(link_array(dom), limit), "ordinal", "link").select(
         "page_id", "url", "ordinal", "link"
     )
 
@@ -112,9 +97,9 @@ def file_array(links: Column) -> Column:
     )
 
 
-def file_links(pages: DataFrame, dom: str | None = None) -> DataFrame:
-    files = let(link_array("html", "url", dom), file_array)
-    return each(pages, files, "ordinal", "f").select("page_id", "f.*")
+def file_links(dom_pages: DataFrame, dom: str = "dom") -> DataFrame:
+    files = let(link_array(dom), file_array)
+    return each(dom_pages, files, "ordinal", "f").select("page_id", "f.*")
 
 
 def feed_array(html="html", base="url") -> Column:
