@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +19,21 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def built_once(fn):
+    """Keeps the expression a function builds: large ones take seconds to send to
+    the JVM piece by piece. Columns are immutable and belong to one context."""
+    made: dict = {}
+
+    @wraps(fn)
+    def build(*args, **kwargs):
+        key = (id(SparkContext._active_spark_context), args, tuple(sorted(kwargs.items())))
+        if key not in made:
+            made[key] = fn(*args, **kwargs)
+        return made[key]
+
+    return build
+
+
 def let(value: Column, body) -> Column:
     """body(value) with the value computed once, however often body uses it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

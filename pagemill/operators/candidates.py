@@ -75,7 +75,7 @@ def page_profile(dom_pages: DataFrame) -> DataFrame:
                     tables.table_score(t).alias("score"),
                 ),
             ),
-            "groups": repeated.best_groups(repeated.repeated_array()),
+            "groups": repeated.group_array(),
             "page_text": H.visible_text("dom"),
             "found_links": let(
                 anchors,
@@ -286,7 +286,7 @@ def rows_from_html(dom_pages: DataFrame, selector: str | None = None,
         chosen = from_table
     else:
         from_group = let(
-            F.get(repeated.best_groups(repeated.repeated_array()), F.lit(0)),
+            F.get(repeated.group_array(), F.lit(0)),
             lambda g: F.when(
                 g.isNotNull(),
                 F.struct(

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed, urls, values
-from ..functions.text import confidence, each, let
+from ..functions.text import built_once, confidence, each, let
 from ..sources import html as H
 
 
@@ -177,6 +177,7 @@ def item_fields(item: Column, dom, base=None) -> Column:
     )
 
 
+@built_once
 def repeated_array(dom: str = "dom", base: str | None = "url",
                    min_items: int = fixed.MIN_ITEMS) -> Column:
     """Groups of a page: array<struct<parent_id, selector, rows>>."""
@@ -328,16 +329,22 @@ def best_groups(groups: Column, limit: int = fixed.MAX_REPEATED) -> Column:
     return F.slice(let(F.array_sort(scored, better), per_selector), 1, limit)
 
 
+@built_once
+def group_array(dom: str = "dom", base: str | None = "url",
+                min_items: int = fixed.MIN_ITEMS) -> Column:
+    """The page's repeated-block candidates, best first."""
+    return best_groups(repeated_array(dom, base, min_items))
+
+
 def with_groups(dom_pages: DataFrame, dom: str = "dom", base: str | None = "url",
                 min_items: int = fixed.MIN_ITEMS) -> DataFrame:
-    """Adds `groups`: the page's repeated-block candidates, best first."""
-    return dom_pages.withColumn("groups", best_groups(repeated_array(dom, base, min_items)))
+    return dom_pages.withColumn("groups", group_array(dom, base, min_items))
 
 
 def repeated_items(dom_pages: DataFrame, **options) -> DataFrame:
     """(page_id, group_idx, selector, item_idx, record): one row per item, the
     record reduced to the kept columns."""
-    df = each(dom_pages, best_groups(repeated_array(**options)), "group_idx", "g")
+    df = each(dom_pages, group_array(**options), "group_idx", "g")
     items = each(
         df.select("page_id", "group_idx", F.col("g.selector").alias("selector"),
                   F.col("g.keep").alias("keep"), F.col("g.rows").alias("rows")),
@@ -351,7 +358,7 @@ def repeated_items(dom_pages: DataFrame, **options) -> DataFrame:
 
 def repeated_candidates(dom_pages: DataFrame, **options) -> DataFrame:
     """One row per candidate: selector, items, columns with their types, score."""
-    df = each(dom_pages, best_groups(repeated_array(**options)), "group_idx", "g")
+    df = each(dom_pages, group_array(**options), "group_idx", "g")
     cells = F.flatten(F.col("g.rows"))
     types = F.transform(
         F.col("g.keep"),

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import confidence, each, let, squash
+from ..functions.text import built_once, confidence, each, let, squash
 from ..sources import html as H
 
 
@@ -261,6 +261,7 @@ def first_row_rule(rows: Column) -> Column:
     return F.when(F.size(rows) >= 2, let(let(_width(rows), pad), choose))
 
 
+@built_once
 def table_array(dom="dom", header: str = "markup") -> Column:
     """Tables of a page with named columns; tables without body rows are left out.
 
