@@ -154,10 +154,9 @@ def table_caption(spark, d):
 @query("win5_table_score", """
 WITH s AS (SELECT s_suppkey // 25 AS page_id, count(*) AS n FROM supplier GROUP BY ALL)
 SELECT page_id, n AS n_rows, 3::BIGINT AS n_columns,
-  round(0.45 + CASE WHEN n >= 3 THEN 0.15 ELSE 0 END + CASE WHEN n >= 10 THEN 0.1 ELSE 0 END
-    + 0.1 + 0.15 + 0.1 - CASE WHEN n = 1 THEN 0.2 ELSE 0 END, 6) AS score FROM s""")
+  round(least(0.99, 0.45 + CASE WHEN n >= 3 THEN 0.15 ELSE 0 END + CASE WHEN n >= 10 THEN 0.1 ELSE 0 END
+    + 0.1 + 0.15 + 0.1 - CASE WHEN n = 1 THEN 0.2 ELSE 0 END), 6) AS score FROM s""")
 def table_score(spark, d):
-    # 0.99 is the ceiling, 0.95 the value of a full three-column table
     return tables.table_candidates(H.shred_html(supplier_pages(spark, d))).select(
         "page_id", "n_rows", "n_columns", F.round("score", 6).alias("score")
     )
@@ -509,9 +508,9 @@ def structured_types(spark, d):
 
 
 @query("win3_structured_candidates", """
-SELECT DISTINCT p_partkey // 10 AS page_id, 'structured' AS kind, 0.62 AS score, 0.0 AS n FROM part
+SELECT DISTINCT p_partkey // 10 AS page_id, 'structured' AS kind, 0.62 AS score, 0::DOUBLE AS n FROM part
 UNION ALL
-SELECT 1000000 + p_partkey // 10, 'api', round(least(0.85, 0.55 + least(count(*) / 60.0, 0.3)), 6), count(*)
+SELECT 1000000 + p_partkey // 10, 'api', round(least(0.85, 0.55 + least(count(*) / 60.0, 0.3)), 6), count(*)::DOUBLE
 FROM part GROUP BY 1 HAVING count(*) >= 2""")
 def structured_candidates(spark, d):
     linked = part_pages(spark, d, ld_page)

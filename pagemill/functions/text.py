@@ -19,6 +19,11 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def strip(c) -> Column:
+    """Text without whitespace of any kind at its ends."""
+    return F.trim(col(c), F.lit(" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\u00a0\u2028\u2029\u3000"))
+
+
 def built_once(fn):
     """Keeps the expression a function builds: large ones take seconds to send to
     the JVM piece by piece. Columns are immutable and belong to one context."""
@@ -54,7 +59,7 @@ def each(df, array: Column, position: str, item: str):
 
 def squash(c) -> Column:
     """Runs of whitespace become one space, ends trimmed."""
-    return F.trim(F.regexp_replace(col(c), WS + "+", " "))
+    return strip(F.regexp_replace(col(c), WS + "+", " "))
 
 
 def strip_tags(c) -> Column:

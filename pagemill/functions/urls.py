@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed
-from .text import col, let
+from .text import col, let, strip
 
 _SCHEME = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
 _PARTS = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
@@ -125,7 +125,7 @@ def _tidy_path(path: Column) -> Column:
 
 def resolve_url(base, href) -> Column:
     """Absolute form of a link found on the page at `base`."""
-    base, href = col(base), F.trim(col(href))
+    base, href = col(base), strip(col(href))
     root = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
     folder = F.regexp_extract(part(base, 3), r"(?s)^(.*/)[^/]*$", 1)
     folder = F.when(folder == "", "/").otherwise(folder)
@@ -171,7 +171,7 @@ def _not_public(host: Column) -> Column:
 def normalize_url(raw) -> Column:
     """Trimmed URL with a scheme, lower-case scheme and host, without fragment.
     Null when it cannot be one."""
-    text = F.trim(col(raw))
+    text = strip(col(raw))
     full = F.when(F.contains(text, F.lit("://")), text).when(
         ~text.rlike(_SCHEME) & (text != ""),
         F.concat(F.lit("https://"), F.regexp_replace(text, "^/+", "")),
@@ -227,7 +227,7 @@ def block_reason(raw) -> Column:
     """Why a URL must not be visited, or null. Syntactic rules only (no DNS)."""
     return let(
         normalize_url(raw),
-        lambda url: F.when(F.coalesce(F.trim(col(raw)), F.lit("")) == "", "empty")
+        lambda url: F.when(F.coalesce(strip(col(raw)), F.lit("")) == "", "empty")
         .when(url.isNull(), "invalid")
         .otherwise(_url_problem(url)),
     )
@@ -342,7 +342,7 @@ def url_format(url) -> Column:
 
 def content_type_format(content_type) -> Column:
     table = F.create_map(*[F.lit(x) for kv in fixed.CONTENT_TYPES.items() for x in kv])
-    return table[F.lower(F.trim(F.get(F.split(col(content_type), ";"), F.lit(0))))]
+    return table[F.lower(strip(F.get(F.split(col(content_type), ";"), F.lit(0))))]
 
 
 def detect_format(url, content_type=None) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed
-from .text import col
+from .text import col, strip
 
 _MONTH = r"[A-Za-z]{3,9}"
 
@@ -20,7 +20,7 @@ def number_body(c) -> Column:
     """Digits and separators left after removing sign brackets, percent and
     currency marks; null when the text is not a number."""
     cur = fixed.CURRENCY
-    text = F.trim(col(c))
+    text = strip(col(c))
     text = F.regexp_replace(text, r"^\s*\(([\d\s.,]+)\)\s*$", "$1")
     text = F.regexp_replace(text, r"^\s*([-+]?[\d\s.,]+)\s*%\s*$", "$1")
     text = F.regexp_replace(
@@ -54,7 +54,7 @@ def number_failed(c) -> Column:
     """True for a non-missing text that is not a number."""
     return (
         col(c).isNotNull()
-        & ~F.trim(col(c)).isin(fixed.MISSING_TOKENS)
+        & ~strip(col(c)).isin(fixed.MISSING_TOKENS)
         & parse_number(c).isNull()
     )
 
@@ -86,7 +86,7 @@ DATE_FORMATS = [
 
 def parse_date(c) -> Column:
     """Timestamp of a date text in one of the declared formats, else null."""
-    text = F.trim(col(c))
+    text = strip(col(c))
     tries = []
     for pattern, fmt in DATE_FORMATS:
         value = text.try_cast("timestamp") if fmt is None else F.try_to_timestamp(text, F.lit(fmt))
@@ -101,7 +101,7 @@ def looks_date(c) -> Column:
 
 
 def parse_boolean(c) -> Column:
-    word = F.lower(F.trim(col(c)))
+    word = F.lower(strip(col(c)))
     return F.when(word.isin(fixed.TRUE_WORDS), True).when(word.isin(fixed.FALSE_WORDS), False)
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import fixed
-from .text import col
+from .text import col, strip
 
 MAX_DEPTH = 6
 
@@ -92,13 +92,15 @@ def _children(nodes: Column, list_items: int | None) -> Column:
     return F.flatten(F.transform(nodes, of))
 
 
-def _levels(df: DataFrame, v: str, depth: int, list_items: int | None) -> tuple[DataFrame, list[str]]:
+def _levels(df: DataFrame, v: str, depth: int, list_items: int | None,
+            where: Column | None = None) -> tuple[DataFrame, list[str]]:
     """One column per nesting level, each an array of (path, value)."""
     names = [f"__level{d}" for d in range(depth + 1)]
     df = df.withColumn(
         names[0],
         F.when(
-            F.col(v).isNotNull(), F.array(F.struct(F.lit("").alias("path"), F.col(v).alias("v")))
+            F.col(v).isNotNull() & (F.lit(True) if where is None else where),
+            F.array(F.struct(F.lit("").alias("path"), F.col(v).alias("v"))),
         ).otherwise(_nothing(_NODES)),
     )
     for previous, name in zip(names, names[1:]):
@@ -106,13 +108,15 @@ def _levels(df: DataFrame, v: str, depth: int, list_items: int | None) -> tuple[
     return df, names
 
 
-def find_record_arrays(df: DataFrame, v: str, out: str = "arrays") -> DataFrame:
+def find_record_arrays(df: DataFrame, v: str, out: str = "arrays",
+                       where: Column | None = None) -> DataFrame:
     """Arrays of objects inside a document, the most useful first (at most 12).
 
     Adds array<struct<path, n, keys, objects>>. An array qualifies with two or
-    more objects that make up at least 60 percent of its items.
+    more objects that make up at least 60 percent of its items. Documents outside
+    `where` are not searched.
     """
-    df, names = _levels(df, v, MAX_DEPTH, 3)
+    df, names = _levels(df, v, MAX_DEPTH, 3, where)
 
     def found(nodes):
         lists = F.filter(
@@ -171,11 +175,17 @@ def records_of(df: DataFrame, v: str, path: str | None = None, out: str = "recor
     Otherwise: the document's own objects, its scalars as {"value": x}, the best
     record array, or the document itself.
     """
-    df = find_record_arrays(df, v, "__arrays")
     node = resolve_path(v, path) if path else F.col(v)
-    items = as_array(node)
+    df = df.withColumn("__items", as_array(node))
+    items = F.col("__items")
     objects = F.filter(items, is_object)
-    scalars = F.filter(items, lambda x: ~is_scalar(x))
+    nested = F.filter(items, lambda x: ~is_scalar(x))
+    settled = (
+        (F.lit(bool(path)) & items.isNotNull())
+        | F.exists(items, is_object)
+        | ((F.size(items) > 0) & (F.size(nested) == 0))
+    )
+    df = find_record_arrays(df, v, "__arrays", ~F.coalesce(settled, F.lit(False)))
     values = F.transform(
         items, lambda x: F.parse_json(F.concat(F.lit('{"value":'), F.to_json(x), F.lit("}")))
     )
@@ -183,12 +193,12 @@ def records_of(df: DataFrame, v: str, path: str | None = None, out: str = "recor
     rows = (
         F.when(F.lit(bool(path)) & items.isNotNull(), objects)
         .when(F.size(objects) > 0, objects)
-        .when((F.size(items) > 0) & (F.size(scalars) == 0), values)
+        .when((F.size(items) > 0) & (F.size(nested) == 0), values)
         .when(best.isNotNull(), best)
         .when(is_object(v), F.array(F.col(v)))
         .otherwise(_nothing("array<variant>"))
     )
-    return df.withColumn(out, rows).drop("__arrays")
+    return df.withColumn(out, rows).drop("__arrays", "__items")
 
 
 def flatten_record(df: DataFrame, v: str, out: str = "record") -> DataFrame:
@@ -299,7 +309,7 @@ def cursor_field(v) -> Column:
 
     def usable(x):
         return F.schema_of_variant(x).isin("STRING", "BIGINT", "BOOLEAN") & (
-            F.trim(F.try_variant_get(x, "$", "string")) != ""
+            strip(F.try_variant_get(x, "$", "string")) != ""
         )
 
     def key_in(m):
@@ -364,8 +374,8 @@ def api_score(url, keys: Column, n: Column) -> Column:
 def classify_payload(df: DataFrame, text: str, depth: int = 3) -> DataFrame:
     """Adds kind (records, html, text, empty) and records (array<variant>) for a
     text payload that may be JSON, fenced JSON, markup or prose."""
-    body = F.trim(F.coalesce(F.col(text), F.lit("")))
-    fenced = F.trim(
+    body = strip(F.coalesce(F.col(text), F.lit("")))
+    fenced = strip(
         F.regexp_replace(F.regexp_replace(body, r"^```[a-zA-Z]*\s*", ""), r"\s*```$", "")
     )
     body_or_fence = F.when(F.startswith(body, F.lit("```")), fenced).otherwise(body)

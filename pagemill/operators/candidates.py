@@ -275,35 +275,32 @@ def rows_from_html(dom_pages: DataFrame, selector: str | None = None,
             ),
         )
 
-    wanted = F.lit(table_index or 0)
-    from_table = let(
-        F.get(tables.table_array(), wanted),
-        lambda t: F.when(
-            t.isNotNull(), F.struct(F.lit("table").alias("source"), of_table(t).alias("rows"))
-        ),
-    )
-    if table_index is not None:
-        chosen = from_table
-    else:
-        from_group = let(
-            F.get(repeated.group_array(), F.lit(0)),
-            lambda g: F.when(
-                g.isNotNull(),
-                F.struct(
-                    F.lit("repeated").alias("source"),
-                    F.transform(
-                        F.filter(F.col("dom")["nodes"], lambda n: _fits_selector(n, g["selector"])),
-                        lambda n: let(
-                            repeated.item_fields(n, "dom", F.col("url")),
-                            lambda f: map_last_wins(
-                                F.filter(f, lambda x: F.array_contains(g["keep"], x["key"]))
-                            ),
-                        ),
-                    ).alias("rows"),
+    def of_group(g):
+        return F.transform(
+            F.filter(F.col("dom")["nodes"], lambda n: _fits_selector(n, g["selector"])),
+            lambda n: let(
+                repeated.item_fields(n, "dom", F.col("url")),
+                lambda f: map_last_wins(
+                    F.filter(f, lambda x: F.array_contains(g["keep"], x["key"]))
                 ),
             ),
         )
-        chosen = F.coalesce(from_table, from_group)
+
+    def sourced(found, name, rows):
+        return let(
+            found,
+            lambda x: F.when(
+                x.isNotNull(), F.struct(F.lit(name).alias("source"), rows(x).alias("rows"))
+            ),
+        )
+
+    # one step per column: an analyzer pass resolves one level of nesting
+    dom_pages = dom_pages.withColumn("__tables", tables.table_array())
+    chosen = sourced(F.get("__tables", F.lit(table_index or 0)), "table", of_table)
+    if table_index is None:
+        dom_pages = dom_pages.withColumn("__groups", repeated.group_array())
+        from_group = sourced(F.get("__groups", F.lit(0)), "repeated", of_group)
+        chosen = F.coalesce(chosen, from_group)
     picked = dom_pages.select("page_id", F.explode(F.array(chosen)).alias("p"))
     return each(
         picked.select("page_id", F.col("p.source").alias("source"), F.col("p.rows").alias("rows")),

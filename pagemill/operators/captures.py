@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, urls
-from ..functions.text import each, let
+from ..functions.text import each, let, strip
 
 
 def stop_conditions(captures: DataFrame, run: str = "run_id", page: str = "page_no",
@@ -71,8 +71,8 @@ def robots_rules(body: Column) -> Column:
         F.transform(
             F.split(body, r"\r\n|\r|\n"),
             lambda l: F.struct(
-                F.lower(F.trim(F.regexp_extract(l, r"^([^:#]*):", 1))).alias("key"),
-                F.trim(F.regexp_extract(l, r"^[^:#]*:([^#]*)", 1)).alias("value"),
+                F.lower(strip(F.regexp_extract(l, r"^([^:#]*):", 1))).alias("key"),
+                strip(F.regexp_extract(l, r"^[^:#]*:([^#]*)", 1)).alias("value"),
             ),
         ),
         lambda l: l["key"].isin("user-agent", "allow", "disallow", "crawl-delay"),
@@ -193,7 +193,7 @@ def robots_sitemaps(robots: DataFrame) -> DataFrame:
             F.regexp_extract_all(
                 F.col("body"), F.lit(r"(?im)^sitemap:[ \t]*([^\r\n]*)"), F.lit(1)
             ),
-            lambda s: F.trim(s),
+            lambda s: strip(s),
         ),
         lambda s: s != "",
     )
@@ -205,7 +205,7 @@ def robots_sitemaps(robots: DataFrame) -> DataFrame:
 
 def _xml_body(body: Column) -> Column:
     """Body without declaration and doctype, as the XML functions want it."""
-    return F.trim(F.regexp_replace(body, r"(?is)^﻿?\s*(<\?xml.*?\?>)?\s*(<!DOCTYPE[^>]*>)?", ""))
+    return strip(F.regexp_replace(body, r"(?is)^﻿?\s*(<\?xml.*?\?>)?\s*(<!DOCTYPE[^>]*>)?", ""))
 
 
 def _entity_text(c: Column) -> Column:
@@ -221,7 +221,7 @@ def sitemap_entries(captures: DataFrame, body: str = "body") -> DataFrame:
     locs = F.regexp_extract_all(
         F.col(body), F.lit(r"(?is)<(?:\w+:)?loc\b[^>]*>(.*?)</(?:\w+:)?loc\s*>"), F.lit(1)
     )
-    clean = F.filter(F.transform(locs, lambda u: F.trim(_entity_text(u))), urls.is_http)
+    clean = F.filter(F.transform(locs, lambda u: strip(_entity_text(u))), urls.is_http)
     is_index = F.col(body).rlike(r"(?is)^\s*(<\?xml.*?\?>)?\s*(<!--.*?-->\s*)*<(\w+:)?sitemapindex\b")
     kept = [c for c in captures.columns if c != body]
     return (
@@ -278,7 +278,7 @@ def feed_entries(captures: DataFrame, body: str = "body") -> DataFrame:
         for name in names:
             raw = F.regexp_extract(item, rf"(?is)<(?:\w+:)?{name}\b[^>]*?>(.*?)</(?:\w+:)?{name}\s*>", 1)
             cdata = F.regexp_replace(raw, r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1")
-            value = F.trim(
+            value = strip(
                 F.when(F.contains(raw, F.lit("<![CDATA[")), cdata).otherwise(_entity_text(raw))
             )
             values.append(F.when(value != "", value))
@@ -287,14 +287,14 @@ def feed_entries(captures: DataFrame, body: str = "body") -> DataFrame:
     atom_link = F.regexp_extract(item, r"(?is)<(?:\w+:)?link\b[^>]*href\s*=\s*[\"']([^\"']*)[\"']", 1)
     link = tag("link")
     author = tag("author", "creator")
-    person = F.trim(F.regexp_extract(author, r"(?is)<(?:\w+:)?name\b[^>]*>(.*?)</", 1))
+    person = strip(F.regexp_extract(author, r"(?is)<(?:\w+:)?name\b[^>]*>(.*?)</", 1))
     return rows.select(
         *kept, "ordinal",
         tag("title").alias("title"),
         F.when(link != "", link).otherwise(_entity_text(atom_link)).alias("link"),
         tag("pubDate", "published", "date", "updated").alias("published"),
         F.when(person != "", person).otherwise(author).alias("author"),
-        F.trim(
+        strip(
             F.substring(F.regexp_replace(tag("description", "summary", "content"), "<[^>]+>", " "), 1, 1000)
         ).alias("summary"),
         tag("guid", "id").alias("id"),

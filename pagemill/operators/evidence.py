@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import let, normalize_evidence, numeric_forms
+from ..functions.text import let, normalize_evidence, numeric_forms, strip
 
 _NUMBER = r"([-+]?\d[\d\s.,]*)"
 
@@ -26,9 +26,9 @@ def check_values(claims: DataFrame, pages: DataFrame, value: str = "value") -> D
         "page_id", normalize_evidence("text").alias("__hay"), page_numbers("text").alias("__numbers")
     )
     joined = claims.join(facts, "page_id", "left")
-    text = F.trim(F.coalesce(F.col(value).cast("string"), F.lit("")))
+    text = strip(F.coalesce(F.col(value).cast("string"), F.lit("")))
     plain = normalize_evidence(text)
-    bare = F.trim(F.regexp_replace(plain, "[^0-9a-z؀-ۿ ]+", ""))
+    bare = strip(F.regexp_replace(plain, "[^0-9a-z؀-ۿ ]+", ""))
     joined = joined.withColumns({"__plain": plain, "__bare": bare, "__forms": numeric_forms(text)})
     how = (
         F.when(F.col("__plain") == "", "empty")
@@ -68,12 +68,12 @@ def check_records(records: DataFrame, pages: DataFrame, columns: list[str],
     joined = records.join(facts, "page_id", "left")
 
     def kept(c):
-        text = F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))
+        text = strip(F.coalesce(F.col(c).cast("string"), F.lit("")))
         forms = numeric_forms(text)
         ok = let(
             normalize_evidence(text),
             lambda p: let(
-                F.trim(F.regexp_replace(p, "[^0-9a-z؀-ۿ ]+", "")),
+                strip(F.regexp_replace(p, "[^0-9a-z؀-ۿ ]+", "")),
                 lambda bare: (p == "")
                 | F.contains(F.col("__hay"), p)
                 | ((bare != "") & F.contains(F.col("__hay"), bare))
@@ -103,7 +103,7 @@ def evidence_ratio(claims: DataFrame, pages: DataFrame, proposal: str = "proposa
     """(proposal, n_values, ratio, accepted): share of non-blank values whose
     first 80 characters occur in the page."""
     facts = pages.select("page_id", normalize_evidence("text").alias("__hay"))
-    values = claims.withColumn("__v", F.trim(F.col("value").cast("string"))).where("__v <> ''")
+    values = claims.withColumn("__v", strip(F.col("value").cast("string"))).where("__v <> ''")
     joined = values.join(facts, "page_id", "left")
     hit = F.coalesce(
         F.contains("__hay", F.substring(F.lower("__v"), 1, 80)), F.lit(False)

@@ -7,13 +7,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed, urls
-from ..functions.text import each, let, squash
+from ..functions.text import each, let, squash, strip
 from ..sources import html as H
 
 
 def _absolute(pairs: Column, base: Column) -> Column:
     skipped = "^(" + "|".join(fixed.SKIPPED_LINK_PREFIXES) + ")"
-    kept = F.filter(pairs, lambda p: (F.trim(p["href"]) != "") & ~F.trim(p["href"]).rlike(skipped))
+    kept = F.filter(pairs, lambda p: (strip(p["href"]) != "") & ~strip(p["href"]).rlike(skipped))
     full = F.transform(
         kept,
         lambda p: F.struct(urls.resolve_url(base, p["href"]).alias("url"), p["text"].alias("text")),
@@ -75,7 +75,7 @@ def file_array(links: Column) -> Column:
     documents = sorted(set(fixed.DOCUMENT_EXTENSIONS.values()))
 
     def entry(first):
-        label = F.substring(F.trim(F.coalesce(first["text"], F.lit(""))), 1, 120)
+        label = F.substring(strip(F.coalesce(first["text"], F.lit(""))), 1, 120)
         return F.struct(
             first["url"].alias("url"),
             first["format"].alias("format"),

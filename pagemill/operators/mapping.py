@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.text import col
+from ..functions.text import col, strip
 
 
 def normalize_name(c) -> Column:
-    cleaned = F.regexp_replace(F.lower(F.trim(col(c))), "[^0-9a-z؀-ۿ]+", "_")
+    cleaned = F.regexp_replace(F.lower(strip(col(c))), "[^0-9a-z؀-ۿ]+", "_")
     return F.regexp_replace(cleaned, "^_+|_+$", "")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed, urls, variants
-from ..functions.text import let
+from ..functions.text import let, strip
 from ..sources import html as H
 
 
@@ -45,7 +45,7 @@ def plan_from_html(dom: str = "dom", html: str = "html", base: str = "url") -> C
     anchors = F.transform(
         F.filter(H.nodes_of(dom, "a"), lambda n: n["attrs"]["href"].isNotNull()),
         lambda n: F.struct(
-            F.trim(H.raw_text(n, dom)).alias("text"), F.lower(n["class"]).alias("cls"),
+            strip(H.raw_text(n, dom)).alias("text"), F.lower(n["class"]).alias("cls"),
             urls.resolve_url(address, n["attrs"]["href"]).alias("url"),
         ),
     )

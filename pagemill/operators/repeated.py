@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed, urls, values
-from ..functions.text import built_once, confidence, each, let
+from ..functions.text import built_once, confidence, each, let, strip
 from ..sources import html as H
 
 
@@ -110,7 +110,7 @@ def item_fields(item: Column, dom, base=None) -> Column:
             F.array(
                 field("title", title),
                 field("link", absolute(m["anchor"]["attrs"]["href"])),
-                field("image_alt", given(F.trim(image["alt"]))),
+                field("image_alt", given(strip(image["alt"]))),
                 field("image_url", absolute(F.coalesce(given(image["src"]), given(image["data-src"])))),
                 field("date", F.substring(stamp, 1, 60)),
             ),
@@ -440,7 +440,7 @@ def rows_by_path(dom_pages: DataFrame, path: str, dom: str = "dom") -> DataFrame
     if out_attr or as_text:
         values_ = F.transform(
             hits,
-            lambda n: F.trim(n["attrs"][out_attr]) if out_attr else F.trim(H.raw_text(n, dom)),
+            lambda n: strip(n["attrs"][out_attr]) if out_attr else strip(H.raw_text(n, dom)),
         )
         values_ = F.filter(values_, lambda v: v.isNotNull())
         return each(dom_pages, values_, "item_idx", "value").select("page_id", "item_idx", "value")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed, variants
-from ..functions.text import each
+from ..functions.text import each, strip
 
 _SCRIPT = r"(?is)(<script\b[^>]*>.*?</script\s*>)"
 
@@ -15,10 +15,10 @@ def _scripts(html="html") -> Column:
     return F.transform(
         F.regexp_extract_all(F.col(html), F.lit(_SCRIPT), F.lit(1)),
         lambda s: F.struct(
-            F.lower(F.trim(F.regexp_extract(s, r"(?is)^<script\b[^>]*?\btype\s*=\s*[\"']?([^\"'\s>]*)", 1)))
+            F.lower(strip(F.regexp_extract(s, r"(?is)^<script\b[^>]*?\btype\s*=\s*[\"']?([^\"'\s>]*)", 1)))
             .alias("type"),
             F.regexp_extract(s, r"(?is)^<script\b[^>]*?\bid\s*=\s*[\"']?([^\"'\s>]*)", 1).alias("id"),
-            F.trim(F.regexp_extract(s, r"(?is)^<script\b[^>]*>(.*)</script\s*>$", 1)).alias("body"),
+            strip(F.regexp_extract(s, r"(?is)^<script\b[^>]*>(.*)</script\s*>$", 1)).alias("body"),
         ),
     )
 

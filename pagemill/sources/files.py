@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import variants
-from ..functions.text import each, map_last_wins
+from ..functions.text import each, map_last_wins, strip
 
 
 def sniff_delimiter(spark: SparkSession, path: str) -> str:
@@ -123,13 +123,13 @@ def document_records(documents: DataFrame, pages: str = "pages") -> DataFrame:
         *kept, "_page", "_table", "row_idx", record(F.col("row"), F.col("header")).alias("record")
     )
     plain = one.where(
-        (F.coalesce(F.size("page.tables"), F.lit(0)) <= 0) & (F.trim("page.text") != "")
+        (F.coalesce(F.size("page.tables"), F.lit(0)) <= 0) & (strip("page.text") != "")
     ).select(
         *kept, F.col("page.number").alias("_page"), F.lit(None).cast("int").alias("_table"),
         F.lit(0).alias("row_idx"),
         F.create_map(
             F.lit("page"), F.col("page.number").cast("string"),
-            F.lit("text"), F.trim("page.text"),
+            F.lit("text"), strip("page.text"),
         ).alias("record"),
     )
     return tables.unionByName(plain)
