@@ -155,7 +155,7 @@ def table_caption(spark, d):
 WITH s AS (SELECT s_suppkey // 25 AS page_id, count(*) AS n FROM supplier GROUP BY ALL)
 SELECT page_id, n AS n_rows, 3::BIGINT AS n_columns,
   round(least(0.99, 0.45 + CASE WHEN n >= 3 THEN 0.15 ELSE 0 END + CASE WHEN n >= 10 THEN 0.1 ELSE 0 END
-    + 0.1 + 0.15 + 0.1 - CASE WHEN n = 1 THEN 0.2 ELSE 0 END), 6) AS score FROM s""")
+    + 0.1 + 0.15 + 0.1 - CASE WHEN n = 1 THEN 0.2 ELSE 0 END), 6)::DOUBLE AS score FROM s""")
 def table_score(spark, d):
     return tables.table_candidates(H.shred_html(supplier_pages(spark, d))).select(
         "page_id", "n_rows", "n_columns", F.round("score", 6).alias("score")

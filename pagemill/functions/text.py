@@ -111,49 +111,49 @@ def numeric_forms(c) -> Column:
     Separator variants, and the value itself, times 100 and over 100 in short
     notation with a point and with a comma.
     """
-    raw = F.regexp_replace(
-        F.regexp_extract(normalize_evidence(c), r"([-+]?\d[\d\s.,]*)", 1), " ", ""
-    )
-    plain = F.replace(raw, F.lit(","), F.lit(""))
-    dots = F.length(plain) - F.length(F.replace(plain, F.lit("."), F.lit("")))
-    # more than one dot: all but the last are grouping
-    number = F.when(dots <= 1, plain.try_cast("double")).otherwise(
-        F.regexp_replace(plain, r"\.(?=.*\.)", "").try_cast("double")
-    )
-    shorts = [short_number(number), short_number(number * 100), short_number(number / 100)]
-    comma = [F.translate(s, ".", ",") for s in shorts]
-    forms = F.array_distinct(
-        F.array_compact(
-            F.array(
-                raw, plain, F.translate(raw, ",.", "."), F.translate(raw, ".", ","),
-                *shorts, *comma,
-            )
+    def of_number(raw, plain, number):
+        shorts = F.transform(F.array(number, number * 100, number / 100), short_number)
+        written = F.array(raw, plain, F.translate(raw, ",.", "."), F.translate(raw, ".", ","))
+        every = let(
+            shorts,
+            lambda s: F.concat(written, s, F.transform(s, lambda x: F.translate(x, ".", ","))),
         )
-    )
-    return F.when(raw == "", F.array().cast("array<string>")).otherwise(
-        F.filter(forms, lambda f: f != "")
+        return F.array_distinct(F.filter(every, lambda f: f.isNotNull() & (f != "")))
+
+    def of_plain(raw, plain):
+        dots = F.length(plain) - F.length(F.replace(plain, F.lit("."), F.lit("")))
+        # more than one dot: all but the last are grouping
+        single = F.when(dots <= 1, plain).otherwise(F.regexp_replace(plain, r"\.(?=.*\.)", ""))
+        return let(single.try_cast("double"), lambda number: of_number(raw, plain, number))
+
+    found = F.regexp_extract(normalize_evidence(c), r"([-+]?\d[\d\s.,]*)", 1)
+    return let(
+        F.regexp_replace(found, " ", ""),
+        lambda raw: F.when(raw == "", F.array().cast("array<string>")).otherwise(
+            let(F.replace(raw, F.lit(","), F.lit("")), lambda plain: of_plain(raw, plain))
+        ),
     )
 
 
 def short_number(n: Column) -> Column:
     """Six significant digits without trailing zeros, like C's %g."""
-    scientific = F.format_string("%.5e", n)
-    exponent = F.regexp_extract(scientific, r"e([-+]\d+)$", 1).try_cast("int")
-    mantissa = F.regexp_replace(
-        F.regexp_extract(scientific, r"^([-+]?[\d.]+)e", 1), r"\.?0+$", ""
-    )
-    sign = F.when(exponent < 0, "e-").otherwise("e+")
-    plain = F.regexp_replace(
-        scientific.try_cast("decimal(38,12)").cast("string"), r"\.?0+$", ""
-    )
+    def written(scientific):
+        exponent = F.regexp_extract(scientific, r"e([-+]\d+)$", 1).try_cast("int")
+        mantissa = F.regexp_replace(
+            F.regexp_extract(scientific, r"^([-+]?[\d.]+)e", 1), r"\.?0+$", ""
+        )
+        tail = F.concat(
+            F.when(exponent < 0, "e-").otherwise("e+"), F.lpad(F.abs(exponent).cast("string"), 2, "0")
+        )
+        plain = F.regexp_replace(
+            scientific.try_cast("decimal(38,12)").cast("string"), r"\.?0+$", ""
+        )
+        return F.when((exponent < -4) | (exponent >= 6), F.concat(mantissa, tail)).otherwise(plain)
+
     return (
         F.when(n.isNull(), F.lit(None).cast("string"))
         .when(n == 0, "0")
-        .when(
-            (exponent < -4) | (exponent >= 6),
-            F.concat(mantissa, sign, F.lpad(F.abs(exponent).cast("string"), 2, "0")),
-        )
-        .otherwise(plain)
+        .otherwise(let(F.format_string("%.5e", n), written))
     )
 
 

@@ -44,7 +44,7 @@ def number_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, cells, failures, converted, percent_cells) for text columns."""
     cells = unpivot(df, columns).withColumn("body", values.number_body("value"))
     cells = cells.withColumn("number", values.number_value(F.col("body"), "value"))
-    missing = F.col("value").isNull() | strip("value").isin(fixed.MISSING_TOKENS)
+    missing = F.col("value").isNull() | text.strip("value").isin(fixed.MISSING_TOKENS)
     return cells.groupBy("column").agg(
         F.count("*").alias("cells"),
         F.count_if(~missing & F.col("number").isNull()).alias("failures"),
@@ -87,7 +87,7 @@ def to_numbers(df: DataFrame, chosen: dict[str, bool], keep_raw: bool = True) ->
         df = df.withColumns(
             {
                 f"{c}__raw": F.when(
-                    F.col(c).isNull() & ~strip(f"{c}__raw").isin(fixed.MISSING_TOKENS),
+                    F.col(c).isNull() & ~text.strip(f"{c}__raw").isin(fixed.MISSING_TOKENS),
                     F.col(f"{c}__raw"),
                 )
                 for c in chosen
@@ -169,7 +169,7 @@ def boolean_columns(df: DataFrame) -> list[str]:
         return []
     words = fixed.TRUE_WORDS + fixed.FALSE_WORDS
     checks = df.agg(
-        *[F.bool_and(F.lower(strip(c)).isin(words)).alias(c) for c in names]
+        *[F.bool_and(F.lower(text.strip(c)).isin(words)).alias(c) for c in names]
     ).first()
     return [c for c in names if checks[c]]
 

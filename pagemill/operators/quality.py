@@ -46,7 +46,7 @@ def profile_columns(df: DataFrame, row_id: str, columns: list[str] | None = None
     numeric = [c for c in numeric_columns(df) if c in names]
     dates = [
         f.name for f in df.schema
-        if f.name in names and isinstance(f.dataType, (T.DateType, T.TimestampType))
+        if f.name in names and isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType))
     ]
     census = value_census(df, row_id, names)
     present = F.col("value").isNotNull()
