@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["page_queries", "markup_queries", "json_queries", "table_queries"]
+MODULES = ["page_queries", "markup_queries", "json_queries", "table_queries", "file_queries"]
 
 
 def load() -> None:

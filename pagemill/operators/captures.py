@@ -161,7 +161,7 @@ def robots_filter(pages: DataFrame, robots: DataFrame, agent: str = "*") -> Data
         lambda r: r["kind"].isin("allow", "disallow")
         & (r["value"] != "")
         & F.when(
-            r["value"].rlike(r"[*$]"), F.col("__path").rlike(_path_pattern(r["value"]))
+            r["value"].rlike(r"[*$]"), F.rlike(F.col("__path"), _path_pattern(r["value"]))
         ).otherwise(F.startswith(F.col("__path"), r["value"])),
     )
     # the longest rule decides; allow wins a tie
