@@ -274,6 +274,28 @@ def path_values(spark, d):
     return repeated.rows_by_path(H.shred_html(card_pages(spark, d)), "//a[@href]/@href")
 
 
+@query("win3_file_candidates", """
+WITH p AS (SELECT *, ['csv', 'pdf', 'html', 'xlsx', 'jsonl'][p_partkey % 5 + 1] AS ext FROM part)
+SELECT p_partkey AS page_id, CASE WHEN ext = 'pdf' THEN 'document' ELSE 'file' END AS kind,
+  'Direct ' || CASE ext WHEN 'csv' THEN 'CSV' WHEN 'pdf' THEN 'PDF' WHEN 'xlsx' THEN 'EXCEL' ELSE 'JSONL' END || ' file' AS title,
+  CASE WHEN ext = 'pdf' THEN 0.6 ELSE 0.95 END::DOUBLE AS score FROM p WHERE ext <> 'html'
+UNION ALL SELECT p_partkey, 'links', 'Files linked from this page', 0.75::DOUBLE FROM p WHERE ext = 'html'""")
+def file_candidates(spark, d):
+    # an address with a data extension is a file whatever its body says
+    p = table(spark, d, "part")
+    ext = F.get(
+        F.array(*[F.lit(x) for x in ("csv", "pdf", "html", "xlsx", "jsonl")]),
+        (F.col("p_partkey") % 5).cast("int"),
+    )
+    pages = p.select(
+        F.col("p_partkey").alias("page_id"),
+        F.concat(F.lit("https://f.example.org/"), F.col("p_partkey").cast("string"), F.lit("."), ext).alias("url"),
+        F.lit("<html><body><a href='https://other.example.org/x.csv'>x</a></body></html>").alias("html"),
+    )
+    found = candidates.all_candidates(candidates.page_profile(H.shred_html(pages)))
+    return found.select("page_id", "kind", "title", "score")
+
+
 @query("src33_rows_from_html", CARDS + """
 SELECT 'table' AS source, s_suppkey // 25 AS page_id, s_name AS name FROM supplier
 UNION ALL SELECT 'repeated', 1000000 + page_id, c_name FROM c WHERE n >= 4""")
@@ -515,7 +537,9 @@ FROM part GROUP BY 1 HAVING count(*) >= 2""")
 def structured_candidates(spark, d):
     linked = part_pages(spark, d, ld_page)
     plain = part_pages(spark, d, state_page).withColumn("page_id", F.col("page_id") + 1000000)
-    return candidates.json_candidates(linked.unionByName(plain)).select(
+    profile = candidates.page_profile(H.shred_html(linked.unionByName(plain)))
+    found = candidates.all_candidates(profile).where("kind in ('structured', 'api')")
+    return found.select(
         "page_id", "kind", F.round("score", 6).alias("score"),
         F.coalesce("n_rows", F.lit(0)).cast("double").alias("n"),
     )

@@ -202,6 +202,24 @@ def confidence(score: Column) -> Column:
     return F.when(score >= 0.8, "high").when(score >= 0.55, "medium").otherwise("low")
 
 
+def first_per(items: Column, key) -> Column:
+    """First item of every key, in order of appearance: one sort, no pairwise
+    comparison. Items must be orderable (no maps)."""
+
+    def firsts(ordered):
+        return F.filter(
+            ordered, lambda s, j: (j == 0) | (F.get(ordered, j - 1)["k"] != s["k"])
+        )
+
+    marked = F.transform(
+        items, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"), x.alias("x"))
+    )
+    kept = F.transform(
+        let(F.array_sort(marked), firsts), lambda s: F.struct(s["i"].alias("i"), s["x"].alias("x"))
+    )
+    return F.transform(F.array_sort(kept), lambda s: s["x"])
+
+
 def map_last_wins(entries: Column) -> Column:
     """map from array<struct<key,value>>; a repeated key keeps its last value."""
 

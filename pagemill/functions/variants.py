@@ -332,9 +332,10 @@ def cursor_field(v) -> Column:
     return F.coalesce(*options)
 
 
-def type_names(df: DataFrame, v: str, out: str = "types", depth: int = 8) -> DataFrame:
+def type_names(df: DataFrame, v: str, out: str = "types", depth: int = 8,
+               where: Column | None = None) -> DataFrame:
     """Distinct '@type' (else 'type') texts at any level, sorted, at most 25."""
-    df, names = _levels(df, v, depth, None)
+    df, names = _levels(df, v, depth, None, where)
 
     def of(n):
         m = as_map(n["v"])

@@ -42,24 +42,6 @@ def needs_js(text_chars: Column, html: Column, has_tables: Column, has_repeated:
     return (evidence >= 2) | (nothing & ~has_api & (text_chars < 800))
 
 
-def _embedded_present(html: str = "html") -> Column:
-    """Whether the page has a JSON script or application state that parses."""
-    bodies = F.concat(
-        F.transform(
-            F.filter(
-                structured._scripts(html),
-                lambda s: s["type"].isin(fixed.JSON_SCRIPT_TYPES) | (s["id"] == "__NEXT_DATA__"),
-            ),
-            lambda s: s["body"],
-        ),
-        F.array(
-            *[F.regexp_extract(html, rf"(?s)window\.{n}\s*=\s*(\{{.*?\}});", 1)
-              for n in fixed.STATE_NAMES]
-        ),
-    )
-    return F.exists(bodies, lambda b: (b != "") & F.try_parse_json(b).isNotNull())
-
-
 def page_profile(dom_pages: DataFrame) -> DataFrame:
     """One row per page: what the detectors found, plus flags. Detectors run in
     one projection over the parsed page; no shuffle."""
@@ -82,10 +64,16 @@ def page_profile(dom_pages: DataFrame) -> DataFrame:
                 lambda ls: F.struct(links.internal_array(ls).alias("internal"), links.file_array(ls).alias("files")),
             ),
             "apis": links.api_url_array(),
-            "has_embedded": _embedded_present(),
+            "blobs": F.transform(
+                F.filter(
+                    structured.embedded_array(), lambda b: F.try_parse_json(b["body"]).isNotNull()
+                ),
+                lambda b: b["body"],
+            ),
+            "linked": structured.json_ld_array(),
         }
     )
-    found = page_flags(found)
+    found = page_flags(found.withColumn("has_embedded", F.size("blobs") > 0))
     has_tables, has_repeated = F.size("tables") > 0, F.size("groups") > 0
     text_chars = F.length("page_text")
     return found.withColumns(
@@ -115,9 +103,9 @@ def _candidate(kind, id_, title, score, n_rows=None, columns=None) -> Column:
     )
 
 
-def page_candidates(profile: DataFrame) -> DataFrame:
+def _page_options() -> Column:
     """Candidates that come from the parsed page (table, repeated, article, links,
-    api addresses): (page_id, kind, id, title, score, n_rows, columns)."""
+    api addresses)."""
     by_table = F.transform(
         "tables",
         lambda t, i: _candidate(
@@ -165,42 +153,81 @@ def page_candidates(profile: DataFrame) -> DataFrame:
             ),
         )
     )
-    every = F.concat(*[x.cast(_CANDIDATE) for x in (by_table, by_group, by_api, singles)])
-    return each(profile, every, "__i", "c").select("page_id", "c.*")
+    return F.concat(*[x.cast(_CANDIDATE) for x in (by_table, by_group, by_api, singles)])
 
 
-def json_candidates(pages: DataFrame) -> DataFrame:
-    """Candidates from JSON-LD and embedded JSON."""
-    typed = structured.structured_types(pages).where(F.size("types") > 0).select(
-        "page_id", F.lit("structured").alias("kind"), F.lit("structured_0").alias("id"),
-        F.lit("Structured metadata (schema.org)").alias("title"), F.lit(0.62).alias("score"),
-        F.lit(None).cast("bigint").alias("n_rows"), F.array().cast("array<string>").alias("columns"),
-    )
-    docs = variants.find_record_arrays(structured.embedded_documents(pages), "doc")
-    arrays = each(docs.select("page_id", "ordinal", "arrays"), F.slice("arrays", 1, 3), "i", "a")
-    embedded = arrays.select(
-        "page_id", F.lit("api").alias("kind"),
-        F.concat(F.lit("embedded_"), F.col("ordinal").cast("string"), F.lit("_"),
-                 F.col("i").cast("string")).alias("id"),
-        F.col("a.path").alias("title"),
-        F.least(F.lit(0.85), F.least(F.col("a.n") / 60.0, F.lit(0.3)) + 0.55).alias("score"),
-        F.col("a.n").alias("n_rows"), F.slice("a.keys", 1, 40).alias("columns"),
-    )
-    return typed.unionByName(embedded)
+def _file_option(fmt: Column) -> Column:
+    """Candidate of an address that points straight at a file."""
+    is_document = fmt.isin(sorted(set(fixed.DOCUMENT_EXTENSIONS.values())))
+    return F.array(
+        _candidate(
+            F.when(is_document, "document").otherwise("file"), "file_0",
+            F.concat(F.lit("Direct "), F.upper(fmt), F.lit(" file")),
+            F.when(is_document, 0.6).otherwise(0.95),
+        )
+    ).cast(_CANDIDATE)
 
 
-def file_candidates(pages: DataFrame, content_type: str | None = None) -> DataFrame:
-    """Addresses that point straight at a file."""
+def page_candidates(profile: DataFrame) -> DataFrame:
+    """Candidates from the parsed page alone: (page_id, kind, id, title, score,
+    n_rows, columns)."""
+    return each(profile, _page_options(), "__i", "c").select("page_id", "c.*")
+
+
+def all_candidates(profile: DataFrame, content_type: str | None = None) -> DataFrame:
+    """Every candidate of every page, from one pass over the profile.
+
+    A page becomes one row for its markup, one for its JSON-LD and one per
+    embedded JSON document; each row states its own candidates, so nothing is
+    joined and the pages are read once. An address that is a file is judged by
+    that alone.
+    """
+    none = F.lit(None).cast("string")
     fmt = urls.detect_format("url", content_type)
-    documents = sorted(set(fixed.DOCUMENT_EXTENSIONS.values()))
-    is_document = F.col("__f").isin(documents)
-    return pages.withColumn("__f", fmt).where("__f is not null and __f <> 'feed'").select(
-        "page_id", F.when(is_document, "document").otherwise("file").alias("kind"),
-        F.lit("file_0").alias("id"),
-        F.concat(F.lit("Direct "), F.upper("__f"), F.lit(" file")).alias("title"),
-        F.when(is_document, 0.6).otherwise(0.95).alias("score"),
-        F.lit(None).cast("bigint").alias("n_rows"), F.array().cast("array<string>").alias("columns"),
+    is_file = fmt.isNotNull() & (fmt != "feed")
+    own = profile.withColumn("__fmt", F.when(is_file, fmt)).withColumn(
+        "__page", F.when(F.col("__fmt").isNotNull(), _file_option(F.col("__fmt"))).otherwise(_page_options())
     )
+    part = lambda kind, body: F.struct(F.lit(kind).alias("kind"), body.alias("body"))
+    linked = F.concat(F.lit("["), F.array_join("linked", ","), F.lit("]"))
+    parts = F.concat(
+        F.array(part("page", none)),
+        F.when(
+            F.col("__fmt").isNull(),
+            F.concat(
+                F.when(F.size("linked") > 0, F.array(part("linked", linked)))
+                .otherwise(F.array().cast("array<struct<kind:string,body:string>>")),
+                F.transform("blobs", lambda b: part("blob", b)),
+            ),
+        ).otherwise(F.array().cast("array<struct<kind:string,body:string>>")),
+    )
+    rows = each(own.select("page_id", "__page", "linked", "blobs", "__fmt"), parts, "__i", "__p").select(
+        "page_id", F.col("__i").alias("ordinal"), F.col("__p.kind").alias("kind"),
+        F.when(F.col("__p.kind") == "page", F.col("__page")).alias("own"),
+        F.try_parse_json("__p.body").alias("doc"),
+    )
+    rows = variants.type_names(rows, "doc", where=F.col("kind") == "linked")
+    rows = variants.find_record_arrays(rows, "doc", where=F.col("kind") == "blob")
+    typed = F.when(
+        F.size("types") > 0,
+        F.array(_candidate("structured", "structured_0", "Structured metadata (schema.org)", 0.62)),
+    )
+    embedded = F.transform(
+        F.slice("arrays", 1, 3),
+        lambda a, i: _candidate(
+            "api",
+            F.concat_ws("_", F.lit("embedded"), F.col("ordinal").cast("string"), i.cast("string")),
+            a["path"],
+            F.least(F.lit(0.85), F.least(a["n"] / 60.0, F.lit(0.3)) + 0.55), a["n"],
+            F.slice(a["keys"], 1, 40),
+        ),
+    )
+    options = (
+        F.when(F.col("kind") == "page", F.col("own"))
+        .when(F.col("kind") == "linked", typed.cast(_CANDIDATE))
+        .otherwise(embedded.cast(_CANDIDATE))
+    )
+    return each(rows.withColumn("__c", options), F.col("__c"), "__j", "c").select("page_id", "c.*")
 
 
 def rank_candidates(candidates: DataFrame, preset: str = "auto") -> DataFrame:
@@ -258,14 +285,10 @@ def _fits_selector(node: Column, selector: Column) -> Column:
     return F.coalesce(fits(node, inner) & up, F.lit(False))
 
 
-def rows_from_html(dom_pages: DataFrame, selector: str | None = None,
-                   table_index: int | None = None) -> DataFrame:
-    """(page_id, source, row_idx, record): the named table, else the selector,
-    else the first table, else the best repeated group's selector re-applied."""
-    if selector and table_index is None:
-        rows = repeated.rows_by_selector(dom_pages, selector)
-        return rows.select("page_id", F.lit("selector").alias("source"),
-                           F.col("item_idx").alias("row_idx"), "record")
+def row_lists(dom_pages: DataFrame, selector: str | None = None,
+              table_index: int | None = None) -> DataFrame:
+    """Adds source and rows (array<map>): the named table, else the selector, else
+    the first table, else the best repeated group's selector re-applied."""
 
     def of_table(t):
         return F.transform(
@@ -294,15 +317,26 @@ def rows_from_html(dom_pages: DataFrame, selector: str | None = None,
             ),
         )
 
+    kept = [c for c in dom_pages.columns if c != "dom"]
+    if selector and table_index is None:
+        found = repeated.selected_items("dom", selector, "url")
+        return dom_pages.select(
+            *kept, F.lit("selector").alias("source"), F.transform(found, map_last_wins).alias("rows")
+        )
     # one step per column: an analyzer pass resolves one level of nesting
     dom_pages = dom_pages.withColumn("__tables", tables.table_array())
     chosen = sourced(F.get("__tables", F.lit(table_index or 0)), "table", of_table)
     if table_index is None:
         dom_pages = dom_pages.withColumn("__groups", repeated.group_array())
-        from_group = sourced(F.get("__groups", F.lit(0)), "repeated", of_group)
-        chosen = F.coalesce(chosen, from_group)
-    picked = dom_pages.select("page_id", F.explode(F.array(chosen)).alias("p"))
-    return each(
-        picked.select("page_id", F.col("p.source").alias("source"), F.col("p.rows").alias("rows")),
-        F.col("rows"), "row_idx", "record",
-    ).select("page_id", "source", "row_idx", "record")
+        chosen = F.coalesce(chosen, sourced(F.get("__groups", F.lit(0)), "repeated", of_group))
+    picked = dom_pages.withColumn("__p", chosen)
+    return picked.select(*kept, F.col("__p.source").alias("source"), F.col("__p.rows").alias("rows"))
+
+
+def rows_from_html(dom_pages: DataFrame, selector: str | None = None,
+                   table_index: int | None = None) -> DataFrame:
+    """(page_id, source, row_idx, record): the default rows of every page."""
+    listed = row_lists(dom_pages, selector, table_index).select("page_id", "source", "rows")
+    return each(listed, F.col("rows"), "row_idx", "record").select(
+        "page_id", "source", "row_idx", "record"
+    )

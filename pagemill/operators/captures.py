@@ -23,8 +23,9 @@ def stop_conditions(captures: DataFrame, run: str = "run_id", page: str = "page_
     slim = slim.withColumn("__nth", F.row_number().over(w)).where(
         F.col("__nth") <= fixed.HARD_MAX_PAGES
     )
-    first = slim.groupBy(run, "__digest").agg(F.min(page).alias("__first"))
-    marked = slim.join(first, [run, "__digest"])
+    # rows already sit together by run, so this window needs no exchange of its own
+    same = Window.partitionBy(run, "__digest")
+    marked = slim.withColumn("__first", F.min(page).over(same))
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     stop = (
         F.when(F.col("status") >= 400, "error")

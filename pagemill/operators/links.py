@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed, urls
-from ..functions.text import each, let, squash, strip
+from ..functions.text import each, first_per, let, strip
 from ..sources import html as H
 
 
@@ -85,16 +85,8 @@ def file_array(links: Column) -> Column:
             F.when(first["format"].isin(documents), "document").otherwise("data").alias("kind"),
         )
 
-    def first_of_each(files):
-        names = F.array_distinct(F.transform(files, lambda l: l["url"]))
-        return F.transform(
-            F.transform(names, lambda u: F.get(F.filter(files, lambda l: l["url"] == u), F.lit(0))),
-            entry,
-        )
-
-    return let(
-        F.filter(typed, lambda l: l["format"].isNotNull() & (l["format"] != "feed")), first_of_each
-    )
+    files = F.filter(typed, lambda l: l["format"].isNotNull() & (l["format"] != "feed"))
+    return F.transform(first_per(files, lambda f: f["url"]), entry)
 
 
 def file_links(dom_pages: DataFrame, dom: str = "dom") -> DataFrame:

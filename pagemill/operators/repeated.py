@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed, urls, values
-from ..functions.text import built_once, confidence, each, let, strip
+from ..functions.text import built_once, confidence, each, first_per, let, strip
 from ..sources import html as H
 
 
@@ -317,16 +317,9 @@ def best_groups(groups: Column, limit: int = fixed.MAX_REPEATED) -> Column:
             .otherwise(1)
         )
 
-    def per_selector(ordered):
-        return F.filter(
-            ordered,
-            lambda g, i: ~F.exists(
-                F.slice(ordered, F.lit(1), i), lambda o: o["selector"] == g["selector"]
-            ),
-        )
-
     scored = F.filter(F.transform(groups, score_group), lambda g: F.size(g["keep"]) > 0)
-    return F.slice(let(F.array_sort(scored, better), per_selector), 1, limit)
+    ordered = F.array_sort(scored, better)
+    return F.slice(first_per(ordered, lambda g: g["selector"]), 1, limit)
 
 
 @built_once
@@ -402,15 +395,17 @@ def matches_selector(node: Column, dom, selector: str) -> Column:
     return F.coalesce(cond, F.lit(False))
 
 
+def selected_items(dom: str, selector: str, base: str | None) -> Column:
+    """Fields of every node the selector picks: array<array<struct<key,value>>>."""
+    hits = F.filter(F.col(dom)["nodes"], lambda n: matches_selector(n, dom, selector))
+    items = F.transform(hits, lambda n: item_fields(n, dom, None if base is None else F.col(base)))
+    return F.filter(items, lambda r: F.size(r) > 0)
+
+
 def rows_by_selector(dom_pages: DataFrame, selector: str, fields: list[str] | None = None,
                      dom: str = "dom", base: str | None = "url") -> DataFrame:
     """(page_id, item_idx, record) for every node the selector picks."""
-    hits = F.filter(F.col(dom)["nodes"], lambda n: matches_selector(n, dom, selector))
-    records = F.filter(
-        F.transform(hits, lambda n: item_fields(n, dom, None if base is None else F.col(base))),
-        lambda r: F.size(r) > 0,
-    )
-    df = each(dom_pages, records, "item_idx", "f").select(
+    df = each(dom_pages, selected_items(dom, selector, base), "item_idx", "f").select(
         "page_id", "item_idx", F.map_from_entries("f").alias("record")
     )
     if fields:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, variants
@@ -34,25 +34,11 @@ def json_ld_documents(pages: DataFrame) -> DataFrame:
     )
 
 
-def json_ld_records(pages: DataFrame) -> DataFrame:
-    """(page_id, ordinal, item_idx, record): lists and @graph expanded, flattened."""
-    docs = json_ld_documents(pages)
-    items = F.coalesce(variants.as_array("doc"), F.array(F.col("doc")))
-
-    def expand(item):
-        graph = variants.as_array(variants.as_map(item)["@graph"])
-        return F.when(graph.isNotNull(), graph).otherwise(F.array(item))
-
-    flat = F.filter(F.flatten(F.transform(items, expand)), variants.is_object)
-    rows = each(docs, flat, "item_idx", "item")
-    return variants.flatten_record(rows, "item").select("page_id", "ordinal", "item_idx", "record")
-
-
-def embedded_documents(pages: DataFrame) -> DataFrame:
-    """(page_id, ordinal, name, source, doc): JSON scripts and application state."""
+def embedded_array(html: str = "html") -> Column:
+    """array<struct<name,source,body>>: JSON scripts, then application state."""
     scripts = F.transform(
         F.filter(
-            _scripts(),
+            _scripts(html),
             lambda s: (s["type"].isin(fixed.JSON_SCRIPT_TYPES) | (s["id"] == "__NEXT_DATA__"))
             & (s["body"] != ""),
         ),
@@ -67,25 +53,60 @@ def embedded_documents(pages: DataFrame) -> DataFrame:
             F.struct(
                 F.lit("app_state").alias("name"),
                 F.lit("window_state").alias("source"),
-                F.regexp_extract("html", rf"(?s)window\.{name}\s*=\s*(\{{.*?\}});", 1).alias("body"),
+                F.regexp_extract(html, rf"(?s)window\.{name}\s*=\s*(\{{.*?\}});", 1).alias("body"),
             )
             for name in fixed.STATE_NAMES
         ]
     )
-    blobs = F.concat(scripts, F.filter(states, lambda s: s["body"] != ""))
-    rows = each(pages, blobs, "ordinal", "b")
+    return F.concat(scripts, F.filter(states, lambda s: s["body"] != ""))
+
+
+def json_ld_array(html: str = "html") -> Column:
+    """array<string>: bodies of the JSON-LD scripts that parse."""
+    bodies = F.transform(
+        F.filter(_scripts(html), lambda s: s["type"] == "application/ld+json"), lambda s: s["body"]
+    )
+    return F.filter(bodies, lambda b: F.try_parse_json(b).isNotNull())
+
+
+def embedded_documents(pages: DataFrame) -> DataFrame:
+    """(page_id, ordinal, name, source, doc): JSON scripts and application state."""
+    rows = each(pages, embedded_array(), "ordinal", "b")
     return rows.select(
         "page_id", "ordinal", "b.name", "b.source", F.try_parse_json("b.body").alias("doc")
     ).where("doc is not null")
 
 
+def _ld_items(doc: str) -> Column:
+    """Objects of a JSON-LD document: lists and @graph opened."""
+    items = F.coalesce(variants.as_array(doc), F.array(F.col(doc)))
+
+    def expand(item):
+        graph = variants.as_array(variants.as_map(item)["@graph"])
+        return F.when(graph.isNotNull(), graph).otherwise(F.array(item))
+
+    return F.filter(F.flatten(F.transform(items, expand)), variants.is_object)
+
+
+def json_ld_records(pages: DataFrame) -> DataFrame:
+    """(page_id, ordinal, item_idx, record): lists and @graph expanded, flattened."""
+    rows = each(json_ld_documents(pages), _ld_items("doc"), "item_idx", "item")
+    return variants.flatten_record(rows, "item").select("page_id", "ordinal", "item_idx", "record")
+
+
+def _first_arrays(docs: DataFrame) -> DataFrame:
+    """Of every page, the first document with a record array. The rank limit runs
+    before the exchange."""
+    found = variants.find_record_arrays(docs, "doc").where(F.size("arrays") > 0)
+    w = Window.partitionBy("page_id").orderBy("ordinal")
+    first = found.withColumn("__r", F.row_number().over(w)).where("__r = 1")
+    return first.withColumn("best", F.get("arrays", F.lit(0)))
+
+
 def embedded_records(pages: DataFrame) -> DataFrame:
     """(page_id, path, item_idx, record) from the first blob of a page that holds
     a record array."""
-    docs = variants.find_record_arrays(embedded_documents(pages), "doc")
-    best = docs.where(F.size("arrays") > 0).withColumn("best", F.get("arrays", F.lit(0)))
-    ranked = best.groupBy("page_id").agg(F.min("ordinal").alias("ordinal"))
-    chosen = best.join(ranked, ["page_id", "ordinal"], "left_semi").select(
+    chosen = _first_arrays(embedded_documents(pages)).select(
         "page_id", F.col("best.path").alias("path"), F.col("best.objects").alias("objects")
     )
     rows = each(chosen, F.col("objects"), "item_idx", "item").drop("objects")
@@ -93,14 +114,35 @@ def embedded_records(pages: DataFrame) -> DataFrame:
 
 
 def structured_records(pages: DataFrame) -> DataFrame:
-    """JSON-LD records; pages without any fall back to embedded JSON."""
-    linked = json_ld_records(pages).select("page_id", F.lit("json_ld").alias("source"), "item_idx", "record")
-    other = (
-        embedded_records(pages)
-        .select("page_id", F.lit("embedded").alias("source"), "item_idx", "record")
-        .join(linked.select("page_id").distinct(), "page_id", "left_anti")
+    """JSON-LD records; pages without any fall back to embedded JSON.
+
+    The page is read once: its documents of the kind that applies become rows,
+    and every document yields its own record list.
+    """
+    linked = F.transform(
+        json_ld_array(), lambda b: F.struct(F.lit("json_ld").alias("kind"), b.alias("body"))
+    )
+    other = F.transform(
+        embedded_array(), lambda b: F.struct(F.lit("embedded").alias("kind"), b["body"].alias("body"))
+    )
+    pages = pages.withColumn("__ld", linked)
+    docs = each(
+        pages, F.when(F.size("__ld") > 0, F.col("__ld")).otherwise(other), "ordinal", "d"
+    ).select("page_id", "ordinal", "d.kind", F.try_parse_json("d.body").alias("doc")).where(
+        "doc is not null"
+    )
+    is_linked = F.col("kind") == "json_ld"
+    found = variants.find_record_arrays(docs, "doc", where=~is_linked)
+    best = F.get("arrays", F.lit(0))["objects"]
+    lists = found.withColumn(
+        "objects", F.when(is_linked, _ld_items("doc")).otherwise(best)
+    ).where(F.size("objects") > 0).drop("doc", "arrays")
+    w = Window.partitionBy("page_id", "kind").orderBy("ordinal")
+    first = lists.withColumn("__r", F.row_number().over(w)).where(is_linked | (F.col("__r") == 1))
+    rows = each(first.drop("__r"), F.col("objects"), "item_idx", "item").drop("objects")
+    return variants.flatten_record(rows, "item").select(
+        "page_id", F.col("kind").alias("source"), "item_idx", "record"
     )
-    return linked.unionByName(other)
 
 
 def structured_types(pages: DataFrame) -> DataFrame:

@@ -5,35 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import each
 from ..operators import candidates as C
 from ..operators import captures, columns
 from ..sources import html as H
 
 
 def analyze(pages: DataFrame, preset: str = "auto") -> DataFrame:
-    """pages(page_id, url, html) -> ranked candidate datasets per page. Pages whose
-    address is a file are judged by that alone."""
-    allowed = pages.where(F.col("url").isNotNull())
-    profile = C.page_profile(H.shred_html(allowed))
-    found = (
-        C.page_candidates(profile)
-        .unionByName(C.json_candidates(allowed))
-        .unionByName(C.file_candidates(allowed))
-    )
-    return C.rank_candidates(found, preset)
+    """pages(page_id, url, html) -> ranked candidate datasets per page.
+
+    One scan, one parse; the only exchange carries the finished candidates.
+    """
+    profile = C.page_profile(H.shred_html(pages))
+    return C.rank_candidates(C.all_candidates(profile), preset)
 
 
 def extract(runs: DataFrame, selector: str | None = None, table_index: int | None = None,
-            fields: list[str] | None = None) -> DataFrame:
+            fields: list[str] | None = None, max_rows: int = 500_000) -> DataFrame:
     """captures(run_id, page_no, page_id, url, status, html) -> rows of the pages
-    read before each run stops, with provenance."""
-    captured = runs.withColumn("body", F.col("html")).withColumn("n_rows", F.lit(1).cast("bigint"))
-    kept = captures.stop_conditions(captured).select("page_id", "run_id", "page_no")
-    pages = runs.join(kept, ["page_id", "run_id", "page_no"], "left_semi")
-    rows = C.rows_from_html(H.shred_html(pages), selector, table_index)
-    located = rows.join(pages.select("page_id", "run_id", "page_no", "url"), "page_id")
+    read before each run stops, with provenance.
+
+    Every page is reduced to its extracted rows and a digest of its body where it
+    is read; only those travel to the window that finds the end of each run.
+    """
+    listed = C.row_lists(H.shred_html(runs), selector, table_index)
+    pages = listed.select(
+        "run_id", "page_no", "url", "status", F.col("html").alias("body"), "source", "rows",
+        F.coalesce(F.size("rows"), F.lit(0)).cast("bigint").alias("n_rows"),
+    )
+    kept = captures.stop_conditions(pages, max_rows=max_rows)
+    whole = F.slice("rows", F.lit(1), F.col("rows_kept").cast("int"))
+    rows = each(kept, whole, "row_idx", "record")
     chosen = [F.col("record")[f].alias(f) for f in fields] if fields else [F.col("record")]
-    named = located.select(
+    named = rows.select(
         "run_id", "row_idx", *chosen, F.col("url").alias("_source_url"),
         F.col("page_no").alias("_source_page"), F.col("source").alias("_extraction_method"),
     )
