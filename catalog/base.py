@@ -29,7 +29,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def dom(spark, folder) -> DataFrame:
     """The page table, parsed."""
-    return H.shred_html(table(spark, folder, "pages"))
+    return H.shred_html(H.spread(table(spark, folder, "pages")))
 
 
 def joined(rows: DataFrame, keys: list[str], order: str, text) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed
-from .text import col, strip
+from .text import col, let, strip
 
 _MONTH = r"[A-Za-z]{3,9}"
 
@@ -47,7 +47,7 @@ def number_value(body: Column, original) -> Column:
 
 def parse_number(c) -> Column:
     """Number written with grouping, currency, percent or brackets; else null."""
-    return number_value(number_body(c), c)
+    return let(number_body(c), lambda body: number_value(body, c))
 
 
 def number_failed(c) -> Column:
@@ -86,12 +86,14 @@ DATE_FORMATS = [
 
 def parse_date(c) -> Column:
     """Timestamp of a date text in one of the declared formats, else null."""
-    text = strip(col(c))
-    tries = []
-    for pattern, fmt in DATE_FORMATS:
-        value = text.try_cast("timestamp") if fmt is None else F.try_to_timestamp(text, F.lit(fmt))
-        tries.append(F.when(text.rlike(pattern), value))
-    return F.coalesce(*tries)
+    def tried(text):
+        tries = []
+        for pattern, fmt in DATE_FORMATS:
+            value = text.try_cast("timestamp") if fmt is None else F.try_to_timestamp(text, F.lit(fmt))
+            tries.append(F.when(text.rlike(pattern), value))
+        return F.coalesce(*tries)
+
+    return let(strip(col(c)), tried)
 
 
 def looks_date(c) -> Column:

@@ -68,27 +68,29 @@ def _nothing(kind: str) -> Column:
 
 
 def _children(nodes: Column, list_items: int | None) -> Column:
-    def of(n):
-        members = F.transform(
-            F.map_entries(as_map(n["v"])),
+    def members(path, m):
+        return F.transform(
+            F.map_entries(m),
             lambda e: F.struct(
-                F.when(n["path"] == "", e["key"])
-                .otherwise(F.concat(n["path"], F.lit("."), e["key"]))
+                F.when(path == "", e["key"])
+                .otherwise(F.concat(path, F.lit("."), e["key"]))
                 .alias("path"),
                 e["value"].alias("v"),
             ),
         )
-        items = as_array(n["v"])
-        if list_items is not None:
-            items = F.slice(items, 1, list_items)
-        items = F.transform(
-            items,
+
+    def entries(path, items):
+        return F.transform(
+            items if list_items is None else F.slice(items, 1, list_items),
             lambda x, i: F.struct(
-                F.concat(n["path"], F.lit("["), i.cast("string"), F.lit("]")).alias("path"),
-                x.alias("v"),
+                F.concat(path, F.lit("["), i.cast("string"), F.lit("]")).alias("path"), x.alias("v")
             ),
         )
-        return F.coalesce(members, items, _nothing(_NODES))
+
+    def of(n):
+        return F.coalesce(
+            members(n["path"], as_map(n["v"])), entries(n["path"], as_array(n["v"])), _nothing(_NODES)
+        )
 
     return F.flatten(F.transform(nodes, of))
 
@@ -120,13 +122,16 @@ def find_record_arrays(df: DataFrame, v: str, out: str = "arrays",
     df, names = _levels(df, v, MAX_DEPTH, 3, where)
 
     def found(nodes):
+        opened = F.transform(
+            nodes, lambda n: F.struct(n["path"].alias("path"), as_array(n["v"]).alias("items"))
+        )
         lists = F.filter(
             F.transform(
-                nodes,
+                F.filter(opened, lambda n: F.size(n["items"]) >= 2),
                 lambda n: F.struct(
                     F.when(n["path"] == "", "$").otherwise(n["path"]).alias("path"),
-                    F.size(as_array(n["v"])).alias("items"),
-                    F.filter(as_array(n["v"]), is_object).alias("objects"),
+                    F.size(n["items"]).alias("items"),
+                    F.filter(n["items"], is_object).alias("objects"),
                 ),
             ),
             lambda a: (F.size(a["objects"]) >= 2) & (F.size(a["objects"]) >= a["items"] * 0.6),
@@ -216,60 +221,71 @@ def flatten_record(df: DataFrame, v: str, out: str = "record") -> DataFrame:
             lambda e: F.struct(F.concat(prefix, e["key"]).alias("name"), e["value"].alias("v")),
         )
 
-    def opens_object(e, depth):
-        return F.lit(depth < 3) & is_object(e["v"])
+    def opened(level, depth):
+        """Each entry cast once: m is set where the entry is spread further."""
+
+        def first_object(items):
+            return as_map(F.get(items, F.lit(0))) if depth < 2 else F.lit(None).cast("map<string,variant>")
 
-    def opens_list(e, depth):
-        return F.lit(depth < 2) & F.coalesce(is_object(F.get(as_array(e["v"]), F.lit(0))), F.lit(False))
+        listed = F.transform(
+            level,
+            lambda e: F.struct(
+                e["name"].alias("name"), e["v"].alias("v"), as_map(e["v"]).alias("m"),
+                as_array(e["v"]).alias("items"),
+            ),
+        )
+        return F.transform(
+            listed,
+            lambda e: F.struct(
+                F.when(e["items"].isNull(), F.concat(e["name"], F.lit(".")))
+                .otherwise(F.concat(e["name"], F.lit(".0."))).alias("prefix"),
+                e["name"].alias("name"), e["v"].alias("v"), e["items"].alias("items"),
+                (e["m"] if depth < 3 else F.lit(None).cast("map<string,variant>")).alias("own"),
+                first_object(e["items"]).alias("first"),
+            ),
+        )
 
-    def deeper(level, depth):
+    def deeper(level):
         return F.flatten(
             F.transform(
                 level,
-                lambda e: F.when(
-                    opens_object(e, depth), entries(as_map(e["v"]), F.concat(e["name"], F.lit(".")))
-                )
-                .when(
-                    opens_list(e, depth),
-                    entries(
-                        as_map(F.get(as_array(e["v"]), F.lit(0))),
-                        F.concat(e["name"], F.lit(".0.")),
-                    ),
-                )
-                .otherwise(_nothing(entry)),
+                lambda e: F.coalesce(
+                    entries(F.coalesce(e["own"], e["first"]), e["prefix"]), _nothing(entry)
+                ),
             )
         )
 
     def leaf(e):
-        items = as_array(e["v"])
-        nested = F.size(F.filter(items, lambda x: ~is_scalar(x)))
-        joined = F.array_join(
-            F.transform(F.slice(items, 1, 20), lambda x: F.coalesce(scalar_text(x), F.lit(""))),
-            ", ",
-        )
+        def joined(items):
+            texts = F.transform(
+                F.slice(items, 1, 20),
+                lambda x: F.coalesce(F.try_variant_get(x, "$", "string"), F.lit("")),
+            )
+            return F.array_join(texts, ", ")
+
+        nested = F.exists(e["items"], lambda x: ~is_scalar(x))
         return F.struct(
             e["name"].alias("name"),
-            F.when(items.isNull(), scalar_text(e["v"]))
-            .when(F.size(items) == 0, F.lit(None).cast("string"))
-            .when(nested == 0, joined)
+            F.when(e["items"].isNull(), scalar_text(e["v"]))
+            .when(F.size(e["items"]) == 0, F.lit(None).cast("string"))
+            .when(~nested, joined(e["items"]))
             .otherwise(F.substring(F.to_json(e["v"]), 1, 500))
             .alias("value"),
         )
 
-    def leaves(level, depth):
+    def leaves(level):
         return F.transform(
-            F.filter(level, lambda e: ~opens_object(e, depth) & ~opens_list(e, depth)), leaf
+            F.filter(level, lambda e: e["own"].isNull() & e["first"].isNull()), leaf
         )
 
-    names = [f"__entries{d}" for d in range(4)]
-    df = df.withColumn(
-        names[0], F.coalesce(entries(as_map(v), F.lit("")), _nothing(entry))
-    )
-    for depth in range(3):
-        df = df.withColumn(names[depth + 1], deeper(F.col(names[depth]), depth))
-    df = df.withColumn(
-        "__flat", F.concat(*[leaves(F.col(n), d) for d, n in enumerate(names)])
-    )
+    df = df.withColumn("__entries", F.coalesce(entries(as_map(v), F.lit("")), _nothing(entry)))
+    names = []
+    for depth in range(4):
+        name = f"__opened{depth}"
+        df = df.withColumn(name, opened(F.col("__entries"), depth))
+        df = df.withColumn("__entries", deeper(F.col(name)))
+        names.append(name)
+    df = df.withColumn("__flat", F.concat(*[leaves(F.col(n)) for n in names]))
     flat = F.col("__flat")
     distinct = F.array_distinct(F.transform(flat, lambda e: e["name"]))
     # a repeated name keeps its last value
@@ -282,7 +298,7 @@ def flatten_record(df: DataFrame, v: str, out: str = "record") -> DataFrame:
             ),
         )
     )
-    return df.withColumn(out, merged).drop("__flat", *names)
+    return df.withColumn(out, merged).drop("__flat", "__entries", *names)
 
 
 def describe_payload(df: DataFrame, v: str, out: str = "payload") -> DataFrame:

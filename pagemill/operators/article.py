@@ -38,14 +38,11 @@ def article_record(dom="dom", url="url") -> Column:
         return F.get(F.filter(marks, lambda n: n["tag"] == tag), F.lit(0))
 
     def text_between(start, stop):
-        pieces = F.filter(
-            F.arrays_zip(
-                F.slice(texts, start + 1, stop - start).alias("t"),
-                F.slice(zones, start + 1, stop - start).alias("z"),
-            ),
-            lambda p: p["z"] == 0,
+        kept = F.transform(
+            F.when(stop > start, F.sequence(start, stop - 1)).otherwise(F.array().cast("array<int>")),
+            lambda i: F.when(F.get(zones, i) == 0, F.get(texts, i)),
         )
-        return squash(F.array_join(F.transform(pieces, lambda p: p["t"]), ""))
+        return squash(F.array_join(kept, ""))
 
     def record(marks, metas):
         def meta(*names):

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, urls, variants
-from ..functions.text import any_marker, confidence, each, injection_phrases, let, map_last_wins
+from ..functions.text import any_marker, built_once, confidence, each, injection_phrases, let, map_last_wins
 from ..sources import html as H
 from . import links, repeated, structured, tables
 
@@ -103,6 +103,7 @@ def _candidate(kind, id_, title, score, n_rows=None, columns=None) -> Column:
     )
 
 
+@built_once
 def _page_options() -> Column:
     """Candidates that come from the parsed page (table, repeated, article, links,
     api addresses)."""

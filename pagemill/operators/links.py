@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed, urls
-from ..functions.text import each, first_per, let, strip
+from ..functions.text import built_once, each, first_per, let, strip
 from ..sources import html as H
 
 
@@ -21,6 +21,7 @@ def _absolute(pairs: Column, base: Column) -> Column:
     return F.filter(full, lambda p: urls.is_http(p["url"]))
 
 
+@built_once
 def link_array(dom: str = "dom", base: str = "url") -> Column:
     """array<struct<url,text>> of a page's links in page order."""
     pairs = F.transform(
@@ -94,6 +95,7 @@ def file_links(dom_pages: DataFrame, dom: str = "dom") -> DataFrame:
     return each(dom_pages, files, "ordinal", "f").select("page_id", "f.*")
 
 
+@built_once
 def feed_array(html="html", base="url") -> Column:
     """Feed addresses declared by <link> tags, distinct, at most ten."""
     tags = F.regexp_extract_all(F.col(html), F.lit(r"(?i)(<link[^>]+>)"), F.lit(1))
@@ -115,6 +117,7 @@ def feed_links(pages: DataFrame) -> DataFrame:
     return each(pages, feed_array(), "ordinal", "feed_url").select("page_id", "feed_url")
 
 
+@built_once
 def api_url_array(html="html", base="url") -> Column:
     """Endpoint-like URLs quoted in the page, absolute, distinct, at most 25."""
     raw = F.regexp_extract_all(F.col(html), F.lit(fixed.API_URL_IN_SCRIPT), F.lit(1))

@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed, urls, variants
-from ..functions.text import let, strip
+from ..functions.text import built_once, let, strip
 from ..sources import html as H
 
 
+@built_once
 def plan_from_html(dom: str = "dom", html: str = "html", base: str = "url") -> Column:
     """First evidence in a page: rel=next, a next link, numbered links, a
     load-more control, an infinite-scroll hint. Null without any."""

@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, variants
-from ..functions.text import each, strip
+from ..functions.text import built_once, each, strip
 
 _SCRIPT = r"(?is)(<script\b[^>]*>.*?</script\s*>)"
 
 
+@built_once
 def _scripts(html="html") -> Column:
     return F.transform(
         F.regexp_extract_all(F.col(html), F.lit(_SCRIPT), F.lit(1)),
@@ -34,6 +35,7 @@ def json_ld_documents(pages: DataFrame) -> DataFrame:
     )
 
 
+@built_once
 def embedded_array(html: str = "html") -> Column:
     """array<struct<name,source,body>>: JSON scripts, then application state."""
     scripts = F.transform(
@@ -61,6 +63,7 @@ def embedded_array(html: str = "html") -> Column:
     return F.concat(scripts, F.filter(states, lambda s: s["body"] != ""))
 
 
+@built_once
 def json_ld_array(html: str = "html") -> Column:
     """array<string>: bodies of the JSON-LD scripts that parse."""
     bodies = F.transform(

@@ -238,15 +238,29 @@ def shred_html(pages: DataFrame, html: str = "html", out: str = "dom") -> DataFr
     return pages.withColumn(out, _arrow_shredder()(F.col(html)))
 
 
+def spread(pages: DataFrame) -> DataFrame:
+    """Pages over all cores in front of the parser.
+
+    Rows move only when a scan has fewer partitions than the session has cores,
+    as with one small file; a large scan is left as it is.
+    """
+    cores = pages.sparkSession.sparkContext.defaultParallelism
+    return pages if pages.rdd.getNumPartitions() >= cores else pages.repartition(cores)
+
+
 # ---- expressions over a parsed page -----------------------------------------
 
 
 def raw_text(node: Column, dom) -> Column:
-    return F.array_join(
-        F.slice(
-            col(dom)["texts"], node["text_from"] + 1, node["text_to"] - node["text_from"]
-        ),
-        "",
+    """Text below a node as written. Pieces are picked by index: inside a lambda
+    slice() copies the whole array first, which would make a page quadratic."""
+    texts = col(dom)["texts"]
+    start, stop = node["text_from"], node["text_to"]
+    several = F.transform(F.sequence(start, stop - 1), lambda i: F.get(texts, i))
+    return (
+        F.when(stop == start + 1, F.get(texts, start))
+        .when(stop > start, F.array_join(several, ""))
+        .when(stop == start, "")
     )
 
 
@@ -261,7 +275,12 @@ def nodes_of(dom, *tags: str) -> Column:
 
 def below(node: Column, dom) -> Column:
     """Descendants of a node in document order."""
-    return F.slice(col(dom)["nodes"], node["node_id"] + 2, node["end_node"] - node["node_id"])
+    return F.transform(
+        F.when(
+            node["end_node"] > node["node_id"], F.sequence(node["node_id"] + 1, node["end_node"])
+        ).otherwise(F.array().cast("array<int>")),
+        lambda i: F.get(col(dom)["nodes"], i),
+    )
 
 
 def node_at(dom, index: Column) -> Column:
