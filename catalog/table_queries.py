@@ -444,7 +444,13 @@ def column_examples(spark, d):
 WITH {GAPPED}
 SELECT count(*) AS n_rows, 6::BIGINT AS n_columns, count(*) FILTER (WHERE event_type IS NULL) + count(*) FILTER (WHERE value IS NULL) AS missing_cells,
   round_even((count(*) FILTER (WHERE event_type IS NULL) + count(*) FILTER (WHERE value IS NULL)) * 100.0::DOUBLE / (count(*) * 6), 2) AS missing_pct,
-  'channel' AS constant_columns, 'event_id,ts' AS high_cardinality_columns,
+  'channel' AS constant_columns,
+  array_to_string(list_filter([
+    CASE WHEN count(DISTINCT event_id) > 20 THEN 'event_id' END,
+    CASE WHEN count(DISTINCT ts) > 20 AND count(DISTINCT ts) > 0.9 * count(ts) THEN 'ts' END,
+    CASE WHEN count(DISTINCT user_id) > 20 AND count(DISTINCT user_id) > 0.9 * count(user_id) THEN 'user_id' END,
+    CASE WHEN count(DISTINCT value) > 20 AND count(DISTINCT value) > 0.9 * count(value) THEN 'value' END],
+    lambda x: x IS NOT NULL), ',') AS high_cardinality_columns,
   count(*) - count(DISTINCT (user_id, event_type, value, ts)) AS duplicate_rows FROM e""")
 def profile_frame(spark, d):
     p = quality.profile_frame(gapped_events(spark, d), "event_id")
