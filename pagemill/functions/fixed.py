@@ -150,3 +150,16 @@ MIN_ITEMS = 4
 MAX_REPEATED = 6
 MAX_INTERNAL_LINKS = 2000
 HARD_MAX_PAGES = 2000
+
+# ---- fixed values: texts that appear in results -------------------------------
+CHART_REASONS = {
+    "line": "A date column combined with a numeric column reads best as a time series.",
+    "bar": "A category with a numeric measure compares well as a bar chart.",
+    "scatter": "Two numeric columns show their relationship in a scatter plot.",
+    "histogram": "A single numeric column is best understood through its distribution.",
+    "frequency": "Category-only data is summarised by frequency.",
+    "missingness": "Some values are missing; this shows where.",
+}
+PROVENANCE_NOTE = "Provenance column added by the application."
+NEW_FIELDS = "New fields appeared on later pages: "
+ABSENT_FIELDS = "Expected fields were absent on some pages: "

@@ -27,11 +27,6 @@ def authority(url) -> Column:
     return F.lower(part(url, 2))
 
 
-def hostname(url) -> Column:
-    """Host without userinfo, port and brackets."""
-    return F.regexp_extract(authority(url), r"^(?:[^@]*@)?(\[[^\]]*\]|[^:]*)", 1)
-
-
 def site(url) -> Column:
     """The host a link belongs to: authority without a leading 'www.'."""
     return F.regexp_replace(authority(url), r"^www\.", "")

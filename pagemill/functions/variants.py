@@ -8,7 +8,6 @@ once; nothing is exploded or shuffled.
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -465,7 +464,3 @@ def classify_payload(df: DataFrame, text: str, depth: int = 3) -> DataFrame:
         .otherwise("text")
     )
     return df.withColumn("kind", kind).drop("__doc", *names)
-
-
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions, F.lit(False))

@@ -9,14 +9,6 @@ from ..functions.text import each, let, page_title, squash
 from ..sources import html as H
 
 
-def page_text_by_regex(html="html") -> Column:
-    """Page text without parsing: scripts, styles, comments and tags removed."""
-    text = F.regexp_replace(
-        F.col(html), r"(?is)<(script|style|noscript)\b.*?</\1\s*>|<!--.*?-->", ""
-    )
-    return squash(F.regexp_replace(text, "<[^>]+>", " "))
-
-
 def titles(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", page_title("html").alias("title"))
 

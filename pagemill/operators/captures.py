@@ -204,11 +204,6 @@ def robots_sitemaps(robots: DataFrame) -> DataFrame:
 # ---- sitemaps and feeds --------------------------------------------------------
 
 
-def _xml_body(body: Column) -> Column:
-    """Body without declaration and doctype, as the XML functions want it."""
-    return strip(F.regexp_replace(body, r"(?is)^﻿?\s*(<\?xml.*?\?>)?\s*(<!DOCTYPE[^>]*>)?", ""))
-
-
 def _entity_text(c: Column) -> Column:
     for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"),
                        ("&amp;", "&")):

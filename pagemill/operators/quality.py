@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import values
+from ..functions import fixed, values
 from .clean import numeric_columns
 from .columns import unpivot
 from .dedupe import count_duplicates
@@ -175,7 +175,7 @@ def data_dictionary(df: DataFrame, row_id: str, fields: list[Field] = (), source
         F.lit(method).alias("extraction_method"),
         F.when(own, "source_native").otherwise(F.coalesce("spec_source", F.lit("source_native")))
         .alias("name_source"),
-        F.when(own, "Provenance column added by the application.")
+        F.when(own, fixed.PROVENANCE_NOTE)
         .otherwise(F.coalesce("spec_notes", F.lit(""))).alias("notes"),
     )
 
@@ -291,10 +291,10 @@ def drift_messages(drift: DataFrame, run: str) -> DataFrame:
             F.array_compact(
                 F.array(
                     F.when(F.size("new_columns") > 0,
-                           F.concat(F.lit("New fields appeared on later pages: "),
+                           F.concat(F.lit(fixed.NEW_FIELDS),
                                     F.array_join(F.slice("new_columns", 1, 8), ", "))),
                     F.when(F.size("missing_columns") > 0,
-                           F.concat(F.lit("Expected fields were absent on some pages: "),
+                           F.concat(F.lit(fixed.ABSENT_FIELDS),
                                     F.array_join(F.slice("missing_columns", 1, 8), ", "))),
                 )
             )

@@ -329,11 +329,6 @@ def group_array(dom: str = "dom", base: str | None = "url",
     return best_groups(repeated_array(dom, base, min_items))
 
 
-def with_groups(dom_pages: DataFrame, dom: str = "dom", base: str | None = "url",
-                min_items: int = fixed.MIN_ITEMS) -> DataFrame:
-    return dom_pages.withColumn("groups", group_array(dom, base, min_items))
-
-
 def repeated_items(dom_pages: DataFrame, **options) -> DataFrame:
     """(page_id, group_idx, selector, item_idx, record): one row per item, the
     record reduced to the kept columns."""

@@ -287,10 +287,6 @@ def node_at(dom, index: Column) -> Column:
     return F.get(col(dom)["nodes"], index)
 
 
-def first_of(nodes: Column) -> Column:
-    return F.get(nodes, F.lit(0))
-
-
 def class_list(node: Column) -> Column:
     return F.filter(F.split(node["class"], r"\s+"), lambda c: c != "")
 
