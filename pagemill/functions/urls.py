@@ -191,7 +191,7 @@ def _url_problem(url: Column) -> Column:
 
     def located(h):
         port_text = F.regexp_extract(
-            h["authority"], r"^(?:[^@]*@)?(?:\[[^\]]*\]|[^:]*):(.*)$", 1
+            h["authority"], r"^(?:[^@]*@)?(?:\[[^\]]*\]|[^:\[]*):(.*)$", 1
         )
         return F.struct(
             h["scheme"].alias("scheme"),
