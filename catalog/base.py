@@ -81,7 +81,8 @@ def sql_canonical(url: str) -> str:
     )
 
 
+# character references of the page table; a reference may lack its semicolon
 SQL_TEXT = (
-    "trim(regexp_replace(replace(replace(replace(replace({0}, '&copy;', '©'), '&middot;', '·'),"
-    " '&quot;', '\"'), '&amp;', '&'), '\\s+', ' ', 'g'))"
+    "trim(regexp_replace(regexp_replace(regexp_replace(replace(replace({0}, '&copy;', '©'),"
+    " '&middot;', '·'), '&quot;?', '\"', 'g'), '&amp;?', '&', 'g'), '\\s+', ' ', 'g'))"
 )

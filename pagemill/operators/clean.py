@@ -14,7 +14,11 @@ from .columns import data_columns, unpivot
 
 
 def text_columns(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
+    """Text columns, without the kept originals of converted cells."""
+    return [
+        f.name for f in df.schema
+        if isinstance(f.dataType, T.StringType) and not f.name.endswith("__raw")
+    ]
 
 
 def numeric_columns(df: DataFrame) -> list[str]:

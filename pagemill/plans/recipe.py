@@ -98,7 +98,7 @@ def apply_recipe(df: DataFrame, recipe: Recipe, row_id: str) -> Cleaned:
                        sum(stats[c]["failures"] for c in chosen))
     if recipe.parse_dates:
         wanted = recipe.date_columns or clean.date_candidates(out.frame, row_id)
-        wanted = [c for c in wanted if c in clean.text_columns(out.frame) and not c.endswith("__raw")]
+        wanted = [c for c in wanted if c in clean.text_columns(out.frame)]
         if wanted:
             stats = {r["column"]: r for r in clean.date_stats(out.frame, wanted).collect()}
             good = [c for c in wanted if stats[c]["parsed"] / stats[c]["cells"] >= 0.5]
@@ -114,13 +114,13 @@ def apply_recipe(df: DataFrame, recipe: Recipe, row_id: str) -> Cleaned:
                 report("Parse dates", good, sum(stats[c]["cells"] for c in good[:1]),
                        sum(stats[c]["failures"] for c in good))
     if recipe.normalize_booleans:
-        found = [c for c in clean.boolean_columns(out.frame) if not c.endswith("__raw")]
+        found = clean.boolean_columns(out.frame)
         if found:
             n = out.frame.agg(*[F.count(c).alias(c) for c in found]).first()
             out.frame = clean.normalize_booleans(out.frame, found)
             report("Normalize booleans", found, sum(n))
     if recipe.normalize_categories:
-        text_names = [c for c in clean.text_columns(out.frame) if not c.endswith("__raw")]
+        text_names = clean.text_columns(out.frame)
         if text_names:
             rows = clean.category_columns(out.frame, text_names).where("is_category").collect()
             found = sorted(r["column"] for r in rows)
