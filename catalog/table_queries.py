@@ -8,13 +8,15 @@ from pagemill.functions import text, values
 from pagemill.operators import charts, clean, columns, dedupe, evidence, mapping, quality
 from pagemill.operators.quality import Field
 from pagemill.plans import recipe as R
+from pagemill.sources.html import spread
 
 from .base import query, table
 
 
 def dirty_orders(spark, d):
     """Orders with their values written the way people write them."""
-    o = table(spark, d, "orders")
+    # a small file is one partition; the text work below is worth all cores
+    o = spread(table(spark, d, "orders"))
     k, x = F.col("o_orderkey"), F.col("o_totalprice")
     grouped = F.format_number(x, 2)
     shape = (k % 10).cast("int")

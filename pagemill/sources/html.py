@@ -239,7 +239,7 @@ def shred_html(pages: DataFrame, html: str = "html", out: str = "dom") -> DataFr
 
 
 def spread(pages: DataFrame) -> DataFrame:
-    """Pages over all cores in front of the parser.
+    """Rows over all cores in front of work that is heavy per row.
 
     Rows move only when a scan has fewer partitions than the session has cores,
     as with one small file; a large scan is left as it is.
