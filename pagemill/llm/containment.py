@@ -18,37 +18,39 @@ reported.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shingles import lower_ascii, with_windows, words
 from .storage import stored
 
-WORD = r"[^\x20\x09-\x0D]+"
 SHINGLE = 5
 PERCENT = 80
 MAX_BROADCAST_ROWS = 1_000_000  # sketch rows of three numbers each
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def words(text: str) -> Column:
-    low = F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, LOWER)
-    return F.regexp_extract_all(low, F.lit(WORD), F.lit(0))
+def _words(text: str) -> Column:
+    return words(lower_ascii(F.coalesce(F.col(text), F.lit(""))))
 
 
-def window_hashes(column: str, length: int) -> Column:
-    last = F.size(column) - (length - 1)
-    at = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.xxhash64(F.slice(column, i, length)))
+def _hashes(df: DataFrame, lengths: list[int]) -> DataFrame:
+    """df with `_set`, the distinct window hashes of `_w` of all the given lengths."""
+    for n in lengths:
+        df = with_windows(df, "_w", f"_windows{n}", n)
+    made = [f"_windows{n}" for n in lengths]
+    return df.withColumn("_set", F.array_distinct(F.concat(*made))).drop("_w", *made)
 
 
 def item_sets(items: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
-    """(item, words of its shingles, distinct hashes) of items with a word."""
-    split = items.select(F.col(key).alias("_item"), words(text).alias("_w")).where(F.size("_w") > 0)
-    whole = F.array(F.xxhash64(F.col("_w")))
-    sets = F.when(F.size("_w") < SHINGLE, whole).otherwise(F.array_distinct(window_hashes("_w", SHINGLE)))
-    return split.select("_item", F.least(F.size("_w"), F.lit(SHINGLE)).alias("_length"), sets.alias("_set")).withColumn(
-        "_q", F.size("_set")
-    )
+    """(item, number of words in a shingle, distinct hashes, their number)."""
+    split = items.select(F.col(key).alias("_item"), _words(text).alias("_w")).where(F.size("_w") > 0)
+    parts = [
+        _hashes(split.where(F.size("_w") == n if n < SHINGLE else F.size("_w") >= n), [n]).withColumn("_length", F.lit(n))
+        for n in range(1, SHINGLE + 1)
+    ]
+    return reduce(DataFrame.unionAll, parts).select("_item", "_length", "_set", F.size("_set").alias("_q"))
 
 
 def contained_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text",
@@ -68,8 +70,7 @@ def contained_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text
     rows = sketch.select("_item", "_q", F.explode("_sketch").alias("_h"))
     if sum(r["n"] for r in parts) <= MAX_BROADCAST_ROWS:
         rows = F.broadcast(rows)
-    split = docs.select(F.col(key).alias("_id"), F.xxhash64(text).alias("_t"), words(text).alias("_w"))
-    made = split.select("_id", "_t", F.array_distinct(F.concat(*[window_hashes("_w", n) for n in lengths])).alias("_set"))
+    made = _hashes(docs.select(F.col(key).alias("_id"), F.xxhash64(text).alias("_t"), _words(text).alias("_w")), lengths)
     bound = F.greatest(
         F.lit(-(2**63)).cast("bigint"),
         *[F.when(F.size("_set") * 100 >= r["q"] * PERCENT, F.lit(r["top"])) for r in parts],
@@ -88,9 +89,8 @@ def verified(docs, candidates, sets, lengths, key, text, item_key) -> DataFrame:
     """Pairs whose intersection, counted on the whole sets, is large enough."""
     texts = docs.select(F.col(key).alias("_k"), F.xxhash64(text).alias("_h"), F.col(text).alias("_text"))
     joined = candidates.join(texts, F.col("_id").eqNullSafe(F.col("_k")) & (F.col("_t") == F.col("_h")))
-    made = joined.select("_k", "_items", words("_text").alias("_w")).select(
-        "_k", F.explode("_items").alias("_item"),
-        F.concat(*[window_hashes("_w", n) for n in lengths]).alias("_doc"),
+    made = _hashes(joined.select("_k", "_items", _words("_text").alias("_w")), lengths).select(
+        "_k", F.explode("_items").alias("_item"), F.col("_set").alias("_doc")
     )
     pairs = made.join(sets.select("_item", "_set", "_q"), "_item")
     shared = F.size(F.array_intersect("_set", "_doc"))

@@ -23,10 +23,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shingles import WORD, with_windows, words
 from .storage import stored
 
-WORD = r"[^\x20\x09-\x0D]+"
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
 STEPS = 200  # cutoffs of a rule: multiples of 1/200 of its scale
 MAX_BROADCAST_STRATA = 10_000
 
@@ -63,24 +63,21 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     body = F.coalesce(F.col(text), F.lit(""))
     split = docs.select(
         *kept,
-        F.regexp_extract_all(body, F.lit(WORD), F.lit(0)).alias("_words"),
+        words(body).alias("_words"),
         F.filter(F.split(body, "\n"), lambda x: x.rlike(WORD)).alias("_lines"),
-        (F.length(body) - F.length(F.translate(body, SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
+        (F.length(body) - F.length(F.regexp_replace(body, SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
         F.regexp_count(body, F.lit("[A-Z]")).cast("bigint").alias("n_capitals"),
         F.length(F.regexp_replace(body, r"[\x20\x09-\x0D]+", "")).cast("bigint").alias("word_chars"),
     )
-    n = F.size("_words")
-    starts = F.when(n >= 5, F.sequence(F.lit(1), n - 4)).otherwise(F.array().cast("array<int>"))
-    counted = split.select(
-        *kept, "n_symbols", "n_capitals", "word_chars",
-        n.cast("bigint").alias("n_words"),
-        (n - F.size(F.array_distinct("_words"))).cast("bigint").alias("n_not_distinct"),
+    counted = with_windows(split, "_words", "_windows").select(
+        *kept, "n_symbols", "n_capitals", "word_chars", "_windows",
+        F.size("_words").cast("bigint").alias("n_words"),
+        (F.size("_words") - F.size(F.array_distinct("_words"))).cast("bigint").alias("n_not_distinct"),
         F.size("_lines").cast("bigint").alias("n_lines"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint").alias("n_dup_lines"),
-        F.transform(starts, lambda i: F.xxhash64(F.slice("_words", i, 5))).alias("_windows"),
     )
     # positions of windows met twice, by sorting (hash, position); most texts have none
-    pairs = F.array_sort(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    pairs = F.sort_array(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     ordered = counted.withColumn(
         "_pairs", F.when(F.size(F.array_distinct("_windows")) < F.size("_windows"), pairs)
     ).drop("_windows")
@@ -93,7 +90,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
             F.lit(False),
         ),
     )
-    placed = ordered.withColumn("_at", F.array_sort(F.transform(twice, lambda x: x["i"]))).drop("_pairs")
+    placed = ordered.withColumn("_at", F.sort_array(F.transform(twice, lambda x: x["i"]))).drop("_pairs")
     # a window covers five words, or up to where the next one begins
     covered = F.aggregate(
         F.transform("_at", lambda p, k: F.least(F.coalesce(F.get("_at", k + 1) - p, F.lit(5)), F.lit(5))),
