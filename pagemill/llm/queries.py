@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import containment, line_windows, quality_rules
+from . import containment, line_windows, partenum, quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -159,3 +159,33 @@ contained AS (
 def op8_benchmark_containment(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return containment.contained_items(docs, table(spark, folder, "benchmark"))
+
+
+# --- 4: n-gram Jaccard join
+
+SQL_SIMILAR = r"""
+gram_words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM {docs}),
+grams AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE [array_to_string(w[j:j + 4], ' ') for j in range(1, len(w) - 3)] END) AS s FROM gram_words),
+gram_sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY 1),
+gram_links AS (
+  SELECT a, b FROM (
+    SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM grams x JOIN grams y USING (s)
+    WHERE x.doc_id <> y.doc_id GROUP BY ALL)
+  JOIN gram_sizes p ON p.doc_id = a JOIN gram_sizes q ON q.doc_id = b WHERE 100 * i >= 80 * (p.n + q.n - i)),
+gram_reach AS (
+  SELECT doc_id, doc_id AS r FROM gram_words UNION SELECT g.doc_id, l.b FROM gram_reach g JOIN gram_links l ON l.a = g.r),
+gram_class AS (SELECT doc_id, min(r) AS component_id FROM gram_reach GROUP BY 1)
+"""
+
+
+@query(
+    "op4_partenum_join",
+    "WITH RECURSIVE " + SQL_SIMILAR.replace("{docs}", "documents") + """
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM gram_class LEFT JOIN gram_sizes USING (doc_id)""",
+)
+def op4_partenum_join(spark: SparkSession, folder: str) -> DataFrame:
+    return partenum.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
