@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import containment, line_windows, partenum, quality_rules
+from . import containment, huffman, line_windows, packing, partenum, quality_rules
+from .storage import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -23,6 +24,13 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def tokenizer(name: str) -> str:
+    """Path of a public tokenizer file, the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -189,3 +197,23 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM gram_class LEFT J
 )
 def op4_partenum_join(spark: SparkSession, folder: str) -> DataFrame:
     return partenum.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+# --- 9: best-fit packing; tokenizers are beyond SQL
+
+
+@query("op9_best_fit_packing")
+def op9_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    made = stored(packing.pieces(docs, tokenizer("byte_bpe_50k.json")), "pieces")
+    return packing.pack(made)
+
+
+# --- 2: Huffman-coded token ids
+
+
+@query("op2_huffman_ids")
+def op2_huffman_ids(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    rows = huffman.round_trip(docs, tokenizer("word_bpe_49k.json"))
+    return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
