@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import containment, huffman, line_windows, packing, partenum, quality_rules
+from . import containment, huffman, line_windows, packing, partenum, quality_rules, shuffling, url_lists
 from .storage import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -217,3 +217,74 @@ def op2_huffman_ids(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     rows = huffman.round_trip(docs, tokenizer("word_bpe_49k.json"))
     return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+# --- 5: sharding; the permutation is the operator's own
+
+
+@query("op5_external_shuffle")
+def op5_external_shuffle(spark: SparkSession, folder: str) -> DataFrame:
+    rows = shuffling.shuffled(table(spark, folder, "documents"))
+    return rows.select(
+        "doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("bigint").alias("size"),
+        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"),
+        F.col("shard").cast("int"), F.col("slot").cast("bigint"), F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+# --- 10: URL filters
+
+SQL_URL_LISTS = r"""
+cap AS (
+  SELECT page_id, url, TIMESTAMP '2024-01-01' + to_minutes((page_id * 7919) % 43200) AS fetched_at,
+    lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*)', 1)) AS host,
+    list_filter(string_split(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/'), lambda s: s <> '') AS path
+  FROM pages),
+changes AS (
+  SELECT event_id AS entry_id, event_type AS list, event_type = 'signup' AS allow, event_id % 5 < 3 AS added, ts AS moment,
+    CASE event_id % 3 WHEN 0 THEN host WHEN 1 THEN CASE WHEN host LIKE '%.%.%' THEN regexp_replace(host, '^[^.]*\.', '') ELSE host END
+      ELSE host || '/' || path[1] END AS key
+  FROM events JOIN cap ON page_id = user_id),
+latest AS (
+  SELECT list, key, moment, arg_max(added, entry_id) AS added, arg_max(allow, entry_id) AS allow FROM changes GROUP BY ALL),
+valid AS (
+  SELECT *, lead(moment) OVER (PARTITION BY list, key ORDER BY moment) AS until FROM latest),
+labelled AS (SELECT *, string_split(host, '.') AS ls FROM cap),
+suffix AS (SELECT page_id, fetched_at, path, unnest([array_to_string(ls[k:], '.') for k in range(1, len(ls) + 1)]) AS s FROM labelled),
+keyed AS (
+  SELECT page_id, fetched_at, s || CASE WHEN k = 0 THEN '' ELSE '/' || array_to_string(path[1:k], '/') END AS key
+  FROM (SELECT *, unnest(range(0, len(path) + 1)) AS k FROM suffix)),
+active AS (
+  SELECT k.page_id, v.* FROM keyed k JOIN valid v USING (key)
+  WHERE v.added AND v.moment <= k.fetched_at AND (v.until IS NULL OR k.fetched_at < v.until)),
+decided AS (
+  SELECT page_id, count(*) AS n_active, arg_max({'l': list, 'k': key, 'a': allow, 's': moment}, (length(key), allow, list)) AS d
+  FROM active GROUP BY 1)
+SELECT c.page_id, c.url, fetched_at, coalesce(NOT d.a, FALSE) AS blocked, coalesce(n_active, 0) AS n_active,
+  d.l AS decided_by, d.k AS pattern, d.s AS since
+FROM cap c LEFT JOIN decided USING (page_id)
+"""
+
+
+@query("op10_url_lists", "WITH " + SQL_URL_LISTS)
+def op10_url_lists(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page is a capture, fetched at a minute that its id gives; every event is a
+    change of a list (its type) about the page whose id is the event's user."""
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    captures = pages.withColumn(
+        "fetched_at", F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(page_id * 7919 % 43200 as int))")
+    )
+    about = pages.select(
+        F.col("page_id").alias("user_id"), url_lists.host("url").alias("h"),
+        F.get(url_lists.segments(F.regexp_extract("url", url_lists.PATH, 1)), F.lit(0)).alias("s"),
+    )
+    events = table(spark, folder, "events")
+    parent = F.when(F.col("h").like("%.%.%"), F.regexp_replace("h", r"^[^.]*\.", "")).otherwise(F.col("h"))
+    kind = F.col("event_id") % 3
+    entries = events.join(about, "user_id").select(
+        F.col("event_id").alias("entry_id"), F.col("event_type").alias("list"),
+        (F.col("event_type") == "signup").alias("allow"),
+        F.when(kind == 0, F.col("h")).when(kind == 1, parent).otherwise(F.concat("h", F.lit("/"), "s")).alias("pattern"),
+        (F.col("event_id") % 5 < 3).alias("added"), F.col("ts").cast("timestamp_ntz").alias("at"),
+    )
+    return url_lists.evaluate(captures, entries)
