@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import containment, huffman, line_windows, packing, partenum, quality_rules, shuffling, url_lists
+from . import containment, huffman, line_windows, packing, partenum, quality_rules, shuffling, suffix_tree, url_lists
 from .storage import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -288,3 +288,11 @@ def op10_url_lists(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("event_id") % 5 < 3).alias("added"), F.col("ts").cast("timestamp_ntz").alias("at"),
     )
     return url_lists.evaluate(captures, entries)
+
+
+# --- 1: probabilistic suffix tree; the model is beyond SQL
+
+
+@query("op1_suffix_tree")
+def op1_suffix_tree(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_tree.score(table(spark, folder, "documents").select("doc_id", "text"))
