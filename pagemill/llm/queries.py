@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import containment, huffman, line_windows, packing, partenum, quality_rules, shuffling, suffix_tree, url_lists
+from . import containment, host_suffixes, huffman, line_windows, packing, partenum, quality_rules, shuffling, suffix_tree, url_lists
 from .storage import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -296,3 +296,23 @@ def op10_url_lists(spark: SparkSession, folder: str) -> DataFrame:
 @query("op1_suffix_tree")
 def op1_suffix_tree(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_tree.score(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+# --- 6: HTML extraction
+
+
+@query(
+    "op6_host_suffixes",
+    r"""
+WITH inner_html AS (
+  SELECT page_id, url, regexp_extract(html, '<article>(.*)</article>', 1, 's') AS h FROM pages),
+bare AS (
+  SELECT page_id, url, regexp_replace(regexp_replace(h, '</?(h1|p|br)>', ' ', 'g'), '</?b>', '', 'g') AS h FROM inner_html),
+plain AS (
+  SELECT page_id, url, trim(regexp_replace(regexp_replace(regexp_replace(h, '&quot;?', '"', 'g'), '&amp;?', '&', 'g'),
+    '\s+', ' ', 'g')) AS text FROM bare)
+SELECT page_id, url, text, length(text) AS n_chars FROM plain""".replace("\\s", "\s"),
+)
+def op6_host_suffixes(spark: SparkSession, folder: str) -> DataFrame:
+    texts = host_suffixes.extract(table(spark, folder, "pages"))
+    return texts.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
