@@ -311,7 +311,7 @@ bare AS (
 plain AS (
   SELECT page_id, url, trim(regexp_replace(regexp_replace(regexp_replace(h, '&quot;?', '"', 'g'), '&amp;?', '&', 'g'),
     '\s+', ' ', 'g')) AS text FROM bare)
-SELECT page_id, url, text, length(text) AS n_chars FROM plain""".replace("\\s", "\s"),
+SELECT page_id, url, text, length(text) AS n_chars FROM plain""",
 )
 def op6_host_suffixes(spark: SparkSession, folder: str) -> DataFrame:
     texts = host_suffixes.extract(table(spark, folder, "pages"))
