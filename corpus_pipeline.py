@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import containment, line_windows, quality_rules
+from pagemill.llm import containment, line_windows, packing, partenum, quality_rules
+from pagemill.llm.queries import tokenizer
 from pagemill.llm.storage import stored
 
 
@@ -29,14 +30,36 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.where(left).withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, that of the smallest id."""
+    found = partenum.near_duplicates(docs.select("doc_id", "text")).where("NOT is_first")
+    gone = stored(found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "gone")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
+    return docs.join(gone, same, "left_anti")
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no benchmark item."""
     found = containment.contained_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(found.select(F.col("doc_id").alias("_found")), F.col("doc_id") == F.col("_found"), "left_anti")
+    gone = stored(found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "gone")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
+    return docs.join(gone, same, "left_anti")
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents with their places in sequences of 1024 tokens."""
+    return packing.pack(stored(packing.pieces(docs, tokenizer("byte_bpe_50k.json")), "pieces"))
 
 
-STAGES = [("quality rules", quality), ("line dedup", line_dedup), ("decontamination", decontaminate)]
+STAGES = [
+    ("quality rules", quality),
+    ("line dedup", line_dedup),
+    ("n-gram jaccard join", near_duplicates),
+    ("benchmark decontamination", decontaminate),
+    ("best-fit packing", pack),
+]
 
+# tokenizers are beyond SQL; tests/llm holds a brute-force version of all stages
 ORACLE_SQL = None
 
 

@@ -55,7 +55,8 @@ def item_sets(items: DataFrame, key: str = "item_id", text: str = "text") -> Dat
 
 def contained_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text",
                     item_key: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(doc id, item id, n_item_shingles, n_shared): one row per pair."""
+    """(doc id, item id, n_item_shingles, n_shared, text_hash): one row per pair.
+    `text_hash` is xxhash64 of the document's text, for tables that repeat ids."""
     sets = stored(item_sets(items, item_key, item_text), "item-sets")
     allowed = F.floor(F.col("_q") * (100 - PERCENT) / 100).cast("int")
     sketch = sets.select(
@@ -89,12 +90,12 @@ def verified(docs, candidates, sets, lengths, key, text, item_key) -> DataFrame:
     """Pairs whose intersection, counted on the whole sets, is large enough."""
     texts = docs.select(F.col(key).alias("_k"), F.xxhash64(text).alias("_h"), F.col(text).alias("_text"))
     joined = candidates.join(texts, F.col("_id").eqNullSafe(F.col("_k")) & (F.col("_t") == F.col("_h")))
-    made = _hashes(joined.select("_k", "_items", _words("_text").alias("_w")), lengths).select(
-        "_k", F.explode("_items").alias("_item"), F.col("_set").alias("_doc")
+    made = _hashes(joined.select("_k", "_h", "_items", _words("_text").alias("_w")), lengths).select(
+        "_k", "_h", F.explode("_items").alias("_item"), F.col("_set").alias("_doc")
     )
     pairs = made.join(sets.select("_item", "_set", "_q"), "_item")
     shared = F.size(F.array_intersect("_set", "_doc"))
     return pairs.select(
         F.col("_k").alias(key), F.col("_item").alias(item_key), F.col("_q").cast("bigint").alias("n_item_shingles"),
-        shared.cast("bigint").alias("n_shared"),
+        shared.cast("bigint").alias("n_shared"), F.col("_h").alias("text_hash"),
     ).where(F.col("n_shared") * 100 >= F.col("n_item_shingles") * PERCENT)

@@ -87,7 +87,7 @@ def node_of(elements: np.ndarray) -> int:
 
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, n, node) of every text, and (null, count, shingle) of shingles that are
+    """(id, hash of the text, n, node) of every text, and (null, null, count, shingle) of shingles that are
     common in the task: counts of those met twice in a slice, the rarest dropped
     when there are too many. They only set an order, so they need not be exact."""
     found, rows = np.zeros(0, U), 0
@@ -107,14 +107,14 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 both, total = both[top], total[top]
             found, counts = both, total
 
-    def batch(ids, ns, nodes, kind):
+    def batch(ids, texts, ns, nodes, kind):
         return pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()),
-             pa.array(np.full(len(ns), kind, np.int8), pa.int8())], ["id", "n", "node", "kind"])
+            [ids, texts, pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()),
+             pa.array(np.full(len(ns), kind, np.int8), pa.int8())], ["id", "h", "n", "node", "kind"])
 
     for b in batches:
         ns, nodes, held = [], [], 0
-        for s in hashing.shingle_sets(b.column(1), SHINGLE):
+        for s in hashing.shingle_sets(b.column(2), SHINGLE):
             ns.append(len(s))
             nodes.append(node_of(s))
             waiting.append(s)
@@ -124,9 +124,10 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held = 0
         fold()
         rows += len(ns)
-        yield batch(b.column(0).cast(pa.int64()), ns, nodes, 0)
+        yield batch(b.column(0), b.column(1), ns, nodes, 0)
     keep = counts >= max(8, rows // COMMON_SHARE)
-    yield batch(pa.nulls(int(keep.sum()), pa.int64()), counts[keep], found[keep].astype(I), 1)
+    none = pa.nulls(int(keep.sum()), pa.int64())
+    yield batch(none, none, counts[keep], found[keep].astype(I), 1)
 
 
 def _signed(common: np.ndarray):
@@ -196,27 +197,32 @@ def _node_sets(nodes: DataFrame, described: DataFrame, base: DataFrame) -> DataF
 
 
 def _result(described: DataFrame, label: DataFrame, key: str) -> DataFrame:
-    own = described.where("n > 0").groupBy("node").agg(F.min("id").alias("low"))
+    own = described.where("n > 0").groupBy("node").agg(F.min("id").alias("low"), F.min(F.struct("id", "h")).alias("first"))
     named = own.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    lowest = named.groupBy("component").agg(F.min("low").alias("component_id"))
-    table = named.join(lowest, "component").select("node", "component_id")
-    out = described.join(table, "node", "left")
-    return out.select(
+    lowest = named.groupBy("component").agg(F.min("low").alias("component_id"), F.min("first").alias("first"))
+    table = named.select("node", "component").join(lowest, "component").drop("component")
+    return described.join(table, "node", "left").select(
         F.col("id").alias(key), F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
+        F.col("h").alias("text_hash"),
+        ((F.col("n") == 0) | F.struct("id", "h").eqNullSafe(F.col("first"))).alias("is_first"),
     )
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_shingles, component_id): one row per row of docs."""
+    """(key, n_shingles, component_id, text_hash, is_first): one row per row of docs.
+    `text_hash` is Spark's xxhash64 of the text. `is_first` holds for one document of
+    each component, that of the smallest id, and for texts without words. Rows with
+    equal id and text are one document."""
     spark = docs.sparkSession
     base = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
-    raw = base.mapInArrow(_described, "id bigint, n bigint, node bigint, kind tinyint")
+    hashed = base.select("id", F.xxhash64("text").alias("h"), "text")
+    raw = hashed.mapInArrow(_described, "id bigint, h bigint, n bigint, node bigint, kind tinyint")
     raw = stored(raw, "partenum-texts")
     common = raw.where("kind = 1").groupBy("node").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "node").limit(COMMON_KEPT)
     common = np.sort(np.array([r[0] for r in common.select("node").collect()], I).astype(U))
     shared = spark.sparkContext.broadcast(common)  # at most COMMON_KEPT numbers
-    described = raw.where("kind = 0").select("id", "n", "node")
+    described = raw.where("kind = 0").select("id", "h", "n", "node")
 
     def signed(batches):
         return _signed(shared.value)(batches)

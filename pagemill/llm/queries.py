@@ -166,7 +166,8 @@ contained AS (
 )
 def op8_benchmark_containment(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    return containment.contained_items(docs, table(spark, folder, "benchmark"))
+    pairs = containment.contained_items(docs, table(spark, folder, "benchmark"))
+    return pairs.select("doc_id", "item_id", "n_item_shingles", "n_shared")
 
 
 # --- 4: n-gram Jaccard join
@@ -196,7 +197,8 @@ gram_class AS (SELECT doc_id, min(r) AS component_id FROM gram_reach GROUP BY 1)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM gram_class LEFT JOIN gram_sizes USING (doc_id)""",
 )
 def op4_partenum_join(spark: SparkSession, folder: str) -> DataFrame:
-    return partenum.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
+    rows = partenum.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_shingles", "component_id")
 
 
 # --- 9: best-fit packing; tokenizers are beyond SQL
