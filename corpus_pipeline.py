@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pagemill.llm import containment, line_windows, packing, partenum, quality_rules
 from pagemill.llm.queries import tokenizer
-from pagemill.llm.storage import stored
+from pagemill.llm.storage import stored, unused
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,20 +30,24 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.where(left).withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
 
 
+def without(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """docs less the (doc_id, text_hash) found."""
+    key, digest = unused(docs.columns, "_id", "_hash")
+    gone = stored(found.select(F.col("doc_id").alias(key), F.col("text_hash").alias(digest)).distinct(), "gone")
+    same = F.col("doc_id").eqNullSafe(F.col(key)) & (F.xxhash64("text") == F.col(digest))
+    return docs.join(gone, same, "left_anti")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, that of the smallest id."""
     found = partenum.near_duplicates(docs.select("doc_id", "text")).where("NOT is_first")
-    gone = stored(found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "gone")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
-    return docs.join(gone, same, "left_anti")
+    return without(docs, found)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no benchmark item."""
     found = containment.contained_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    gone = stored(found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "gone")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
-    return docs.join(gone, same, "left_anti")
+    return without(docs, found)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,15 +13,15 @@ document and lose the same lines. A null id sorts first.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 3
 HAS_WORD = r"[^\x20\x09-\x0D]"
 
 
-def _lines(text: str):
-    return F.split(F.coalesce(F.col(text), F.lit("")), "\n")
+def _lines(text: Column) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
 def windows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -38,7 +38,7 @@ def windows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
         made, lambda x: F.struct(x["at"].alias("at"), F.xxhash64(x["w"]).alias("a"), F.xxhash64(F.lit(1), x["w"]).alias("b"))
     )
     return (
-        docs.select(F.col(key).alias("_id"), F.xxhash64(text).alias("_t"), _lines(text).alias("_lines"))
+        docs.select(F.col(key).alias("_id"), F.xxhash64(text).alias("_t"), _lines(F.col(text)).alias("_lines"))
         .select("_id", "_t", F.explode(hashed).alias("w"))
         .select("_id", "_t", "w.at", "w.a", "w.b")
     )
@@ -59,15 +59,18 @@ def drop_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text"
     gone). Columns of docs with these names are replaced."""
     at = covered(docs, key, text)
     base = docs.drop("n_lines", "n_removed")
-    keep = [F.col(f"`{c}`") for c in base.columns]
-    joined = base.withColumn("_hash", F.xxhash64(text)).join(
-        at, F.col(key).eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_t")), "left"
+    # the row travels as one value, so none of its columns can clash with ours
+    whole = base.select(
+        F.struct(*[F.col(f"`{c}`") for c in base.columns]).alias("row"), F.col(key).alias("_key"),
+        F.xxhash64(text).alias("_hash"),
     )
+    joined = whole.join(at, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_t")), "left")
+    body = F.col("row")[text]
     # runs of covered lines, and the slices between them
     begins = F.filter("_at", lambda p, k: F.coalesce(p - F.get("_at", k - 1) > WINDOW, F.lit(True)))
     ends = F.filter("_at", lambda p, k: F.coalesce(F.get("_at", k + 1) - p > WINDOW, F.lit(True)))
     runs = joined.select(
-        *keep, _lines(text).alias("_lines"), begins.alias("_begin"),
+        "row", _lines(body).alias("_lines"), begins.alias("_begin"),
         F.transform(ends, lambda p: p + (WINDOW - 1)).alias("_end"),
     )
     count = F.size("_lines")
@@ -80,9 +83,9 @@ def drop_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text"
     )
     left = F.flatten(F.transform(slices, lambda s: F.slice("_lines", s["from"], s["n"])))
     cut = runs.withColumn("_left", F.when(F.col("_begin").isNotNull(), left))
-    final = F.when(F.col("_left").isNotNull(), F.array_join("_left", "\n")).otherwise(F.col(text))
+    final = F.when(F.col("_left").isNotNull(), F.array_join("_left", "\n")).otherwise(body)
     return cut.select(
-        *[final.alias(c) if c == text else F.col(f"`{c}`") for c in base.columns],
-        F.when(F.col(text).isNull(), 0).otherwise(count).cast("bigint").alias("n_lines"),
+        *[final.alias(c) if c == text else F.col("row")[c].alias(c) for c in base.columns],
+        F.when(body.isNull(), 0).otherwise(count).cast("bigint").alias("n_lines"),
         F.coalesce(count - F.size("_left"), F.lit(0)).cast("bigint").alias("n_removed"),
     )

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shingles import WORD, with_windows, words
-from .storage import stored
+from .storage import stored, unused
 
 SYMBOLS = "[#*$%&|<>]"
 STEPS = 200  # cutoffs of a rule: multiples of 1/200 of its scale
@@ -59,7 +59,9 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_capitals", "n_lines", "n_du
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """(all columns of docs but those named here, then MEASURES and base_failed)."""
     added = [*MEASURES, "base_failed"]
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in added]
+    names = [c for c in docs.columns if c not in added]
+    # the row travels as one value, so none of its columns can clash with ours
+    kept = [F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")]
     body = F.coalesce(F.col(text), F.lit(""))
     split = docs.select(
         *kept,
@@ -70,7 +72,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         F.length(F.regexp_replace(body, r"[\x20\x09-\x0D]+", "")).cast("bigint").alias("word_chars"),
     )
     counted = with_windows(split, "_words", "_windows").select(
-        *kept, "n_symbols", "n_capitals", "word_chars", "_windows",
+        "row", "n_symbols", "n_capitals", "word_chars", "_windows",
         F.size("_words").cast("bigint").alias("n_words"),
         (F.size("_words") - F.size(F.array_distinct("_words"))).cast("bigint").alias("n_not_distinct"),
         F.size("_lines").cast("bigint").alias("n_lines"),
@@ -99,7 +101,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     )
     out = placed.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("bigint")).drop("_at")
     failed = (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)
-    return out.select(*kept, *MEASURES, failed.alias("base_failed"))
+    return out.select(*[F.col("row")[c].alias(c) for c in names], *MEASURES, failed.alias("base_failed"))
 
 
 def ln_factorial(n: Column) -> Column:
@@ -169,14 +171,14 @@ def learn(measured: DataFrame, labels: DataFrame, stratum: str, key: str = "doc_
 
 def judge(measured: DataFrame, cutoffs: DataFrame, stratum: str, rules=RULES) -> DataFrame:
     """Measured rows with `rejected_by` (names of the rules, in their order) and `kept`."""
-    per = cutoffs.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("_cutoffs"))
-    per = per.withColumnRenamed("stratum", "_stratum")
+    own, given, values = unused(measured.columns, "_own", "_given", "_cutoffs")
+    per = cutoffs.groupBy(F.col("stratum").alias(given)).agg(
+        F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias(values)
+    )
     if per.count() <= MAX_BROADCAST_STRATA:  # one row of at most len(rules) numbers each
         per = F.broadcast(per)
-    keyed = measured.withColumn("_s", F.coalesce(F.col(stratum).cast("string"), F.lit("")))
-    joined = keyed.join(per, F.col("_s") == F.col("_stratum"), "left")
-    hit = [F.when(r.bin() >= F.try_element_at("_cutoffs", F.lit(r.name)), F.lit(r.name)) for r in rules]
+    base = measured.drop("rejected_by", "kept").withColumn(own, F.coalesce(F.col(stratum).cast("string"), F.lit("")))
+    joined = base.join(per, F.col(own) == F.col(given), "left")
+    hit = [F.when(r.bin() >= F.try_element_at(values, F.lit(r.name)), F.lit(r.name)) for r in rules]
     out = joined.withColumn("rejected_by", F.array_compact(F.array(*hit)))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0)).drop(
-        "_s", "_stratum", "_cutoffs"
-    )
+    return out.withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0)).drop(own, given, values)

@@ -8,7 +8,8 @@ it is cut into `shards` consecutive stretches.
 
 Law `rows`: the numbers of rows of any two shards differ by at most one. Slots count
 from 0 in each shard without gaps. Null texts have size 1; a null key is a key like
-any other. Rows with equal key and text fall in one bucket in any order. An empty
+any other. A source whose rows differ from one read to the next (a limit without an
+order) is refused when it shows. Rows with equal key and text fall in one bucket in any order. An empty
 table gives no rows.
 """
 
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import shared_folder
+from .storage import shared_folder, unused
 
 BUCKET_BYTES = 8 << 20
 
@@ -40,11 +41,15 @@ def shuffle_to_shards(docs: DataFrame, path: str, shards: int = 16, seed: int =
     sums = sums.select("_block", F.coalesce(F.sum("_s").over(order), F.lit(0)).alias("_before"),
                        F.sum("_s").over(Window.partitionBy()).alias("_total"))
     bases = blocked.join(sums, "_block").select(
-        "_bucket", (F.col("_before") + F.coalesce(F.sum("_n").over(block), F.lit(0))).alias("_base"), "_total"
+        "_bucket", (F.col("_before") + F.coalesce(F.sum("_n").over(block), F.lit(0))).alias("_base"), "_n", "_total"
     )
     # first pass: the shuffle on the bucket; second pass: one array of one bucket's rows
-    rows = base.select(bucket, F.struct(F.xxhash64(F.col(key), F.lit(seed)).alias("_o"), *[F.col(f"`{c}`") for c in base.columns]).alias("_row"))
-    filled = rows.groupBy("_bucket").agg(F.collect_list("_row").alias("_rows")).join(bases, "_bucket")
+    (order_of,) = unused(base.columns, "_order")
+    rows = base.select(bucket, F.struct(F.xxhash64(F.col(key), F.lit(seed)).alias(order_of), *[F.col(f"`{c}`") for c in base.columns]).alias("_row"))
+    filled = rows.groupBy("_bucket").agg(F.collect_list("_row").alias("_rows")).join(bases, "_bucket", "left")
+    # the table is read for the counts and again for the rows; they must agree
+    moved = F.raise_error(F.lit("the table changed between two reads")).cast("bigint")
+    filled = filled.withColumn("_base", F.when(F.size("_rows") == F.col("_n"), F.col("_base")).otherwise(moved))
     mixed = filled.select("_base", "_total", F.shuffle(F.array_sort("_rows"), F.lit(seed)).alias("_rows"))
     placed = mixed.select("_base", "_total", F.posexplode("_rows").alias("_pos", "_row"))
     placed = placed.withColumn("_place", F.col("_base") + F.col("_pos")).withColumn(

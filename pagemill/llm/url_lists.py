@@ -24,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import unused
+
 BUCKET_SECONDS = 6 * 3600
 HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*)"
 PATH = r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)"
@@ -111,10 +113,12 @@ def evaluate(captures: DataFrame, entries: DataFrame, url: str = "url", time: st
     )
     first = F.max(F.struct(F.length("key").alias("n"), "allow", "list", "key", "since")).alias("d")
     judged = met.groupBy("_url", "_time").agg(F.count("*").alias("_n"), first)
-    same = F.col(url).eqNullSafe(F.col("_url")) & F.col(time).eqNullSafe(F.col("_time"))
+    link, moment, n, d = unused(base.columns, "_url", "_time", "_n", "_d")
+    judged = judged.toDF(link, moment, n, d)
+    same = F.col(url).eqNullSafe(F.col(link)) & F.col(time).eqNullSafe(F.col(moment))
     return base.join(judged, same, "left").select(
         *[F.col(f"`{c}`") for c in base.columns],
-        F.coalesce(~F.col("d.allow"), F.lit(False)).alias("blocked"),
-        F.coalesce("_n", F.lit(0)).cast("bigint").alias("n_active"),
-        F.col("d.list").alias("decided_by"), F.col("d.key").alias("pattern"), F.col("d.since").alias("since"),
+        F.coalesce(~F.col(d)["allow"], F.lit(False)).alias("blocked"),
+        F.coalesce(n, F.lit(0)).cast("bigint").alias("n_active"),
+        F.col(d)["list"].alias("decided_by"), F.col(d)["key"].alias("pattern"), F.col(d)["since"].alias("since"),
     )
