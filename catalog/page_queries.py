@@ -20,6 +20,21 @@ def shred(spark, d):
     return H.elements(dom(spark, d), text=False).groupBy("tag").agg(F.count("*").alias("n"))
 
 
+@query("src10_shred_tree", f"""
+WITH tags AS (
+  SELECT page_id, regexp_extract_all(html, '<([a-zA-Z][a-zA-Z0-9]*)', 1) AS ts,
+    regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)</a></li>', 1) AS items FROM pages),
+listed AS (SELECT page_id, ts, items, unnest(range(len(items))) AS ordinal FROM tags)
+SELECT page_id, CAST(list_position(ts, 'li') - 1 + 2 * ordinal AS INTEGER) AS node_id,
+  CAST(list_position(ts, 'ul') - 1 AS INTEGER) AS parent_id, CAST(ordinal AS INTEGER) AS ordinal,
+  {SQL_TEXT.format('items[ordinal + 1]')} AS text
+FROM listed""")
+def shred_tree(spark, d):
+    """Number, parent, place and text of the list items of every page."""
+    items = H.elements(dom(spark, d), "li")
+    return items.select("page_id", "node_id", "parent_id", "ordinal", "text")
+
+
 @query("src20_page_links", f"""
 WITH {SQL_LINKS} SELECT page_id, ordinal, link, text FROM abs_links""")
 def page_links(spark, d):
@@ -104,15 +119,8 @@ def nav_items(spark, d):
 @query("join6_ancestors", """
 SELECT page_id, CAST(len(regexp_extract_all(html, '<a href=')) AS BIGINT) AS links_in_nav FROM pages""")
 def ancestors(spark, d):
-    pages = dom(spark, d)
-    el = H.elements(pages, "a", "nav", text=False).select("page_id", "node_id", "tag")
-    inside = H.ancestor_pairs(pages)
-    a = el.where("tag = 'a'").select("page_id", "node_id")
-    nav = el.where("tag = 'nav'").select("page_id", F.col("node_id").alias("ancestor_id"))
-    return (
-        a.join(inside, ["page_id", "node_id"]).join(nav, ["page_id", "ancestor_id"])
-        .groupBy("page_id").agg(F.count("*").alias("links_in_nav"))
-    )
+    found = H.inside(dom(spark, d), "nav", "a")
+    return found.groupBy("page_id").agg(F.count("*").alias("links_in_nav"))
 
 
 @query("set4_canonicalize_url", f"SELECT page_id, {sql_canonical('url')} AS canonical_url FROM pages")

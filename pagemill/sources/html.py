@@ -27,10 +27,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 NODE = (
     "struct<node_id:int,parent_id:int,end_node:int,depth:int,ordinal:int,tag:string,"
     "class:string,attrs:map<string,string>,text_from:int,text_to:int,table_id:int,"
-    "row_id:int,kids:array<int>,ancestors:array<int>>"
+    "row_id:int,kids:array<int>>"
 )
 _FIELDS = ["node_id", "parent_id", "end_node", "depth", "ordinal", "tag", "class", "attrs",
-           "text_from", "text_to", "table_id", "row_id", "kids", "ancestors"]
+           "text_from", "text_to", "table_id", "row_id", "kids"]
 DOM = f"struct<nodes:array<{NODE}>,texts:array<string>,zones:array<int>>"
 
 _VOID = frozenset(
@@ -62,15 +62,18 @@ _CHROME = {"nav", "footer", "header", "aside"}
 _SKIP = frozenset(fixed.SKIP_TAGS)
 
 
-# comment | declaration | closing tag | opening tag with its attributes
+# comment | declaration | closing tag | opening tag with its attributes. A quote opens
+# a string only behind "="; "<" outside a string ends the attempt, so no part of a
+# page is read for more than one tag. At the end of the page a tag may lack its ">".
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>"
-    r"|<([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>",
+    r"<!--.*?(?:-->|\Z)|<[!?][^<>]*(?:>|\Z)|</([a-zA-Z][^\s/<>]*)[^<>]*(?:>|\Z)"
+    r"|<([a-zA-Z][^\s/<>]*)((?:[^<>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'<>][^\s<>]*+)?|[\"'])*+)(?:>|\Z)",
     re.DOTALL,
 )
 _ATTRIBUTE = re.compile(
-    r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.DOTALL
+    r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"'][^\s>]*)))?", re.DOTALL
 )
+_UNQUOTED_LAST = re.compile(r"=\s*[^\s\"'<>][^\s<>]*\Z")
 _RAW_END = {t: re.compile(rf"</{t}\s*>", re.IGNORECASE) for t in ("script", "style", "textarea", "title")}
 
 
@@ -130,11 +133,12 @@ class _Shredder:
         for name, value in zip(
             _FIELDS,
             (me, parent, me, len(self.open), self.children[-1], tag, values.get("class", ""),
-             list(values.items()), text, text, table, row, [], [o[0] for o in self.open]),
+             list(values.items()), text, text, table, row, []),
         ):
             n[name].append(value)
         self.children[-1] += 1
-        if tag not in _VOID and not (attributes and attributes.endswith("/")):
+        closed = attributes and attributes.endswith("/") and not _UNQUOTED_LAST.search(attributes)
+        if tag not in _VOID and not closed:
             zone = 2 if zone == 2 or tag in _HIDDEN else 1 if zone == 1 or tag in _CHROME else 0
             self.open.append((me, tag, zone))
             self.children.append(0)
@@ -204,7 +208,7 @@ def _shred_batch(html):
                     pa.array([x for v in values for _, x in v], pa.string()),
                 )
             )
-        elif name in ("kids", "ancestors"):
+        elif name == "kids":
             columns.append(_lists(values, pa.int32()))
         else:
             columns.append(pa.array(values, pa.string() if name in ("tag", "class") else pa.int32()))
@@ -238,16 +242,6 @@ def shred_html(pages: DataFrame, html: str = "html", out: str = "dom") -> DataFr
     return pages.withColumn(out, _arrow_shredder()(F.col(html)))
 
 
-def spread(pages: DataFrame) -> DataFrame:
-    """Rows over all cores in front of work that is heavy per row.
-
-    Rows move only when a scan has fewer partitions than the session has cores,
-    as with one small file; a large scan is left as it is.
-    """
-    cores = pages.sparkSession.sparkContext.defaultParallelism
-    return pages if pages.rdd.getNumPartitions() >= cores else pages.repartition(cores)
-
-
 # ---- expressions over a parsed page -----------------------------------------
 
 
@@ -315,14 +309,17 @@ def elements(dom_pages: DataFrame, *tags: str, dom: str = "dom", text: bool = Tr
     return rows.select(*keep, "__n.*")
 
 
-def ancestor_pairs(dom_pages: DataFrame, dom: str = "dom") -> DataFrame:
-    """(page_id, node_id, ancestor_id), one row per element and ancestor.
+def inside(dom_pages: DataFrame, outer: str, inner: str, dom: str = "dom") -> DataFrame:
+    """(page_id, outer_id, node_id): every `inner` element within an `outer` element.
 
-    The parser knows the open elements, so "is inside" becomes an equi join on
-    (page_id, ancestor_id) instead of comparing the nodes of a page pairwise.
-    """
-    packed = F.transform(
-        F.col(dom)["nodes"], lambda n: F.struct(n["node_id"].alias("node_id"), n["ancestors"].alias("up"))
-    )
-    nodes = each(dom_pages.select("page_id", F.col(dom)), packed, "__i", "n")
-    return nodes.select("page_id", "n.node_id", F.explode("n.up").alias("ancestor_id"))
+    A node's descendants are the range up to its `end_node`, so both lists of a page
+    are compared by their numbers, in the page's own row."""
+    def pairs(o):
+        return F.transform(
+            F.filter(nodes_of(dom, inner), lambda n: (n["node_id"] > o["node_id"]) & (n["node_id"] <= o["end_node"])),
+            lambda n: F.struct(o["node_id"].alias("outer_id"), n["node_id"].alias("node_id")),
+        )
+
+    found = F.flatten(F.transform(nodes_of(dom, outer), pairs))
+    rows = each(dom_pages.select("page_id", F.col(dom)), found, "__i", "n")
+    return rows.select("page_id", "n.outer_id", "n.node_id")

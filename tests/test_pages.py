@@ -141,7 +141,33 @@ def test_default_rows_prefer_tables(pages_of):
     assert candidates.rows_from_html(pages_of(("https://x.org/", both)), table_index=3).count() == 0
 
 
-def test_ancestor_pairs_are_proper(pages_of):
-    pages = pages_of(("https://x.org/", "<div><p><b>x</b></p></div><i>y</i>"))
-    pairs = {(r["node_id"], r["ancestor_id"]) for r in H.ancestor_pairs(pages).collect()}
-    assert pairs == {(1, 0), (2, 0), (2, 1)}
+def test_inside_pairs(pages_of):
+    pages = pages_of(("https://x.org/", "<div><p><b>x</b></p><b>z</b></div><b>y</b>"))
+    pairs = {(r["outer_id"], r["node_id"]) for r in H.inside(pages, "div", "b").collect()}
+    assert pairs == {(0, 2), (0, 3)}
+
+
+def test_quotes_open_strings_only_behind_equal_signs(pages_of):
+    pages = pages_of(
+        ("https://x.org/", "<p title=it's>one</p><ul><li>a</li><li>b</li></ul><p>don't stop</p>"),
+        ("https://x.org/", '<img alt="a"b"><i>x</i>'),
+        ("https://x.org/", "<a href=/foo/>text</a><br/><a href='/b'/>gone"),
+    )
+    rows = H.elements(pages).collect()
+    tags = {i: [(r["tag"], r["text"]) for r in rows if r["page_id"] == i] for i in range(3)}
+    assert tags[0] == [("p", "one"), ("ul", "ab"), ("li", "a"), ("li", "b"), ("p", "don't stop")]
+    assert [t for t, _ in tags[1]] == ["img", "i"]
+    assert tags[2] == [("a", "text"), ("br", ""), ("a", "")]
+    assert next(r for r in rows if r["tag"] == "p")["attrs"]["title"] == "it's"
+
+
+def test_broken_markup_is_read_once():
+    import time
+
+    import pyarrow as pa
+
+    for piece in ("<b ", "<b x='", '<b x="', "</b ", "<!x ", "<!--", "<b x=\"<", "<b x=y"):
+        H._shred_batch(pa.array([piece * 200]))  # warm
+        start = time.perf_counter()
+        H._shred_batch(pa.array([piece * 40_000]))
+        assert time.perf_counter() - start < 3, piece
