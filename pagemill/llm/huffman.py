@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .storage import shared_folder, stored
 from .tokens import Encoder
 
-LIMIT = 20
+LIMIT = 16  # or what so many ids need
 STEP = 128
 BLOCK = 1 << 18
 PART = 1 << 23  # ids of a part, about
@@ -41,9 +41,11 @@ BLOCKS = (
 )
 
 
-def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
+def code_lengths(counts: np.ndarray, limit: int | None = None) -> np.ndarray:
     """Optimal code lengths of at most `limit` bits, by package merge."""
     n = len(counts)
+    if limit is None:
+        limit = max(LIMIT, n.bit_length())
     if n == 1:
         return np.ones(1, np.int64)
     if n > 1 << limit:
@@ -81,10 +83,8 @@ class Codebook:
         self.code, self.length = np.zeros(span, np.uint64), np.zeros(span, np.uint64)
         self.code[ids[order]], self.length[ids[order]] = codes, sizes
         # every pattern of `top` bits starts with one code
-        self.symbol_of, self.length_of = np.zeros(1 << self.top, np.uint32), np.ones(1 << self.top, np.int64)
-        filled = int(steps.sum())
-        self.symbol_of[:filled] = np.repeat(ids[order], steps)
-        self.length_of[:filled] = np.repeat(sizes, steps)
+        self.table = np.ones(1 << self.top, np.uint64)  # id, then 8 bits of length
+        self.table[: int(steps.sum())] = np.repeat((ids[order] << 8) | sizes, steps)
 
     def encode(self, ids: np.ndarray) -> tuple[bytes, bytes]:
         """(payload, checkpoints) of a block."""
@@ -105,37 +105,44 @@ class Codebook:
 
     def decode(self, payload: bytes, checkpoints: bytes, n: int) -> np.ndarray:
         """The n ids of a block."""
-        at = np.frombuffer(checkpoints, "<u4").astype(np.int64)
-        data = np.frombuffer(payload + bytes(STEP * self.top // 8 + 8), np.uint8).astype(np.uint32)
+        at = np.frombuffer(checkpoints, "<u4").astype(np.int64)  # a copy
+        data = np.frombuffer(payload + bytes(STEP * self.top // 8 + 8), np.uint8).astype(np.int64)
         wide = data[:-3] << 24 | data[1:-2] << 16 | data[2:-1] << 8 | data[3:]
-        out = np.empty((STEP, len(at)), np.uint32)
+        out = np.empty((STEP, len(at)), np.int64)
+        table = self.table.astype(np.int64)
         low, mask = 32 - self.top, (1 << self.top) - 1
         for k in range(STEP):
-            pattern = (wide[at >> 3] >> (low - (at & 7))).astype(np.int64) & mask
-            out[k] = self.symbol_of[pattern]
-            at = at + self.length_of[pattern]
-        return out.T.reshape(-1)[:n]
+            np.take(table, (np.take(wide, at >> 3) >> (low - (at & 7))) & mask, out=out[k])
+            at += out[k] & 255
+        return (out >> 8).astype(np.uint32).T.reshape(-1)[:n]
+
+
+def id_type(tokenizer: str, end_id: int) -> str:
+    return "<u2" if max(Encoder.of(tokenizer).size, end_id + 1) <= 1 << 16 else "<u4"
 
 
 def token_rows(docs: DataFrame, tokenizer: str, end_id: int, key: str, text: str) -> DataFrame:
     """(kind 0, id, its ids) of every document, then (kind 1, token id, its count)
-    of the task: at most one row for each entry of the vocabulary."""
+    of the task: at most one row for each entry of the vocabulary. Ids have two bytes
+    where the whole vocabulary fits, else four."""
+    kind = id_type(tokenizer, end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = Encoder.of(tokenizer).ids, np.array([end_id], "<u4").tobytes()
+        encoder, end = Encoder.of(tokenizer), np.array([end_id], "<u4").tobytes()
+        encode = encoder.ids
         counts = np.zeros(0, np.int64)
         for b in batches:
-            made = [x + end for x in encode([t or "" for t in b.column(1).to_pylist()])]
-            for i in range(0, len(made), 1000):
-                some = made[i : i + 1000]
+            for i in range(0, len(b), 1000):
+                some = [x + end for x in encode([t or "" for t in b.column(1).slice(i, 1000).to_pylist()])]
                 c = np.bincount(np.frombuffer(b"".join(some), "<u4"))
                 if len(c) > len(counts):
                     c[: len(counts)] += counts
                     counts = c
                 else:
                     counts[: len(c)] += c
+                some = [np.frombuffer(x, "<u4").astype(kind).tobytes() for x in some]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.zeros(len(some), np.int8)), b.column(0).slice(i, len(some)).cast(pa.int64()),
+                    [pa.array(np.zeros(len(some), np.int8)), b.column(0).slice(i, 1000).cast(pa.int64()),
                      pa.array(some, pa.binary()), pa.nulls(len(some), pa.int64())], ["kind", "doc", "ids", "n"])
         found = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays(
@@ -157,6 +164,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, key: str
     spark.createDataFrame(table, "id bigint, length int").coalesce(1).write.parquet(f"{path}/codebook")
     book = spark.sparkContext.broadcast(Codebook(found[:, 0], lengths))
     parts = max(1, -(-int(found[:, 1].sum()) // PART))
+    kind = id_type(tokenizer, end_id)
+    width = int(kind[-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, block, before = TaskContext.get().partitionId(), 0, 0
@@ -164,8 +173,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, key: str
 
         def flush() -> pa.RecordBatch:
             nonlocal block, before, held
-            payload, points = book.value.encode(np.frombuffer(b"".join(data), "<u4"))
-            row = {"part": part, "block": block, "doc_ids": list(docs_of), "doc_tokens": [len(d) // 4 for d in data],
+            payload, points = book.value.encode(np.frombuffer(b"".join(data), kind))
+            row = {"part": part, "block": block, "doc_ids": list(docs_of), "doc_tokens": [len(d) // width for d in data],
                    "first_token": before, "n_tokens": held, "checkpoints": points, "payload": payload}
             block, before = block + 1, before + held
             docs_of.clear()
@@ -180,7 +189,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, key: str
             for doc, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 docs_of.append(doc)
                 data.append(ids)
-                held += len(ids) // 4
+                held += len(ids) // width
                 if held >= BLOCK:
                     yield flush()
         if data:

@@ -35,6 +35,12 @@ PIECES = (
 )
 
 
+def _encoded(batch: pa.RecordBatch, encode) -> Iterator[tuple[int, bytes]]:
+    for i in range(0, len(batch), 1000):
+        some = batch.slice(i, 1000)
+        yield from zip(some.column(0).to_pylist(), encode([t or "" for t in some.column(1).to_pylist()]))
+
+
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2,
            key: str = "doc_id", text: str = "text") -> DataFrame:
     """Pieces of all documents with their ids. (chunk, nth) number those of one length
@@ -55,8 +61,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int =
             return pa.RecordBatch.from_arrays(made, names)
 
         for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            for doc, ids in zip(b.column(0).to_pylist(), encode(texts)):
+            for doc, ids in _encoded(b, encode):
                 ids += end
                 n = len(ids) // 4
                 at = 0

@@ -14,10 +14,10 @@ import re
 
 import numpy as np
 
-KEPT = 600_000  # pieces a worker remembers
+KEPT = 400_000  # pieces of a generation; a worker remembers two
 TEXTS = 256  # texts whose new pieces are asked for together
 RARE_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
-LETTERS_THEN_MARKS = re.compile(r"([\x20\x09-\x0D]?[A-Za-zÀ-ÖØ-öø-ɏ]+)([.,!?;:]+)")
+LETTERS_THEN_MARKS = re.compile(r"([\x20\x09-\x0D]?[A-Za-zÀ-ÖØ-öø-ɏ]+)([.,!?;:]*)")
 
 
 class Pieces(dict):
@@ -27,40 +27,58 @@ class Pieces(dict):
         super().__init__()
         self.tokenizer = tokenizer
         self.missed: list[str] = []
+        self.older: dict[str, bytes] = {}
+        self.folds = self.ask("A") == self.ask("a")
         special = [(i, t.content) for i, t in tokenizer.get_added_tokens_decoder().items() if t.special]
         self.mark_id, self.mark = special[0] if special else (None, None)
 
     def ask(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def ask_all(self, pieces: list[str]) -> None:
+    def ask_all(self, pieces: list[str]) -> dict[str, bytes]:
         """Asks for many pieces at once, with a special token between them."""
         if self.mark is None:
-            self.update((p, self.ask(p)) for p in pieces)
-            return
+            return {p: self.ask(p) for p in pieces}
+        out = {}
         groups = [pieces[i : i + 500] for i in range(0, len(pieces), 500)]
         texts = [self.mark.join([*g, ""]) for g in groups]
         for group, made in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
             ids = np.array(made.ids, "<u4")
             ends = np.flatnonzero(ids == self.mark_id).tolist()
             data = ids.tobytes()
-            self.update((p, data[4 * a + 4 : 4 * z]) for p, a, z in zip(group, [-1, *ends], ends))
+            out.update((p, data[4 * a + 4 : 4 * z]) for p, a, z in zip(group, [-1, *ends], ends))
+        return out
 
-    def learn(self) -> None:
-        """Asks for the pieces that were missed since the last call."""
-        if len(self) > KEPT:
+    def learn(self) -> dict[str, bytes]:
+        """The pieces that were missed since the last call, with their ids."""
+        if len(self) > KEPT:  # what is not met again in a generation is forgotten
+            self.older = dict(self)
             self.clear()
         new = set(self.missed)
         self.missed.clear()
-        split = [m for m in map(LETTERS_THEN_MARKS.fullmatch, new) if m]
-        parts = new.difference([m[0] for m in split]).union([m[1] for m in split], [m[2] for m in split])
+        split = {}
+        for piece in new:
+            m = LETTERS_THEN_MARKS.fullmatch(piece)
+            if m:  # these letters fold one by one, whatever stands around them
+                split[piece] = (m[1].lower() if self.folds else m[1], m[2])
+        parts = new.difference(split).union(*split.values())
+        parts.discard("")
+        found = {p: i for p in parts if (i := self.get(p) or self.older.get(p)) is not None}
         odd = [p for p in parts if "<" in p]  # could hold a special token
-        self.update((p, self.ask(p)) for p in odd)
-        self.ask_all([p for p in parts if p not in self])
-        self.update((m[0], self[m[1]] + self[m[2]]) for m in split)
-
-    def __missing__(self, piece: str) -> None:
-        self.missed.append(piece)
+        found.update((p, self.ask(p)) for p in odd)
+        found.update(self.ask_all([p for p in parts if p not in found]))
+        found[""] = b""
+        found.update([(p, found[a] + found[b]) for p, (a, b) in split.items()])
+        self.update(found)
+        return found
+
+    def __missing__(self, piece: str) -> bytes | None:
+        ids = self.older.get(piece)
+        if ids is None:
+            self.missed.append(piece)
+        else:
+            self[piece] = ids
+        return ids
 
 
 class Encoder:
@@ -73,6 +91,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.pieces = Pieces(Tokenizer.from_file(path))
+        self.size = self.pieces.tokenizer.get_vocab_size()
         drops = self.pieces.ask("a b") == self.pieces.ask("a\n\n b")
         self.cut = self._words if drops else self._spaced
 
@@ -104,7 +123,7 @@ class Encoder:
             some = texts[i : i + TEXTS]
             cut = [None if RARE_SPACE.search(t) else self.cut(t) for t in some]
             found = [None if c is None else list(map(get, c)) for c in cut]
-            self.pieces.learn()
+            fresh = self.pieces.learn()
             for text, asked, parts in zip(some, cut, found):
                 if parts is None:
                     out.append(self.pieces.ask(text))
@@ -112,6 +131,6 @@ class Encoder:
                 at = -1
                 for _ in range(parts.count(None)):
                     at = parts.index(None, at + 1)
-                    parts[at] = get(asked[at])
+                    parts[at] = fresh[asked[at]]
                 out.append(b"".join(parts))
         return out
