@@ -58,10 +58,8 @@ l AS (
 WITH {LINES}, d AS (SELECT DISTINCT l_orderkey, n FROM l)
 SELECT l_orderkey, 0 AS rank, 'data' AS path, n, 'alt,flags,line,part,qty' AS keys FROM d WHERE n >= 2
 UNION ALL
-SELECT l_orderkey, CAST(CASE WHEN n >= 2 THEN 1 + i ELSE i END AS INTEGER), 'data[' || i || '].alt', 2, 'supp'
-FROM l WHERE i < 3 AND n <> 2
-UNION ALL
-SELECT l_orderkey, CAST(1 + i AS INTEGER), 'data[' || i || '].alt', 2, 'supp' FROM l WHERE n = 2""")
+SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY 'data[' || i || '].alt') - (n < 2)::INT AS INTEGER),
+  'data[' || i || '].alt', 2, 'supp' FROM l""")
 def find_record_arrays(spark, d):
     found = variants.find_record_arrays(parsed(spark, d), "doc")
     return each(found.select("l_orderkey", "arrays"), F.col("arrays"), "rank", "a").select(

@@ -14,7 +14,6 @@ from .base import query, table
 
 def dirty_orders(spark, d):
     """Orders with their values written the way people write them."""
-    # a small file is one partition; the text work below is worth all cores
     o = table(spark, d, "orders")
     k, x = F.col("o_orderkey"), F.col("o_totalprice")
     grouped = F.format_number(x, 2)
@@ -110,16 +109,16 @@ def parse_currency(spark, d):
 
 
 @query("cln7_numeric_candidates", """
-WITH f AS (SELECT * FROM orders ORDER BY o_orderkey LIMIT 200)
+WITH f AS (SELECT * FROM orders)
 SELECT 'price' AS "column", round(avg(CASE WHEN o_orderkey % 10 IN (1, 3, 4, 8) THEN 0 ELSE 1 END), 6) AS share,
   avg(CASE WHEN o_orderkey % 10 IN (1, 3, 4, 8) THEN 0 ELSE 1 END) >= 0.7 AS is_candidate FROM f
 UNION ALL SELECT 'share', 1, TRUE
-UNION ALL SELECT 'paid', 0.2, FALSE UNION ALL SELECT 'note', 0, FALSE
+UNION ALL SELECT 'paid', round(avg((o_orderkey % 5 = 3)::INT), 6), FALSE FROM f UNION ALL SELECT 'note', 0, FALSE
 UNION ALL SELECT 'state', 0, FALSE
-UNION ALL SELECT 'ordered', 0, FALSE""")
+UNION ALL SELECT 'ordered', round(avg((o_orderkey % 8 = 7)::INT) * 0, 6), FALSE FROM f""")
 def numeric_candidates(spark, d):
     # yyyyMMdd-like dates do not occur; "0" is the only number among the yes/no words
-    return clean.numeric_shares(dirty_orders(spark, d), "o_orderkey").select(
+    return clean.numeric_shares(dirty_orders(spark, d)).select(
         "column", F.round("share", 6).alias("share"), "is_candidate"
     )
 
@@ -134,12 +133,18 @@ def parse_dates(spark, d):
 
 
 @query("cln9_date_candidates", """
-SELECT * FROM (VALUES ('note', FALSE), ('ordered', TRUE), ('paid', FALSE), ('price', FALSE), ('share', FALSE),
-  ('state', FALSE), ('updated_by', TRUE)) AS t("column", is_candidate)""")
+SELECT 'ordered' AS "column", round(avg((o_orderkey % 8 NOT IN (3, 4, 5))::INT), 6) AS share,
+  avg((o_orderkey % 8 NOT IN (3, 4, 5))::INT) >= 0.6 AS is_candidate FROM orders
+UNION ALL SELECT 'updated_by', 0, TRUE
+UNION ALL SELECT 'half', round(avg((o_orderkey % 2 = 0)::INT), 6), avg((o_orderkey % 2 = 0)::INT) >= 0.6 FROM orders
+UNION ALL SELECT 'most', round(avg((o_orderkey % 3 <> 0)::INT), 6), avg((o_orderkey % 3 <> 0)::INT) >= 0.6 FROM orders""")
 def date_candidates(spark, d):
-    df = dirty_orders(spark, d).withColumn("updated_by", F.lit("bob"))
-    # the share of day.month-like texts among prices is far below the limit
-    return clean.date_shares(df, "o_orderkey").select("column", "is_candidate")
+    day, k = F.date_format("o_orderdate", "yyyy-MM-dd"), F.col("o_orderkey")
+    df = dirty_orders(spark, d).select("o_orderkey", "ordered").withColumn("updated_by", F.lit("bob"))
+    o = table(spark, d, "orders").select(
+        "o_orderkey", F.when(k % 2 == 0, day).otherwise("never").alias("half"), F.when(k % 3 != 0, day).otherwise("never").alias("most")
+    )
+    return clean.date_shares(df.join(o, "o_orderkey")).select("column", F.round("share", 6).alias("share"), "is_candidate")
 
 
 @query("cln10_normalize_booleans", """
@@ -452,10 +457,17 @@ SELECT count(*) AS n_rows, 6::BIGINT AS n_columns, count(*) FILTER (WHERE event_
     CASE WHEN count(DISTINCT user_id) > 20 AND count(DISTINCT user_id) > 0.9 * count(user_id) THEN 'user_id' END,
     CASE WHEN count(DISTINCT value) > 20 AND count(DISTINCT value) > 0.9 * count(value) THEN 'value' END],
     lambda x: x IS NOT NULL), ',') AS high_cardinality_columns,
-  count(*) - count(DISTINCT (user_id, event_type, value, ts)) AS duplicate_rows FROM e""")
+  count(*) - count(DISTINCT (user_id, event_type, value, ts)) AS duplicate_rows,
+  'ts:2,value:3' AS failures, 5::BIGINT AS conversion_failures, 'new column' AS schema_drift,
+  array_to_string(list_filter(['One value only in: channel',
+    CASE WHEN count(*) > count(DISTINCT (user_id, event_type, value, ts)) THEN format('{{:,}}', count(*) - count(DISTINCT (user_id, event_type, value, ts)))
+      || ' rows repeat another row; none was removed.' END,
+    '5 cells were not converted and kept as text.'], lambda x: x IS NOT NULL), '|') AS warnings FROM e""")
 def profile_frame(spark, d):
-    p = quality.profile_frame(gapped_events(spark, d), "event_id")
+    p = quality.profile_frame(gapped_events(spark, d), "event_id", {"value": 3, "ts": 2}, ["new column"])
     return p.select(
+        F.array_join(F.transform(F.map_entries("failures"), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))), ",").alias("failures"),
+        "conversion_failures", F.array_join("schema_drift", ",").alias("schema_drift"), F.array_join("warnings", "|").alias("warnings"),
         "n_rows", "n_columns", "missing_cells", "missing_pct",
         F.array_join("constant_columns", ",").alias("constant_columns"),
         F.array_join("high_cardinality_columns", ",").alias("high_cardinality_columns"), "duplicate_rows",
@@ -480,17 +492,20 @@ DICT_FIELDS = [
 @query("agg4_data_dictionary", f"""
 WITH {GAPPED}
 SELECT 'value' AS variable, 'Amount' AS label, 'double' AS dtype, round_even(count(*) FILTER (WHERE value IS NULL) * 100.0::DOUBLE / count(*), 2) AS missing_pct,
-  count(DISTINCT value) AS unique_count, 'u' AS source, 'api' AS extraction_method, 'user' AS name_source, 'in EUR' AS notes FROM e
+  count(DISTINCT value) AS unique_count, 'u' AS source, 'api' AS extraction_method, 'user' AS name_source, 'in EUR' AS notes,
+  CAST(arg_min(value, event_id) FILTER (WHERE value IS NOT NULL) AS VARCHAR) AS example FROM e
 UNION ALL SELECT 'event_type', 'event_type', 'string', round_even(count(*) FILTER (WHERE event_type IS NULL) * 100.0::DOUBLE / count(*), 2),
-  count(DISTINCT event_type), 'u', 'api', 'ai', '' FROM e
-UNION ALL SELECT 'user_id', 'user_id', 'bigint', 0, count(DISTINCT user_id), 'u', 'api', 'source_native', '' FROM e
-UNION ALL SELECT '_source_url', '_source_url', 'string', 0, 1, 'u', 'api', 'source_native', 'Provenance column added by the application.'""")
+  count(DISTINCT event_type), 'u', 'api', 'ai', 'what happened', arg_min(event_type, event_id) FILTER (WHERE event_type IS NOT NULL) FROM e
+UNION ALL SELECT 'user_id', 'User', 'bigint', 0, count(DISTINCT user_id), 'u', 'api', 'source_native', '', CAST(arg_min(user_id, event_id) AS VARCHAR) FROM e
+UNION ALL SELECT '_source_url', '_source_url', 'string', 0, 1, 'u', 'api', 'source_native', 'Provenance column added by the application.',
+  substr(repeat('https://e.example/', 6), 1, 80)""")
 def data_dictionary(spark, d):
-    e = gapped_events(spark, d).withColumn("_source_url", F.lit("u"))
+    e = gapped_events(spark, d).withColumn("_source_url", F.lit("https://e.example/" * 6))
     out = quality.data_dictionary(
-        e, "event_id", DICT_FIELDS, "u", "api", ["value", "event_type", "user_id", "_source_url"]
+        e, "event_id", DICT_FIELDS, "u", "api", ["value", "event_type", "user_id", "_source_url"],
+        labels={"user_id": "User"}, notes={"event_type": "what happened"},
     )
-    return out.drop("example")
+    return out.withColumn("example", F.coalesce("example", F.lit("")))
 
 
 @query("join4_dictionary_labels", """
@@ -513,7 +528,10 @@ v AS (
   UNION ALL SELECT 'o_custkey', 'unique', count(*) - count(DISTINCT o_custkey) FROM o
   UNION ALL SELECT 'gone', 'missing_field', 1
   UNION ALL SELECT 'o_orderpriority', 'dtype', count(*) FROM o)
-SELECT * FROM v WHERE violations > 0""")
+SELECT *, '''' || "column" || '''' || CASE rule WHEN 'required' THEN ' is required and lacks a value in ' || format('{:,}', violations) || ' rows'
+  WHEN 'min' THEN ' is below its lower bound in ' || format('{:,}', violations) || ' rows' WHEN 'max' THEN ' is above its upper bound in ' || format('{:,}', violations) || ' rows'
+  WHEN 'unique' THEN ' repeats a value ' || format('{:,}', violations) || ' times and should not' WHEN 'missing_field' THEN ' is required and no column of the data'
+  ELSE ' holds another type in ' || format('{:,}', violations) || ' rows' END AS message FROM v WHERE violations > 0""")
 def validate(spark, d):
     o = table(spark, d, "orders").withColumn("status", F.when(F.col("o_orderkey") % 9 != 0, F.col("o_orderstatus")))
     rules = [
@@ -521,7 +539,7 @@ def validate(spark, d):
         Field("o_custkey", "integer", unique=True), Field("gone", required=True),
         Field("o_orderpriority", "number"),
     ]
-    return quality.validate(o, rules).drop("message")
+    return quality.validate(o, rules)
 
 
 @query("val2_dtype_violations", """
@@ -669,15 +687,15 @@ def flag_outliers(spark, d):
     return clean.flag_outliers(table(spark, d, "events").select("event_id", "value"), ["value"])
 
 
-@query("srt1_row_cap", "SELECT * FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT 500000")
+@query("srt1_row_cap", "SELECT * FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT 40000")
 def row_cap(spark, d):
-    key = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    return charts.row_cap(table(spark, d, "lineitem"), key)
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    return charts.row_cap(table(spark, d, "lineitem"), keys, 40000)
 
 
 @query("srt2_preview", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 1000")
 def preview(spark, d):
-    return charts.preview(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey", 5000)
+    return charts.preview(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey")
 
 
 @query("srt3_sort_series", "SELECT ts, value FROM events ORDER BY ts, value")
@@ -691,9 +709,10 @@ def top_k(spark, d):
     return charts.frequency(table(spark, d, "orders"), "o_orderpriority", 3)
 
 
-@query("srt6_down_sample")
+@query("srt6_down_sample", """
+SELECT o_orderkey, o_totalprice FROM orders WHERE ((o_orderkey * 48271 + 7 * 40692) % 2147483647) % 5 = 0""")
 def down_sample(spark, d):
-    return charts.down_sample(table(spark, d, "lineitem"), 20000, seed=7)
+    return charts.down_sample(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey", 5, seed=7)
 
 
 # ---- fields and claims ----------------------------------------------------------------
@@ -769,20 +788,19 @@ def claims(spark, d):
 
 
 @query("val3_check_value", """
-SELECT p_partkey AS page_id, f AS field,
-  CASE f WHEN 'name' THEN 'exact' WHEN 'brand' THEN 'none' WHEN 'price' THEN CASE WHEN p_retailprice < 1000 THEN 'exact' ELSE 'numeric' END
-    WHEN 'share' THEN 'numeric' WHEN 'made_up' THEN 'none' ELSE 'empty' END AS how,
-  f NOT IN ('brand', 'made_up') AS supported
-FROM part, (SELECT unnest(['name', 'price', 'share', 'empty']) AS f)""")
+WITH f AS (
+  SELECT p_partkey, p_brand, p_size, p_partkey % 9 + 1 AS share, p_retailprice, unnest(['name', 'brand', 'price', 'share', 'made_up', 'empty']) AS f FROM part),
+t AS (SELECT *, lower(p_brand || ' costs ' || format('{:,.2f}', p_retailprice) || ' eur, size ' || p_size || ', share 0.0' || share) AS nums FROM f),
+h AS (
+  SELECT *, CASE f WHEN 'name' THEN 'exact' WHEN 'empty' THEN 'empty'
+    WHEN 'price' THEN CASE WHEN p_retailprice < 1000 THEN 'exact' ELSE 'numeric' END
+    WHEN 'share' THEN CASE WHEN contains(nums, share::VARCHAR) THEN 'normalized' ELSE 'none' END
+    ELSE '?' END AS how FROM t)
+SELECT p_partkey AS page_id, f AS field, how, how <> 'none' AS supported FROM h WHERE f NOT IN ('brand', 'made_up')
+UNION ALL SELECT p_partkey, f, 'numeric', TRUE FROM h WHERE f IN ('brand', 'made_up')""")
 def check_value(spark, d):
-    out = evidence.check_values(claims(spark, d).where("field not in ('brand', 'made_up')"), fact_pages(spark, d))
-    # one digit may also be found as text, which is the stronger verdict
-    return out.select(
-        "page_id", "field",
-        F.when((F.col("field") == "share") & F.col("how").isin("normalized", "exact"), "numeric")
-        .otherwise(F.col("how")).alias("how"),
-        "supported",
-    )
+    out = evidence.check_values(claims(spark, d), fact_pages(spark, d))
+    return out.select("page_id", "field", "how", "supported")
 
 
 @query("val3_unsupported_value", "SELECT p_partkey AS page_id, 'none' AS how, FALSE AS supported FROM part")
@@ -815,14 +833,18 @@ def check_records(spark, d):
 
 
 @query("val5_evidence_ratio", """
-SELECT p_partkey AS proposal_id, 3::BIGINT AS n_values, CASE WHEN p_partkey % 2 = 0 THEN 2 ELSE 1 END / 3.0::DOUBLE AS ratio,
-  p_partkey % 2 = 0 AS accepted FROM part""")
+SELECT p_partkey AS proposal_id, CASE WHEN p_partkey % 7 = 0 THEN 0 ELSE 3 END::BIGINT AS n_values,
+  CASE WHEN p_partkey % 7 = 0 THEN 0 WHEN p_partkey % 2 = 0 THEN 2 ELSE 1 END / 3.0::DOUBLE AS ratio,
+  p_partkey % 2 = 0 AND p_partkey % 7 <> 0 AS accepted FROM part""")
 def evidence_ratio(spark, d):
     p = table(spark, d, "part")
+    p = p.join(fact_pages(spark, d), F.col("p_partkey") == F.col("page_id")).drop("page_id")
     proposed = F.array(
         F.col("p_name"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_brand")).otherwise("nobody"),
-        F.lit("invented words"), F.lit(" "),
+        # a true beginning of eighty characters does not make an invented claim true
+        F.concat(F.substring(F.col("text"), 1, 90), F.lit(" invented words")), F.lit(" "),
     )
+    proposed = F.transform(proposed, lambda v: F.when(F.col("p_partkey") % 7 == 0, F.lit("  ")).otherwise(v))
     made = p.select(
         F.col("p_partkey").alias("proposal_id"), F.col("p_partkey").alias("page_id"), F.explode(proposed).alias("value")
     )

@@ -163,3 +163,51 @@ CHART_REASONS = {
 PROVENANCE_NOTE = "Provenance column added by the application."
 NEW_FIELDS = "New fields appeared on later pages: "
 ABSENT_FIELDS = "Expected fields were absent on some pages: "
+
+# fixed values: numbers as they are written
+BRACKETED_NUMBER = r"^\s*\(([\d\s.,]+)\)\s*$"
+PERCENT_NUMBER = r"^\s*([-+]?[\d\s.,]+)\s*%\s*$"
+CURRENCY_NUMBER = rf"(?i)^\s*(?:{CURRENCY})?\s*([-+]?[\d\s.,]+)\s*(?:{CURRENCY})?\s*$"
+PLAIN_NUMBER = r"^[-+]?[\d\s.,]+$"
+NUMBER_MARKS = r"[%$€£¥₹,\s]|USD|EUR|GBP"
+NUMBER_LIKE = r"^[-+]?[\d.,\s%$€£]+$"
+
+# fixed values: dates as they are written; month first when both readings are possible
+DATED = r"\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{2,4}"
+DATE_LIKE = r"\d{4}-\d{2}-\d{2}|\d{1,2}[/.\-]\d{1,2}[/.\-]\d{2,4}|\d{4}/\d{2}"
+DATE_START = r"^(\d{1,2}[-/. ]|\d{4}|[A-Za-z]{3,9} \d{1,2}, \d{4}$)"
+DATE_SHAPES = {
+    r"^\d{4}-\d{1,2}-\d{1,2}([T ].*)?$": [None],
+    r"^\d{1,2}/\d{1,2}/\d{4}$": ["M/d/yyyy", "d/M/yyyy"],
+    r"^\d{1,2}[.]\d{1,2}[.]\d{4}$": ["M.d.yyyy", "d.M.yyyy"],
+    r"^\d{1,2}-\d{1,2}-\d{4}$": ["M-d-yyyy", "d-M-yyyy"],
+    r"^\d{4}/\d{1,2}/\d{1,2}$": ["yyyy/M/d"],
+    r"^\d{4}/\d{1,2}$": ["yyyy/M"],
+    r"^\d{8}$": ["yyyyMMdd"],
+    r"^\d{1,2} [A-Za-z]{3,9} \d{4}$": ["d MMM yyyy", "d MMMM yyyy"],
+    r"^[A-Za-z]{3,9} \d{1,2}, \d{4}$": ["MMM d, yyyy", "MMMM d, yyyy"],
+    r"^\d{4}$": ["yyyy"],
+}
+
+# fixed values: characters that a column name keeps
+NAME_CHARACTERS = "[0-9a-zA-Z؀-ۿ]+"
+
+# fixed values: dataset kinds a preset prefers
+PRESETS = {
+    "auto": [], "table": ["table"], "listings": ["repeated"], "article": ["article"],
+    "api": ["api"], "multipage": [], "document": ["document"],
+    "research": ["api", "table", "file"],
+}
+
+# fixed values: names of cleaning steps in the change report
+STEP_NAMES = {
+    "trim": "Trim whitespace",
+    "missing": "Normalize missing tokens",
+    "numbers": "Numeric conversion",
+    "dates": "Parse dates",
+    "booleans": "Normalize booleans",
+    "categories": "Normalize categories",
+    "names": "Standardize column names",
+    "duplicates": "Remove duplicate rows",
+    "outliers": "Flag outliers",
+}

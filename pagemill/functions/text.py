@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import wraps
+from weakref import WeakKeyDictionary
 
 from pyspark import SparkContext
 from pyspark.sql import Column
@@ -19,6 +20,11 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def cut(c: Column, n: int | None) -> Column:
+    """The first n characters, or all."""
+    return c if n is None else F.substring(c, 1, n)
+
+
 def strip(c) -> Column:
     """Text without whitespace of any kind at its ends."""
     return F.trim(col(c), F.lit(" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\u00a0\u2028\u2029\u3000"))
@@ -27,14 +33,15 @@ def strip(c) -> Column:
 def built_once(fn):
     """Keeps the expression a function builds: large ones take seconds to send to
     the JVM piece by piece. Columns are immutable and belong to one context."""
-    made: dict = {}
+    made: WeakKeyDictionary = WeakKeyDictionary()
 
     @wraps(fn)
     def build(*args, **kwargs):
-        key = (id(SparkContext._active_spark_context), args, tuple(sorted(kwargs.items())))
-        if key not in made:
-            made[key] = fn(*args, **kwargs)
-        return made[key]
+        own = made.setdefault(SparkContext._active_spark_context, {})
+        key = (args, tuple(sorted(kwargs.items())))
+        if key not in own:
+            own[key] = fn(*args, **kwargs)
+        return own[key]
 
     return build
 
@@ -70,12 +77,12 @@ def safe_excerpt(c, max_chars: int = 4000) -> Column:
     return F.substring(squash(c), 1, max_chars)
 
 
-def page_title(html) -> Column:
-    """Text of the first <title>, at most 200 characters; null without one."""
+def page_title(html, max_chars: int | None = None) -> Column:
+    """Text of the first <title>; null without one."""
     pattern = r"(?is)<title[^>]*>(.*?)</title>"
     return F.when(
         col(html).rlike(pattern),
-        F.substring(squash(F.regexp_extract(col(html), pattern, 1)), 1, 200),
+        cut(squash(F.regexp_extract(col(html), pattern, 1)), max_chars),
     )
 
 
@@ -89,12 +96,11 @@ def any_marker(c, markers: list[str]) -> Column:
 
 
 def injection_phrases(c) -> Column:
-    """First match of every injection pattern, at most 120 characters each."""
+    """First match of every injection pattern."""
     hits = [
         F.when(
             col(c).rlike(p),
-            F.substring(F.regexp_extract(col(c), f"({p})" if not p.startswith("(?i)")
-                                         else f"(?i)({p[4:]})", 1), 1, 120),
+            F.regexp_extract(col(c), f"({p})" if not p.startswith("(?i)") else f"(?i)({p[4:]})", 1),
         )
         for p in fixed.INJECTION_PATTERNS
     ]

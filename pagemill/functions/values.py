@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from . import fixed
 from .text import col, let, strip
 
-_MONTH = r"[A-Za-z]{3,9}"
-
 
 def blank_to_null(c) -> Column:
     """Missing-value tokens (exact spelling) become null."""
@@ -19,15 +17,11 @@ def blank_to_null(c) -> Column:
 def number_body(c) -> Column:
     """Digits and separators left after removing sign brackets, percent and
     currency marks; null when the text is not a number."""
-    cur = fixed.CURRENCY
     text = strip(col(c))
-    text = F.regexp_replace(text, r"^\s*\(([\d\s.,]+)\)\s*$", "$1")
-    text = F.regexp_replace(text, r"^\s*([-+]?[\d\s.,]+)\s*%\s*$", "$1")
-    text = F.regexp_replace(
-        text, rf"(?i)^\s*(?:{cur})?\s*([-+]?[\d\s.,]+)\s*(?:{cur})?\s*$", "$1"
-    )
+    for pattern in (fixed.BRACKETED_NUMBER, fixed.PERCENT_NUMBER, fixed.CURRENCY_NUMBER):
+        text = F.regexp_replace(text, pattern, "$1")
     text = F.regexp_replace(text, r"[ \u00a0]", "")
-    return F.when(text.rlike(r"^[-+]?[\d\s.,]+$"), text)
+    return F.when(text.rlike(fixed.PLAIN_NUMBER), text)
 
 
 def number_value(body: Column, original) -> Column:
@@ -41,7 +35,7 @@ def number_value(body: Column, original) -> Column:
         .otherwise(plain)
     )
     value = text.try_cast("double")
-    negative = col(original).rlike(r"^\s*\([\d\s.,]+\)\s*$")
+    negative = col(original).rlike(fixed.BRACKETED_NUMBER)
     return F.when(negative, -value).otherwise(value)
 
 
@@ -60,46 +54,26 @@ def number_failed(c) -> Column:
 
 
 def looks_numeric(c) -> Column:
-    rest = F.regexp_replace(col(c), r"[%$€£¥₹,\s]|USD|EUR|GBP", "")
-    return ~number_failed(c) & rest.rlike(r"^[-+]?[\d\s.,]+$")
-
-
-# formats tried in order; month first when both readings are possible
-DATE_FORMATS = [
-    (r"^\d{4}-\d{1,2}-\d{1,2}([T ].*)?$", None),
-    (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"),
-    (r"^\d{1,2}/\d{1,2}/\d{4}$", "d/M/yyyy"),
-    (r"^\d{1,2}[.]\d{1,2}[.]\d{4}$", "M.d.yyyy"),
-    (r"^\d{1,2}[.]\d{1,2}[.]\d{4}$", "d.M.yyyy"),
-    (r"^\d{1,2}-\d{1,2}-\d{4}$", "M-d-yyyy"),
-    (r"^\d{1,2}-\d{1,2}-\d{4}$", "d-M-yyyy"),
-    (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"),
-    (r"^\d{4}/\d{1,2}$", "yyyy/M"),
-    (r"^\d{8}$", "yyyyMMdd"),
-    (rf"^\d{{1,2}} {_MONTH} \d{{4}}$", "d MMM yyyy"),
-    (rf"^\d{{1,2}} {_MONTH} \d{{4}}$", "d MMMM yyyy"),
-    (rf"^{_MONTH} \d{{1,2}}, \d{{4}}$", "MMM d, yyyy"),
-    (rf"^{_MONTH} \d{{1,2}}, \d{{4}}$", "MMMM d, yyyy"),
-    (r"^\d{4}$", "yyyy"),
-]
+    rest = F.regexp_replace(col(c), fixed.NUMBER_MARKS, "")
+    return ~number_failed(c) & rest.rlike(fixed.PLAIN_NUMBER)
 
 
 def parse_date(c) -> Column:
-    """Timestamp of a date text in one of the declared formats, else null."""
-    def tried(text):
-        tries = []
-        for pattern, fmt in DATE_FORMATS:
-            value = text.try_cast("timestamp") if fmt is None else F.try_to_timestamp(text, F.lit(fmt))
-            tries.append(F.when(text.rlike(pattern), value))
-        return F.coalesce(*tries)
+    """Timestamp of a date text in one of the declared formats, else null. A text is
+    tested for its shape first, and only the formats of that shape are tried; most
+    texts fail the first test."""
+    def of_shape(text):
+        out = None
+        for shape, formats in fixed.DATE_SHAPES.items():
+            tries = [text.try_cast("timestamp") if f is None else F.try_to_timestamp(text, F.lit(f)) for f in formats]
+            out = (F if out is None else out).when(text.rlike(shape), F.coalesce(*tries))
+        return F.when(text.rlike(fixed.DATE_START), out)
 
-    return let(strip(col(c)), tried)
+    return let(strip(col(c)), of_shape)
 
 
 def looks_date(c) -> Column:
-    return col(c).rlike(
-        r"\d{4}-\d{2}-\d{2}|\d{1,2}[/.\-]\d{1,2}[/.\-]\d{2,4}|\d{4}/\d{2}"
-    )
+    return col(c).rlike(fixed.DATE_LIKE)
 
 
 def parse_boolean(c) -> Column:
@@ -111,9 +85,9 @@ def infer_dtype(values: Column) -> Column:
     """Type of an array of texts: number, date, url or string."""
     sample = F.filter(values, lambda v: v.isNotNull() & (v != ""))
     n = F.size(sample)
-    numeric = F.size(F.filter(sample, lambda v: v.rlike(r"^[-+]?[\d.,\s%$€£]+$")))
+    numeric = F.size(F.filter(sample, lambda v: v.rlike(fixed.NUMBER_LIKE)))
     dated = F.size(
-        F.filter(sample, lambda v: v.rlike(r"\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{2,4}"))
+        F.filter(sample, lambda v: v.rlike(fixed.DATED))
     )
     urls = F.size(F.filter(sample, lambda v: F.startswith(v, F.lit("http"))))
     return (

@@ -111,14 +111,17 @@ def _levels(df: DataFrame, v: str, depth: int, list_items: int | None,
 
 
 def find_record_arrays(df: DataFrame, v: str, out: str = "arrays",
-                       where: Column | None = None) -> DataFrame:
-    """Arrays of objects inside a document, the most useful first (at most 12).
+                       where: Column | None = None, depth: int = MAX_DEPTH,
+                       list_items: int | None = None, limit: int | None = None) -> DataFrame:
+    """Arrays of objects inside a document, the most useful first.
 
     Adds array<struct<path, n, keys, objects>>. An array qualifies with two or
     more objects that make up at least 60 percent of its items. Documents outside
-    `where` are not searched.
+    `where` are not searched. `depth` is the number of levels searched; only the first
+    list_items items of a list are searched, and the best `limit` arrays returned, if
+    these are given.
     """
-    df, names = _levels(df, v, MAX_DEPTH, 3, where)
+    df, names = _levels(df, v, depth, list_items, where)
 
     def found(nodes):
         opened = F.transform(
@@ -140,18 +143,8 @@ def find_record_arrays(df: DataFrame, v: str, out: str = "arrays",
             lambda a: F.struct(
                 a["path"].alias("path"),
                 F.size(a["objects"]).cast("bigint").alias("n"),
-                F.slice(
-                    F.array_sort(
-                        F.array_distinct(
-                            F.flatten(
-                                F.transform(
-                                    F.slice(a["objects"], 1, 50), lambda o: F.map_keys(as_map(o))
-                                )
-                            )
-                        )
-                    ),
-                    1,
-                    60,
+                F.array_sort(
+                    F.array_distinct(F.flatten(F.transform(a["objects"], lambda o: F.map_keys(as_map(o)))))
                 ).alias("keys"),
                 a["objects"].alias("objects"),
             ),
@@ -170,7 +163,8 @@ def find_record_arrays(df: DataFrame, v: str, out: str = "arrays",
         )
 
     every = F.concat(*[found(F.col(n)) for n in names])
-    return df.withColumn(out, F.slice(F.array_sort(every, better), 1, 12)).drop(*names)
+    best = F.array_sort(every, better)
+    return df.withColumn(out, best if limit is None else F.slice(best, 1, limit)).drop(*names)
 
 
 def records_of(df: DataFrame, v: str, path: str | None = None, out: str = "records") -> DataFrame:
@@ -209,8 +203,8 @@ def records_of(df: DataFrame, v: str, path: str | None = None, out: str = "recor
 def flatten_record(df: DataFrame, v: str, out: str = "record") -> DataFrame:
     """One nested record as a flat map<string,string>.
 
-    Objects join their names with '.', three levels deep; a list of scalars
-    becomes its first 20 values; of a list of objects only item 0 is kept.
+    Objects join their names with '.', three levels deep, and are JSON text below; a
+    list of scalars becomes its values; a list of objects stands for its item 0.
     """
     entry = "array<struct<name:string,v:variant>>"
 
@@ -257,7 +251,7 @@ def flatten_record(df: DataFrame, v: str, out: str = "record") -> DataFrame:
     def leaf(e):
         def joined(items):
             texts = F.transform(
-                F.slice(items, 1, 20),
+                items,
                 lambda x: F.coalesce(F.try_variant_get(x, "$", "string"), F.lit("")),
             )
             return F.array_join(texts, ", ")
@@ -268,7 +262,7 @@ def flatten_record(df: DataFrame, v: str, out: str = "record") -> DataFrame:
             F.when(e["items"].isNull(), scalar_text(e["v"]))
             .when(F.size(e["items"]) == 0, F.lit(None).cast("string"))
             .when(~nested, joined(e["items"]))
-            .otherwise(F.substring(F.to_json(e["v"]), 1, 500))
+            .otherwise(F.to_json(e["v"]))
             .alias("value"),
         )
 
@@ -311,7 +305,7 @@ def describe_payload(df: DataFrame, v: str, out: str = "payload") -> DataFrame:
             F.when(best["path"] != "$", best["path"]).alias("records_path"),
             F.coalesce(
                 best["keys"],
-                F.slice(F.map_keys(as_map(v)), 1, 60),
+                F.map_keys(as_map(v)),
                 F.array().cast("array<string>"),
             ).alias("keys"),
             F.coalesce(best["n"], F.size(as_array(v)).cast("bigint")).alias("n"),
@@ -349,7 +343,7 @@ def cursor_field(v) -> Column:
 
 def type_names(df: DataFrame, v: str, out: str = "types", depth: int = 8,
                where: Column | None = None) -> DataFrame:
-    """Distinct '@type' (else 'type') texts at any level, sorted, at most 25."""
+    """Distinct '@type' (else 'type') texts of the first `depth` levels, sorted."""
     df, names = _levels(df, v, depth, None, where)
 
     def of(n):
@@ -370,9 +364,7 @@ def type_names(df: DataFrame, v: str, out: str = "types", depth: int = 8,
         )
 
     every = F.concat(*[F.flatten(F.transform(F.col(n), of)) for n in names])
-    return df.withColumn(
-        out, F.slice(F.array_sort(F.array_distinct(every)), 1, 25)
-    ).drop(*names)
+    return df.withColumn(out, F.array_sort(F.array_distinct(every))).drop(*names)
 
 
 def api_score(url, keys: Column, n: Column) -> Column:

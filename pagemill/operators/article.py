@@ -61,7 +61,7 @@ def article_record(dom="dom", url="url") -> Column:
         def text_parts(m):
             return F.struct(
                 F.when(
-                    m["heading"].isNotNull(), F.substring(H.node_text(m["heading"], dom), 1, 300)
+                    m["heading"].isNotNull(), H.node_text(m["heading"], dom)
                 ).alias("title"),
                 text_between(
                     F.coalesce(m["main"]["text_from"], F.lit(0)),

@@ -10,14 +10,6 @@ from ..functions.text import any_marker, built_once, confidence, each, injection
 from ..sources import html as H
 from . import links, repeated, structured, tables
 
-# fixed values: dataset kinds a preset prefers
-PRESETS = {
-    "auto": [], "table": ["table"], "listings": ["repeated"], "article": ["article"],
-    "api": ["api"], "multipage": [], "document": ["document"],
-    "research": ["api", "table", "file"],
-}
-
-
 def page_flags(pages: DataFrame, html: str = "html") -> DataFrame:
     """Adds challenge and login_wall."""
     return pages.withColumns(
@@ -79,7 +71,7 @@ def page_profile(dom_pages: DataFrame) -> DataFrame:
     return found.withColumns(
         {
             "text_chars": text_chars.cast("bigint"),
-            "injections": injection_phrases(F.substring("page_text", 1, 20000)),
+            "injections": injection_phrases("page_text"),
             "requires_js": needs_js(
                 text_chars, F.col("html"), has_tables, has_repeated, F.col("has_embedded"),
                 F.size("apis") > 0,
@@ -124,7 +116,7 @@ def _page_options() -> Column:
         ),
     )
     by_api = F.transform(
-        F.slice("apis", 1, 5),
+        "apis",
         lambda u, i: _candidate(
             "api", F.concat(F.lit("api_"), i.cast("string")), u,
             variants.api_score(u, F.array().cast("array<string>"), F.lit(None).cast("bigint")),
@@ -214,13 +206,13 @@ def all_candidates(profile: DataFrame, content_type: str | None = None) -> DataF
         F.array(_candidate("structured", "structured_0", "Structured metadata (schema.org)", 0.62)),
     )
     embedded = F.transform(
-        F.slice("arrays", 1, 3),
+        "arrays",
         lambda a, i: _candidate(
             "api",
             F.concat_ws("_", F.lit("embedded"), F.col("ordinal").cast("string"), i.cast("string")),
             a["path"],
             F.least(F.lit(0.85), F.least(a["n"] / 60.0, F.lit(0.3)) + 0.55), a["n"],
-            F.slice(a["keys"], 1, 40),
+            a["keys"],
         ),
     )
     options = (
@@ -236,7 +228,7 @@ def rank_candidates(candidates: DataFrame, preset: str = "auto") -> DataFrame:
 
     A page has a few dozen candidates at most, so a page is a small group.
     """
-    kinds = PRESETS[preset]
+    kinds = fixed.PRESETS[preset]
     preferred = F.col("kind").isin(kinds) if kinds else F.lit(False)
     w = Window.partitionBy("page_id").orderBy(preferred.desc(), F.desc("score"), "id")
     return candidates.withColumns(
@@ -244,11 +236,13 @@ def rank_candidates(candidates: DataFrame, preset: str = "auto") -> DataFrame:
     )
 
 
-def best_per_selector(candidates: DataFrame, keep: int = fixed.MAX_REPEATED) -> DataFrame:
-    """Best candidate per (page, selector), at most `keep` per page."""
+def best_per_selector(candidates: DataFrame, keep: int | None = None) -> DataFrame:
+    """Best candidate per (page, selector); the best `keep` of a page if given."""
     one = Window.partitionBy("page_id", "selector").orderBy(F.desc("score"), F.desc("item_count"), "group_idx")
     top = Window.partitionBy("page_id").orderBy(F.desc("score"), F.desc("item_count"), "group_idx")
     first = candidates.withColumn("__r", F.row_number().over(one)).where("__r = 1")
+    if keep is None:
+        return first.drop("__r")
     return first.withColumn("__r", F.row_number().over(top)).where(F.col("__r") <= keep).drop("__r")
 
 
@@ -275,13 +269,13 @@ def _fits_selector(node: Column, selector: Column) -> Column:
     parent = H.node_at("dom", node["parent_id"])
 
     def fits(n, sel):
-        classes = F.slice(F.split(sel, r"\."), 2, 100)
+        classes = F.slice(F.split(sel, r"\."), 2, F.size(F.split(sel, r"\.")))
         return (n["tag"] == F.get(F.split(sel, r"\."), F.lit(0))) & (
             F.size(F.array_except(classes, H.class_list(n))) == 0
         )
 
     up = F.when(outer == "", True).when(
-        F.startswith(outer, F.lit("#")), parent["attrs"]["id"] == F.substring(outer, 2, 1000)
+        F.startswith(outer, F.lit("#")), F.concat(F.lit("#"), parent["attrs"]["id"]) == outer
     ).otherwise(fits(parent, outer))
     return F.coalesce(fits(node, inner) & up, F.lit(False))
 

@@ -5,58 +5,65 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import fixed, urls
-from ..functions.text import each, let, strip
+from ..functions import urls
+from ..functions.text import cut, each, let, strip
 
 
-def stop_conditions(captures: DataFrame, run: str = "run_id", page: str = "page_no",
-                    max_rows: int = 500_000) -> DataFrame:
-    """Pages of a run that are read before it stops, with the reason of the stop.
+_BLOCK = 1000  # pages whose row counts are summed before a run's blocks are
 
-    A run ends before a failed, empty or already-seen body and with the page that
-    reaches the row limit. Needs columns status, body and n_rows. Bodies are
-    reduced to digests before anything is shuffled.
-    """
-    w = Window.partitionBy(run).orderBy(page)
-    slim = captures.withColumn("__digest", F.sha2("body", 256)).drop("body")
-    # a crawl has a hard page cap; the rank limit is applied per map partition
-    slim = slim.withColumn("__nth", F.row_number().over(w)).where(
-        F.col("__nth") <= fixed.HARD_MAX_PAGES
-    )
-    # rows already sit together by run, so this window needs no exchange of its own
-    same = Window.partitionBy(run, "__digest")
-    marked = slim.withColumn("__first", F.min(page).over(same))
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    stop = (
-        F.when(F.col("status") >= 400, "error")
-        .when(F.col("n_rows") == 0, "empty")
-        .when(F.col("__first") < F.col(page), "repeated")
-    )
-    rows_before = F.coalesce(F.sum("n_rows").over(before), F.lit(0))
-    staged = marked.withColumn("__stop", stop).withColumn("rows_before", rows_before)
-    # max over a prefix: any earlier stop ends the run
-    staged = staged.withColumn(
-        "__ended", F.coalesce(F.max(F.col("__stop").isNotNull().cast("int")).over(
-            w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
-    )
-    kept = staged.where((F.col("__ended") == 0) & (F.col("rows_before") < max_rows))
-    return kept.withColumn(
-        "rows_kept", F.least(F.col("n_rows"), F.lit(max_rows) - F.col("rows_before"))
-    ).drop("__digest", "__first", "__stop", "__ended", "__nth")
 
-
-def stop_reasons(captures: DataFrame, run: str = "run_id", page: str = "page_no") -> DataFrame:
-    """(run, stop_page, reason): the first page that ended a run, if any."""
+def _marked(captures: DataFrame, run: str, page: str) -> DataFrame:
+    """(run, page, n_rows, reason): numbers only; a body travels as its digest."""
     slim = captures.select(run, page, "status", "n_rows", F.sha2("body", 256).alias("__digest"))
     first = slim.groupBy(run, "__digest").agg(F.min(page).alias("__first"))
+    first = first.toDF("__run", "__seen", "__first")
+    same = F.col(run).eqNullSafe(F.col("__run")) & F.col("__digest").eqNullSafe(F.col("__seen"))
+    seen = slim.join(first, same)
     reason = (
         F.when(F.col("status") >= 400, "error")
         .when(F.col("n_rows") == 0, "empty")
         .when(F.col("__first") < F.col(page), "repeated")
     )
-    marked = slim.join(first, [run, "__digest"]).withColumn("reason", reason).where(
-        "reason is not null"
+    return seen.select(run, page, "n_rows", reason.alias("reason"))
+
+
+def _rows_before(pages: DataFrame, run: str, page: str) -> DataFrame:
+    """(run, page, rows_before): running sums, taken within blocks of pages and over
+    the blocks of a run, so no task holds the pages of a long run."""
+    blocked = pages.withColumn("__block", F.floor(F.col(page) / _BLOCK))
+    sums = blocked.groupBy(run, "__block").agg(F.sum("n_rows").alias("__sum"))
+    earlier = Window.partitionBy(run).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(run, "__block", F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__base"))
+    own = Window.partitionBy(run, "__block").orderBy(page).rowsBetween(Window.unboundedPreceding, -1)
+    within = blocked.withColumn("__within", F.coalesce(F.sum("n_rows").over(own), F.lit(0)))
+    return within.join(sums, [run, "__block"]).select(
+        run, page, (F.col("__base") + F.col("__within")).alias("rows_before")
     )
+
+
+def stop_conditions(captures: DataFrame, run: str = "run_id", page: str = "page_no",
+                    max_rows: int | None = None) -> DataFrame:
+    """Pages of a run that are read before it stops, with rows_before and rows_kept.
+
+    A run ends before a failed, empty or already-seen body and, if max_rows is given,
+    with the page that reaches it. Needs columns status, body and n_rows; a page
+    number occurs once in a run. Only numbers are compared and summed; the pages
+    themselves meet the result once, by run and page.
+    """
+    marked = _marked(captures, run, page)
+    ends = marked.where("reason IS NOT NULL").groupBy(run).agg(F.min(page).alias("__end"))
+    read = marked.join(ends, run, "left").where(F.col("__end").isNull() | (F.col(page) < F.col("__end")))
+    counted = _rows_before(read.select(run, page, "n_rows"), run, page)
+    if max_rows is not None:
+        counted = counted.where(F.col("rows_before") < max_rows)
+    rows = F.col("n_rows")
+    kept = rows if max_rows is None else F.least(rows, F.lit(max_rows) - F.col("rows_before"))
+    return captures.drop("body").join(counted, [run, page]).withColumn("rows_kept", kept)
+
+
+def stop_reasons(captures: DataFrame, run: str = "run_id", page: str = "page_no") -> DataFrame:
+    """(run, stop_page, reason): the first page that ended a run, if any."""
+    marked = _marked(captures, run, page).where("reason IS NOT NULL")
     return marked.groupBy(run).agg(F.min(F.struct(page, "reason")).alias("s")).select(
         run, F.col(f"s.{page}").alias("stop_page"), F.col("s.reason").alias("reason")
     )
@@ -226,42 +233,46 @@ def sitemap_entries(captures: DataFrame, body: str = "body") -> DataFrame:
     )
 
 
-def sitemap_frontier(captures: DataFrame, roots: DataFrame, max_urls: int = 1000,
-                     max_sitemaps: int = 5) -> DataFrame:
+def sitemap_frontier(captures: DataFrame, roots: DataFrame, max_urls: int | None = None,
+                     max_sitemaps: int | None = None, depth: int = 10) -> DataFrame:
     """(site, ordinal, loc): page addresses reached from each site's root sitemap.
 
-    captures(url, body) holds fetched sitemaps, roots(site, url) the starting
-    points. Nested sitemaps are looked up by address, at most max_sitemaps
-    sitemaps and max_urls addresses per site, first occurrence kept.
+    captures(url, body) holds fetched sitemaps, roots(site, url) the starting points.
+    Sitemap indexes are followed level by level until none is new, at most `depth`
+    levels. With max_sitemaps or max_urls only the first ones of a site are kept.
     """
     entries = sitemap_entries(captures.select("url", "body"))
-    first = roots.select("site", "url", F.lit(0).alias("step"))
-    nested = first.join(entries.where("kind = 'sitemap'"), "url").select(
-        "site", F.col("loc").alias("url"), (F.col("ordinal") + 1).alias("step")
-    )
-    w = Window.partitionBy("site").orderBy("step", "url")
-    visited = (
-        first.unionAll(nested)
-        .groupBy("site", "url").agg(F.min("step").alias("step"))
-        .where(urls.is_allowed("url"))
-        .withColumn("nth", F.row_number().over(w))
-        .where(F.col("nth") <= max_sitemaps)
-    )
+    index = entries.where("kind = 'sitemap'")
+    seen = roots.select("site", "url", F.array(F.lit(0)).alias("step"))
+    level = seen
+    for _ in range(depth):
+        deeper = level.join(index, "url").select(
+            "site", F.col("loc").alias("url"), F.concat("step", F.array(F.col("ordinal") + 1)).alias("step")
+        )
+        level = deeper.groupBy("site", "url").agg(F.min("step").alias("step")).join(
+            seen.select("site", "url"), ["site", "url"], "left_anti"
+        )
+        if level.isEmpty():
+            break
+        seen = seen.unionAll(level)
+    first = seen.groupBy("site", "url").agg(F.min(F.struct(F.size("step"), "step")).alias("step"))
+    visited = first.where(urls.is_allowed("url"))
+    nth = F.row_number().over(Window.partitionBy("site").orderBy("step", "url"))
+    if max_sitemaps is not None:
+        visited = visited.withColumn("__nth", nth).where(F.col("__nth") <= max_sitemaps).drop("__nth")
     pages = (
         visited.join(entries.where("kind = 'page'"), "url")
         .groupBy("site", "loc")
-        .agg(F.min(F.struct("nth", "ordinal")).alias("at"))
+        .agg(F.min(F.struct("step", "url", "ordinal")).alias("at"))
     )
     order = Window.partitionBy("site").orderBy("at", "loc")
-    return (
-        pages.withColumn("ordinal", F.row_number().over(order))
-        .where(F.col("ordinal") <= max_urls)
-        .select("site", "ordinal", "loc")
-    )
+    placed = pages.withColumn("ordinal", F.row_number().over(order)).select("site", "ordinal", "loc")
+    return placed if max_urls is None else placed.where(F.col("ordinal") <= max_urls)
 
 
-def feed_entries(captures: DataFrame, body: str = "body") -> DataFrame:
-    """RSS/Atom entries: (..., ordinal, title, link, published, author, summary, id)."""
+def feed_entries(captures: DataFrame, body: str = "body", max_summary: int | None = None) -> DataFrame:
+    """RSS/Atom entries: (..., ordinal, title, link, published, author, summary, id).
+    Summaries are whole unless max_summary is given."""
     kept = [c for c in captures.columns if c != body]
     items = F.regexp_extract_all(
         F.col(body), F.lit(r"(?is)(<(?:\w+:)?(?:item|entry)\b.*?</(?:\w+:)?(?:item|entry)\s*>)"), F.lit(1)
@@ -290,9 +301,7 @@ def feed_entries(captures: DataFrame, body: str = "body") -> DataFrame:
         F.when(link != "", link).otherwise(_entity_text(atom_link)).alias("link"),
         tag("pubDate", "published", "date", "updated").alias("published"),
         F.when(person != "", person).otherwise(author).alias("author"),
-        strip(
-            F.substring(F.regexp_replace(tag("description", "summary", "content"), "<[^>]+>", " "), 1, 1000)
-        ).alias("summary"),
+        strip(cut(F.regexp_replace(tag("description", "summary", "content"), "<[^>]+>", " "), max_summary)).alias("summary"),
         tag("guid", "id").alias("id"),
     )
 
@@ -303,7 +312,7 @@ def feed_entries(captures: DataFrame, body: str = "body") -> DataFrame:
 def page_urls(plans: DataFrame, template: str = "template", start: str = "start",
               step: str = "step", max_pages: str = "max_pages") -> DataFrame:
     """(..., page_index, page_url): the addresses a pagination plan stands for."""
-    n = F.greatest(F.least(F.col(max_pages), F.lit(fixed.HARD_MAX_PAGES)), F.lit(1))
+    n = F.greatest(F.col(max_pages), F.lit(1))
     kept = plans.columns
     return (
         plans.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), n.cast("bigint") - 1)).alias("page_index"))
@@ -319,14 +328,10 @@ def page_urls(plans: DataFrame, template: str = "template", start: str = "start"
 
 
 def crawl_frontier(urls_df: DataFrame, run: str, url: str, order: str,
-                   max_pages: int = fixed.HARD_MAX_PAGES) -> DataFrame:
-    """Distinct allowed addresses of each run in first-seen order, capped.
-
-    Duplicates fold before the exchange; the cap is a rank limit, which Spark
-    applies per map partition before sorting a run.
-    """
+                   max_pages: int | None = None) -> DataFrame:
+    """Distinct allowed addresses of each run in first-seen order; the first max_pages
+    of them if that is given. Duplicates fold before the exchange."""
     distinct = urls_df.groupBy(run, url).agg(F.min(order).alias(order)).where(urls.is_allowed(url))
     w = Window.partitionBy(run).orderBy(order, url)
-    return distinct.withColumn("position", F.row_number().over(w)).where(
-        F.col("position") <= max_pages
-    )
+    placed = distinct.withColumn("position", F.row_number().over(w))
+    return placed if max_pages is None else placed.where(F.col("position") <= max_pages)

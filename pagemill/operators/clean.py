@@ -5,7 +5,7 @@ The input frame is never changed; texts that did not convert stay in `<c>__raw`.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,17 +44,38 @@ def change_counts(df: DataFrame, changes: dict[str, Column]) -> DataFrame:
     return counts.unpivot([], list(changes), "column", "changed_cells")
 
 
+def _per_column(df: DataFrame, measures: dict[str, dict[str, Column]]) -> DataFrame:
+    """(column, measure...) from one aggregate over the frame, without an exchange of
+    its cells."""
+    if not measures:
+        raise ValueError("no columns to measure")
+    names = list(next(iter(measures.values())))
+    one = df.agg(*[F.struct(*[m.alias(n) for n, m in own.items()]).alias(c) for c, own in measures.items()])
+    rows = F.array(*[F.struct(F.lit(c).alias("column"), *[F.col(f"`{c}`")[n].alias(n) for n in names]) for c in measures])
+    return one.select(F.explode(rows).alias("r")).select("r.*")
+
+
+def with_numbers(df: DataFrame, columns: list[str], of=F.col) -> DataFrame:
+    """Adds `__number_<c>`, the number that the text of a column is; null if it is none."""
+    df = df.withColumns({f"__body_{c}": values.number_body(of(c)) for c in columns})
+    df = df.withColumns({f"__number_{c}": values.number_value(F.col(f"__body_{c}"), of(c)) for c in columns})
+    return df.drop(*[f"__body_{c}" for c in columns])
+
+
+def number_measures(c: str, own: Column) -> dict[str, Column]:
+    missing = own.isNull() | text.strip(own).isin(fixed.MISSING_TOKENS)
+    number = F.col(f"__number_{c}")
+    return {
+        "cells": F.count("*"),
+        "failures": F.count_if(~missing & number.isNull()),
+        "converted": F.count(number),
+        "percent_cells": F.count_if(F.contains(own, F.lit("%"))),
+    }
+
+
 def number_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, cells, failures, converted, percent_cells) for text columns."""
-    cells = unpivot(df, columns).withColumn("body", values.number_body("value"))
-    cells = cells.withColumn("number", values.number_value(F.col("body"), "value"))
-    missing = F.col("value").isNull() | text.strip("value").isin(fixed.MISSING_TOKENS)
-    return cells.groupBy("column").agg(
-        F.count("*").alias("cells"),
-        F.count_if(~missing & F.col("number").isNull()).alias("failures"),
-        F.count("number").alias("converted"),
-        F.count_if(F.contains("value", F.lit("%"))).alias("percent_cells"),
-    )
+    return _per_column(with_numbers(df, columns), {c: number_measures(c, F.col(c)) for c in columns})
 
 
 def convertible(stats: DataFrame, percentages: bool) -> dict[str, bool]:
@@ -68,9 +89,9 @@ def convertible(stats: DataFrame, percentages: bool) -> dict[str, bool]:
 
 
 def numeric_conversion(df: DataFrame, columns: list[str] | None = None, percentages: bool = False,
-                       keep_raw: bool = True, row_id: str | None = None) -> DataFrame:
+                       keep_raw: bool = True) -> DataFrame:
     """Text to numbers; a column with more than half failures stays text."""
-    columns = columns or numeric_candidates(df, row_id)
+    columns = columns or numeric_candidates(df)
     if not columns:
         return df
     chosen = convertible(number_stats(df, columns), percentages)
@@ -79,73 +100,65 @@ def numeric_conversion(df: DataFrame, columns: list[str] | None = None, percenta
 
 def to_numbers(df: DataFrame, chosen: dict[str, bool], keep_raw: bool = True) -> DataFrame:
     """Lazy part of the conversion: {column: divide by 100}."""
-    bodies = {f"__body_{c}": values.number_body(c) for c in chosen}
-    raw = {f"{c}__raw": F.col(c) for c in chosen} if keep_raw else {}
-    df = df.withColumns({**bodies, **raw}) if bodies else df
+    if not chosen:
+        return df
+    df = with_numbers(df, list(chosen))
     new = {}
     for c, percent in chosen.items():
-        number = values.number_value(F.col(f"__body_{c}"), c)
+        number = F.col(f"__number_{c}")
         new[c] = number / 100.0 if percent else number
-    df = df.withColumns(new) if new else df
-    if keep_raw:
-        df = df.withColumns(
-            {
-                f"{c}__raw": F.when(
-                    F.col(c).isNull() & ~text.strip(f"{c}__raw").isin(fixed.MISSING_TOKENS),
-                    F.col(f"{c}__raw"),
-                )
-                for c in chosen
-            }
-        )
-    return df.drop(*bodies)
-
-
-def _first_texts(df: DataFrame, columns: list[str], row_id: str, n: int) -> DataFrame:
-    """First n non-null texts of every column. The rank filter is applied per
-    map partition before the exchange (window group limit)."""
-    cells = unpivot(df, columns, [row_id]).where("value is not null")
-    w = Window.partitionBy("column").orderBy(row_id)
-    return cells.withColumn("__rank", F.row_number().over(w)).where(F.col("__rank") <= n)
-
-
-def numeric_shares(df: DataFrame, row_id: str) -> DataFrame:
-    """(column, share, is_candidate) over the first 200 texts of each column."""
-    names = [c for c in text_columns(df) if not c.startswith("_")]
-    return (
-        _first_texts(df, names, row_id, 200)
-        .groupBy("column")
-        .agg(F.avg(values.looks_numeric("value").cast("int")).alias("share"))
-        .withColumn("is_candidate", F.col("share") >= 0.7)
-    )
+        if keep_raw:
+            failed = number.isNull() & ~text.strip(c).isin(fixed.MISSING_TOKENS)
+            new[f"{c}__raw"] = F.when(failed, F.col(c))
+    return df.withColumns(new).drop(*[f"__number_{c}" for c in chosen])
 
 
-def numeric_candidates(df: DataFrame, row_id: str) -> list[str]:
-    return sorted(r["column"] for r in numeric_shares(df, row_id).where("is_candidate").collect())
+DATE_NAME = "date|time|published|updated|تاريخ"
 
 
-def date_shares(df: DataFrame, row_id: str) -> DataFrame:
-    names = [c for c in text_columns(df) if not c.startswith("_")]
-    named = F.lower("column").rlike("date|time|published|updated|تاريخ")
-    return (
-        _first_texts(df, names, row_id, 100)
-        .groupBy("column")
-        .agg(F.avg(values.looks_date("value").cast("int")).alias("share"))
-        .withColumn("is_candidate", (F.col("share") >= 0.6) | named)
+def share(test: Column, own: Column) -> Column:
+    """Share of the non-null texts that pass a test, over all rows."""
+    return F.avg(F.when(own.isNotNull(), F.coalesce(test, F.lit(False)).cast("int")))
+
+
+def _own_texts(df: DataFrame) -> list[str]:
+    return [c for c in text_columns(df) if not c.startswith("_")]
+
+
+def numeric_shares(df: DataFrame) -> DataFrame:
+    """(column, share, is_candidate) of text columns, over all their texts."""
+    found = {c: {"share": share(values.looks_numeric(c), F.col(c))} for c in _own_texts(df)}
+    return _per_column(df, found).where("share IS NOT NULL").withColumn("is_candidate", F.col("share") >= 0.7)
+
+
+def numeric_candidates(df: DataFrame) -> list[str]:
+    return sorted(r["column"] for r in numeric_shares(df).where("is_candidate").collect()) if _own_texts(df) else []
+
+
+def date_shares(df: DataFrame) -> DataFrame:
+    """(column, share, is_candidate) of text columns, over all their texts."""
+    found = {c: {"share": share(values.looks_date(c), F.col(c))} for c in _own_texts(df)}
+    named = F.lower("column").rlike(DATE_NAME)
+    return _per_column(df, found).where("share IS NOT NULL").withColumn(
+        "is_candidate", (F.col("share") >= 0.6) | named
     )
 
 
-def date_candidates(df: DataFrame, row_id: str) -> list[str]:
-    return sorted(r["column"] for r in date_shares(df, row_id).where("is_candidate").collect())
+def date_candidates(df: DataFrame) -> list[str]:
+    return sorted(r["column"] for r in date_shares(df).where("is_candidate").collect()) if _own_texts(df) else []
+
+
+def date_measures(own: Column, parsed: Column) -> dict[str, Column]:
+    return {
+        "cells": F.count("*"), "parsed": F.count(parsed),
+        "failures": F.count_if(own.isNotNull() & parsed.isNull()),
+    }
 
 
 def date_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, cells, parsed, failures)."""
-    cells = unpivot(df, columns).withColumn("parsed", values.parse_date("value"))
-    return cells.groupBy("column").agg(
-        F.count("*").alias("cells"),
-        F.count("parsed").alias("parsed"),
-        F.count_if(F.col("value").isNotNull() & F.col("parsed").isNull()).alias("failures"),
-    )
+    df = df.withColumns({f"__date_{c}": values.parse_date(c) for c in columns})
+    return _per_column(df, {c: date_measures(F.col(c), F.col(f"__date_{c}")) for c in columns})
 
 
 def parse_dates(df: DataFrame, columns: list[str], keep_raw: bool = True) -> DataFrame:
@@ -158,23 +171,24 @@ def parse_dates(df: DataFrame, columns: list[str], keep_raw: bool = True) -> Dat
 
 
 def to_dates(df: DataFrame, columns: list[str], keep_raw: bool = True) -> DataFrame:
-    new = {c: values.parse_date(c) for c in columns}
-    if keep_raw:
-        new.update(
-            {f"{c}__raw": F.when(values.parse_date(c).isNull(), F.col(c)) for c in columns}
-        )
-    return df.withColumns(new) if new else df
+    if not columns:
+        return df
+    df = df.withColumns({f"__date_{c}": values.parse_date(c) for c in columns})
+    raw = {f"{c}__raw": F.when(F.col(f"__date_{c}").isNull(), F.col(c)) for c in columns} if keep_raw else {}
+    df = df.withColumns({**raw, **{c: F.col(f"__date_{c}") for c in columns}})
+    return df.drop(*[f"__date_{c}" for c in columns])
+
+
+def yes_or_no(c: Column) -> Column:
+    return F.lower(text.strip(c)).isin(fixed.TRUE_WORDS + fixed.FALSE_WORDS)
 
 
 def boolean_columns(df: DataFrame) -> list[str]:
     """Text columns whose every value is a yes/no word."""
-    names = [c for c in text_columns(df) if not c.startswith("_")]
+    names = _own_texts(df)
     if not names:
         return []
-    words = fixed.TRUE_WORDS + fixed.FALSE_WORDS
-    checks = df.agg(
-        *[F.bool_and(F.lower(text.strip(c)).isin(words)).alias(c) for c in names]
-    ).first()
+    checks = df.agg(*[F.bool_and(yes_or_no(F.col(c))).alias(c) for c in names]).first()
     return [c for c in names if checks[c]]
 
 
@@ -203,31 +217,25 @@ def normalize_categories(df: DataFrame, columns: list[str] | None = None) -> Dat
     return trim_whitespace(df, names) if names else df
 
 
+def spread_of(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:
+    """Mean and population deviation of the columns with 8 values or more and any
+    spread, from one aggregate: a row of three numbers for each column."""
+    found = _per_column(df, {
+        c: {"n": F.count(c), "mean": F.avg(c), "sd": F.stddev_pop(c)} for c in columns
+    }).collect() if columns else []
+    return {r["column"]: (r["mean"], r["sd"]) for r in found if r["n"] >= 8 and r["sd"] and r["sd"] > 0}
+
+
 def flag_outliers(df: DataFrame, columns: list[str] | None = None, z: float = 3.0) -> DataFrame:
-    """Adds `<c>_outlier_flag`: more than z population deviations from the mean.
-
-    Mean and deviation come from one scalar subquery over the frame; no row is
-    dropped, missing values are not outliers.
-    """
-    columns = columns or numeric_columns(df)
-    stats = df.agg(
-        F.struct(
-            *[
-                F.struct(
-                    F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("sd")
-                ).alias(c)
-                for c in columns
-            ]
-        ).alias("s")
-    ).scalar()
-    flags = {}
-    for c in columns:
-        s = stats[c]
-        usable = (s["n"] >= 8) & (s["sd"] > 0)
-        flags[f"{c}_outlier_flag"] = F.coalesce(
-            usable & (F.abs(F.col(c) - s["mean"]) / s["sd"] > z), F.lit(False)
-        )
-    return df.withColumns(flags)
+    """Adds `<c>_outlier_flag`: more than z population deviations from the mean. A
+    column with fewer than 8 values or without spread gets no flag. No row is dropped;
+    missing values are not outliers."""
+    spread = spread_of(df, columns or numeric_columns(df))
+    flags = {
+        f"{c}_outlier_flag": F.coalesce(F.abs(F.col(c) - F.lit(mean)) / F.lit(sd) > z, F.lit(False))
+        for c, (mean, sd) in spread.items()
+    }
+    return df.withColumns(flags) if flags else df
 
 
 def row_fingerprint(df: DataFrame, columns: list[str] | None = None) -> Column:

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_ILLEGAL = re.compile("[^0-9a-zA-Z_؀-ۿ]+")
+from ..functions import fixed
+
+_LETTERS = re.compile(fixed.NAME_CHARACTERS)
+MAX_NAME = 64
 
 
 def data_columns(df: DataFrame) -> list[str]:
@@ -17,23 +21,22 @@ def data_columns(df: DataFrame) -> list[str]:
 
 
 def safe_name(name: str, index: int = 0) -> str:
-    raw = str(name).strip()
-    clean = re.sub("_+", "_", _ILLEGAL.sub("_", raw).strip("_")) or f"column_{index}"
-    if clean[0].isdigit():
-        clean = "c_" + clean
-    return (("_" if raw.startswith("_") else "") + clean)[:64]
+    """The runs of allowed characters, joined by single underscores. A leading mark of
+    provenance stays; a name may not begin with a digit or be empty."""
+    body = "_".join(_LETTERS.findall(name)) or f"column_{index}"
+    marks = "_" * name.strip().startswith("_") + "c_" * body[0].isdigit()
+    return (marks + body)[:MAX_NAME]
 
 
 def standardize_columns(df: DataFrame, lower: bool = True) -> tuple[DataFrame, dict[str, str]]:
-    """Safe unique column names, and the old -> new map."""
-    names: list[str] = []
-    for i, c in enumerate(df.columns):
-        base = safe_name(c, i)
-        base = base.lower() if lower else base
-        name, n = base, 2
-        while name in names:
-            name, n = f"{base}_{n}", n + 1
-        names.append(name)
+    """Safe unique column names, and the old -> new map. The second and later columns
+    of a name are numbered from 2, past names that are taken."""
+    bases = [safe_name(c, i) for i, c in enumerate(df.columns)]
+    bases = [b.lower() for b in bases] if lower else bases
+    names: dict[str, None] = {}
+    for base in bases:
+        numbered = itertools.chain([base], (f"{base}_{n}" for n in itertools.count(2)))
+        names[next(n for n in numbered if n not in names)] = None
     return df.toDF(*names), dict(zip(df.columns, names))
 
 
@@ -121,8 +124,8 @@ def infer_dtypes(df: DataFrame, columns: list[str]) -> DataFrame:
     cells = unpivot(df, columns).where("value is not null and value <> ''")
     v = F.col("value")
     shares = cells.groupBy("column").agg(
-        F.avg(v.rlike(r"^[-+]?[\d.,\s%$€£]+$").cast("int")).alias("numeric"),
-        F.avg(v.rlike(r"\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{2,4}").cast("int")).alias("dated"),
+        F.avg(v.rlike(fixed.NUMBER_LIKE).cast("int")).alias("numeric"),
+        F.avg(v.rlike(fixed.DATED).cast("int")).alias("dated"),
         F.avg(F.startswith(v, F.lit("http")).cast("int")).alias("urls"),
     )
     names = [x for x in columns]
@@ -139,13 +142,17 @@ def infer_dtypes(df: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
-def provenance_rows(manifest: DataFrame) -> DataFrame:
-    """A one-row manifest as (field, value) rows, nested values as JSON."""
+def provenance_rows(manifest: DataFrame, max_chars: int | None = None) -> DataFrame:
+    """A one-row manifest as (field, value) rows, nested values as JSON, whole unless
+    max_chars is given."""
+    def cut(c):
+        return c if max_chars is None else F.substring(c, 1, max_chars)
+
     nested = (T.StructType, T.ArrayType, T.MapType)
     cells = [
         F.struct(
             F.lit(f.name).alias("field"),
-            (F.substring(F.to_json(f.name), 1, 2000) if isinstance(f.dataType, nested)
+            (cut(F.to_json(f.name)) if isinstance(f.dataType, nested)
              else F.col(f.name).cast("string")).alias("value"),
         )
         for f in manifest.schema

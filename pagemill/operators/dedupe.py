@@ -3,30 +3,45 @@ side and a value held by a third of all rows never travels as such."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import urls
 from .columns import data_columns
 
 
+def _comparable(field: T.StructField) -> Column:
+    """A column as a value that can be hashed: maps by their sorted entries, variants
+    by their text."""
+    c = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, T.MapType):
+        return F.array_sort(F.map_entries(c))
+    if isinstance(field.dataType, T.VariantType):
+        return F.to_json(c)
+    return c
+
+
+def key_digest(df: DataFrame, keys: list[str]) -> list[Column]:
+    """128 bits that stand for the key columns; a null equals a null."""
+    fields = {f.name: f for f in df.schema}
+    parts = [x for k in keys for x in (F.col(f"`{k}`").isNull(), _comparable(fields[k]))]
+    return [F.xxhash64(*parts).alias("__a"), F.xxhash64(F.lit(1), *parts).alias("__b")]
+
+
 def drop_duplicates(df: DataFrame, row_id: str, subset: list[str] | None = None) -> DataFrame:
     """First row (by row_id) of every key; provenance does not count, nulls are
-    equal. row_id itself is not part of the default key."""
+    equal. row_id itself is not part of the default key. Rows are grouped by a digest
+    of the key, so columns of any type may be part of the row."""
     keys = subset or [c for c in data_columns(df) if c != row_id]
-    rest = [c for c in df.columns if c not in keys and c != row_id]
-    if not rest:
-        kept = df.groupBy(*keys).agg(F.min(row_id).alias(row_id))
-    else:
-        # the order column leads the struct, so min() picks the first row whole
-        first = F.min(F.struct(row_id, *rest)).alias("__first")
-        kept = df.groupBy(*keys).agg(first).select(*keys, "__first.*")
-    return kept.select(*df.columns)
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    first = F.min_by(row, F.struct(F.col(row_id).isNull(), row_id)).alias("__first")
+    return df.groupBy(*key_digest(df, keys)).agg(first).select("__first.*")
 
 
 def count_duplicates(df: DataFrame, subset: list[str] | None = None) -> DataFrame:
     """One row: rows, distinct rows and rows beyond the first of their key."""
-    groups = df.groupBy(*(subset or data_columns(df))).agg(F.count("*").alias("n"))
+    groups = df.groupBy(*key_digest(df, subset or data_columns(df))).agg(F.count("*").alias("n"))
     return groups.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"),
         F.count("*").alias("distinct_rows"),
@@ -59,7 +74,7 @@ def dedupe_content(df: DataFrame, body: str, row_id: str) -> DataFrame:
 
 def repeated_values(df: DataFrame, column: str) -> DataFrame:
     """One row: values beyond the first in a column that should be unique."""
-    groups = df.groupBy(column).agg(F.count("*").alias("n"))
+    groups = df.groupBy(*key_digest(df, [column])).agg(F.count("*").alias("n"))
     return groups.agg(
         F.lit(column).alias("column"),
         F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("repeated_values"),

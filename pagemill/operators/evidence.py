@@ -99,17 +99,18 @@ def check_records(records: DataFrame, pages: DataFrame, columns: list[str],
 
 
 def evidence_ratio(claims: DataFrame, pages: DataFrame, proposal: str = "proposal_id",
-                   threshold: float = 0.5) -> DataFrame:
-    """(proposal, n_values, ratio, accepted): share of non-blank values whose
-    first 80 characters occur in the page."""
+                   threshold: float = 0.5, max_chars: int | None = None) -> DataFrame:
+    """(proposal, n_values, ratio, accepted): share of non-blank values that occur in
+    the page, whole or, if asked, by their first max_chars characters. A proposal
+    without a value has ratio 0."""
     facts = pages.select("page_id", normalize_evidence("text").alias("__hay"))
-    values = claims.withColumn("__v", strip(F.col("value").cast("string"))).where("__v <> ''")
+    values = claims.withColumn("__v", F.lower(strip(F.coalesce(F.col("value").cast("string"), F.lit("")))))
     joined = values.join(facts, "page_id", "left")
-    hit = F.coalesce(
-        F.contains("__hay", F.substring(F.lower("__v"), 1, 80)), F.lit(False)
-    )
+    asked = F.col("__v") if max_chars is None else F.substring("__v", 1, max_chars)
+    hit = F.coalesce(F.contains("__hay", asked), F.lit(False)).cast("int")
+    given = F.col("__v") != ""
     return joined.groupBy(proposal).agg(
-        F.count("*").alias("n_values"), F.avg(hit.cast("int")).alias("ratio")
+        F.count_if(given).alias("n_values"), F.coalesce(F.avg(F.when(given, hit)), F.lit(0.0)).alias("ratio")
     ).withColumn("accepted", F.col("ratio") >= threshold)
 
 

@@ -49,17 +49,17 @@ def distinct_page_links(dom_pages: DataFrame, dom: str = "dom") -> DataFrame:
     )
 
 
-def internal_array(links: Column, limit: int = fixed.MAX_INTERNAL_LINKS) -> Column:
+def internal_array(links: Column, limit: int | None = None) -> Column:
     """Distinct allowed addresses on the page's own site, in page order."""
     own = F.filter(
         F.array_distinct(F.transform(links, lambda l: l["url"])),
         lambda u: urls.same_site(u, F.col("url")) & urls.is_allowed(u),
     )
-    return F.slice(own, 1, limit)
+    return own if limit is None else F.slice(own, 1, limit)
 
 
 def internal_links(dom_pages: DataFrame, dom: str = "dom",
-                   limit: int = fixed.MAX_INTERNAL_LINKS) -> DataFrame:
+                   limit: int | None = None) -> DataFrame:
     return each(dom_pages, internal_array(link_array(dom), limit), "ordinal", "link").select(
         "page_id", "url", "ordinal", "link"
     )
@@ -76,7 +76,7 @@ def file_array(links: Column) -> Column:
     documents = sorted(set(fixed.DOCUMENT_EXTENSIONS.values()))
 
     def entry(first):
-        label = F.substring(strip(F.coalesce(first["text"], F.lit(""))), 1, 120)
+        label = strip(F.coalesce(first["text"], F.lit("")))
         return F.struct(
             first["url"].alias("url"),
             first["format"].alias("format"),
@@ -97,7 +97,7 @@ def file_links(dom_pages: DataFrame, dom: str = "dom") -> DataFrame:
 
 @built_once
 def feed_array(html="html", base="url") -> Column:
-    """Feed addresses declared by <link> tags, distinct, at most ten."""
+    """Feed addresses declared by <link> tags, distinct."""
     tags = F.regexp_extract_all(F.col(html), F.lit(r"(?i)(<link[^>]+>)"), F.lit(1))
     typed = F.filter(
         tags,
@@ -110,7 +110,7 @@ def feed_array(html="html", base="url") -> Column:
             F.col(base), F.regexp_extract(t, r"(?i)href\s*=\s*[\"']([^\"']+)[\"']", 1)
         ),
     )
-    return F.slice(F.array_distinct(F.filter(full, urls.is_allowed)), 1, 10)
+    return F.array_distinct(F.filter(full, urls.is_allowed))
 
 
 def feed_links(pages: DataFrame) -> DataFrame:
@@ -119,14 +119,14 @@ def feed_links(pages: DataFrame) -> DataFrame:
 
 @built_once
 def api_url_array(html="html", base="url") -> Column:
-    """Endpoint-like URLs quoted in the page, absolute, distinct, at most 25."""
+    """Endpoint-like URLs quoted in the page, absolute, distinct."""
     raw = F.regexp_extract_all(F.col(html), F.lit(fixed.API_URL_IN_SCRIPT), F.lit(1))
     full = F.transform(raw, lambda u: urls.resolve_url(F.col(base), u))
     good = F.filter(
         full,
         lambda u: urls.is_http(u) & u.rlike(fixed.API_PATH_HINT) & urls.is_allowed(u),
     )
-    return F.slice(F.array_distinct(good), 1, 25)
+    return F.array_distinct(good)
 
 
 def api_urls(pages: DataFrame) -> DataFrame:

@@ -1,20 +1,20 @@
 """Profile, data dictionary, validation and drift.
 
-Everything that needs distinct values starts from a *value census*: the frame
-unpivoted to (column, value) and counted. Counting runs partially before the
-exchange, so repeated values and nulls collapse early, and one pass serves
-missing, distinct, example, extremes and top values of all columns.
+Counts, extremes and examples of all columns come from one aggregate. Distinct values
+are counted by digests. Only top values need a *value census*: the frame unpivoted to
+(column, value) and counted, which folds repeated values before the exchange.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import fixed, values
+from ..functions.text import cut
 from .clean import numeric_columns
 from .columns import unpivot
 from .dedupe import count_duplicates
@@ -39,37 +39,58 @@ def _lookup(table: dict[str, str], key: str = "column") -> Column:
     return F.create_map(*[F.lit(x) for kv in table.items() for x in kv])[F.col(key)]
 
 
-def profile_columns(df: DataFrame, row_id: str, columns: list[str] | None = None) -> DataFrame:
+def profile_columns(df: DataFrame, row_id: str, columns: list[str] | None = None,
+                    example_chars: int | None = None) -> DataFrame:
     """One row per column: dtype, missing, missing_pct, n_unique, example, and
-    min/max/mean of numbers or first/last of dates."""
+    min/max/mean of numbers or first/last of dates. Examples are whole unless
+    example_chars is given.
+
+    All but the distinct counts come from one aggregate without an exchange of cells;
+    a distinct value travels as a digest of 16 bytes.
+    """
     names = columns or df.columns
     numeric = [c for c in numeric_columns(df) if c in names]
     dates = [
         f.name for f in df.schema
         if f.name in names and isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType))
     ]
-    census = value_census(df, row_id, names)
-    present = F.col("value").isNotNull()
-    number = F.when(F.col("column").isin(numeric), F.col("value").try_cast("double"))
-    date = F.when(F.col("column").isin(dates), F.col("value"))
-    stats = census.groupBy("column").agg(
-        F.sum("n").alias("n_rows"),
-        F.coalesce(F.sum(F.when(~present, F.col("n"))), F.lit(0)).alias("missing"),
-        F.count_if(present).alias("n_unique"),
-        F.min_by("value", F.when(present, F.col("first_row"))).alias("example"),
-        F.min(number).alias("min_value"),
-        F.max(number).alias("max_value"),
-        (F.sum(number * F.col("n")) / F.sum(F.when(present, F.col("n")))).alias("mean_value"),
-        F.min(date).alias("first_date"),
-        F.max(date).alias("last_date"),
-    )
-    return stats.select(
+    none = {"double": F.lit(None).cast("double"), "string": F.lit(None).cast("string")}
+
+    def measured(c):
+        own = F.col(f"`{c}`")
+        number, date = own.cast("double"), own.cast("string")
+        return F.struct(
+            F.count("*").alias("n_rows"),
+            F.count_if(own.isNull()).alias("missing"),
+            F.min_by(date, F.when(own.isNotNull(), F.col(row_id))).alias("example"),
+            (F.min(number) if c in numeric else F.max(none["double"])).alias("min_value"),
+            (F.max(number) if c in numeric else F.max(none["double"])).alias("max_value"),
+            (F.avg(number) if c in numeric else F.max(none["double"])).alias("mean_value"),
+            (F.min(date) if c in dates else F.max(none["string"])).alias("first_date"),
+            (F.max(date) if c in dates else F.max(none["string"])).alias("last_date"),
+        )
+
+    one = df.agg(*[measured(c).alias(c) for c in names])
+    stats = one.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), *[F.col(f"`{c}`")[k].alias(k) for k in (
+            "n_rows", "missing", "example", "min_value", "max_value", "mean_value", "first_date", "last_date")])
+        for c in names
+    ])).alias("s")).select("s.*")
+    digests = F.array(*[
+        F.when(F.col(f"`{c}`").isNotNull(), F.struct(
+            F.lit(c).alias("column"), F.xxhash64(F.col(f"`{c}`").cast("string")).alias("a"),
+            F.xxhash64(F.lit(1), F.col(f"`{c}`").cast("string")).alias("b"),
+        )) for c in names
+    ])
+    distinct = df.select(F.explode(F.array_compact(digests)).alias("d")).select("d.*").distinct()
+    unique = distinct.groupBy("column").agg(F.count("*").alias("n_unique"))
+    return stats.join(unique, "column", "left").select(
         "column",
         _lookup(_dtype(df)).alias("dtype"),
         "n_rows", "missing",
         F.bround(F.col("missing") * 100.0 / F.col("n_rows"), 2).alias("missing_pct"),
-        "n_unique",
-        F.substring(F.coalesce("example", F.lit("")), 1, 60).alias("example"),
+        F.coalesce("n_unique", F.lit(0)).alias("n_unique"),
+        cut(F.coalesce("example", F.lit("")), example_chars).alias("example"),
         "min_value", "max_value", F.bround("mean_value", 4).alias("mean_value"),
         "first_date", "last_date",
     )
@@ -115,23 +136,24 @@ def profile_frame(df: DataFrame, row_id: str, failures: dict[str, int] | None =
         F.array(
             F.when(
                 F.size("constant_columns") > 0,
-                F.concat(F.lit("Constant columns (one value only): "),
-                         F.array_join(F.slice("constant_columns", 1, 6), ", ")),
+                F.concat(F.lit("One value only in: "),
+                         F.array_join("constant_columns", ", ")),
             ),
             F.when(
                 F.col("duplicate_rows") > 0,
                 F.concat(F.format_number("duplicate_rows", 0),
-                         F.lit(" duplicate rows detected (not removed automatically).")),
+                         F.lit(" rows repeat another row; none was removed.")),
             ),
             F.when(
                 F.lit(fails > 0),
-                F.lit(f"{fails:,} values could not be converted and were left unchanged."),
+                F.lit(f"{fails:,} cells were not converted and kept as text."),
             ),
         )
     )
     return report.withColumns(
         {
             "conversion_failures": F.lit(fails).cast("bigint"),
+            "failures": F.create_map(*[F.lit(x) for kv in sorted((failures or {}).items()) for x in kv]).cast("map<string,bigint>"),
             "schema_drift": F.array(*[F.lit(x) for x in drift or []]).cast("array<string>"),
             "warnings": warnings,
         }
@@ -154,11 +176,18 @@ class Field:
 
 
 def data_dictionary(df: DataFrame, row_id: str, fields: list[Field] = (), source_url: str = "",
-                    method: str = "", columns: list[str] | None = None) -> DataFrame:
-    """One row per variable: what it is, where its name comes from, how complete."""
-    stats = profile_columns(df, row_id, columns)
+                    method: str = "", columns: list[str] | None = None,
+                    labels: dict[str, str] | None = None, notes: dict[str, str] | None = None,
+                    example_chars: int = 80) -> DataFrame:
+    """One row per variable: what it is, where its name comes from, how complete.
+    `labels` and `notes` replace those of the specification."""
+    stats = profile_columns(df, row_id, columns, example_chars)
+    labels, notes = labels or {}, notes or {}
+    fields = {f.name: f for f in fields}
+    fields.update({c: Field(c) for c in {*labels, *notes} if c not in fields})
     spec = df.sparkSession.createDataFrame(
-        [(f.name, f.label, f.name_source, f.notes) for f in fields],
+        [(f.name, labels.get(f.name, f.label), f.name_source if f.dtype or f.label or f.notes or f.name_source != "heuristic"
+          else "source_native", notes.get(f.name, f.notes)) for f in fields.values()],
         "column string, spec_label string, spec_source string, spec_notes string",
     )
     # the specification is the caller's short list, a literal relation
@@ -168,7 +197,7 @@ def data_dictionary(df: DataFrame, row_id: str, fields: list[Field] = (), source
         F.col("column").alias("variable"),
         F.coalesce("spec_label", "column").alias("label"),
         "dtype",
-        F.substring("example", 1, 80).alias("example"),
+        "example",
         "missing_pct",
         F.col("n_unique").alias("unique_count"),
         F.lit(source_url).alias("source"),
@@ -249,15 +278,15 @@ def validate(df: DataFrame, fields: list[Field]) -> DataFrame:
     c = F.concat(F.lit("'"), F.col("column"), F.lit("'"))
     message = (
         F.when(F.col("rule") == "required",
-               F.concat(F.lit("Required field "), c, F.lit(" is empty in "), n, F.lit(" rows.")))
+               F.concat(c, F.lit(" is required and lacks a value in "), n, F.lit(" rows")))
         .when(F.col("rule") == "unique",
-              F.concat(c, F.lit(" should be unique but has "), n, F.lit(" repeated values.")))
+              F.concat(c, F.lit(" repeats a value "), n, F.lit(" times and should not")))
         .when(F.col("rule") == "missing_field",
-              F.concat(F.lit("Required field "), c, F.lit(" is missing from the dataset.")))
-        .when(F.col("rule") == "empty", F.lit("The dataset is empty, so validation was skipped."))
-        .when(F.col("rule") == "min", F.concat(c, F.lit(" has "), n, F.lit(" values below the minimum.")))
-        .when(F.col("rule") == "max", F.concat(c, F.lit(" has "), n, F.lit(" values above the maximum.")))
-        .otherwise(F.concat(c, F.lit(" has "), n, F.lit(" values of another type.")))
+              F.concat(c, F.lit(" is required and no column of the data")))
+        .when(F.col("rule") == "empty", F.lit("there are no rows to check"))
+        .when(F.col("rule") == "min", F.concat(c, F.lit(" is below its lower bound in "), n, F.lit(" rows")))
+        .when(F.col("rule") == "max", F.concat(c, F.lit(" is above its upper bound in "), n, F.lit(" rows")))
+        .otherwise(F.concat(c, F.lit(" holds another type in "), n, F.lit(" rows")))
     )
     return result.where("violations > 0").withColumn("message", message)
 
@@ -284,7 +313,7 @@ def schema_drift(records: DataFrame, run: str, page: str, ordinal: str,
 
 
 def drift_messages(drift: DataFrame, run: str) -> DataFrame:
-    """(run, messages): distinct texts, eight names each, at most ten."""
+    """(run, messages): distinct texts."""
     texts = drift.select(
         run,
         F.explode(
@@ -292,17 +321,15 @@ def drift_messages(drift: DataFrame, run: str) -> DataFrame:
                 F.array(
                     F.when(F.size("new_columns") > 0,
                            F.concat(F.lit(fixed.NEW_FIELDS),
-                                    F.array_join(F.slice("new_columns", 1, 8), ", "))),
+                                    F.array_join("new_columns", ", "))),
                     F.when(F.size("missing_columns") > 0,
                            F.concat(F.lit(fixed.ABSENT_FIELDS),
-                                    F.array_join(F.slice("missing_columns", 1, 8), ", "))),
+                                    F.array_join("missing_columns", ", "))),
                 )
             )
         ).alias("message"),
     ).distinct()
-    w = Window.partitionBy(run).orderBy("message")
-    top = texts.withColumn("__r", F.row_number().over(w)).where("__r <= 10")
-    return top.groupBy(run).agg(F.array_sort(F.collect_list("message")).alias("messages"))
+    return texts.groupBy(run).agg(F.array_sort(F.collect_list("message")).alias("messages"))
 
 
 def run_counters(captures: DataFrame, run: str = "run_id") -> DataFrame:

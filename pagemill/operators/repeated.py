@@ -18,12 +18,13 @@ from ..sources import html as H
 
 
 def _sorted_classes(node: Column) -> Column:
-    return F.substring(F.array_join(F.array_sort(H.class_list(node)), " "), 1, 80)
+    return F.array_join(F.array_sort(H.class_list(node)), " ")
 
 
-def signature_array(dom: str = "dom") -> Column:
+def signature_array(dom: str = "dom", children: int = 6) -> Column:
     """array<string>: structural fingerprint of every node, two levels deep, from
-    tags, sorted classes and the first six children."""
+    tags, sorted classes and the first `children` children: two items with more
+    children alike are alike."""
     nodes = F.col(dom)["nodes"]
 
     def level(own, deeper):
@@ -33,7 +34,7 @@ def signature_array(dom: str = "dom") -> Column:
             lambda x: F.concat(
                 x["own"],
                 F.lit("["),
-                F.array_join(F.transform(F.slice(x["kids"], 1, 6), lambda k: F.get(deeper, k)), "|"),
+                F.array_join(F.transform(F.slice(x["kids"], 1, children), lambda k: F.get(deeper, k)), "|"),
                 F.lit("]"),
             ),
         )
@@ -69,7 +70,7 @@ def css_selector(item: Column, parent: Column) -> Column:
 def _slug(text: Column) -> Column:
     cleaned = F.regexp_replace(text, r"[^0-9a-zA-Z؀-ۿ]+", "_")
     cleaned = F.lower(F.regexp_replace(cleaned, "^_+|_+$", ""))
-    return F.substring(cleaned, 1, 40)
+    return cleaned
 
 
 FIELDS = "array<struct<key:string,value:string>>"
@@ -112,7 +113,7 @@ def item_fields(item: Column, dom, base=None) -> Column:
                 field("link", absolute(m["anchor"]["attrs"]["href"])),
                 field("image_alt", given(strip(image["alt"]))),
                 field("image_url", absolute(F.coalesce(given(image["src"]), given(image["data-src"])))),
-                field("date", F.substring(stamp, 1, 60)),
+                field("date", stamp),
             ),
             lambda f: f["value"].isNotNull(),
         ).cast(FIELDS)
@@ -139,18 +140,17 @@ def item_fields(item: Column, dom, base=None) -> Column:
             ),
             lambda f: f["key"].isNotNull()
             & (f["value"] != "")
-            & (F.length(f["value"]) <= 300)
             & ~f["key"].isin("title", "link", "date"),
         )
 
     def all_fields(main, more):
-        # first value of each new name, fourteen names in all
+        # first value of each new name
         return F.aggregate(
             more,
             main,
-            lambda acc, f: F.when(
-                F.exists(acc, lambda a: a["key"] == f["key"]) | (F.size(acc) >= 14), acc
-            ).otherwise(F.concat(acc, F.array(f).cast(FIELDS))),
+            lambda acc, f: F.when(F.exists(acc, lambda a: a["key"] == f["key"]), acc).otherwise(
+                F.concat(acc, F.array(f).cast(FIELDS))
+            ),
         )
 
     def with_text(fields):
@@ -160,7 +160,7 @@ def item_fields(item: Column, dom, base=None) -> Column:
                 H.node_text(item, dom),
                 lambda text: F.when(
                     text != "",
-                    F.concat(fields, F.array(field("text", F.substring(text, 1, 400))).cast(FIELDS)),
+                    F.concat(fields, F.array(field("text", text)).cast(FIELDS)),
                 ).otherwise(fields),
             ),
         ).otherwise(fields)
@@ -304,8 +304,8 @@ def score_group(g: Column) -> Column:
     )
 
 
-def best_groups(groups: Column, limit: int = fixed.MAX_REPEATED) -> Column:
-    """Best group per selector, at most `limit`, by score and size."""
+def best_groups(groups: Column, limit: int | None = None) -> Column:
+    """Best group per selector, by score and size."""
 
     def better(a, b):
         return (
@@ -319,7 +319,8 @@ def best_groups(groups: Column, limit: int = fixed.MAX_REPEATED) -> Column:
 
     scored = F.filter(F.transform(groups, score_group), lambda g: F.size(g["keep"]) > 0)
     ordered = F.array_sort(scored, better)
-    return F.slice(first_per(ordered, lambda g: g["selector"]), 1, limit)
+    best = first_per(ordered, lambda g: g["selector"])
+    return best if limit is None else F.slice(best, 1, limit)
 
 
 @built_once

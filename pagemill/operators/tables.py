@@ -13,9 +13,13 @@ from ..functions.text import built_once, confidence, each, let, squash
 from ..sources import html as H
 
 
+# fixed values: the largest spans that a page may ask for
+MAX_SPAN = {"colspan": 1000, "rowspan": 65534}
+
+
 def _span(node: Column, name: str) -> Column:
     n = node["attrs"][name].try_cast("int")
-    return F.greatest(F.least(F.coalesce(n, F.lit(1)), F.lit(1000)), F.lit(1))
+    return F.greatest(F.least(F.coalesce(n, F.lit(1)), F.lit(MAX_SPAN[name])), F.lit(1))
 
 
 def table_grids(dom="dom") -> Column:
@@ -55,7 +59,7 @@ def table_grids(dom="dom") -> Column:
 
     def label(node):
         return let(
-            F.substring(H.node_text(node, dom), 1, 200), lambda text: F.when(text != "", text)
+            H.node_text(node, dom), lambda text: F.when(text != "", text)
         )
 
     def one(table, headings):
@@ -356,7 +360,7 @@ def table_candidates(dom_pages: DataFrame) -> DataFrame:
         "page_id", "table_idx",
         F.size("t.body").cast("bigint").alias("n_rows"),
         F.size("t.names").cast("bigint").alias("n_columns"),
-        F.slice("t.names", 1, 40).alias("column_names"),
+        F.col("t.names").alias("column_names"),
         F.col("t.caption").alias("caption"), F.col("t.heading").alias("heading"),
         score.alias("score"), confidence(score).alias("confidence"),
     )

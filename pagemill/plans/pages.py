@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import each
 from ..operators import candidates as C
 from ..operators import captures, columns
+from ..sinks import files
 from ..sources import html as H
 
 
@@ -21,19 +22,20 @@ def analyze(pages: DataFrame, preset: str = "auto") -> DataFrame:
 
 
 def extract(runs: DataFrame, selector: str | None = None, table_index: int | None = None,
-            fields: list[str] | None = None, max_rows: int = 500_000) -> DataFrame:
+            fields: list[str] | None = None, max_rows: int | None = None) -> DataFrame:
     """captures(run_id, page_no, page_id, url, status, html) -> rows of the pages
     read before each run stops, with provenance.
 
-    Every page is reduced to its extracted rows and a digest of its body where it
-    is read; only those travel to the window that finds the end of each run.
+    Every page is read and parsed once and reduced to its extracted rows and a digest
+    of its body, which are written to the shared folder. Numbers alone decide where a
+    run ends; the rows meet the pages that are kept once.
     """
     listed = C.row_lists(H.shred_html(runs), selector, table_index)
     pages = listed.select(
-        "run_id", "page_no", "url", "status", F.col("html").alias("body"), "source", "rows",
+        "run_id", "page_no", "url", "status", F.sha2("html", 256).alias("body"), "source", "rows",
         F.coalesce(F.size("rows"), F.lit(0)).cast("bigint").alias("n_rows"),
     )
-    kept = captures.stop_conditions(pages, max_rows=max_rows)
+    kept = captures.stop_conditions(files.kept(pages, "extracted"), max_rows=max_rows)
     whole = F.slice("rows", F.lit(1), F.col("rows_kept").cast("int"))
     rows = each(kept, whole, "row_idx", "record")
     chosen = [F.col("record")[f].alias(f) for f in fields] if fields else [F.col("record")]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,16 +17,21 @@ class EmptyDataset(ValueError):
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """New folder below the cluster's shared checkpoint folder. Only a local
-    session without that setting gets a temporary folder."""
+    """New folder below spark.checkpoint.dir, which all executors share."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder all executors share")
-        base = tempfile.mkdtemp(prefix="pagemill-")
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """The rows, written once to the shared folder and read back, so that what reads
+    them several times computes them once."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_dataset(df: DataFrame, path: str, fmt: str, mode: str = "errorifexists") -> None:
     """Refuses unknown formats and empty datasets; nested cells become JSON text
     in delimited files."""

@@ -17,13 +17,12 @@ def sniff_delimiter(spark: SparkSession, path: str) -> str:
     return max([",", ";", "\t", "|"], key=line.count)
 
 
-def read_csv(spark: SparkSession, path: str, schema=None, max_rows: int | None = None) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema=None) -> DataFrame:
     """Delimited text with a header. Give a schema to avoid a pass for inference."""
     reader = spark.read.option("header", True).option("sep", sniff_delimiter(spark, path))
     reader = reader.option("multiLine", False).option("escape", '"')
     reader = reader.schema(schema) if schema else reader.option("inferSchema", True)
-    df = reader.csv(path)
-    return df.limit(max_rows) if max_rows else df
+    return reader.csv(path)
 
 
 def read_tsv(spark: SparkSession, path: str, schema=None) -> DataFrame:
@@ -53,10 +52,11 @@ def read_jsonl(spark: SparkSession, path: str, schema=None) -> DataFrame:
     return flatten_structs(reader.json(path))
 
 
-def read_json_documents(spark: SparkSession, path: str, records_path: str | None = None) -> DataFrame:
-    """One JSON document per file: (file, row_idx, record) from a list, the best
-    record array, or the object itself."""
-    docs = spark.read.option("wholetext", True).text(path).select(
+def read_json_documents(spark: SparkSession, path: str, records_path: str | None = None,
+                        per_line: bool = False) -> DataFrame:
+    """One JSON document per file, or per line of many files: (file, row_idx, record)
+    from a list, the best record array, or the object itself."""
+    docs = spark.read.option("wholetext", not per_line).text(path).select(
         F.input_file_name().alias("file"), F.try_parse_json("value").alias("doc")
     )
     return json_records(docs, "doc", records_path)
