@@ -278,10 +278,11 @@ def path_values(spark, d):
 WITH p AS (SELECT *, ['csv', 'pdf', 'html', 'xlsx', 'jsonl'][p_partkey % 5 + 1] AS ext FROM part)
 SELECT p_partkey AS page_id, CASE WHEN ext = 'pdf' THEN 'document' ELSE 'file' END AS kind,
   'Direct ' || CASE ext WHEN 'csv' THEN 'CSV' WHEN 'pdf' THEN 'PDF' WHEN 'xlsx' THEN 'EXCEL' ELSE 'JSONL' END || ' file' AS title,
-  CASE WHEN ext = 'pdf' THEN 0.6 ELSE 0.95 END::DOUBLE AS score FROM p WHERE ext <> 'html'
+  CASE WHEN ext = 'pdf' THEN 0.6 ELSE 0.95 END::DOUBLE AS score FROM p WHERE ext NOT IN ('html', 'jsonl')
 UNION ALL SELECT p_partkey, 'links', 'Files linked from this page', 0.75::DOUBLE FROM p WHERE ext = 'html'""")
 def file_candidates(spark, d):
-    # an address with a data extension is a file whatever its body says
+    # an address with a data extension is a file whatever its body says, unless it
+    # promises JSON: that is read, and these bodies hold none
     p = table(spark, d, "part")
     ext = F.get(
         F.array(*[F.lit(x) for x in ("csv", "pdf", "html", "xlsx", "jsonl")]),
@@ -296,6 +297,51 @@ def file_candidates(spark, d):
     return found.select("page_id", "kind", "title", "score")
 
 
+@query("win3_api_candidates", """
+WITH o AS (
+  SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1)
+SELECT o_custkey AS page_id, 'api' AS kind, 'https://f.example.org/' || o_custkey || CASE WHEN o_custkey % 3 = 0 THEN '.json' WHEN o_custkey % 3 = 1 THEN '.jsonl' ELSE '' END AS title,
+  greatest(0.92, 0.05 + 0.4 + least(n / 50.0, 1.0) * 0.2 + 2 / 8.0 * 0.15) AS least_score, n AS n_rows, 'order,total' AS columns
+FROM o WHERE o_custkey % 5 <> 0 AND n > 1""")
+def api_candidates(spark, d):
+    """Captured JSON bodies, by address or content type; a fifth of them failed."""
+    o = table(spark, d, "orders")
+    items = F.array_sort(F.collect_list(F.struct(F.col("o_orderkey").alias("order"), F.col("o_totalprice").alias("total"))))
+    o = o.groupBy("o_custkey").agg(items.alias("items")).where(F.size("items") > 1)
+    k = F.col("o_custkey")
+    lines = F.array_join(F.transform("items", lambda x: F.to_json(x)), "\n")
+    listed = F.to_json(F.struct(F.struct(F.lit(1).alias("page")).alias("meta"), F.col("items").alias("rows")))
+    ending = F.when(k % 3 == 0, ".json").when(k % 3 == 1, ".jsonl").otherwise("")
+    pages = o.select(
+        k.alias("page_id"), F.concat(F.lit("https://f.example.org/"), k.cast("string"), ending).alias("url"),
+        F.when(k % 3 == 1, lines).otherwise(listed).alias("html"),
+        F.when(k % 3 == 2, "application/json; charset=utf-8").alias("content_type"),
+        F.when(k % 5 == 0, 503).otherwise(200).alias("status"),
+    )
+    found = candidates.all_candidates(candidates.page_profile(H.shred_html(pages)))
+    return found.select("page_id", "kind", "title", F.greatest("score", F.lit(0.92)).alias("least_score"), "n_rows", F.array_join("columns", ",").alias("columns"))
+
+
+@query("win3_feed_candidates", """
+SELECT p_partkey AS page_id, CASE WHEN p_partkey % 3 = 2 THEN 'file' ELSE 'feed' END AS kind,
+  CASE WHEN p_partkey % 3 = 2 THEN 'Direct CSV file' ELSE 'RSS/Atom feed entries' END AS title,
+  CASE WHEN p_partkey % 3 = 2 THEN 0.95 ELSE 0.9 END::DOUBLE AS score,
+  CASE WHEN p_partkey % 3 <> 2 THEN p_size + 1 END::BIGINT AS n_rows FROM part""")
+def feed_candidates(spark, d):
+    """Feeds of both kinds; an address of a third ends like a file and is one."""
+    k = F.col("p_partkey") % 3
+    name = F.when(k == 0, "item").otherwise("entry")
+    entry = F.concat(F.lit("<"), name, F.lit("><title>x</title></"), name, F.lit(">"))
+    pages = table(spark, d, "part").select(
+        F.col("p_partkey").alias("page_id"),
+        F.concat(F.lit("https://f.example.org/"), F.col("p_partkey").cast("string"), F.when(k == 2, ".csv").otherwise("")).alias("url"),
+        F.concat(F.lit("<rss><channel><items>2</items>"), F.repeat(entry, (F.col("p_size") + 1).cast("int")), F.lit("</channel></rss>")).alias("html"),
+        F.when(k == 0, "application/rss+xml").when(k == 1, "application/atom+xml").alias("content_type"),
+    )
+    found = candidates.all_candidates(candidates.page_profile(H.shred_html(pages)))
+    return found.select("page_id", "kind", "title", "score", "n_rows")
+
+
 @query("src33_rows_from_html", CARDS + """
 SELECT 'table' AS source, s_suppkey // 25 AS page_id, s_name AS name FROM supplier
 UNION ALL SELECT 'repeated', 1000000 + page_id, c_name FROM c WHERE n >= 4""")

@@ -211,3 +211,12 @@ STEP_NAMES = {
     "duplicates": "Remove duplicate rows",
     "outliers": "Flag outliers",
 }
+
+# fixed values: content types of captures, and titles of candidates
+PAGE_TYPES = ["text/html", "application/xhtml+xml"]
+FEED_BODY_TYPES = ["application/xml", "text/xml", "application/rss+xml", "application/atom+xml"]
+FEED_TITLE = "RSS/Atom feed entries"
+ARTICLE_TITLE = "Article / main text"
+FILES_TITLE = "Files linked from this page"
+LINKS_TITLE = "Links on this page"
+STRUCTURED_TITLE = "Structured metadata (schema.org)"

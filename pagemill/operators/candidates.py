@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, urls, variants
-from ..functions.text import any_marker, built_once, confidence, each, injection_phrases, let, map_last_wins
+from ..functions.text import any_marker, strip, built_once, confidence, each, injection_phrases, let, map_last_wins
 from ..sources import html as H
 from . import links, repeated, structured, tables
 
@@ -34,9 +34,42 @@ def needs_js(text_chars: Column, html: Column, has_tables: Column, has_repeated:
     return (evidence >= 2) | (nothing & ~has_api & (text_chars < 800))
 
 
+def with_format(pages: DataFrame, html: str = "html") -> DataFrame:
+    """Adds usable, file_format (of addresses that are files), json_body (of JSON
+    bodies; lines of JSON as a list) and feed_items."""
+    none = F.lit(None).cast("string")
+    kind = F.lower(strip(F.get(F.split("content_type", ";"), F.lit(0)))) if "content_type" in pages.columns else none
+    fmt = urls.detect_format("url", "content_type" if "content_type" in pages.columns else None)
+    is_page = F.coalesce(kind.isin(fixed.PAGE_TYPES), F.lit(False))
+    is_json = F.coalesce(F.contains(kind, F.lit("json")), F.lit(False)) | F.coalesce(
+        fmt.isin("json", "jsonl") & ~is_page, F.lit(False)
+    )
+    is_feed = F.coalesce(kind.isin(fixed.FEED_BODY_TYPES), F.lit(False))
+    body = strip(F.col(html))
+    lines = F.filter(F.split(body, r"\r?\n"), lambda x: strip(x) != "")
+    by_line = (F.size(lines) > 1) & F.forall(lines, lambda x: x.rlike(r"^\s*\{.*\}\s*$"))
+    listed = F.when(by_line, F.concat(F.lit("["), F.array_join(lines, ","), F.lit("]"))).otherwise(body)
+    ok = F.coalesce(F.col("status") < 400, F.lit(True)) if "status" in pages.columns else F.lit(True)
+    return pages.withColumns(
+        {
+            "usable": ok,
+            "file_format": F.when(fmt.isNotNull() & ~fmt.isin("feed", "json", "jsonl") & ~is_page & ~is_json, fmt),
+            "json_body": F.when(is_json, listed),
+            "feed_items": F.when(
+                is_feed, F.size(F.regexp_extract_all(F.col(html), F.lit(r"(?i)<(?:\w+:)?(item|entry)[\s>/]"), F.lit(1)))
+            ),
+        }
+    )
+
+
 def page_profile(dom_pages: DataFrame) -> DataFrame:
     """One row per page: what the detectors found, plus flags. Detectors run in
-    one projection over the parsed page; no shuffle."""
+    one projection over the parsed page; no shuffle.
+
+    Columns `content_type` and `status` of the captures are honoured where they are
+    given: a body of another type than its address promises is what its type says, and
+    a capture that failed is no source."""
+    dom_pages = with_format(dom_pages)
     anchors = links.link_array("dom")
     found = dom_pages.withColumns(
         {
@@ -103,8 +136,10 @@ def _page_options() -> Column:
         "tables",
         lambda t, i: _candidate(
             "table", F.concat(F.lit("table_"), i.cast("string")),
-            F.coalesce(t["caption"], t["heading"],
-                       F.concat(F.lit("Table "), (i + 1).cast("string"))),
+            F.concat(
+                F.lit("Table "), (i + 1).cast("string"), F.lit(" · "),
+                F.coalesce(t["caption"], t["heading"], F.concat(F.lit("Table "), (i + 1).cast("string"))),
+            ),
             F.least(F.lit(0.93), t["score"]), t["n_rows"], t["names"],
         ),
     )
@@ -128,20 +163,20 @@ def _page_options() -> Column:
         F.array(
             F.when(
                 F.col("text_chars") >= 400,
-                _candidate("article", "article_0", "Article / main text",
+                _candidate("article", "article_0", fixed.ARTICLE_TITLE,
                            F.when(structured_page, 0.55).otherwise(0.7)),
             ),
             F.when(
                 F.size(files) > 0,
                 _candidate(
-                    "links", "links_files", "Files linked from this page",
+                    "links", "links_files", fixed.FILES_TITLE,
                     F.when(F.exists(files, lambda f: f["kind"] == "data"), 0.75).otherwise(0.45),
                     F.size(files),
                 ),
             ),
             F.when(
                 F.size("found_links.internal") > 0,
-                _candidate("links", "links_internal", "Links on this page", 0.3,
+                _candidate("links", "links_internal", fixed.LINKS_TITLE, 0.3,
                            F.size("found_links.internal")),
             ),
         )
@@ -167,26 +202,36 @@ def page_candidates(profile: DataFrame) -> DataFrame:
     return each(profile, _page_options(), "__i", "c").select("page_id", "c.*")
 
 
-def all_candidates(profile: DataFrame, content_type: str | None = None) -> DataFrame:
+def _feed_option(items: Column) -> Column:
+    return F.array(_candidate("feed", "feed_0", fixed.FEED_TITLE, 0.9, items)).cast(_CANDIDATE)
+
+
+def all_candidates(profile: DataFrame) -> DataFrame:
     """Every candidate of every page, from one pass over the profile.
 
     A page becomes one row for its markup, one for its JSON-LD and one per
     embedded JSON document; each row states its own candidates, so nothing is
-    joined and the pages are read once. An address that is a file is judged by
-    that alone.
+    joined and the pages are read once. An address that is a file, a feed with
+    entries and a JSON body are judged by that alone.
     """
     none = F.lit(None).cast("string")
-    fmt = urls.detect_format("url", content_type)
-    is_file = fmt.isNotNull() & (fmt != "feed")
-    own = profile.withColumn("__fmt", F.when(is_file, fmt)).withColumn(
-        "__page", F.when(F.col("__fmt").isNotNull(), _file_option(F.col("__fmt"))).otherwise(_page_options())
+    is_feed = F.coalesce(F.col("feed_items") > 0, F.lit(False))
+    own = profile.where("usable").withColumn("__fmt", F.when(F.col("json_body").isNull(), F.coalesce(
+        "file_format", F.when(is_feed, "feed")))).withColumn(
+        "__page",
+        F.when(F.col("json_body").isNotNull(), F.array().cast(_CANDIDATE))
+        .when(F.col("file_format").isNotNull(), _file_option(F.col("file_format")))
+        .when(is_feed, _feed_option(F.col("feed_items")))
+        .otherwise(_page_options()),
     )
     part = lambda kind, body: F.struct(F.lit(kind).alias("kind"), body.alias("body"))
     linked = F.concat(F.lit("["), F.array_join("linked", ","), F.lit("]"))
     parts = F.concat(
-        F.array(part("page", none)),
+        F.when(F.col("json_body").isNotNull(), F.array(part("json", F.col("json_body")))).otherwise(
+            F.array(part("page", none))
+        ),
         F.when(
-            F.col("__fmt").isNull(),
+            F.col("__fmt").isNull() & F.col("json_body").isNull(),
             F.concat(
                 F.when(F.size("linked") > 0, F.array(part("linked", linked)))
                 .otherwise(F.array().cast("array<struct<kind:string,body:string>>")),
@@ -194,16 +239,16 @@ def all_candidates(profile: DataFrame, content_type: str | None = None) -> DataF
             ),
         ).otherwise(F.array().cast("array<struct<kind:string,body:string>>")),
     )
-    rows = each(own.select("page_id", "__page", "linked", "blobs", "__fmt"), parts, "__i", "__p").select(
-        "page_id", F.col("__i").alias("ordinal"), F.col("__p.kind").alias("kind"),
+    rows = each(own.select("page_id", "url", "__page", "linked", "blobs", "json_body", "__fmt"), parts, "__i", "__p").select(
+        "page_id", "url", F.col("__i").alias("ordinal"), F.col("__p.kind").alias("kind"),
         F.when(F.col("__p.kind") == "page", F.col("__page")).alias("own"),
         F.try_parse_json("__p.body").alias("doc"),
     )
     rows = variants.type_names(rows, "doc", where=F.col("kind") == "linked")
-    rows = variants.find_record_arrays(rows, "doc", where=F.col("kind") == "blob")
+    rows = variants.find_record_arrays(rows, "doc", where=F.col("kind").isin("blob", "json"))
     typed = F.when(
         F.size("types") > 0,
-        F.array(_candidate("structured", "structured_0", "Structured metadata (schema.org)", 0.62)),
+        F.array(_candidate("structured", "structured_0", fixed.STRUCTURED_TITLE, 0.62)),
     )
     embedded = F.transform(
         "arrays",
@@ -215,8 +260,17 @@ def all_candidates(profile: DataFrame, content_type: str | None = None) -> DataF
             a["keys"],
         ),
     )
+    best = F.get("arrays", F.lit(0))
+    keys = F.coalesce(best["keys"], F.map_keys(variants.as_map("doc")), F.array().cast("array<string>"))
+    n = F.coalesce(best["n"], F.size(variants.as_array("doc")).cast("bigint"))
+    answered = F.when(
+        F.col("doc").isNotNull(),
+        F.array(_candidate("api", "api_0", F.col("url"),
+                           F.greatest(F.lit(0.92), variants.api_score("url", keys, n)), n, keys)),
+    )
     options = (
-        F.when(F.col("kind") == "page", F.col("own"))
+        F.when(F.col("kind") == "json", answered.cast(_CANDIDATE))
+        .when(F.col("kind") == "page", F.col("own"))
         .when(F.col("kind") == "linked", typed.cast(_CANDIDATE))
         .otherwise(embedded.cast(_CANDIDATE))
     )
