@@ -4,16 +4,20 @@ Texts are sets of five-word shingles. Sets with a Jaccard similarity of at least
 0.8 differ in at most (|r| + |s|) / 9 shingles. Sizes are cut into bands; a set
 joins its own band and, if it can have a partner there, the next one. In a band the
 shingle domain is partitioned by hash, and one signature is the set's content of one
-partition. Two similar sets agree in all but k partitions, so the first k + 1 that
-are not empty, in an order that holds for all, have one in common: a set enumerates
-these. Shingles found frequent by a bounded count over all texts lie in partitions
-at the end of that order, so a passage that many texts share forms no large bucket
-unless texts consist of it. Sets with too few non-empty partitions (small ones, by
-chance) also enumerate single shingles, floor(|r| / 5) + 1 of them. So no link is lost.
-
-Equal sets are one node. In a bucket all nodes are compared with the smallest; pairs
-of nodes that are then still in different components are compared too. Texts are
-compared by their whole sets. Sets are 64-bit hashes of windows.
+partition. Two similar sets agree in all but k partitions. A set enumerates the first
+k + 1 of its partitions that are not empty, in an order by their content alone, and
+then two similar sets share one of these: the first of r's that s has too could only be
+left out by s if k + 1 partitions, all of them different in r, came before it. The order
+puts partitions with many shingles first that are not common, so a passage that many
+texts share forms no large bucket unless texts consist of it. Common shingles are found
+by a bounded count over all texts. Sets with too few non-empty partitions (small ones,
+by chance) also enumerate single shingles, floor(|r| / 5) + 1 of them. No link is lost.
+
+Equal sets are one node. In a bucket all nodes are compared with the smallest, and
+nodes that are then in different components with each other, in blocks of bounded
+size. A comparison looks at parity sketches first: two bits for each shingle, whose
+difference is never more than that of the sets, so it drops no similar pair. What passes
+is compared by the whole sets. Sets are 64-bit hashes of windows.
 
 Null and empty texts, and texts without words, have no shingles and are linked with
 nothing. Repeated rows are equal sets. A null id is ignored when the smallest id of
@@ -37,9 +41,11 @@ from .storage import stored
 
 SHINGLE = 5
 SIMILAR = Fraction(4, 5)
-DENSITY = 0.27  # partitions for each shingle of the largest set of a band
-COMMON_SHARE = 1000  # a shingle is common from one text in so many
-COMMON_KEPT = 200_000  # entries of the list of common shingles
+DENSITY = 0.4  # partitions for each shingle of the largest set of a band
+COMMON_FROM = 16  # texts that have a common shingle, at least
+COMMON_KEPT = 500_000  # entries of the list of common shingles; the most frequent stay
+FOLD = 4_000_000  # shingles counted at a time
+BLOCK = 1024  # nodes of a bucket that are compared in one piece
 MAX_BROADCAST_IDS = 2_000_000
 I = np.int64
 U = np.uint64
@@ -63,42 +69,65 @@ def bands(size: int) -> list[tuple[int, int, int, int]]:
 def signatures(elements: np.ndarray, common: np.ndarray) -> np.ndarray:
     """Signatures of a non-empty sorted set of shingles."""
     place = np.searchsorted(common, elements)
-    frequent = common[np.minimum(place, len(common) - 1)] == elements if len(common) else np.zeros(len(elements), bool)
+    rare = common[np.minimum(place, len(common) - 1)] != elements if len(common) else np.ones(len(elements), bool)
     out, short = [], False
     for band, parts, allowed, _ in bands(len(elements)):
         seed = U((band * 0x9E3779B97F4A7C15 + 0x1234567) & (2**64 - 1))
         spread = hashing.mix(elements ^ seed)
-        part = (spread % U(parts)).astype(I) + parts * frequent
+        part = (spread % U(parts)).astype(I)
         order = np.argsort(part, kind="stable")
         part, first = np.unique(part[order], return_index=True)
         content = np.add.reduceat(hashing.mix(spread + U(1))[order], first)
-        n = allowed + 1
-        short |= len(part) < n
-        out.append(hashing.mix(content[:n] ^ hashing.mix(part[:n].astype(U) + seed)))
+        weight = np.add.reduceat(rare[order].astype(I), first)
+        chosen = np.lexsort((part, -weight))[: allowed + 1]
+        short |= len(part) <= allowed
+        out.append(hashing.mix(content[chosen] ^ hashing.mix(part[chosen].astype(U) + seed)))
     if short:
-        order = np.lexsort((elements, frequent))
+        order = np.lexsort((elements, ~rare))
         out.append(hashing.mix(elements[order][: len(elements) // 5 + 1] + U(0x5DEECE66D)))
     return np.unique(np.concatenate(out))
 
 
+def sketch_of(elements: np.ndarray) -> bytes:
+    """Parities of the set's shingles over 2 to 4 bits for each, a power of two and 64
+    at least. A longer sketch folds to a shorter one by exclusive or of its halves."""
+    bits = max(64, 1 << (2 * len(elements) - 1).bit_length())
+    at, many = np.unique((hashing.mix(elements + U(77)) % U(bits)).astype(I), return_counts=True)
+    odd = np.zeros(bits, np.uint8)
+    odd[at] = many & 1
+    return np.packbits(odd, bitorder="little").tobytes()
+
+
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bits in which rows of sketches (as 64-bit words) differ from one sketch."""
+    while a.shape[-1] > b.shape[-1]:
+        a = a[..., : a.shape[-1] // 2] ^ a[..., a.shape[-1] // 2 :]
+    while b.shape[-1] > a.shape[-1]:
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return np.bitwise_count(a ^ b).sum(-1)
+
+
 def node_of(elements: np.ndarray) -> int:
     """Signed 64-bit number of a set; equal sets have equal numbers."""
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(elements.tobytes())).astype(I)))
 
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, hash of the text, n, node) of every text, and (null, null, count, shingle) of shingles that are
-    common in the task: counts of those met twice in a slice, the rarest dropped
-    when there are too many. They only set an order, so they need not be exact."""
-    found, rows = np.zeros(0, U), 0
-    counts = np.zeros(0, I)
+    """(id, hash of the text, n, node, sketch) of every text, and (null, null, count,
+    shingle, null) of shingles that several texts of the task have, not counting copies:
+    those met twice in a fold, the rarest dropped when there are too many. They only
+    set an order, so they need not be exact."""
+    found, counts = np.zeros(0, U), np.zeros(0, I)
     waiting: list[np.ndarray] = []
+    done: set[int] = set()
+    held = 0
 
     def fold() -> None:
-        nonlocal found, counts
+        nonlocal found, counts, held
         if waiting:
             u, c = np.unique(np.concatenate(waiting), return_counts=True)
             waiting.clear()
+            held = 0
             keep = c >= 2
             both, at = np.unique(np.concatenate([found, u[keep]]), return_inverse=True)
             total = np.bincount(at, np.concatenate([counts, c[keep]]), len(both)).astype(I)
@@ -107,27 +136,31 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 both, total = both[top], total[top]
             found, counts = both, total
 
-    def batch(ids, texts, ns, nodes, kind):
+    def batch(ids, texts, ns, nodes, sketches, kind):
         return pa.RecordBatch.from_arrays(
-            [ids, texts, pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()),
-             pa.array(np.full(len(ns), kind, np.int8), pa.int8())], ["id", "h", "n", "node", "kind"])
+            [ids, texts, pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sketches, pa.binary()),
+             pa.array(np.full(len(ns), kind, np.int8), pa.int8())], ["id", "h", "n", "node", "sketch", "kind"])
 
     for b in batches:
-        ns, nodes, held = [], [], 0
+        ns, nodes, sketches = [], [], []
         for s in hashing.shingle_sets(b.column(2), SHINGLE):
+            node = node_of(s)
             ns.append(len(s))
-            nodes.append(node_of(s))
-            waiting.append(s)
-            held += len(s)
-            if held > 1_000_000:
-                fold()
-                held = 0
-        fold()
-        rows += len(ns)
-        yield batch(b.column(0), b.column(1), ns, nodes, 0)
-    keep = counts >= max(8, rows // COMMON_SHARE)
+            nodes.append(node)
+            sketches.append(sketch_of(s) if len(s) else b"")
+            if node not in done:
+                if len(done) > 500_000:
+                    done.clear()
+                done.add(node)
+                waiting.append(s)
+                held += len(s)
+                if held > FOLD:
+                    fold()
+        yield batch(b.column(0), b.column(1), ns, nodes, sketches, 0)
+    fold()
+    keep = counts >= 3
     none = pa.nulls(int(keep.sum()), pa.int64())
-    yield batch(none, none, counts[keep], found[keep].astype(I), 1)
+    yield batch(none, none, counts[keep], found[keep].astype(I), [None] * int(keep.sum()), 1)
 
 
 def _signed(common: np.ndarray):
@@ -173,14 +206,95 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(nodes[a:z], pa.int64()), made], ["node", "set"])
 
 
-def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _words_of(sketch: bytes) -> np.ndarray:
+    return np.frombuffer(sketch, "<u8")
+
+
+def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (u, v, un, us, vn, vs): the pairs (u, v) whose sketches do not rule them out."""
+    for b in batches:
+        u, v = b.column(0), b.column(1)
+        allowed = (b.column(2).to_numpy() + b.column(4).to_numpy()) // 9
+        left, right = b.column(3).to_pylist(), b.column(5).to_pylist()
+        near = [int(apart(_words_of(x), _words_of(y))) <= k for x, y, k in zip(left, right, allowed.tolist())]
+        yield pa.RecordBatch.from_arrays([u.filter(pa.array(near, pa.bool_())), v.filter(pa.array(near, pa.bool_()))], ["u", "v"])
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (sig, i, j, block, node, component, n, sketch), ordered by (sig, i, j): pairs of
+    nodes of one piece in different components whose sketches do not rule them out. In
+    a piece of two blocks only pairs across them are compared."""
+    seen: set[tuple[int, int]] = set()
+
+    def piece(rows: list[dict]) -> None:
+        by_width: dict[int, list[dict]] = {}
+        for r in rows:
+            by_width.setdefault(len(r["sketch"]), []).append(r)
+        groups = [
+            (g, np.array([r["component"] for r in g]), np.array([r["n"] for r in g]), np.array([r["block"] for r in g]),
+             np.stack([_words_of(r["sketch"]) for r in g]))
+            for g in by_width.values()
+        ]
+        across = rows[0]["i"] != rows[0]["j"]
+        for k, r in enumerate(rows):
+            one = _words_of(r["sketch"])
+            for g, component, n, block, sketch in groups:
+                fits = (component > r["component"]) & (10 * np.minimum(n, r["n"]) >= 8 * np.maximum(n, r["n"]))
+                if across:
+                    fits &= block != r["block"]
+                at = np.flatnonzero(fits)
+                if len(at):
+                    at = at[apart(sketch[at], one) <= (n[at] + r["n"]) // 9]
+                    for x in at.tolist():
+                        seen.add(tuple(sorted((r["node"], g[x]["node"]))))
+
+    def batch() -> pa.RecordBatch:
+        made = list(seen)
+        seen.clear()
+        return pa.RecordBatch.from_arrays(
+            [pa.array([p[0] for p in made], pa.int64()), pa.array([p[1] for p in made], pa.int64())], ["u", "v"])
+
+    rows, key = [], None
+    for b in batches:
+        for r in b.to_pylist():
+            own = (r["sig"], r["i"], r["j"])
+            if own != key and rows:
+                piece(rows)
+                rows = []
+            key = own
+            rows.append(r)
+        if len(seen) > 200_000:
+            yield batch()
+    if rows:
+        piece(rows)
+    yield batch()
+
+
+def _linked(pairs: DataFrame, described: DataFrame, base: DataFrame) -> DataFrame:
     """Pairs (u, v) of nodes whose whole sets are similar enough."""
+    sets = _node_sets(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct(), described, base)
     left = sets.select(F.col("node").alias("u"), F.col("set").alias("us"))
     right = sets.select(F.col("node").alias("v"), F.col("set").alias("vs"))
     both = pairs.join(left, "u").join(right, "v")
     shared = F.size(F.array_intersect("us", "vs"))
     n = both.select("u", "v", shared.alias("i"), (F.size("us") + F.size("vs")).alias("n"))
-    return n.where("100 * i >= 80 * (n - i)").select("u", "v")
+    return stored(n.where("100 * i >= 80 * (n - i)").select("u", "v"), "partenum-links")
+
+
+def _common(raw: DataFrame) -> np.ndarray:
+    """Hashes of common shingles, in order; the most frequent if there are many."""
+    counted = raw.where("kind = 1").groupBy("node").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON_FROM)
+    counted = stored(counted, "partenum-common")
+    # one row for each frequency
+    many = counted.groupBy("n").agg(F.count("*").alias("c")).orderBy(F.desc("n")).limit(COMMON_KEPT).collect()
+    least, total = COMMON_FROM, 0
+    for r in many:
+        if total + r["c"] > COMMON_KEPT:
+            least = r["n"] + 1
+            break
+        total += r["c"]
+    rows = counted.where(F.col("n") >= least).select("node").toArrow()
+    return np.sort(rows.column(0).to_numpy().astype(U))
 
 
 def _node_sets(nodes: DataFrame, described: DataFrame, base: DataFrame) -> DataFrame:
@@ -217,41 +331,46 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     spark = docs.sparkSession
     base = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
     hashed = base.select("id", F.xxhash64("text").alias("h"), "text")
-    raw = hashed.mapInArrow(_described, "id bigint, h bigint, n bigint, node bigint, kind tinyint")
+    raw = hashed.mapInArrow(_described, "id bigint, h bigint, n bigint, node bigint, sketch binary, kind tinyint")
     raw = stored(raw, "partenum-texts")
-    common = raw.where("kind = 1").groupBy("node").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "node").limit(COMMON_KEPT)
-    common = np.sort(np.array([r[0] for r in common.select("node").collect()], I).astype(U))
-    shared = spark.sparkContext.broadcast(common)  # at most COMMON_KEPT numbers
     described = raw.where("kind = 0").select("id", "h", "n", "node")
+    common = spark.sparkContext.broadcast(_common(raw))  # at most COMMON_KEPT numbers
 
     def signed(batches):
-        return _signed(shared.value)(batches)
+        return _signed(common.value)(batches)
 
     sigs = base.select("text").mapInArrow(signed, "sig bigint, node bigint")
     one = Window.partitionBy("sig")
     met = sigs.select("sig", "node", F.min("node").over(one).alias("hub"), F.max("node").over(one).alias("top"))
-    buckets = stored(met.where("hub <> top").select("sig", "node", "hub").distinct(), "partenum-buckets")
+    buckets = stored(met.where("hub <> top").select("sig", "node", "hub"), "partenum-buckets")
+    # sketches of the nodes that share a bucket with another
+    shared = buckets.select("node").distinct()
+    sketches = raw.where("kind = 0").join(shared, "node", "left_semi").groupBy("node").agg(
+        F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch")
+    )
+    sketches = stored(sketches, "partenum-sketches")
+    u = sketches.select(F.col("node").alias("u"), F.col("n").alias("un"), F.col("sketch").alias("us"))
+    v = sketches.select(F.col("node").alias("v"), F.col("n").alias("vn"), F.col("sketch").alias("vs"))
     hubs = buckets.where("node <> hub").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct()
-    hubs = stored(hubs, "partenum-pairs")
-    nodes = hubs.select(F.col("u").alias("node")).union(hubs.select("v")).distinct()
-    sets = _node_sets(nodes, described, base)
-    links = stored(_linked(hubs, sets), "partenum-links")
+    near = hubs.join(u, "u").join(v, "v").where("10 * un >= 8 * vn AND 10 * vn >= 8 * un")
+    near = near.select("u", "v", "un", "us", "vn", "vs").mapInArrow(_close, "u bigint, v bigint")
+    links = _linked(stored(near, "partenum-pairs"), described, base)
     label = components(links, "partenum-components")
 
     # what is left to compare: nodes of one bucket in different components
-    named = buckets.join(label, "node", "left").select(
-        "sig", "node", "hub", F.coalesce("component", "node").alias("component")
+    named = buckets.join(label, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("component"))
+    named = stored(named.distinct(), "partenum-named")
+    mixed = named.groupBy("sig").agg(
+        F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("size")
+    ).where("a <> b").select("sig", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    own = F.pmod("node", "blocks").cast("int")
+    placed = named.join(mixed, "sig").withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.join(sketches, "node").select(
+        "sig", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component", "n", "sketch"
     )
-    mixed = named.groupBy("sig").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b")
-    mixed = stored(named.join(mixed.select("sig"), "sig"), "partenum-mixed")
-    size = sets.select("node", F.size("set").alias("n"))
-    sized = mixed.join(size, "node")
-    x, y = sized.alias("x"), sized.alias("y")
-    cross = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.component") < F.col("y.component")))
-    cross = cross.where(
-        "x.hub <> x.node AND y.hub <> y.node AND 10 * x.n >= 8 * y.n AND 10 * y.n >= 8 * x.n"
-    ).select(F.col("x.node").alias("u"), F.col("y.node").alias("v")).distinct()
-    more = stored(_linked(cross, sets), "partenum-links")
+    ordered = placed.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+    more = stored(ordered.mapInArrow(_compared, "u bigint, v bigint").distinct(), "partenum-pairs")
+    more = _linked(more, described, base)
     if not more.isEmpty():
         label = components(links.union(more), "partenum-components")
     return _result(described, label, key)
