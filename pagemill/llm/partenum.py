@@ -15,7 +15,7 @@ by chance) also enumerate single shingles, floor(|r| / 5) + 1 of them. No link i
 
 Equal sets are one node. In a bucket all nodes are compared with the smallest, and
 nodes that are then in different components with each other, in blocks of bounded
-size. A comparison looks at parity sketches first: two bits for each shingle, whose
+size. A comparison looks at parity sketches first: four bits or more for each shingle, whose
 difference is never more than that of the sets, so it drops no similar pair. What passes
 is compared by the whole sets. Sets are 64-bit hashes of windows.
 
@@ -89,9 +89,9 @@ def signatures(elements: np.ndarray, common: np.ndarray) -> np.ndarray:
 
 
 def sketch_of(elements: np.ndarray) -> bytes:
-    """Parities of the set's shingles over 2 to 4 bits for each, a power of two and 64
+    """Parities of the set's shingles over 4 to 8 bits for each, a power of two and 64
     at least. A longer sketch folds to a shorter one by exclusive or of its halves."""
-    bits = max(64, 1 << (2 * len(elements) - 1).bit_length())
+    bits = max(64, 1 << (4 * len(elements) - 1).bit_length())
     at, many = np.unique((hashing.mix(elements + U(77)) % U(bits)).astype(I), return_counts=True)
     odd = np.zeros(bits, np.uint8)
     odd[at] = many & 1
