@@ -65,7 +65,7 @@ def test_quantiles_are_exact(spark, n):
 
 def test_outliers_need_eight_values(spark):
     few = spark.createDataFrame([(float(i),) for i in [1, 1, 1, 1, 1, 1, 1000]], "v double")
-    assert clean.flag_outliers(few).where("v_outlier_flag").count() == 0
+    assert clean.flag_outliers(few).columns == ["v"]
     many = spark.createDataFrame([(1.0,)] * 30 + [(1000.0,), (None,)], "v double")
     flagged = clean.flag_outliers(many).where("v_outlier_flag").collect()
     assert [r["v"] for r in flagged] == [1000.0]
