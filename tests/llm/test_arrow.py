@@ -373,3 +373,19 @@ def test_pages(spark):
         if size > 250:
             assert got[3] == "one of a kind"
     assert host_suffixes.extract(pages.limit(0)).count() == 0
+
+
+def test_pages_do_not_depend_on_the_size_of_a_group(spark):
+    r = random.Random(8)
+    prose = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+    notices = [prose(20) for _ in range(6)]
+    rows, own = [], {}
+    for i in range(120):
+        # each notice stands on two pages, which a cut by page hash seldom leaves together
+        own[i] = prose(40)
+        rows.append((i, f"http://big.org/{i}", f"<div>{notices[i // 20] if i % 20 < 2 else prose(20)}</div><div>{own[i]}</div>"))
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    whole = {x.page_id: x.text for x in host_suffixes.extract(pages).collect()}
+    assert all(whole[i] == own[i] for i in range(120) if i % 20 < 2)
+    cut = {x.page_id: x.text for x in host_suffixes.extract(pages, group_bytes=1500).collect()}
+    assert cut == whole
