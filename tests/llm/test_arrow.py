@@ -389,3 +389,20 @@ def test_pages_do_not_depend_on_the_size_of_a_group(spark):
     assert all(whole[i] == own[i] for i in range(120) if i % 20 < 2)
     cut = {x.page_id: x.text for x in host_suffixes.extract(pages, group_bytes=1500).collect()}
     assert cut == whole
+
+
+def test_copies_with_a_line_of_their_own_stay_and_notices_go(spark):
+    r = random.Random(9)
+    prose = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+    notice, articles = prose(30), [prose(80) for _ in range(12)]
+    rows = [(i, f"http://h.org/{i}", f"<div>{notice}</div><div>{articles[i]}</div>") for i in range(12)]
+    rows += [(100 + i, f"http://h.org/print/{i}", f"<p>printed on day {i} of may</p><div>{articles[i]}</div><p>{notice}") for i in range(6)]
+    # the notice within a block of the article: its words go, not the block
+    inside = prose(50)
+    rows.append((200, "http://h.org/inside", f"<div>{inside} {notice} {inside[::-1]}</div>"))
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    for size in (host_suffixes.GROUP_BYTES, 1500):
+        got = {x.page_id: x.text for x in host_suffixes.extract(pages, group_bytes=size).collect()}
+        assert all(got[i] == articles[i] for i in range(12))
+        assert all(got[100 + i] == f"printed on day {i} of may {articles[i]}" for i in range(6))
+        assert got[200] == f"{inside} {inside[::-1]}"
