@@ -406,3 +406,18 @@ def test_copies_with_a_line_of_their_own_stay_and_notices_go(spark):
         assert all(got[i] == articles[i] for i in range(12))
         assert all(got[100 + i] == f"printed on day {i} of may {articles[i]}" for i in range(6))
         assert got[200] == f"{inside} {inside[::-1]}"
+
+
+def test_body_beside_a_card_stays(spark):
+    r = random.Random(10)
+    prose = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+    card, bodies, cards = prose(12), [prose(60) for _ in range(4)], [prose(9) for _ in range(4)]
+    rows = [(i, f"http://h.org/{i}", f"<div>{bodies[i]}</div><article>{card}</article>") for i in range(3)]
+    rows += [(3, "http://h.org/3", f"<div>{bodies[3]}</div><article>{cards[3]}</article>")]
+    rows += [(4, "http://h.org/4", f"<div>{cards[0]}</div><article>{cards[1]} {card}</article>")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    for size in (host_suffixes.GROUP_BYTES, 500):
+        got = {x.page_id: x.text for x in host_suffixes.extract(pages, group_bytes=size).collect()}
+        assert all(got[i] == bodies[i] for i in range(3))  # the card repeats on other pages
+        assert got[3] == f"{bodies[3]} {cards[3]}"
+        assert got[4] == f"{cards[1]} {card}"  # the article is the text
