@@ -687,10 +687,10 @@ def flag_outliers(spark, d):
     return clean.flag_outliers(table(spark, d, "events").select("event_id", "value"), ["value"])
 
 
-@query("srt1_row_cap", "SELECT * FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT 40000")
+@query("srt1_row_cap", "SELECT * FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT 500000")
 def row_cap(spark, d):
     keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-    return charts.row_cap(table(spark, d, "lineitem"), keys, 40000)
+    return charts.row_cap(table(spark, d, "lineitem"), keys, 500000)
 
 
 @query("srt2_preview", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 1000")
@@ -710,9 +710,9 @@ def top_k(spark, d):
 
 
 @query("srt6_down_sample", """
-SELECT o_orderkey, o_totalprice FROM orders WHERE ((o_orderkey * 48271 + 7 * 40692) % 2147483647) % 5 = 0""")
+SELECT * FROM lineitem WHERE ((l_orderkey * 48271 + 7 * 40692) % 2147483647) % 5 = 0""")
 def down_sample(spark, d):
-    return charts.down_sample(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey", 5, seed=7)
+    return charts.down_sample(table(spark, d, "lineitem"), "l_orderkey", 5, seed=7)
 
 
 # ---- fields and claims ----------------------------------------------------------------

@@ -127,3 +127,16 @@ def test_deep_sitemaps(spark):
 
 def test_pages_are_shredded_without_ancestor_lists():
     assert "ancestors" not in H.NODE
+
+
+def test_row_cap_cuts_within_a_range(spark):
+    rows = spark.range(300).selectExpr("id div 3 AS a", "id % 3 AS b")
+    got = charts.row_cap(rows, ["a", "b"], 100).collect()
+    assert sorted((r.a, r.b) for r in got) == [(i // 3, i % 3) for i in range(100)]
+
+
+def test_registered_samples_read_the_whole_table():
+    from catalog import all_queries, base
+
+    all_queries.load()
+    assert "LIMIT 500000" in base.ORACLES["srt1_row_cap"] and "FROM lineitem" in base.ORACLES["srt6_down_sample"]
