@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls
 from ..functions.text import cut, each, let, strip
+from ..llm.storage import stored
 
 
 _BLOCK = 1000  # pages whose row counts are summed before a run's blocks are
@@ -234,24 +237,26 @@ def sitemap_entries(captures: DataFrame, body: str = "body") -> DataFrame:
 
 
 def sitemap_frontier(captures: DataFrame, roots: DataFrame, max_urls: int | None = None,
-                     max_sitemaps: int | None = None, depth: int = 10) -> DataFrame:
+                     max_sitemaps: int | None = None, depth: int | None = None) -> DataFrame:
     """(site, ordinal, loc): page addresses reached from each site's root sitemap.
 
     captures(url, body) holds fetched sitemaps, roots(site, url) the starting points.
     Sitemap indexes are followed level by level until none is new, at most `depth`
-    levels. With max_sitemaps or max_urls only the first ones of a site are kept.
+    levels if it is given. Levels are written, so that the plan does not grow with them.
+    With max_sitemaps or max_urls only the first ones of a site are kept.
     """
     entries = sitemap_entries(captures.select("url", "body"))
     index = entries.where("kind = 'sitemap'")
     seen = roots.select("site", "url", F.array(F.lit(0)).alias("step"))
     level = seen
-    for _ in range(depth):
+    for _ in itertools.count() if depth is None else range(depth):
         deeper = level.join(index, "url").select(
             "site", F.col("loc").alias("url"), F.concat("step", F.array(F.col("ordinal") + 1)).alias("step")
         )
-        level = deeper.groupBy("site", "url").agg(F.min("step").alias("step")).join(
-            seen.select("site", "url"), ["site", "url"], "left_anti"
-        )
+        known = seen.select(F.col("site").alias("__site"), F.col("url").alias("__url"))
+        again = F.col("site").eqNullSafe(F.col("__site")) & (F.col("url") == F.col("__url"))
+        level = deeper.groupBy("site", "url").agg(F.min("step").alias("step")).join(known, again, "left_anti")
+        level = stored(level, "sitemaps")
         if level.isEmpty():
             break
         seen = seen.unionAll(level)

@@ -140,3 +140,14 @@ def test_registered_samples_read_the_whole_table():
 
     all_queries.load()
     assert "LIMIT 500000" in base.ORACLES["srt1_row_cap"] and "FROM lineitem" in base.ORACLES["srt6_down_sample"]
+
+
+def test_sitemaps_are_followed_to_any_depth(spark):
+    index = "<sitemapindex><sitemap><loc>https://s.example/{}</loc></sitemap></sitemapindex>"
+    bodies = [(f"https://s.example/{i}", index.format(i + 1)) for i in range(11)]
+    bodies.append(("https://s.example/11", "<urlset><url><loc>https://s.example/page</loc></url></urlset>"))
+    bodies += [("https://s.example/a", index.format("b")), ("https://s.example/b", index.format("a"))]
+    pages = spark.createDataFrame(bodies, "url string, body string")
+    roots = spark.createDataFrame([("s", "https://s.example/0"), (None, "https://s.example/a")], "site string, url string")
+    assert [r.loc for r in captures.sitemap_frontier(pages, roots).collect()] == ["https://s.example/page"]
+    assert captures.sitemap_frontier(pages, roots, depth=10).count() == 0
