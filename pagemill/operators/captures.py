@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import urls
 from ..functions.text import cut, each, let, strip
-from ..llm.storage import stored
+from ..sinks.files import kept
 
 
 _BLOCK = 1000  # pages whose row counts are summed before a run's blocks are
@@ -256,7 +256,7 @@ def sitemap_frontier(captures: DataFrame, roots: DataFrame, max_urls: int | None
         known = seen.select(F.col("site").alias("__site"), F.col("url").alias("__url"))
         again = F.col("site").eqNullSafe(F.col("__site")) & (F.col("url") == F.col("__url"))
         level = deeper.groupBy("site", "url").agg(F.min("step").alias("step")).join(known, again, "left_anti")
-        level = stored(level, "sitemaps")
+        level = kept(level, "sitemaps")
         if level.isEmpty():
             break
         seen = seen.unionAll(level)
