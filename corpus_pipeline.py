@@ -16,11 +16,15 @@ from pagemill.llm.storage import stored, unused
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rule and the learned rules of their language."""
+    """Documents that pass the base rule and the learned rules of their language.
+
+    Measures are written before they are judged: a filter on an expression of this size
+    would be pushed down into copies of it."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    measured = quality_rules.measure(docs)
+    whole = docs.select("doc_id", "lang", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    measured = stored(quality_rules.measure(whole).drop("text"), "measured")
     cutoffs = stored(quality_rules.learn(measured, labels, "lang"), "cutoffs")
-    return quality_rules.judge(measured, cutoffs, "lang").where("kept").select(*docs.columns)
+    return quality_rules.judge(measured, cutoffs, "lang").where("kept").select("row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
