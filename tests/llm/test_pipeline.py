@@ -87,3 +87,26 @@ def test_stage_with_clashing_columns(spark, docs_of, tmp_path, extra):
     docs = docs_of([(1, "a b c d e f"), (2, "other")])
     assert extra in docs.columns
     assert [r.doc_id for r in corpus_pipeline.decontaminate(spark, docs, folder).collect()] == [2]
+
+
+def test_measure_names_in_documents_stay(spark, docs_of, tmp_path):
+    folder = str(tmp_path)
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    docs = docs_of([(1, GOOD), (2, "too few"), (None, GOOD), (3, None), (3, GOOD), (3, GOOD)])
+    assert "n_words" in docs.columns
+    rows = corpus_pipeline.quality(spark, docs, folder)
+    assert rows.columns == docs.columns
+    given = {(r.doc_id, r.text): r for r in docs.collect()}
+    got = rows.collect()
+    assert sorted((r.doc_id or -1) for r in got) == [-1, 1, 3, 3]
+    assert all(r == given[(r.doc_id, r.text)] for r in got)
+
+
+def test_expressions_of_a_stage_are_not_copied(spark, tmp_path):
+    """A filter pushed into copies of an expression made the first stage run for hours."""
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        plan = stage(spark, docs, folder)._jdf.queryExecution().optimizedPlan().toString()
+        for word in ("regexp_extract_all", "xxhash64", "split("):
+            assert plan.count(word) <= 24, (name, word, plan.count(word))
