@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import containment, host_suffixes, huffman, line_windows, packing, partenum, quality_rules, shuffling, suffix_tree, url_lists
+from . import containment, conversations, host_suffixes, huffman, line_windows, packing, partenum, prefix_counts, quality_rules, shuffling, suffix_tree, url_lists
 from .storage import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -318,3 +318,116 @@ SELECT page_id, url, text, length(text) AS n_chars FROM plain""",
 def op6_host_suffixes(spark: SparkSession, folder: str) -> DataFrame:
     texts = host_suffixes.extract(table(spark, folder, "pages"))
     return texts.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
+# --- 13: token counts of prefixes; tokenizers are beyond SQL
+
+
+@query("op13_prefix_counts")
+def op13_prefix_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """kept_chars: the code points of the longest prefix within the limit."""
+    docs = table(spark, folder, "documents").select("doc_id", F.octet_length("text").alias("n_bytes"), "text")
+    counted = prefix_counts.prefix_counts(docs, tokenizer("word_bpe_49k.json"), budgets=[2048])
+    whole = prefix_counts.n_tokens(F.col("prefix_tokens"))
+    return counted.select(
+        "doc_id", F.coalesce("n_bytes", F.lit(0)).cast("bigint").alias("n_bytes"), whole.alias("n_tokens"),
+        (whole > 2048).alias("over_limit"), F.get("fits", F.lit(0)).alias("kept_chars"),
+    )
+
+
+# --- 12: conversation structure repair
+
+SQL_REPAIR = r"""
+crc AS (
+  SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY i) AS t
+  FROM (SELECT unnest(range(0, 256))::BIGINT AS i)),
+given AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, [ascii(x)::BIGINT FOR x IN string_split(
+        coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), '')]),
+      lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1])), 4294967295) % 20 AS k
+  FROM conversations, crc),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+    CASE k WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(CASE WHEN k = 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM given WHERE k <> 0),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS r,
+    count(*) OVER (PARTITION BY conv_id) AS n, trim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body
+  FROM damaged),
+marked AS (
+  SELECT *, CASE WHEN body = '' THEN 'b'
+      WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY r) > 1 THEN 'd'
+      WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault,
+    left(lag(role) OVER (PARTITION BY conv_id ORDER BY r), 1) || left(role, 1) AS pair
+  FROM placed),
+stats AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+    count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM marked GROUP BY conv_id),
+-- cheapest (cost, edits) of rows r to n, from the start, after a system row, a user row, an assistant row
+best AS (
+  SELECT conv_id, n + 1 AS r, {'c': 0, 'e': ''} AS v0, {'c': 10, 'e': 'II'} AS vs, {'c': 5, 'e': 'I'} AS vu, {'c': 0, 'e': ''} AS va
+  FROM marked WHERE r = n
+  UNION ALL
+  SELECT conv_id, r,
+    least(w0, {'c': wu.c + 5, 'e': 'I' || wu.e}, {'c': wa.c + 10, 'e': 'II' || wa.e}),
+    least(ws, {'c': wu.c + 5, 'e': 'I' || wu.e}, {'c': wa.c + 10, 'e': 'II' || wa.e}),
+    least(wu, {'c': wa.c + 5, 'e': 'I' || wa.e}), least(wa, {'c': wu.c + 5, 'e': 'I' || wu.e})
+  FROM (
+    SELECT m.conv_id, m.r,
+      least({'c': v0.c + 2, 'e': 'D' || v0.e}, {'c': vu.c + 1 + x, 'e': 'R' || vu.e},
+        {'c': CASE l WHEN 's' THEN vs.c WHEN 'u' THEN vu.c ELSE 1000000 END + x, 'e': 'K' || CASE l WHEN 's' THEN vs.e ELSE vu.e END}) AS w0,
+      least({'c': vs.c + 2, 'e': 'D' || vs.e}, {'c': vu.c + 1 + x, 'e': 'R' || vu.e},
+        {'c': CASE l WHEN 'u' THEN vu.c ELSE 1000000 END + x, 'e': 'K' || vu.e}) AS ws,
+      least({'c': vu.c + 2, 'e': 'D' || vu.e}, {'c': va.c + 1 + x, 'e': 'R' || va.e},
+        {'c': CASE l WHEN 'a' THEN va.c ELSE 1000000 END + x, 'e': 'K' || va.e}) AS wu,
+      least({'c': va.c + 2, 'e': 'D' || va.e}, {'c': vu.c + 1 + x, 'e': 'R' || vu.e},
+        {'c': CASE l WHEN 'u' THEN vu.c ELSE 1000000 END + x, 'e': 'K' || vu.e}) AS wa
+    FROM best b JOIN (SELECT conv_id, r, left(role, 1) AS l,
+        CASE WHEN fault IN ('b', 'd') THEN 1000000 WHEN fault = 't' THEN 5 ELSE 0 END AS x FROM marked) m
+      ON m.conv_id IS NOT DISTINCT FROM b.conv_id AND m.r = b.r - 1)),
+chosen AS (SELECT conv_id, v0.c AS cost, v0.e AS audit FROM best WHERE r = 1),
+edits AS (SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS j FROM chosen),
+steps AS (
+  SELECT conv_id, j, substr(audit, j, 1) AS e, length(replace(left(audit, j), 'I', '')) AS r FROM edits),
+stays AS (
+  SELECT s.conv_id, s.j, s.e, m.role, m.text, row_number() OVER (PARTITION BY s.conv_id ORDER BY s.j) AS p
+  FROM steps s LEFT JOIN marked m ON m.conv_id IS NOT DISTINCT FROM s.conv_id AND m.r = s.r AND s.e <> 'I' WHERE s.e <> 'D'),
+roles AS (
+  SELECT *, count(*) FILTER (p = 1 AND e = 'K' AND left(role, 1) = 's') OVER (PARTITION BY conv_id) AS led FROM stays),
+hashed AS (
+  SELECT conv_id, sha256(string_agg(CASE WHEN e = 'K' THEN role WHEN (p - led) % 2 = 1 THEN 'user' ELSE 'assistant' END
+    || ':' || CASE WHEN e = 'I' THEN '' ELSE text END, chr(10) ORDER BY p)) AS h FROM roles GROUP BY conv_id)
+SELECT g.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost,
+  coalesce(audit, '') AS audit, coalesce(h, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) g
+LEFT JOIN stats s ON s.conv_id IS NOT DISTINCT FROM g.conv_id
+LEFT JOIN chosen c ON c.conv_id IS NOT DISTINCT FROM g.conv_id
+LEFT JOIN hashed h ON h.conv_id IS NOT DISTINCT FROM g.conv_id
+"""
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """Faults put into conversations by a checksum of conversation and turn. Dropped rows
+    stay as rows that are not `present`."""
+    name = F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit(" ")), F.lit(":"),
+                    F.coalesce(F.col("turn").cast("string"), F.lit(" ")))
+    kind = F.crc32(name.cast("binary")) % 20
+    text = F.coalesce("text", F.lit(" "))
+    made = rows.select(
+        "conv_id", "turn", F.when(kind == 4, "user").otherwise(F.coalesce("role", F.lit(" "))).alias("role"),
+        F.when(kind == 1, "").when(kind == 2, F.translate(text, ".!?", "")).otherwise(text).alias("text"),
+        (kind != 0).alias("present"), F.when(kind == 3, 2).otherwise(1).alias("copies"),
+    )
+    return made.select("*", F.explode(F.array_repeat(F.lit(1), F.col("copies"))).alias("copy")).drop("copies", "copy")
+
+
+@query("op12_conversation_repair", "WITH RECURSIVE " + SQL_REPAIR)
+def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    rows = damaged(table(spark, folder, "conversations"))
+    return conversations.repair_report(rows, present="present")
