@@ -74,9 +74,28 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def read_xml(spark: SparkSession, path: str, row_tag: str, schema=None) -> DataFrame:
-    reader = spark.read.format("xml").option("rowTag", row_tag)
-    return (reader.schema(schema) if schema else reader).load(path)
+def read_xml(spark: SparkSession, path: str, row_tag: str, schema: str) -> DataFrame:
+    """Elements called row_tag as rows of the schema (attributes with a leading _).
+
+    Files are cut at the end tag by the text reader, so a large file is read by many
+    tasks, and a file may hold any number of documents, each with its own declaration and
+    root. Comments are no records, if they hold one end tag at most; an element is not
+    looked for inside one of its own name. Elements that are not well-formed are left out."""
+    pieces = spark.read.option("lineSep", f"</{row_tag}>").text(path)
+    # a comment with an end tag inside goes on in the next piece
+    text = F.regexp_replace("value", r"(?s)<!--.*?(?:-->|\z)|\A[^<]*-->", "")
+    # what begins with the tag; the last of them is the one that the file was cut at
+    begun = F.filter(F.split(text, rf"(?=<{row_tag}[\s/>])"), lambda x: F.startswith(x, F.lit(f"<{row_tag}")))
+    head = rf"""^<{row_tag}(?:[^>"']|"[^"]*"|'[^']*')*>"""
+    marked = F.transform(begun, lambda x, i: F.struct(x.alias("text"), F.regexp_extract(x, head, 0).alias("head"), i.alias("i")))
+    whole = F.filter(marked, lambda x: (x["head"] != "") & (F.endswith(x["head"], F.lit("/>")) | (x["i"] == F.size(begun) - 1)))
+    elements = F.transform(
+        whole,
+        lambda x: F.when(F.endswith(x["head"], F.lit("/>")), x["head"]).otherwise(F.concat(x["text"], F.lit(f"</{row_tag}>"))),
+    )
+    rows = pieces.select(F.explode(elements).alias("element"))
+    parsed = F.from_xml("element", f"{schema}, __broken string", {"columnNameOfCorruptRecord": "__broken"})
+    return rows.select(parsed.alias("r")).where("r.__broken IS NULL").select("r.*").drop("__broken")
 
 
 def read_file(spark: SparkSession, path: str, fmt: str, **options) -> DataFrame:

@@ -151,3 +151,32 @@ def test_sitemaps_are_followed_to_any_depth(spark):
     roots = spark.createDataFrame([("s", "https://s.example/0"), (None, "https://s.example/a")], "site string, url string")
     assert [r.loc for r in captures.sitemap_frontier(pages, roots).collect()] == ["https://s.example/page"]
     assert captures.sitemap_frontier(pages, roots, depth=10).count() == 0
+
+
+def test_row_cap_with_ties_nulls_and_equal_rows(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(charts, "SORTED_AT_ONCE", 50)
+    monkeypatch.setattr(charts, "SPLITTERS", 300)
+    draw = random.Random(4)
+    rows = [(draw.choice([None, 1.0, 2.0, float("nan"), -0.0]), draw.choice([None, "a", "b", "é"]), i if i < 1500 else 7)
+            for i in range(3000)]
+    df = spark.createDataFrame(rows, "a double, b string, c int").repartition(5)
+
+    def key(r):
+        return (r[0] is not None, r[0] if r[0] == r[0] else float("inf"), r[1] is not None, r[1] or "") if r[0] is not None else (
+            False, 0.0, r[1] is not None, r[1] or "")
+
+    order = sorted(map(key, rows))
+    for k in (1, 700, 2999, 3000):
+        assert sorted(map(key, charts.row_cap(df, ["a", "b"], k).collect())) == order[:k]
+    one = spark.range(3000).selectExpr("1 AS a", "timestamp_ntz'2024-01-01 00:00:00' AS t", "date'2024-01-01' AS d")
+    assert charts.row_cap(one, ["t", "d", "a"], 1234).count() == 1234
+
+
+def test_row_cap_compares_with_two_literals(spark):
+    from catalog import all_queries, base
+
+    all_queries.load()
+    plan = base.QUERIES["srt1_row_cap"](spark, "/root/testdata/sf0.1")._jdf.queryExecution().executedPlan().toString()
+    assert "filter(array(" not in plan and "lambdafunction" not in plan
