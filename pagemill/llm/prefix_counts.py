@@ -42,10 +42,12 @@ from pyspark.sql import types as T
 SLICE = 1 << 20  # code points of a text worked on at once
 BATCH = 1 << 21  # code points whose counts go to Spark at once
 KEPT = 300_000  # words remembered, in each of two generations
-KEPT_PAIRS = 1 << 20
+KEPT_PAIRS = 400_000
+KEPT_BEGUN = 300_000  # beginnings of words remembered, of at most BEGUN bytes
+BEGUN = 7
 WORDS = re.compile(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+\Z")
 SPACE = re.compile(r"[\x20\x09-\x0D]")
-SPACES = re.compile(r"[\x20\x09-\x0D]*")
+SPACE_CHARACTERS = " \t\n\x0b\x0c\r"
 
 
 def byte_letters() -> list[str]:
@@ -68,20 +70,31 @@ class PrefixEncoder:
 
         self.library = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            file = json.load(f)
+        model, split = file["model"], file["pre_tokenizer"]
         self.end = model.get("end_of_word_suffix")
         drops = self.library.encode("a b", add_special_tokens=False).ids == self.library.encode("a \n b", add_special_tokens=False).ids
         if model["type"] != "BPE" or not self.end or not drops:
             raise ValueError(f"{path}: not byte pair encoding with word ends that drops white space")
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.rank = {pair: i for i, pair in enumerate(merges)}
+        self.made = {a + b: (a, b, i) for i, (a, b) in enumerate(merges)}
+        pattern = next(s["pattern"]["Regex"] for s in split["pretokenizers"] if s["type"] == "Split")
+        for name, letters in ((r"[\p{L}]", "[A-Za-z]"), (r"[\p{N}]", "[0-9]"), (r"\p{L}", "A-Za-z"), (r"\p{N}", "0-9"), (r"\s", r"\x20\x09-\x0D")):
+            pattern = pattern.replace(name, letters)
+        self.ascii = re.compile(pattern)  # the pre-tokenizer's pattern on ASCII
         self.tails = {t[: -len(self.end)]: t for t in model["vocab"] if t.endswith(self.end)}
         self.inner = {t for t in model["vocab"] if not t.endswith(self.end)}
         self.longest = max(map(len, [*self.inner, *self.tails]))
         self.letters = byte_letters()
         self.special = sorted((t.content for t in self.library.get_added_tokens_decoder().values()), key=len, reverse=True)
         self.agree: dict[tuple[str, str], bool] = {}
-        self.pieces: dict[str, list[int]] = {}
+        self.rights: dict[str, list[tuple[str, int]]] = {}
+        self.lefts: dict[str, list[tuple[str, int]]] = {}
+        self.begun: dict[str, tuple[str, int, int]] = {}
+        self.folded: dict[str, str] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.pieces_before: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.seconds: set[str] = set()
@@ -94,32 +107,59 @@ class PrefixEncoder:
 
     # ---- one piece of the pre-tokenizer
 
+    def _spine(self, token: str, right: bool) -> list[tuple[str, int]]:
+        """What stands at the right (left) end of a token while it is merged together, each
+        with the rank of the merge that ends it."""
+        known = self.rights if right else self.lefts
+        if token not in known:
+            out, rank = [(token, len(self.rank))], len(self.rank)
+            part = token
+            while part in self.made:
+                *halves, rank = self.made[part]
+                part = halves[right]
+                out.append((part, rank))
+            known[token] = out
+        return known[token]
+
     def _neighbours(self, a: str, b: str) -> bool:
-        """Whether merging the letters of a and b ends in a and b; b may end the word."""
-        closed = b.endswith(self.end)
-        parts = [*a, *(b[: -len(self.end)] if closed else b)]
-        if closed:
-            parts[-1] += self.end
-        rank, least = self.rank, len(self.rank)
-        while len(parts) > 2:
-            ranks = [rank.get(pair, least) for pair in zip(parts, parts[1:])]
-            best = min(ranks)
-            if best == least:
-                break
-            at = ranks.index(best)
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        known = parts == [a, b] and (a, b) not in rank
+        """Whether merging the letters of a and b ends in a and b; b may end the word.
+
+        Merges happen in the order of their ranks, equal ones from left to right. So the
+        two stay apart unless something across the border can be merged before what is
+        to the left of it, and not after what is to the right."""
+        rank = self.rank
+        known = True
+        left = self._spine(b, False)
+        for x, x_ends in self._spine(a, True):
+            for y, y_ends in left:
+                at = rank.get((x, y))
+                if at is not None and at < x_ends and at <= y_ends:
+                    known = False
         if len(self.agree) >= KEPT_PAIRS:
             self.agree.clear()
         self.agree[a, b] = known
         return known
 
-    def _piece(self, piece: str) -> list[int]:
-        """Counts of every prefix of a piece, each taken as a whole piece."""
-        counts = self._counts(piece)
-        if len(piece) > 1 and piece[0] == "'" and piece[1:].isalpha():  # a contraction, apart while it is not whole
-            return [self.total(piece[:k]) for k in range(1, len(piece))] + counts[-1:]
-        return counts
+    def _piece(self, piece: str) -> bytes:
+        """Changes of the count, prefix by prefix, each taken as a whole piece."""
+        found = self.pieces_before.get(piece)
+        if found is None:
+            counts = self._counts(piece)
+            if len(piece) > 1 and piece[0] == "'" and piece[1:].isalpha():  # a contraction, apart while it is not whole
+                counts = [self.total(piece[:k]) for k in range(1, len(piece))] + counts[-1:]
+            found = self._changes(counts)
+        if len(piece) <= 40:
+            if len(self.pieces) >= KEPT:  # what is not met again in a generation is forgotten
+                self.pieces_before, self.pieces = self.pieces, {}
+            self.pieces[piece] = found
+        return found
+
+    @staticmethod
+    def _changes(counts: list[int]) -> bytes:
+        changes = array("h", map(sub, counts, [0, *counts]))
+        if sys.byteorder == "big":
+            changes.byteswap()
+        return changes.tobytes()
 
     def _counts(self, piece: str) -> list[int]:
         if piece.isascii() and piece.isprintable():  # these bytes stand for themselves
@@ -129,73 +169,89 @@ class PrefixEncoder:
             letters = "".join([self.letters[b] for d in data for b in d])
             ends = np.cumsum([len(d) for d in data]).tolist()
         inner, tails, agree, neighbours = self.inner, self.tails, self.agree, self._neighbours
-        last, count, whole = [""], [0], [0]  # the last token and the count of what does not end the word; the count if it does
+        begun, longest = self.begun, self.longest
+        # the last token and the count of what begins the word and does not end it; the count if it does
+        last, count, whole = [""], [0], [0]
         for end in range(1, len(letters) + 1):
+            if end <= BEGUN:
+                known = begun.get(letters[:end])
+                if known is not None:  # words begin alike
+                    last.append(known[0])
+                    count.append(known[1])
+                    whole.append(known[2])
+                    continue
             own = closed = None
-            for start in range(end - self.longest if end > self.longest else 0, end):
+            for start in range(end - longest if end > longest else 0, end):
                 token = letters[start:end]
                 if own is None and token in inner:
                     pair = (last[start], token)
-                    known = agree.get(pair) if start else True
-                    if known or (known is None and neighbours(*pair)):
+                    right = agree.get(pair) if start else True
+                    if right or (right is None and neighbours(*pair)):
                         own = token
                         last.append(token)
                         count.append(count[start] + 1)
                 if closed is None and token in tails:
                     pair = (last[start], tails[token])
-                    known = agree.get(pair) if start else True
-                    if known or (known is None and neighbours(*pair)):
+                    right = agree.get(pair) if start else True
+                    if right or (right is None and neighbours(*pair)):
                         closed = token
                         whole.append(count[start] + 1)
                 if own is not None and closed is not None:
                     break
+            if end <= BEGUN:
+                if len(begun) >= KEPT_BEGUN:
+                    begun.clear()
+                begun[letters[:end]] = (last[end], count[end], whole[end])
         return whole[1:] if ends is None else [whole[k] for k in ends]
 
     # ---- a word: what stands between ASCII white space
 
     def _split(self, body: str) -> list[tuple[int, int]]:
-        if body.isascii() and body.isalpha():
+        if body.isascii():
+            return [m.span() for m in self.ascii.finditer(body)]
+        if body.isalpha() and max(body) < "\u0250":  # Latin letters alone
             return [(0, len(body))]
         return [place for _, place in self.library.pre_tokenizer.pre_tokenize_str(body)]
 
-    def _normal(self, body: str) -> list[int]:
-        """Counts of every prefix of a normalized string."""
-        out, done, at = [], 0, 0
+    def _normal(self, body: str) -> bytes:
+        """Changes of the count over the prefixes of a normalized string."""
+        get, at, parts = self.pieces.get, 0, []
         for start, end in self._split(body):
+            if start > at:
+                parts.append(bytes(2 * (start - at)))
             piece = body[start:end]
-            counts = self.pieces.get(piece)
-            if counts is None:
-                counts = self._piece(piece)
-                if len(piece) <= 40:
-                    if len(self.pieces) >= KEPT:
-                        self.pieces.clear()
-                    self.pieces[piece] = counts
-            out += [done] * (start - at)
-            out += [done + c for c in counts]
-            done, at = out[-1], end
-        return out + [done] * (len(body) - at)
+            parts.append(get(piece) or self._piece(piece))
+            at = end
+        parts.append(bytes(2 * (len(body) - at)))
+        return b"".join(parts)
+
+    def _run(self, body: str) -> list[int]:
+        """Counts of every prefix of a normalized string, the empty one included."""
+        return [0, *np.cumsum(np.frombuffer(self._normal(body), "<i2"), dtype=np.int64).tolist()]
 
     def total(self, body: str) -> int:
-        return self._normal(body)[-1] if body else 0
+        return self._run(body)[-1]
 
     def _fold(self, body: str) -> list[str]:
         """What the normalizer makes of every character of a composed string."""
         if body.isascii():
             return list(body.lower())
-        return [c.lower() if c.isascii() else self.library.normalizer.normalize_str(c) for c in body]
+        fold = self.folded
+        for c in body:
+            if c not in fold:
+                fold[c] = c.lower() if c.isascii() else self.library.normalizer.normalize_str(c)
+        return [fold[c] for c in body]
 
     def _ordinary(self, word: str) -> list[int]:
         """Counts of every prefix of a word without special tokens."""
-        if word.isascii():
-            return self._normal(word.lower())
         if unicodedata.is_normalized("NFC", word):
             folded = self._fold(word)
-            counts = [0, *self._normal("".join(folded))]
+            counts = self._run("".join(folded))
             return [counts[k] for k in np.cumsum([len(f) for f in folded]).tolist()]
         groups = self._groups(word)
         whole = ["".join(self._fold(unicodedata.normalize("NFC", g))) for g in groups]
         body = "".join(whole)
-        counts = [0, *self._normal(body)]
+        counts = self._run(body)
         starts = [s for s, _ in self._split(body)]
         out, at, seen = [], 0, 0
         for group, made in zip(groups, whole):
@@ -240,13 +296,15 @@ class PrefixEncoder:
         """Changes of the count from prefix to prefix, 16-bit, of white space and a word."""
         found = self.older.get(word)
         if found is None:
-            spaces = SPACES.match(word).end()
-            counts = self._word(word[spaces:]) if spaces < len(word) else []
-            changes = array("h", [0] * spaces)
-            changes.extend(map(sub, counts, [0, *counts]))
-            if sys.byteorder == "big":
-                changes.byteswap()
-            found = changes.tobytes()
+            body = word.lstrip(SPACE_CHARACTERS)
+            found = bytes(2 * (len(word) - len(body)))
+            if body and not any(s in body for s in self.special):
+                folded = [body.lower()] if body.isascii() else self._fold(body) if unicodedata.is_normalized("NFC", body) else [""]
+                plain = "".join(folded)
+                # one character for one: the changes are those of the normalized string
+                found += self._normal(plain) if len(plain) == len(body) else self._changes(self._ordinary(body))
+            elif body:
+                found += self._changes(self._word(body))
         if len(word) <= 60:
             if len(self.words) >= KEPT:  # what is not met again in a generation is forgotten
                 self.older, self.words = self.words, {}
