@@ -1,8 +1,8 @@
 """Nested JSON as VARIANT: record arrays, paths, flattening.
 
-Every function here is a chain of projections on one row per document. Steps
-that look one level deeper are separate columns, so each level is computed
-once; nothing is exploded or shuffled.
+Every function here is a chain of projections on one row per document; nothing is
+exploded or shuffled. What depends on all levels comes from json_walk, whatever the
+depth; values are picked natively.
 """
 
 from __future__ import annotations
@@ -12,11 +12,9 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import fixed
+from . import fixed, json_walk
 from .text import col, strip
 
-MAX_DEPTH = 6
-
 
 def as_map(v) -> Column:
     return F.try_variant_get(col(v), "$", "map<string,variant>")
@@ -59,112 +57,28 @@ def resolve_path(v, path: str | None, as_type: str = "variant") -> Column:
     return F.try_variant_get(col(v), json_path(path), as_type)
 
 
-_NODES = "array<struct<path:string,v:variant>>"
-
-
 def _nothing(kind: str) -> Column:
     return F.array().cast(kind)
 
 
-def _children(nodes: Column, list_items: int | None) -> Column:
-    def members(path, m):
-        return F.transform(
-            F.map_entries(m),
-            lambda e: F.struct(
-                F.when(path == "", e["key"])
-                .otherwise(F.concat(path, F.lit("."), e["key"]))
-                .alias("path"),
-                e["value"].alias("v"),
-            ),
-        )
-
-    def entries(path, items):
-        return F.transform(
-            items if list_items is None else F.slice(items, 1, list_items),
-            lambda x, i: F.struct(
-                F.concat(path, F.lit("["), i.cast("string"), F.lit("]")).alias("path"), x.alias("v")
-            ),
-        )
-
-    def of(n):
-        return F.coalesce(
-            members(n["path"], as_map(n["v"])), entries(n["path"], as_array(n["v"])), _nothing(_NODES)
-        )
-
-    return F.flatten(F.transform(nodes, of))
-
-
-def _levels(df: DataFrame, v: str, depth: int, list_items: int | None,
-            where: Column | None = None) -> tuple[DataFrame, list[str]]:
-    """One column per nesting level, each an array of (path, value)."""
-    names = [f"__level{d}" for d in range(depth + 1)]
-    df = df.withColumn(
-        names[0],
-        F.when(
-            F.col(v).isNotNull() & (F.lit(True) if where is None else where),
-            F.array(F.struct(F.lit("").alias("path"), F.col(v).alias("v"))),
-        ).otherwise(_nothing(_NODES)),
-    )
-    for previous, name in zip(names, names[1:]):
-        df = df.withColumn(name, _children(F.col(previous), list_items))
-    return df, names
-
-
 def find_record_arrays(df: DataFrame, v: str, out: str = "arrays",
-                       where: Column | None = None, depth: int = MAX_DEPTH,
+                       where: Column | None = None, depth: int | None = None,
                        list_items: int | None = None, limit: int | None = None) -> DataFrame:
     """Arrays of objects inside a document, the most useful first.
 
-    Adds array<struct<path, n, keys, objects>>. An array qualifies with two or
-    more objects that make up at least 60 percent of its items. Documents outside
-    `where` are not searched. `depth` is the number of levels searched; only the first
-    list_items items of a list are searched, and the best `limit` arrays returned, if
-    these are given.
+    Adds array<struct<path, steps, n, keys>>; `objects_of` picks the objects of one. An
+    array qualifies with two or more objects that make up at least 60 percent of its
+    items. Documents outside `where` are not searched. Levels below `depth`, items of a list after the first list_items and
+    arrays after the best `limit` are left out only if these are given.
     """
-    df, names = _levels(df, v, depth, list_items, where)
+    searched = F.col(v) if where is None else F.when(where, F.col(v))
+    found = json_walk.record_arrays(searched, depth, list_items, limit)
+    return df.withColumn(out, F.coalesce(found, _nothing(json_walk.ARRAYS)))
 
-    def found(nodes):
-        opened = F.transform(
-            nodes, lambda n: F.struct(n["path"].alias("path"), as_array(n["v"]).alias("items"))
-        )
-        lists = F.filter(
-            F.transform(
-                F.filter(opened, lambda n: F.size(n["items"]) >= 2),
-                lambda n: F.struct(
-                    F.when(n["path"] == "", "$").otherwise(n["path"]).alias("path"),
-                    F.size(n["items"]).alias("items"),
-                    F.filter(n["items"], is_object).alias("objects"),
-                ),
-            ),
-            lambda a: (F.size(a["objects"]) >= 2) & (F.size(a["objects"]) >= a["items"] * 0.6),
-        )
-        return F.transform(
-            lists,
-            lambda a: F.struct(
-                a["path"].alias("path"),
-                F.size(a["objects"]).cast("bigint").alias("n"),
-                F.array_sort(
-                    F.array_distinct(F.flatten(F.transform(a["objects"], lambda o: F.map_keys(as_map(o)))))
-                ).alias("keys"),
-                a["objects"].alias("objects"),
-            ),
-        )
-
-    def better(a, b):
-        return (
-            F.when(a["n"] != b["n"], F.when(a["n"] > b["n"], -1).otherwise(1))
-            .when(
-                F.size(a["keys"]) != F.size(b["keys"]),
-                F.when(F.size(a["keys"]) > F.size(b["keys"]), -1).otherwise(1),
-            )
-            .when(a["path"] < b["path"], -1)
-            .when(a["path"] > b["path"], 1)
-            .otherwise(0)
-        )
 
-    every = F.concat(*[found(F.col(n)) for n in names])
-    best = F.array_sort(every, better)
-    return df.withColumn(out, best if limit is None else F.slice(best, 1, limit)).drop(*names)
+def objects_of(v, array: Column) -> Column:
+    """The objects of an array that find_record_arrays found in v."""
+    return F.filter(as_array(json_walk.at_steps(col(v), array["steps"])), is_object)
 
 
 def records_of(df: DataFrame, v: str, path: str | None = None, out: str = "records") -> DataFrame:
@@ -177,121 +91,36 @@ def records_of(df: DataFrame, v: str, path: str | None = None, out: str = "recor
     node = resolve_path(v, path) if path else F.col(v)
     df = df.withColumn("__items", as_array(node))
     items = F.col("__items")
-    objects = F.filter(items, is_object)
-    nested = F.filter(items, lambda x: ~is_scalar(x))
-    settled = (
-        (F.lit(bool(path)) & items.isNotNull())
-        | F.exists(items, is_object)
-        | ((F.size(items) > 0) & (F.size(nested) == 0))
-    )
+    df = df.withColumn("__objects", F.filter(items, is_object))
+    objects = F.col("__objects")
+    plain = (F.size(objects) == 0) & (F.size(items) > 0) & ~F.exists(items, is_list)  # scalars alone
+    settled = (F.lit(bool(path)) & items.isNotNull()) | (F.size(objects) > 0) | plain
     df = find_record_arrays(df, v, "__arrays", ~F.coalesce(settled, F.lit(False)))
     values = F.transform(
         items, lambda x: F.parse_json(F.concat(F.lit('{"value":'), F.to_json(x), F.lit("}")))
     )
-    best = F.get(F.col("__arrays"), F.lit(0))["objects"]
+    best = objects_of(v, F.get(F.col("__arrays"), F.lit(0)))
     rows = (
         F.when(F.lit(bool(path)) & items.isNotNull(), objects)
         .when(F.size(objects) > 0, objects)
-        .when((F.size(items) > 0) & (F.size(nested) == 0), values)
+        .when(plain, values)
         .when(best.isNotNull(), best)
         .when(is_object(v), F.array(F.col(v)))
         .otherwise(_nothing("array<variant>"))
     )
-    return df.withColumn(out, rows).drop("__arrays", "__items")
+    return df.withColumn(out, rows).drop("__arrays", "__items", "__objects")
 
 
-def flatten_record(df: DataFrame, v: str, out: str = "record") -> DataFrame:
+def flatten_record(df: DataFrame, v: str, out: str = "record", depth: int | None = None,
+                   list_items: int | None = None) -> DataFrame:
     """One nested record as a flat map<string,string>.
 
-    Objects join their names with '.', three levels deep, and are JSON text below; a
-    list of scalars becomes its values; a list of objects stands for its item 0.
+    Objects join their names with '.'; a list of scalars becomes its values; the items of
+    a list of objects are numbered (`name.0.key`). Objects and lists below `depth` levels
+    are JSON text, and items after the first list_items are left out, only if these are
+    given.
     """
-    entry = "array<struct<name:string,v:variant>>"
-
-    def entries(m, prefix):
-        return F.transform(
-            F.map_entries(m),
-            lambda e: F.struct(F.concat(prefix, e["key"]).alias("name"), e["value"].alias("v")),
-        )
-
-    def opened(level, depth):
-        """Each entry cast once: m is set where the entry is spread further."""
-
-        def first_object(items):
-            return as_map(F.get(items, F.lit(0))) if depth < 2 else F.lit(None).cast("map<string,variant>")
-
-        listed = F.transform(
-            level,
-            lambda e: F.struct(
-                e["name"].alias("name"), e["v"].alias("v"), as_map(e["v"]).alias("m"),
-                as_array(e["v"]).alias("items"),
-            ),
-        )
-        return F.transform(
-            listed,
-            lambda e: F.struct(
-                F.when(e["items"].isNull(), F.concat(e["name"], F.lit(".")))
-                .otherwise(F.concat(e["name"], F.lit(".0."))).alias("prefix"),
-                e["name"].alias("name"), e["v"].alias("v"), e["items"].alias("items"),
-                (e["m"] if depth < 3 else F.lit(None).cast("map<string,variant>")).alias("own"),
-                first_object(e["items"]).alias("first"),
-            ),
-        )
-
-    def deeper(level):
-        return F.flatten(
-            F.transform(
-                level,
-                lambda e: F.coalesce(
-                    entries(F.coalesce(e["own"], e["first"]), e["prefix"]), _nothing(entry)
-                ),
-            )
-        )
-
-    def leaf(e):
-        def joined(items):
-            texts = F.transform(
-                items,
-                lambda x: F.coalesce(F.try_variant_get(x, "$", "string"), F.lit("")),
-            )
-            return F.array_join(texts, ", ")
-
-        nested = F.exists(e["items"], lambda x: ~is_scalar(x))
-        return F.struct(
-            e["name"].alias("name"),
-            F.when(e["items"].isNull(), scalar_text(e["v"]))
-            .when(F.size(e["items"]) == 0, F.lit(None).cast("string"))
-            .when(~nested, joined(e["items"]))
-            .otherwise(F.to_json(e["v"]))
-            .alias("value"),
-        )
-
-    def leaves(level):
-        return F.transform(
-            F.filter(level, lambda e: e["own"].isNull() & e["first"].isNull()), leaf
-        )
-
-    df = df.withColumn("__entries", F.coalesce(entries(as_map(v), F.lit("")), _nothing(entry)))
-    names = []
-    for depth in range(4):
-        name = f"__opened{depth}"
-        df = df.withColumn(name, opened(F.col("__entries"), depth))
-        df = df.withColumn("__entries", deeper(F.col(name)))
-        names.append(name)
-    df = df.withColumn("__flat", F.concat(*[leaves(F.col(n)) for n in names]))
-    flat = F.col("__flat")
-    distinct = F.array_distinct(F.transform(flat, lambda e: e["name"]))
-    # a repeated name keeps its last value
-    merged = F.when(F.size(distinct) == F.size(flat), F.map_from_entries(flat)).otherwise(
-        F.map_from_arrays(
-            distinct,
-            F.transform(
-                distinct,
-                lambda k: F.element_at(F.filter(flat, lambda e: e["name"] == k), -1)["value"],
-            ),
-        )
-    )
-    return df.withColumn(out, merged).drop("__flat", "__entries", *names)
+    return df.withColumn(out, F.coalesce(json_walk.leaves(F.col(v), depth, list_items), F.create_map().cast("map<string,string>")))
 
 
 def describe_payload(df: DataFrame, v: str, out: str = "payload") -> DataFrame:
@@ -341,30 +170,11 @@ def cursor_field(v) -> Column:
     return F.coalesce(*options)
 
 
-def type_names(df: DataFrame, v: str, out: str = "types", depth: int = 8,
+def type_names(df: DataFrame, v: str, out: str = "types", depth: int | None = None,
                where: Column | None = None) -> DataFrame:
-    """Distinct '@type' (else 'type') texts of the first `depth` levels, sorted."""
-    df, names = _levels(df, v, depth, None, where)
-
-    def of(n):
-        m = as_map(n["v"])
-        value = F.coalesce(
-            F.get(F.filter(F.array(m["@type"], m["type"]),
-                           lambda x: F.try_variant_get(x, "$", "string").isNotNull()), F.lit(0))
-        )
-        text = F.schema_of_variant(value) == "STRING"
-        several = F.transform(
-            F.filter(as_array(value), lambda x: F.schema_of_variant(x) == "STRING"),
-            lambda x: F.try_variant_get(x, "$", "string"),
-        )
-        return (
-            F.when(m.isNull(), _nothing("array<string>"))
-            .when(text, F.array(F.try_variant_get(value, "$", "string")))
-            .otherwise(F.coalesce(several, _nothing("array<string>")))
-        )
-
-    every = F.concat(*[F.flatten(F.transform(F.col(n), of)) for n in names])
-    return df.withColumn(out, F.array_sort(F.array_distinct(every))).drop(*names)
+    """Distinct '@type' (else 'type') texts of all levels, or of the first `depth`, sorted."""
+    searched = F.col(v) if where is None else F.when(where, F.col(v))
+    return df.withColumn(out, F.coalesce(json_walk.type_texts(searched, depth), _nothing("array<string>")))
 
 
 def api_score(url, keys: Column, n: Column) -> Column:
@@ -380,9 +190,10 @@ def api_score(url, keys: Column, n: Column) -> Column:
     return F.greatest(F.lit(0.05), F.least(score, F.lit(0.97)))
 
 
-def classify_payload(df: DataFrame, text: str, depth: int = 3) -> DataFrame:
+def classify_payload(df: DataFrame, text: str, depth: int | None = None) -> DataFrame:
     """Adds kind (records, html, text, empty) and records (array<variant>) for a
-    text payload that may be JSON, fenced JSON, markup or prose."""
+    text payload that may be JSON, fenced JSON, markup or prose. Rows are looked for below
+    the usual wrapper keys, at most `depth` of them if it is given."""
     body = strip(F.coalesce(F.col(text), F.lit("")))
     fenced = strip(
         F.regexp_replace(F.regexp_replace(body, r"^```[a-zA-Z]*\s*", ""), r"\s*```$", "")
@@ -392,48 +203,8 @@ def classify_payload(df: DataFrame, text: str, depth: int = 3) -> DataFrame:
         "__doc",
         F.when(body_or_fence.rlike(r"^[{\[]"), F.try_parse_json(body_or_fence)),
     )
-    df = df.withColumn(
-        "__w0",
-        F.when(
-            is_object("__doc"),
-            F.array(F.struct(F.lit("").alias("path"), F.col("__doc").alias("v"))),
-        ).otherwise(_nothing(_NODES)),
-    )
-    names = ["__w0"]
-    for d in range(1, depth + 1):
-
-        def inside(n):
-            m = as_map(n["v"])
-            members = F.array(
-                *[
-                    F.struct(F.concat(n["path"], F.lit(str(i))).alias("path"), m[k].alias("v"))
-                    for i, k in enumerate(fixed.WRAPPER_KEYS)
-                ]
-            )
-            return F.filter(members, lambda x: x["v"].isNotNull())
-
-        df = df.withColumn(f"__w{d}", F.flatten(F.transform(F.col(names[-1]), inside)))
-        names.append(f"__w{d}")
-    option = "array<struct<path:string,rows:array<variant>>>"
-
-    def options(nodes):
-        def of(n):
-            items = as_array(n["v"])
-            full = (F.size(items) > 0) & (F.size(F.filter(items, lambda x: ~is_object(x))) == 0)
-            m = as_map(n["v"])
-            flat = (F.size(m) > 0) & F.forall(F.map_values(m), is_scalar)
-            return F.when(full, F.struct(n["path"].alias("path"), items.alias("rows"))).when(
-                # a flat object counts after everything found inside it
-                flat,
-                F.struct(F.concat(n["path"], F.lit("9")).alias("path"), F.array(n["v"]).alias("rows")),
-            )
-
-        return F.filter(F.transform(nodes, of), lambda o: o.isNotNull())
-
-    every = F.array_sort(
-        F.concat(*[options(F.col(n)) for n in names]).cast(option),
-        lambda a, b: F.when(a["path"] < b["path"], -1).when(a["path"] > b["path"], 1).otherwise(0),
-    )
+    df = df.withColumn("__steps", json_walk.steps_to_rows(F.when(is_object("__doc"), F.col("__doc")), depth))
+    df = df.withColumn("__rows", json_walk.at_steps(F.col("__doc"), F.col("__steps")))
     items = as_array("__doc")
     nested = F.size(F.filter(items, lambda x: ~is_scalar(x)))
     objects = F.size(F.filter(items, is_object))
@@ -445,7 +216,7 @@ def classify_payload(df: DataFrame, text: str, depth: int = 3) -> DataFrame:
                 items, lambda x: F.parse_json(F.concat(F.lit('{"value":'), F.to_json(x), F.lit("}")))
             ),
         )
-        .when(items.isNull(), F.get(every, F.lit(0))["rows"])
+        .when(items.isNull() & F.col("__rows").isNotNull(), F.coalesce(as_array("__rows"), F.array("__rows")))
     )
     df = df.withColumn("records", F.coalesce(rows, _nothing("array<variant>")))
     kind = (
@@ -455,4 +226,4 @@ def classify_payload(df: DataFrame, text: str, depth: int = 3) -> DataFrame:
         .when(body.rlike(fixed.HTML_HINT), "html")
         .otherwise("text")
     )
-    return df.withColumn("kind", kind).drop("__doc", *names)
+    return df.withColumn("kind", kind).drop("__doc", "__steps", "__rows")

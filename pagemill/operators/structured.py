@@ -110,7 +110,7 @@ def embedded_records(pages: DataFrame) -> DataFrame:
     """(page_id, path, item_idx, record) from the first blob of a page that holds
     a record array."""
     chosen = _first_arrays(embedded_documents(pages)).select(
-        "page_id", F.col("best.path").alias("path"), F.col("best.objects").alias("objects")
+        "page_id", F.col("best.path").alias("path"), variants.objects_of("doc", F.col("best")).alias("objects")
     )
     rows = each(chosen, F.col("objects"), "item_idx", "item").drop("objects")
     return variants.flatten_record(rows, "item").select("page_id", "path", "item_idx", "record")
@@ -136,7 +136,7 @@ def structured_records(pages: DataFrame) -> DataFrame:
     )
     is_linked = F.col("kind") == "json_ld"
     found = variants.find_record_arrays(docs, "doc", where=~is_linked)
-    best = F.get("arrays", F.lit(0))["objects"]
+    best = variants.objects_of("doc", F.get("arrays", F.lit(0)))
     lists = found.withColumn(
         "objects", F.when(is_linked, _ld_items("doc")).otherwise(best)
     ).where(F.size("objects") > 0).drop("doc", "arrays")
@@ -148,11 +148,13 @@ def structured_records(pages: DataFrame) -> DataFrame:
     )
 
 
-def structured_types(pages: DataFrame) -> DataFrame:
-    """(page_id, types): distinct @type names of a page's JSON-LD, sorted, ≤ 25."""
+def structured_types(pages: DataFrame, limit: int | None = None) -> DataFrame:
+    """(page_id, types): distinct @type names of a page's JSON-LD, sorted; the first
+    `limit` of them if that is given."""
     per_doc = variants.type_names(json_ld_documents(pages), "doc")
+    types = F.array_sort(F.collect_set("t"))
     return (
         per_doc.select("page_id", F.explode("types").alias("t")).distinct()
         .groupBy("page_id")
-        .agg(F.slice(F.array_sort(F.collect_set("t")), 1, 25).alias("types"))
+        .agg((types if limit is None else F.slice(types, 1, limit)).alias("types"))
     )

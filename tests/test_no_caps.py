@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagemill.functions import text, variants
-from pagemill.operators import captures, charts, clean, columns, dedupe, evidence, links, quality, repeated
+from pagemill.operators import captures, charts, clean, columns, dedupe, evidence, links, quality, repeated, structured
 from pagemill.plans import recipe as R
 from pagemill.sinks import files as sinks
 from pagemill.sources import html as H
@@ -180,3 +180,46 @@ def test_row_cap_compares_with_two_literals(spark):
     all_queries.load()
     plan = base.QUERIES["srt1_row_cap"](spark, "/root/testdata/sf0.1")._jdf.queryExecution().executedPlan().toString()
     assert "filter(array(" not in plan and "lambdafunction" not in plan
+
+
+def test_json_of_any_depth(spark):
+    deep = '{"name":"x","rows":[{"k":1.50,"v":"a"},{"k":2,"v":null}]}'
+    for k in range(12):
+        deep = '{"level%d":%s}' % (k, deep)
+    df = spark.createDataFrame([(deep,)], "j string").select(F.parse_json("j").alias("v"))
+    path = ".".join(f"level{k}" for k in range(11, -1, -1))
+    found = variants.find_record_arrays(df, "v").select(
+        "arrays", variants.objects_of("v", F.get("arrays", F.lit(0))).cast("string").alias("o")).first()
+    assert [(a["path"], a["n"], a["keys"]) for a in found["arrays"]] == [(f"{path}.rows", 2, ["k", "v"])]
+    assert '"v":"a"' in found["o"]
+    assert variants.find_record_arrays(df, "v", depth=12).first()["arrays"] == []
+    record = variants.flatten_record(df, "v").first()["record"]
+    assert record == {f"{path}.name": "x", f"{path}.rows.0.k": "1.5", f"{path}.rows.0.v": "a",
+                      f"{path}.rows.1.k": "2", f"{path}.rows.1.v": None}
+    assert list(variants.flatten_record(df, "v", depth=2).first()["record"]) == ["level11.level10.level9"]
+    typed = deep.replace('"name":"x"', '"@type":["Deep","Deeper"],"type":"no"')
+    df = spark.createDataFrame([(typed,)], "j string").select(F.parse_json("j").alias("v"))
+    assert variants.type_names(df, "v").first()["types"] == ["Deep", "Deeper"]
+    wrapped = '[{"a":1},{"a":2},{"a":3}]'
+    for key in ("rows", "data", "results", "output", "data", "items"):
+        wrapped = '{"%s":%s}' % (key, wrapped)
+    df = spark.createDataFrame([(wrapped,)], "t string")
+    assert variants.classify_payload(df, "t").select("kind", F.size("records")).first()[:] == ("records", 3)
+    assert variants.classify_payload(df, "t", depth=3).first()["kind"] == "empty"
+
+
+def test_items_of_two_object_lists_are_whole(spark):
+    body = '{"a":[{"x":1},{"x":2,"y":{"z":[3,4]}},7],"b":[{"c":[{"d":true},{"d":null}]}],"e":[[1],[2]],"f":{},"g":[1,{"h":2}]}'
+    df = spark.createDataFrame([(body,)], "j string").select(F.parse_json("j").alias("v"))
+    assert variants.flatten_record(df, "v").first()["record"] == {
+        "a.0.x": "1", "a.1.x": "2", "a.1.y.z": "3, 4", "a.2": "7", "b.0.c.0.d": "true", "b.0.c.1.d": None,
+        "e": "[[1],[2]]", "g": '[1,{"h":2}]'}
+    one = variants.flatten_record(df, "v", list_items=1).first()["record"]
+    assert "a.0.x" in one and "a.1.x" not in one
+
+
+def test_types_of_a_page_are_whole(spark):
+    body = "".join(f'<script type="application/ld+json">{{"@type":"T{k:02}"}}</script>' for k in range(40))
+    pages = spark.createDataFrame([(1, "https://x.org/", body)], "page_id int, url string, html string")
+    assert len(structured.structured_types(pages).first()["types"]) == 40
+    assert len(structured.structured_types(pages, limit=25).first()["types"]) == 25

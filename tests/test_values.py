@@ -92,7 +92,8 @@ def test_flatten(spark):
     ).select(F.try_parse_json("j").alias("v"))
     r = variants.flatten_record(df, "v").first()["record"]
     assert r["a.b"] == "1" and r["tags"] == "x, y" and r["items.0.c"] == "2" and r["e"] is None and r["n"] is None
-    assert r["d.d.d.d"] == '{"d":1}'
+    assert r["d.d.d.d.d"] == "1"
+    assert variants.flatten_record(df, "v", depth=3).first()["record"]["d.d.d.d"] == '{"d":1}'
 
 
 def test_payload_kinds(spark):
