@@ -41,7 +41,7 @@ from pyspark.sql import types as T
 
 SLICE = 1 << 20  # code points of a text worked on at once
 BATCH = 1 << 21  # code points whose counts go to Spark at once
-KEPT = 300_000  # words remembered, in each of two generations
+KEPT = 600_000  # words (and pieces of words) remembered, in each of two generations
 KEPT_PAIRS = 400_000
 KEPT_BEGUN = 300_000  # beginnings of words remembered, of at most BEGUN bytes
 BEGUN = 7
