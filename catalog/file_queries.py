@@ -155,7 +155,7 @@ def read_sitemap(spark, d):
 @query("src9_sitemap_frontier", """
 WITH p AS (SELECT page_id // 60 AS site, (page_id % 60) // 15 AS part, page_id, url FROM pages),
 f AS (SELECT site, url AS loc, min((part, page_id)) AS first_at FROM p GROUP BY site, url)
-SELECT site, CAST(row_number() OVER (PARTITION BY site ORDER BY first_at, loc) AS INTEGER) AS ordinal, loc FROM f""")
+SELECT site, row_number() OVER (PARTITION BY site ORDER BY first_at, loc) AS ordinal, loc FROM f""")
 def sitemap_frontier(spark, d):
     p = table(spark, d, "pages").select("page_id", "url").withColumn("site", block("page_id", 60))
     p = p.withColumn("part", F.floor((F.col("page_id") % 60) / 15))

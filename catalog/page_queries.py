@@ -286,8 +286,7 @@ def url_policy(spark, d):
 WITH {SQL_LINKS}, f AS (
   SELECT page_id % 7 AS run_id, link, min(page_id * 100000 + ordinal) AS first_seen
   FROM abs_links GROUP BY page_id % 7, link)
-SELECT run_id, link, row_number() OVER (PARTITION BY run_id ORDER BY first_seen, link)::INTEGER AS position FROM f
-QUALIFY position <= 2000""")
+SELECT run_id, link, row_number() OVER (PARTITION BY run_id ORDER BY first_seen, link) AS position FROM f""")
 def crawl_frontier(spark, d):
     found = links.page_links(dom(spark, d)).select(
         (F.col("page_id") % 7).alias("run_id"), "link",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import urls
 from ..functions.text import cut, each, let, strip
 from ..sinks.files import kept
+from .ranks import ranked
 
 
 _BLOCK = 1000  # pages whose row counts are summed before a run's blocks are
@@ -262,16 +263,14 @@ def sitemap_frontier(captures: DataFrame, roots: DataFrame, max_urls: int | None
         seen = seen.unionAll(level)
     first = seen.groupBy("site", "url").agg(F.min(F.struct(F.size("step"), "step")).alias("step"))
     visited = first.where(urls.is_allowed("url"))
-    nth = F.row_number().over(Window.partitionBy("site").orderBy("step", "url"))
     if max_sitemaps is not None:
-        visited = visited.withColumn("__nth", nth).where(F.col("__nth") <= max_sitemaps).drop("__nth")
+        visited = ranked(visited, ["site"], ["step", "url"], "__nth").where(F.col("__nth") <= max_sitemaps).drop("__nth")
     pages = (
         visited.join(entries.where("kind = 'page'"), "url")
         .groupBy("site", "loc")
         .agg(F.min(F.struct("step", "url", "ordinal")).alias("at"))
     )
-    order = Window.partitionBy("site").orderBy("at", "loc")
-    placed = pages.withColumn("ordinal", F.row_number().over(order)).select("site", "ordinal", "loc")
+    placed = ranked(pages, ["site"], ["at", "loc"], "ordinal").select("site", "ordinal", "loc")
     return placed if max_urls is None else placed.where(F.col("ordinal") <= max_urls)
 
 
@@ -335,8 +334,8 @@ def page_urls(plans: DataFrame, template: str = "template", start: str = "start"
 def crawl_frontier(urls_df: DataFrame, run: str, url: str, order: str,
                    max_pages: int | None = None) -> DataFrame:
     """Distinct allowed addresses of each run in first-seen order; the first max_pages
-    of them if that is given. Duplicates fold before the exchange."""
+    of them if that is given. Duplicates fold before the exchange, and a run of any size
+    is numbered in ranges."""
     distinct = urls_df.groupBy(run, url).agg(F.min(order).alias(order)).where(urls.is_allowed(url))
-    w = Window.partitionBy(run).orderBy(order, url)
-    placed = distinct.withColumn("position", F.row_number().over(w))
+    placed = ranked(distinct, [run], [order, url], "position")
     return placed if max_pages is None else placed.where(F.col("position") <= max_pages)
