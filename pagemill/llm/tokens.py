@@ -14,10 +14,11 @@ import re
 
 import numpy as np
 
-KEPT = 400_000  # pieces of a generation; a worker remembers two
+KEPT = 700_000  # pieces of a generation; a worker remembers two
 TEXTS = 256  # texts whose new pieces are asked for together
 RARE_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
-LETTERS_THEN_MARKS = re.compile(r"([\x20\x09-\x0D]?[A-Za-zÀ-ÖØ-öø-ɏ]+)([.,!?;:]*)")
+# İ folds to two characters, the second of which goes with the marks behind it
+LETTERS_THEN_MARKS = re.compile(r"([\x20\x09-\x0D]?[A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([.,!?;:]*)")
 
 
 class Pieces(dict):

@@ -421,3 +421,14 @@ def test_body_beside_a_card_stays(spark):
         assert all(got[i] == bodies[i] for i in range(3))  # the card repeats on other pages
         assert got[3] == f"{bodies[3]} {cards[3]}"
         assert got[4] == f"{cards[1]} {card}"  # the article is the text
+
+
+@pytest.mark.parametrize("name", [WORD, BYTE])
+def test_every_latin_letter_with_marks(name):
+    """Cut before its marks a letter must give the ids that it gives with them."""
+    parts = [(a, chr(c), m, b) for c in range(0x41, 0x250) if chr(c).isalpha() for a in ("", "ka", " x ")
+             for m in [*".,!?;:", "", "..", "!?"] for b in ("", "x", " end")]
+    texts = ["".join(p) for p in parts]
+    tok = library(name)
+    for text, ids in zip(texts, Encoder.of(tokenizer(name)).ids(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids, repr(text)
