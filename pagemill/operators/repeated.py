@@ -21,29 +21,28 @@ def _sorted_classes(node: Column) -> Column:
     return F.array_join(F.array_sort(H.class_list(node)), " ")
 
 
-def signature_array(dom: str = "dom", children: int = 6) -> Column:
-    """array<string>: structural fingerprint of every node, two levels deep, from
-    tags, sorted classes and the first `children` children: two items with more
-    children alike are alike."""
+def signature_array(dom: str = "dom", children: int | None = None) -> Column:
+    """array<string>: structural fingerprint of every node, two levels deep, from tags,
+    sorted classes and all children, or the first `children` of them if that is given.
+    A level is hashed before the next is built on it, so a node's text is as long as
+    its own list of children."""
     nodes = F.col(dom)["nodes"]
 
+    def first(kids):
+        return kids if children is None else F.slice(kids, 1, children)
+
     def level(own, deeper):
         # children are compared one level less deep than their parent
         return F.transform(
             F.arrays_zip(own.alias("own"), F.transform(nodes, lambda n: n["kids"]).alias("kids")),
-            lambda x: F.concat(
-                x["own"],
-                F.lit("["),
-                F.array_join(F.transform(F.slice(x["kids"], 1, children), lambda k: F.get(deeper, k)), "|"),
-                F.lit("]"),
+            lambda x: F.md5(
+                F.concat(x["own"], F.lit("["), F.array_join(F.transform(first(x["kids"]), lambda k: F.get(deeper, k)), "|"), F.lit("]"))
             ),
         )
 
     return let(
         F.transform(nodes, lambda n: F.concat(n["tag"], F.lit("."), _sorted_classes(n))),
-        lambda own: let(
-            level(own, own), lambda one: F.transform(level(own, one), lambda s: F.md5(s))
-        ),
+        lambda own: let(level(own, own), lambda one: level(own, one)),
     )
 
 

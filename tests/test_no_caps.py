@@ -223,3 +223,16 @@ def test_types_of_a_page_are_whole(spark):
     pages = spark.createDataFrame([(1, "https://x.org/", body)], "page_id int, url string, html string")
     assert len(structured.structured_types(pages).first()["types"]) == 40
     assert len(structured.structured_types(pages, limit=25).first()["types"]) == 25
+
+
+def test_items_that_differ_in_a_late_child_fall_apart(pages_of):
+    def item(k, late):
+        return "<li>" + "".join(f"<b>{k}{i}</b>" for i in range(6)) + f"<{late}>end {k}</{late}></li>"
+
+    body = "".join(item(k, "i" if k % 3 == 0 else "u") for k in range(12))
+    pages = pages_of(("https://x.org/", f"<ul>{body}</ul>"))
+    assert repeated.repeated_items(pages).where("selector = 'li'").count() == 8
+    same = pages_of(("https://x.org/", "<ul>" + "".join(item(k, "i") for k in range(12)) + "</ul>"))
+    assert repeated.repeated_items(same).where("selector = 'li'").count() == 12
+    signs = pages.select(F.size(F.array_distinct(repeated.signature_array())), F.size(F.array_distinct(repeated.signature_array(children=6)))).first()
+    assert signs[0] > signs[1]
