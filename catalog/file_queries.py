@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.operators import captures, columns, quality
@@ -411,3 +414,31 @@ def provenance_rows(spark, d):
     return columns.provenance_rows(manifest)
 
 
+
+
+@query("snk7_export_check", """
+SELECT 'orders' AS dataset, f AS format, n AS n_rows, NULL AS reason
+FROM (SELECT unnest(['csv', 'jsonl', 'parquet', 'tsv']) AS f), (SELECT count(*) AS n FROM orders)
+UNION ALL SELECT 'orders', 'xlsx', 0, 'unknown export format ''xlsx'''
+UNION ALL SELECT 'untyped', 'parquet', 0, 'parquet needs a type for note'
+UNION ALL SELECT 'none', f, 0, 'the dataset is empty, nothing was exported' FROM (SELECT unnest(['csv', 'jsonl', 'parquet', 'tsv']) AS f)""")
+def export_check(spark, d):
+    """What the check lets through is written, and counted as it is read again."""
+    orders = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    wanted = [("orders", orders, f) for f in (*sinks.FORMATS, "xlsx")]
+    wanted += [("untyped", orders.withColumn("note", F.lit(None)), "parquet")]
+    wanted += [("none", orders.where("o_orderkey < 0"), f) for f in sinks.FORMATS]
+    ddl = "o_orderkey bigint, o_orderstatus string, o_totalprice double"
+    out = []
+    for name, df, fmt in wanted:
+        path, reason = sinks.shared_folder(spark, f"check-{fmt}"), None
+        try:
+            sinks.write_dataset(df, path, fmt)
+        except (sinks.EmptyDataset, sinks.FormatLimit) as error:
+            rows, reason = spark.range(1).select(F.lit(0).cast("bigint").alias("n_rows")), str(error)
+        else:
+            again = files.read_parquet(spark, path) if fmt == "parquet" else files.read_file(spark, path, fmt, schema=ddl)
+            rows = again.where("o_orderkey IS NOT NULL").agg(F.count("*").alias("n_rows"))
+        labels = F.lit(name).alias("dataset"), F.lit(fmt).alias("format")
+        out.append(rows.select(*labels, "n_rows", F.lit(reason).cast("string").alias("reason")))
+    return reduce(DataFrame.unionAll, out)

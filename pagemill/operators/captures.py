@@ -17,8 +17,9 @@ _BLOCK = 1000  # pages whose row counts are summed before a run's blocks are
 
 
 def _marked(captures: DataFrame, run: str, page: str) -> DataFrame:
-    """(run, page, n_rows, reason): numbers only; a body travels as its digest."""
-    slim = captures.select(run, page, "status", "n_rows", F.sha2("body", 256).alias("__digest"))
+    """(run, page, n_rows, reason): numbers only; a body is read once, travels as its
+    digest and is met again as that."""
+    slim = kept(captures.select(run, page, "status", "n_rows", F.unhex(F.sha2("body", 256)).alias("__digest")), "digests")
     first = slim.groupBy(run, "__digest").agg(F.min(page).alias("__first"))
     first = first.toDF("__run", "__seen", "__first")
     same = F.col(run).eqNullSafe(F.col("__run")) & F.col("__digest").eqNullSafe(F.col("__seen"))

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.columns import flatten_for_export
 
@@ -16,6 +17,33 @@ class EmptyDataset(ValueError):
     """An empty dataset is never exported."""
 
 
+class FormatLimit(ValueError):
+    """A dataset that a format cannot hold, or a format that is not known."""
+
+
+def format_limit(schema: T.StructType, fmt: str) -> str | None:
+    """Why a format cannot hold columns of this schema; None if it can."""
+    if fmt not in FORMATS:
+        return f"unknown export format '{fmt}'"
+    if not schema.fields:
+        return "the dataset has no columns"
+    if fmt in ("csv", "tsv"):
+        return None  # nested cells become JSON text
+    names = [f.name.lower() for f in schema]
+    if len(set(names)) < len(names):
+        return f"{fmt} needs column names that differ"
+    without = [f.name for f in schema if f.dataType.simpleString() == "void"]
+    if fmt == "parquet" and without:
+        return f"parquet needs a type for {', '.join(without)}"
+    return None
+
+
+def available_formats(df: DataFrame) -> DataFrame:
+    """(format, ok, reason) for every format that is known."""
+    rows = [(f, format_limit(df.schema, f)) for f in FORMATS]
+    return df.sparkSession.createDataFrame([(f, r is None, r) for f, r in rows], "format string, ok boolean, reason string")
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """New folder below spark.checkpoint.dir, which all executors share."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -33,10 +61,10 @@ def kept(df: DataFrame, name: str) -> DataFrame:
 
 
 def write_dataset(df: DataFrame, path: str, fmt: str, mode: str = "errorifexists") -> None:
-    """Refuses unknown formats and empty datasets; nested cells become JSON text
-    in delimited files."""
-    if fmt not in FORMATS:
-        raise ValueError(f"unknown export format '{fmt}'")
+    """Refuses unknown formats, datasets that the format cannot hold and empty ones;
+    nothing is written then. Nested cells become JSON text in delimited files."""
+    if reason := format_limit(df.schema, fmt):
+        raise FormatLimit(reason)
     if df.isEmpty():
         raise EmptyDataset("the dataset is empty, nothing was exported")
     if fmt in ("csv", "tsv"):
