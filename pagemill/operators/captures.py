@@ -150,52 +150,76 @@ def _path_pattern(value: Column) -> Column:
     )
 
 
+_SALTS = 16  # tasks that the addresses of one host are dealt over
+
+
 def robots_filter(pages: DataFrame, robots: DataFrame, agent: str = "*") -> DataFrame:
     """Adds robots_state (allowed, restricted, unknown) and crawl_delay.
 
-    robots(host, status, body) has one row per host. Its rules are parsed once
-    per host; a URL meets only the rules of its own host. A host with very many
-    URLs is split by adaptive skew-join handling: it is the large side, and the
-    rules row is copied to every split.
+    robots(host, status, body) has one row per host. Plain rules are looked up: an address
+    makes one key for each rule length that its host has, and keys meet the rules by
+    (host, prefix), whatever their number. Only rules with * or $ are matched one by one.
+    Each (host, path) is decided once. A host with very many addresses is dealt over
+    tasks by a salt, its row copied to each.
     """
     rules = robots.select(
         F.col("host").alias("__host"), "status",
-        _rules_for(robots_rules(F.coalesce("body", F.lit(""))), agent).alias("rules"),
+        F.filter(
+            _rules_for(robots_rules(F.coalesce("body", F.lit(""))), agent), lambda r: (r["kind"] == "crawl-delay") | (r["value"] != "")
+        ).alias("rules"),
         (F.coalesce("body", F.lit("")) != "").alias("has_body"),
     )
-    joined = pages.withColumn("__host", urls.authority("url")).join(rules, "__host", "left")
+    verdicts = F.filter("rules", lambda r: r["kind"].isin("allow", "disallow"))
+    plain = lambda r: ~r["value"].rlike(r"[*$]")
+    delay = F.get(F.filter("rules", lambda r: r["kind"] == "crawl-delay"), F.lit(0))["value"].try_cast("double")
+    hosts = rules.select(
+        "__host", "status", "has_body", delay.alias("crawl_delay"),
+        F.array_distinct(F.transform(F.filter(verdicts, plain), lambda r: F.length(r["value"]))).alias("__lengths"),
+        F.filter(verdicts, lambda r: ~plain(r)).alias("__wild"),
+        F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("__salt"),
+    )
+    # of equal rules allow wins
+    known = rules.select("__host", F.explode(F.filter(verdicts, plain)).alias("r")).groupBy(
+        F.col("__host").alias("__rule_host"), F.col("r.value").alias("__prefix")
+    ).agg(F.max(F.col("r.kind") == "allow").alias("__allow"))
     path = F.concat(
         F.when(urls.part("url", 3) == "", "/").otherwise(urls.part("url", 3)),
         F.when(urls.part("url", 4) != "", F.concat(F.lit("?"), urls.part("url", 4))).otherwise(""),
     )
-    joined = joined.withColumn("__path", path)
-    matching = F.filter(
-        "rules",
-        lambda r: r["kind"].isin("allow", "disallow")
-        & (r["value"] != "")
-        & F.when(
-            r["value"].rlike(r"[*$]"), F.rlike(F.col("__path"), _path_pattern(r["value"]))
-        ).otherwise(F.startswith(F.col("__path"), r["value"])),
-    )
-    # the longest rule decides; allow wins a tie
-    deciding = F.array_max(
+    located = pages.withColumn("__host", urls.authority("url")).withColumn("__path", path)
+    asked = located.select("__host", "__path", F.pmod(F.xxhash64("__path"), F.lit(_SALTS)).cast("int").alias("__salt")).distinct()
+    met = asked.join(hosts, ["__host", "__salt"])
+    lengths = F.filter("__lengths", lambda n: n <= F.length("__path"))
+    wild = F.array_max(
         F.transform(
-            matching,
+            F.filter("__wild", lambda r: F.rlike(F.col("__path"), _path_pattern(r["value"]))),
             lambda r: F.struct(F.length(r["value"]).alias("l"), (r["kind"] == "allow").alias("allow")),
         )
     )
+    keys = met.select(
+        "__host", "__path", "status", "has_body", "crawl_delay", wild.alias("__wild"),
+        F.explode_outer(F.transform(lengths, lambda n: F.substring(F.col("__path"), F.lit(1), n))).alias("__key"),
+    )
+    same = (F.col("__host") == F.col("__rule_host")) & (F.col("__key") == F.col("__prefix"))
+    found = keys.join(known, same, "left").withColumn(
+        "__rule", F.when(F.col("__allow").isNotNull(), F.struct(F.length("__prefix").alias("l"), F.col("__allow").alias("allow")))
+    )
+    # the longest rule decides; allow wins a tie
+    decided = found.groupBy("__host", "__path").agg(
+        F.any_value("status").alias("status"), F.any_value("has_body").alias("has_body"),
+        F.any_value("crawl_delay").alias("crawl_delay"), F.greatest(F.max("__rule"), F.max("__wild")).alias("__rule"),
+    )
     state = (
-        F.when(F.col("status").isNull(), "unknown")
-        .when(F.col("status") == 404, "allowed")
+        F.when(F.col("status") == 404, "allowed")
         .when((F.col("status") >= 400) | ~F.col("has_body"), "unknown")
-        .when(F.coalesce(deciding["allow"], F.lit(True)), "allowed")
+        .when(F.coalesce(F.col("__rule")["allow"], F.lit(True)), "allowed")
         .otherwise("restricted")
     )
-    delay = F.get(
-        F.filter("rules", lambda r: r["kind"] == "crawl-delay"), F.lit(0)
-    )["value"].try_cast("double")
-    return joined.withColumns({"robots_state": state, "crawl_delay": delay}).drop(
-        "__host", "__path", "rules", "has_body", "status"
+    states = decided.where("status IS NOT NULL").select("__host", "__path", state.alias("robots_state"), "crawl_delay")
+    kept_columns = [c for c in pages.columns if c not in ("robots_state", "crawl_delay")]
+    joined = located.select(*kept_columns, "__host", "__path").join(states, ["__host", "__path"], "left")
+    return joined.withColumn("robots_state", F.coalesce("robots_state", F.lit("unknown"))).select(
+        *kept_columns, "robots_state", "crawl_delay"
     )
 
 
