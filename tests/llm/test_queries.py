@@ -32,7 +32,7 @@ def test_query_matches_oracle(spark, db, name):
 
 def test_names():
     names = set(entry.queries())
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert len([x for x in names if x.startswith(f"op{n}_")]) == 1
     assert "pipeline" in names
 
