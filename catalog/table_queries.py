@@ -659,6 +659,13 @@ def heatmap(spark, d):
     return charts.heatmap(table(spark, d, "lineitem"), "l_returnflag", "l_linestatus", ["A", "N", "R"])
 
 
+@query("agg11_heatmap_cells", """
+SELECT l_suppkey, l_partkey, count(*) AS n FROM lineitem
+WHERE l_suppkey IS NOT NULL AND l_partkey IS NOT NULL GROUP BY l_suppkey, l_partkey""")
+def heatmap_cells(spark, d):
+    return charts.heatmap_cells(table(spark, d, "lineitem"), "l_partkey", "l_suppkey")
+
+
 @query("agg12_column_roles", """
 SELECT * FROM (VALUES ('o_totalprice', 'numeric', 0), ('o_orderkey', 'numeric', 1), ('o_custkey', 'numeric', 2), ('year', 'numeric', 3),
   ('o_orderdate', 'date', 0), ('year', 'date', 1), ('o_orderstatus', 'categorical', 0), ('o_orderpriority', 'categorical', 1))

@@ -20,6 +20,12 @@ from .columns import unpivot
 from .dedupe import count_duplicates
 
 
+_EIGHT_BYTES = (
+    T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
+    T.DateType, T.TimestampType, T.TimestampNTZType,
+)
+
+
 def value_census(df: DataFrame, row_id: str, columns: list[str] | None = None) -> DataFrame:
     """(column, value, n, first_row)."""
     names = columns or df.columns
@@ -39,6 +45,32 @@ def _lookup(table: dict[str, str], key: str = "column") -> Column:
     return F.create_map(*[F.lit(x) for kv in table.items() for x in kv])[F.col(key)]
 
 
+def distinct_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """(column, n_unique) of columns with a value, exact up to equal digests of 128 bits.
+
+    A cell becomes three numbers: its column's place and a digest. Values of up to eight
+    bytes are told apart by one hash, which is one to one for them, so nothing is
+    written out as text; others get a second. Repeated cells fold before the exchange.
+    """
+    names = columns or df.columns
+    kinds = {f.name: f.dataType for f in df.schema}
+    none = F.lit(None).cast("bigint")
+
+    def cell(i, c):
+        own = F.col(f"`{c}`")
+        if isinstance(kinds[c], _EIGHT_BYTES):
+            first, second = F.xxhash64(own), F.lit(0).cast("bigint")
+        else:
+            text = own.cast("string")
+            first, second = F.xxhash64(text), F.xxhash64(F.lit(1), text)
+        return F.lit(i), F.when(own.isNotNull(), first).otherwise(none), second
+
+    cells = df.select(F.stack(F.lit(len(names)), *[x for i, c in enumerate(names) for x in cell(i, c)]).alias("i", "a", "b"))
+    distinct = cells.where(F.col("a").isNotNull()).distinct()
+    place = F.array(*[F.lit(c) for c in names])[F.col("i")]
+    return distinct.groupBy("i").agg(F.count("*").alias("n_unique")).select(place.alias("column"), "n_unique")
+
+
 def profile_columns(df: DataFrame, row_id: str, columns: list[str] | None = None,
                     example_chars: int | None = None) -> DataFrame:
     """One row per column: dtype, missing, missing_pct, n_unique, example, and
@@ -58,16 +90,16 @@ def profile_columns(df: DataFrame, row_id: str, columns: list[str] | None = None
 
     def measured(c):
         own = F.col(f"`{c}`")
-        number, date = own.cast("double"), own.cast("string")
+        number = own.cast("double")
         return F.struct(
             F.count("*").alias("n_rows"),
             F.count_if(own.isNull()).alias("missing"),
-            F.min_by(date, F.when(own.isNotNull(), F.col(row_id))).alias("example"),
+            F.min_by(own, F.when(own.isNotNull(), F.col(row_id))).cast("string").alias("example"),
             (F.min(number) if c in numeric else F.max(none["double"])).alias("min_value"),
             (F.max(number) if c in numeric else F.max(none["double"])).alias("max_value"),
             (F.avg(number) if c in numeric else F.max(none["double"])).alias("mean_value"),
-            (F.min(date) if c in dates else F.max(none["string"])).alias("first_date"),
-            (F.max(date) if c in dates else F.max(none["string"])).alias("last_date"),
+            (F.min(own).cast("string") if c in dates else F.max(none["string"])).alias("first_date"),
+            (F.max(own).cast("string") if c in dates else F.max(none["string"])).alias("last_date"),
         )
 
     one = df.agg(*[measured(c).alias(c) for c in names])
@@ -76,15 +108,8 @@ def profile_columns(df: DataFrame, row_id: str, columns: list[str] | None = None
             "n_rows", "missing", "example", "min_value", "max_value", "mean_value", "first_date", "last_date")])
         for c in names
     ])).alias("s")).select("s.*")
-    digests = F.array(*[
-        F.when(F.col(f"`{c}`").isNotNull(), F.struct(
-            F.lit(c).alias("column"), F.xxhash64(F.col(f"`{c}`").cast("string")).alias("a"),
-            F.xxhash64(F.lit(1), F.col(f"`{c}`").cast("string")).alias("b"),
-        )) for c in names
-    ])
-    distinct = df.select(F.explode(F.array_compact(digests)).alias("d")).select("d.*").distinct()
-    unique = distinct.groupBy("column").agg(F.count("*").alias("n_unique"))
-    return stats.join(unique, "column", "left").select(
+    unique = distinct_counts(df, names).withColumnRenamed("column", "__c")
+    return stats.join(unique, F.col("column") == F.col("__c"), "left").select(
         "column",
         _lookup(_dtype(df)).alias("dtype"),
         "n_rows", "missing",
