@@ -1,10 +1,14 @@
 """Global shuffle into shards by a two-pass external shuffle.
 
 First pass: a seeded hash of a row's key and text scatters the rows uniformly into
-buckets of about `bucket_bytes`. Second pass: every bucket is put in key order, so
-that the result does not depend on how rows arrive, and shuffled by Fisher-Yates
-(Spark's `shuffle`). The buckets, one after another, are a permutation of the table;
-it is cut into `shards` consecutive stretches.
+buckets of about `bucket_bytes`. Second pass: every bucket is put in key order and
+shuffled by Fisher-Yates (Spark's `shuffle`). The buckets, one after another, are a
+permutation of the table; it is cut into `shards` consecutive stretches.
+
+The same rows, seed and sizes give the same places, however rows arrive and whatever
+the session's partitions, adaptive execution or repeated tasks: Spark draws from one
+generator for each partition, bucket after bucket, so buckets lie in a number of
+partitions that follows from their own number, and in each they come in order.
 
 Law `rows`: the numbers of rows of any two shards differ by at most one. Slots count
 from 0 in each shard without gaps. Null texts have size 1; a null key is a key like
@@ -21,6 +25,7 @@ from pyspark.sql import functions as F
 from .storage import shared_folder, unused
 
 BUCKET_BYTES = 8 << 20
+MAX_PARTITIONS = 20_000
 
 
 def shuffle_to_shards(docs: DataFrame, path: str, shards: int = 16, seed: int = 7,
@@ -46,11 +51,13 @@ def shuffle_to_shards(docs: DataFrame, path: str, shards: int = 16, seed: int =
     # first pass: the shuffle on the bucket; second pass: one array of one bucket's rows
     (order_of,) = unused(base.columns, "_order")
     rows = base.select(bucket, F.struct(F.xxhash64(F.col(key), F.lit(seed)).alias(order_of), *[F.col(f"`{c}`") for c in base.columns]).alias("_row"))
-    filled = rows.groupBy("_bucket").agg(F.collect_list("_row").alias("_rows")).join(bases, "_bucket", "left")
+    # a set number of partitions, which adaptive execution leaves alone
+    dealt = rows.repartition(min(-(-buckets // 2), MAX_PARTITIONS), "_bucket")
+    filled = dealt.groupBy("_bucket").agg(F.collect_list("_row").alias("_rows")).join(bases, "_bucket", "left")
     # the table is read for the counts and again for the rows; they must agree
     moved = F.raise_error(F.lit("the table changed between two reads")).cast("bigint")
     filled = filled.withColumn("_base", F.when(F.size("_rows") == F.col("_n"), F.col("_base")).otherwise(moved))
-    mixed = filled.select("_base", "_total", F.shuffle(F.array_sort("_rows"), F.lit(seed)).alias("_rows"))
+    mixed = filled.sortWithinPartitions("_bucket").select("_base", "_total", F.shuffle(F.array_sort("_rows"), F.lit(seed)).alias("_rows"))
     placed = mixed.select("_base", "_total", F.posexplode("_rows").alias("_pos", "_row"))
     placed = placed.withColumn("_place", F.col("_base") + F.col("_pos")).withColumn(
         "shard", F.expr(f"cast((_place * {shards}) div _total as int)")

@@ -166,6 +166,22 @@ def test_shuffle_moves_rows(spark):
         assert 190 < low < 310
 
 
+def test_shuffle_does_not_depend_on_the_session(spark):
+    docs = spark.range(3000).selectExpr("id AS doc_id", "repeat(cast(id AS string), 1 + id % 9) AS text")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    seen = []
+    try:
+        for partitions, adaptive, given in (("8", "true", docs), ("3", "true", docs.repartition(5)), ("5", "false", docs.orderBy(F.desc("text")))):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+            out = shuffling.shuffled(given, shards=4, bucket_bytes=2000)
+            seen.append(sorted(tuple(r) for r in out.select("doc_id", "shard", "slot").collect()))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert seen[0] == seen[1] == seen[2]
+
+
 # --- dated lists
 
 
