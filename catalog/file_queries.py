@@ -442,3 +442,10 @@ def export_check(spark, d):
         labels = F.lit(name).alias("dataset"), F.lit(fmt).alias("format")
         out.append(rows.select(*labels, "n_rows", F.lit(reason).cast("string").alias("reason")))
     return reduce(DataFrame.unionAll, out)
+
+
+@query("win3_best_rows", """
+SELECT s_name AS name, 'table' AS _extraction_method, 'https://data.example.org/suppliers/' || (s_suppkey // 25) AS _source_url FROM supplier""")
+def best_rows(spark, d):
+    rows = flows.best_rows(supplier_pages(spark, d), fields=["name"])
+    return rows.select(F.col("record")["name"].alias("name"), "_extraction_method", "_source_url")

@@ -334,30 +334,32 @@ def _fits_selector(node: Column, selector: Column) -> Column:
     return F.coalesce(fits(node, inner) & up, F.lit(False))
 
 
+def table_rows(t: Column) -> Column:
+    """array<map> of a table's body rows by its header names."""
+    return F.transform(
+        t["body"],
+        lambda r: F.map_from_arrays(
+            F.slice(t["names"], F.lit(1), F.size(r)), F.slice(r, F.lit(1), F.size(t["names"]))
+        ),
+    )
+
+
+def group_rows(g: Column) -> Column:
+    """array<map> of a repeated group's selector, applied to the whole page."""
+    return F.transform(
+        F.filter(F.col("dom")["nodes"], lambda n: _fits_selector(n, g["selector"])),
+        lambda n: let(
+            repeated.item_fields(n, "dom", F.col("url")),
+            lambda f: map_last_wins(F.filter(f, lambda x: F.array_contains(g["keep"], x["key"]))),
+        ),
+    )
+
+
 def row_lists(dom_pages: DataFrame, selector: str | None = None,
               table_index: int | None = None) -> DataFrame:
     """Adds source and rows (array<map>): the named table, else the selector, else
     the first table, else the best repeated group's selector re-applied."""
 
-    def of_table(t):
-        return F.transform(
-            t["body"],
-            lambda r: F.map_from_arrays(
-                F.slice(t["names"], F.lit(1), F.size(r)), F.slice(r, F.lit(1), F.size(t["names"]))
-            ),
-        )
-
-    def of_group(g):
-        return F.transform(
-            F.filter(F.col("dom")["nodes"], lambda n: _fits_selector(n, g["selector"])),
-            lambda n: let(
-                repeated.item_fields(n, "dom", F.col("url")),
-                lambda f: map_last_wins(
-                    F.filter(f, lambda x: F.array_contains(g["keep"], x["key"]))
-                ),
-            ),
-        )
-
     def sourced(found, name, rows):
         return let(
             found,
@@ -374,10 +376,10 @@ def row_lists(dom_pages: DataFrame, selector: str | None = None,
         )
     # one step per column: an analyzer pass resolves one level of nesting
     dom_pages = dom_pages.withColumn("__tables", tables.table_array())
-    chosen = sourced(F.get("__tables", F.lit(table_index or 0)), "table", of_table)
+    chosen = sourced(F.get("__tables", F.lit(table_index or 0)), "table", table_rows)
     if table_index is None:
         dom_pages = dom_pages.withColumn("__groups", repeated.group_array())
-        chosen = F.coalesce(chosen, sourced(F.get("__groups", F.lit(0)), "repeated", of_group))
+        chosen = F.coalesce(chosen, sourced(F.get("__groups", F.lit(0)), "repeated", group_rows))
     picked = dom_pages.withColumn("__p", chosen)
     return picked.select(*kept, F.col("__p.source").alias("source"), F.col("__p.rows").alias("rows"))
 
@@ -389,3 +391,70 @@ def rows_from_html(dom_pages: DataFrame, selector: str | None = None,
     return each(listed, F.col("rows"), "row_idx", "record").select(
         "page_id", "source", "row_idx", "record"
     )
+
+
+_RECORD = "map<string,string>"
+
+
+def _own_rows(df: DataFrame, rows: Column) -> DataFrame:
+    listed = df.withColumn("__rows", rows)
+    return each(listed, F.col("__rows"), "row_idx", "record").select("page_id", "row_idx", F.col("record").cast(_RECORD).alias("record"))
+
+
+def _records(df: DataFrame, names: list[str], order: list[str]) -> DataFrame:
+    """Rows of a finished relation as records without nulls; a page is a small group."""
+    entries = F.array(*[F.struct(F.lit(n).alias("key"), F.col(n).cast("string").alias("value")) for n in names])
+    w = Window.partitionBy("page_id").orderBy(*order)
+    return df.select(
+        "page_id", (F.row_number().over(w) - 1).alias("row_idx"),
+        F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull())).alias("record"),
+    )
+
+
+def candidate_rows(chosen: DataFrame) -> DataFrame:
+    """chosen(page_id, url, html, kind, id), one candidate of a page -> (page_id, row_idx,
+    record): the rows that the candidate stands for, whatever its kind.
+
+    Tables and repeated groups by their number; JSON-LD items; record arrays of embedded
+    JSON and of JSON bodies; the article as one row; links; entries of feeds. Candidates
+    that only name an address (files, documents, found API addresses) have no rows in the
+    page. Every kind reads only its own pages, so chosen should be written before.
+    """
+    def of(*kinds):
+        return chosen.where(F.col("kind").isin(*kinds))
+
+    number = F.element_at(F.split("id", "_"), -1).try_cast("int")
+    tabled = sources.shred_html(of("table")).withColumn("__tables", tables.table_array())
+    grouped = sources.shred_html(of("repeated")).withColumn("__groups", repeated.group_array())
+    read = sources.shred_html(of("article")).select("page_id", "url", "dom")
+    linked = of("links")
+    listed = links.file_links(sources.shred_html(linked.where("id = 'links_files'")))
+    inner = links.internal_links(sources.shred_html(linked.where("id = 'links_internal'")))
+    entries = captures.feed_entries(of("feed").select("page_id", F.col("html").alias("body")))
+    items = structured.json_ld_records(of("structured"))
+    w = Window.partitionBy("page_id").orderBy("ordinal", "item_idx")
+    # an embedded document's number counts the page, then its JSON-LD if it has any
+    blobs = F.filter(structured.embedded_array(), lambda b: F.try_parse_json(b["body"]).isNotNull())
+    before = 1 + (F.size(structured.json_ld_array()) > 0).cast("int")
+    inside = of("api").where(F.startswith("id", F.lit("embedded_"))).select(
+        "page_id", number.alias("nth"), F.get(blobs, F.split("id", "_")[1].try_cast("int") - before)["body"].alias("body")
+    ).withColumn("doc", F.try_parse_json("body"))
+    inside = variants.find_record_arrays(inside, "doc").withColumn("objects", variants.objects_of("doc", F.get("arrays", F.col("nth"))))
+    answers = of("api").where(~F.startswith("id", F.lit("embedded_"))).select("page_id", F.try_parse_json("html").alias("doc"))
+    answers = variants.records_of(answers.where("doc is not null"), "doc", out="objects")
+    objects = inside.select("page_id", "objects").unionAll(answers.select("page_id", "objects"))
+    flat = variants.flatten_record(each(objects, F.col("objects"), "row_idx", "item").select("page_id", "row_idx", "item"), "item")
+    parts = [
+        _own_rows(tabled, let(F.get("__tables", number), table_rows)),
+        _own_rows(grouped, let(F.get("__groups", number), group_rows)),
+        _records(article.articles(read), ["url", "title", "author", "date", "description", "sitename", "text"], ["url"]),
+        _records(listed.withColumn("ordinal", F.monotonically_increasing_id()), ["url", "format", "label", "kind"], ["ordinal"]),
+        _records(inner.select("page_id", "ordinal", F.col("link").alias("url")), ["url"], ["ordinal"]),
+        _records(entries, ["title", "link", "published", "author", "summary", "id"], ["ordinal"]),
+        items.select("page_id", (F.row_number().over(w) - 1).alias("row_idx"), "record"),
+        flat.select("page_id", "row_idx", "record"),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionAll(part.select("page_id", F.col("row_idx").cast("int"), F.col("record").cast(_RECORD)))
+    return out

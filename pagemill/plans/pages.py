@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import each
 from ..operators import candidates as C
-from ..operators import captures, columns
+from ..operators import captures, columns, mapping
 from ..sinks import files
 from ..sources import html as H
 
@@ -44,3 +44,33 @@ def extract(runs: DataFrame, selector: str | None = None, table_index: int | Non
         F.col("page_no").alias("_source_page"), F.col("source").alias("_extraction_method"),
     )
     return columns.union_pages([named])
+
+
+def best_rows(pages: DataFrame, preset: str = "auto", fields: list[str] | None = None,
+              retrieved_at: str | None = None) -> DataFrame:
+    """pages(page_id, url, html) -> the rows of each page's best candidate, of any kind,
+    as (page_id, row_idx, record, _source_url, _extraction_method, _retrieved_at).
+
+    With `fields`, a page's columns are matched to the requested names (same name,
+    synonym, part of the name, spelling), and records hold those. `retrieved_at` names a
+    column of pages. The chosen pages are written once to the shared folder; every kind
+    of candidate then reads only its own.
+    """
+    own = pages.select("page_id", "url", "html", *[c for c in ("content_type", "status") if c in pages.columns],
+                       (F.col(retrieved_at) if retrieved_at else F.lit(None)).cast("timestamp").alias("_retrieved_at"))
+    best = C.rank_candidates(C.all_candidates(C.page_profile(H.shred_html(own.drop("_retrieved_at")))), preset)
+    best = best.where("rank = 1").select("page_id", "kind", "id")
+    chosen = files.kept(own.join(best, "page_id"), "chosen")
+    rows = files.kept(C.candidate_rows(chosen.select("page_id", "url", "html", "kind", "id")), "rows")
+    if fields:
+        names = rows.select(F.col("page_id").alias("dataset_id"), F.posexplode(F.map_keys("record")).alias("ordinal", "column"))
+        catalog = names.groupBy("dataset_id", "column").agg(F.min("ordinal").alias("ordinal"))
+        found = mapping.match_fields(catalog, fields).where("matched_column is not null")
+        wanted = found.groupBy(F.col("dataset_id").alias("page_id")).agg(
+            F.collect_list(F.struct("requested", "matched_column")).alias("__wanted"))
+        record = F.map_from_entries(F.transform(
+            F.coalesce("__wanted", F.array().cast("array<struct<requested:string,matched_column:string>>")),
+            lambda m: F.struct(m["requested"], F.try_element_at("record", m["matched_column"]))))
+        rows = rows.join(wanted, "page_id", "left").select("page_id", "row_idx", record.alias("record"))
+    origin = chosen.select("page_id", F.col("url").alias("_source_url"), F.col("kind").alias("_extraction_method"), "_retrieved_at")
+    return rows.join(origin, "page_id")
