@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed, urls, variants
 from ..functions.text import any_marker, strip, built_once, confidence, each, injection_phrases, let, map_last_wins
 from ..sources import html as H
-from . import links, repeated, structured, tables
+from . import article, captures, links, repeated, structured, tables
 
 def page_flags(pages: DataFrame, html: str = "html") -> DataFrame:
     """Adds challenge and login_wall."""
@@ -424,12 +424,12 @@ def candidate_rows(chosen: DataFrame) -> DataFrame:
         return chosen.where(F.col("kind").isin(*kinds))
 
     number = F.element_at(F.split("id", "_"), -1).try_cast("int")
-    tabled = sources.shred_html(of("table")).withColumn("__tables", tables.table_array())
-    grouped = sources.shred_html(of("repeated")).withColumn("__groups", repeated.group_array())
-    read = sources.shred_html(of("article")).select("page_id", "url", "dom")
+    tabled = H.shred_html(of("table")).withColumn("__tables", tables.table_array())
+    grouped = H.shred_html(of("repeated")).withColumn("__groups", repeated.group_array())
+    read = H.shred_html(of("article")).select("page_id", "url", "dom")
     linked = of("links")
-    listed = links.file_links(sources.shred_html(linked.where("id = 'links_files'")))
-    inner = links.internal_links(sources.shred_html(linked.where("id = 'links_internal'")))
+    listed = links.file_links(H.shred_html(linked.where("id = 'links_files'")))
+    inner = links.internal_links(H.shred_html(linked.where("id = 'links_internal'")))
     entries = captures.feed_entries(of("feed").select("page_id", F.col("html").alias("body")))
     items = structured.json_ld_records(of("structured"))
     w = Window.partitionBy("page_id").orderBy("ordinal", "item_idx")

@@ -171,3 +171,35 @@ def test_broken_markup_is_read_once():
         start = time.perf_counter()
         H._shred_batch(pa.array([piece * 40_000]))
         assert time.perf_counter() - start < 3, piece
+
+
+def test_rows_of_every_kind_of_candidate(spark):
+    from pagemill.operators.candidates import candidate_rows
+
+    ld = '<script type="application/ld+json">{"@type":"Product","name":"lamp"}</script>'
+    state = '<script type="application/json">{"rows":[{"a":1},{"a":2}]}</script>'
+    cards = "".join(f'<div class="card"><h3>c{i}</h3><a href="/c/{i}">more</a></div>' for i in range(4))
+    pages = [
+        (1, "<table><tr><th>k</th></tr><tr><td>1</td></tr><tr><td>2</td></tr></table>", "table", "table_0"),
+        (2, f'<div id="x">{cards}</div>', "repeated", "repeated_0"),
+        (3, "<article><h1>t</h1><p>long enough text</p></article>", "article", "article"),
+        (4, '<a href="/d.csv">d</a>', "links", "links_files"),
+        (5, '<a href="/p">p</a>', "links", "links_internal"),
+        (6, "<rss><channel><item><title>x</title></item></channel></rss>", "feed", "feed"),
+        (7, ld, "structured", "json_ld"),
+        (8, ld + state, "api", "embedded_2_0"),
+        (9, '[{"a":{"b":3}},{"a":{"b":4}}]', "api", "api_body"),
+        (10, "<p>x</p>", "file", "file"),
+    ]
+    made = [(i, f"https://h.example.org/{i}", html, kind, name) for i, html, kind, name in pages]
+    chosen = spark.createDataFrame(made, "page_id long, url string, html string, kind string, id string")
+    found = {}
+    for r in sorted(candidate_rows(chosen).collect(), key=lambda r: (r["page_id"], r["row_idx"])):
+        found.setdefault(r["page_id"], []).append(r["record"])
+    assert found[1] == [{"k": "1"}, {"k": "2"}]
+    assert [r["title"] for r in found[2]] == ["c0", "c1", "c2", "c3"]
+    assert found[3][0]["text"].endswith("long enough text")
+    assert found[4][0]["url"] == "https://h.example.org/d.csv" and found[5] == [{"url": "https://h.example.org/p"}]
+    assert found[6][0]["title"] == "x" and found[7][0]["name"] == "lamp"
+    assert found[8] == [{"a": "1"}, {"a": "2"}] and found[9] == [{"a.b": "3"}, {"a.b": "4"}]
+    assert set(found) == set(range(1, 10))
