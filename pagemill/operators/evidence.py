@@ -10,22 +10,35 @@ from ..functions.text import let, normalize_evidence, numeric_forms, strip
 _NUMBER = r"([-+]?\d[\d\s.,]*)"
 
 
+def _dealt(df: DataFrame, *names: str) -> DataFrame:
+    """The columns in partitions of about equal size: the work on a text is far more than
+    the reading, and a small file would be one task's."""
+    return df.select(*names).hint("rebalance")
+
+
 def page_numbers(text) -> Column:
     """Every written form of every number of a page, distinct."""
     found = F.regexp_extract_all(normalize_evidence(text), F.lit(_NUMBER), F.lit(1))
     return F.array_distinct(F.flatten(F.transform(found, numeric_forms)))
 
 
+def _met(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """Rows next to the facts of their page. Facts are many times the size of the columns
+    they are made of, which the planner's estimate does not know, so a merge join is asked
+    for: no side is ever sent whole through the driver."""
+    return rows.join(facts.hint("merge"), "page_id", "left")
+
+
 def check_values(claims: DataFrame, pages: DataFrame, value: str = "value") -> DataFrame:
     """Adds how (empty, exact, normalized, numeric, none) and supported.
 
     claims(page_id, value, ...), pages(page_id, text). Page text and number forms
     are prepared once per page, then claims join on page_id.
     """
-    facts = pages.select(
+    facts = _dealt(pages, "page_id", "text").select(
         "page_id", normalize_evidence("text").alias("__hay"), page_numbers("text").alias("__numbers")
     )
-    joined = claims.join(facts, "page_id", "left")
+    joined = _met(claims, facts)
     text = strip(F.coalesce(F.col(value).cast("string"), F.lit("")))
     plain = normalize_evidence(text)
     bare = strip(F.regexp_replace(plain, "[^0-9a-z؀-ۿ ]+", ""))
@@ -50,10 +63,10 @@ def check_values(claims: DataFrame, pages: DataFrame, value: str = "value") -> D
 
 def numeric_support(claims: DataFrame, pages: DataFrame) -> DataFrame:
     """Claims that share a written number with their page: an equi join on
-    (page_id, form) of exploded forms."""
-    left = claims.select("*", F.explode(numeric_forms("value")).alias("form"))
-    right = pages.select("page_id", F.explode(page_numbers("text")).alias("form")).distinct()
-    return left.join(right, ["page_id", "form"], "left_semi").drop("form").distinct()
+    (page_id, form) of exploded forms, merged: the forms are more than the planner knows."""
+    left = _dealt(claims, *claims.columns).select("*", F.explode(numeric_forms("value")).alias("form"))
+    right = _dealt(pages, "page_id", "text").select("page_id", F.explode(page_numbers("text")).alias("form")).distinct()
+    return left.join(right.hint("merge"), ["page_id", "form"], "left_semi").drop("form").distinct()
 
 
 def check_records(records: DataFrame, pages: DataFrame, columns: list[str],
@@ -62,10 +75,10 @@ def check_records(records: DataFrame, pages: DataFrame, columns: list[str],
 
     The page meets a record once; all its cells are checked in that row.
     """
-    facts = pages.select(
+    facts = _dealt(pages, "page_id", "text").select(
         "page_id", normalize_evidence("text").alias("__hay"), page_numbers("text").alias("__numbers")
     )
-    joined = records.join(facts, "page_id", "left")
+    joined = _met(records, facts)
 
     def kept(c):
         text = strip(F.coalesce(F.col(c).cast("string"), F.lit("")))
@@ -103,9 +116,9 @@ def evidence_ratio(claims: DataFrame, pages: DataFrame, proposal: str = "proposa
     """(proposal, n_values, ratio, accepted): share of non-blank values that occur in
     the page, whole or, if asked, by their first max_chars characters. A proposal
     without a value has ratio 0."""
-    facts = pages.select("page_id", normalize_evidence("text").alias("__hay"))
+    facts = _dealt(pages, "page_id", "text").select("page_id", normalize_evidence("text").alias("__hay"))
     values = claims.withColumn("__v", F.lower(strip(F.coalesce(F.col("value").cast("string"), F.lit("")))))
-    joined = values.join(facts, "page_id", "left")
+    joined = _met(values, facts)
     asked = F.col("__v") if max_chars is None else F.substring("__v", 1, max_chars)
     hit = F.coalesce(F.contains("__hay", asked), F.lit(False)).cast("int")
     given = F.col("__v") != ""

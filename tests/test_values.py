@@ -112,3 +112,22 @@ def test_empty_list_at_explicit_path_is_final(spark):
         F.try_parse_json("j").alias("v"))
     assert variants.records_of(df, "v", "data").select(F.size("records")).first()[0] == 0
     assert variants.records_of(df, "v").select(F.size("records")).first()[0] == 2
+
+
+def test_page_facts_are_not_broadcast(spark):
+    from pagemill.operators import evidence
+
+    pages = spark.createDataFrame([(1, "costs 1,200.50 EUR"), (2, None), (None, "x")], "page_id long, text string")
+    claims = spark.createDataFrame([(1, "p", "1200.5"), (1, "p", "none such"), (2, "p", "7"), (3, "p", " "), (None, "p", "x")],
+                                   "page_id long, proposal_id string, value string")
+    checked = evidence.check_values(claims, pages)
+    records = evidence.check_records(claims.withColumn("row_id", F.lit(1)), pages, ["value"])
+    shared = evidence.numeric_support(claims, pages)
+    ratio = evidence.evidence_ratio(claims, pages)
+    for out in (checked, records, shared, ratio):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert sorted(r["how"] for r in checked.collect()) == ["empty", "none", "none", "none", "numeric"]
+    assert [r["value"] for r in shared.collect()] == ["1200.5"]
+    assert {r["value"] for r in records.collect()} == {"1200.5", " "}
+    assert [(r["n_values"], r["ratio"]) for r in ratio.collect()] == [(4, 0.0)]
