@@ -203,3 +203,18 @@ def test_rows_of_every_kind_of_candidate(spark):
     assert found[6][0]["title"] == "x" and found[7][0]["name"] == "lamp"
     assert found[8] == [{"a": "1"}, {"a": "2"}] and found[9] == [{"a.b": "3"}, {"a.b": "4"}]
     assert set(found) == set(range(1, 10))
+
+
+def test_few_pages_are_nodes_in_python_at_a_time(spark, monkeypatch):
+    import pyarrow as pa
+
+    bodies = ["<p>a</p>" * 50, None, "", "<b>x</b>" * 200, "<i>", "<p>c</p>"] * 3
+    monkeypatch.setattr(H, "_PART", 500)
+    parts = list(H._parts(pa.array(bodies)))
+    assert [b for p in parts for b in p.to_pylist()] == bodies
+    assert len(parts) > 3 and all(len(p) == 1 or sum(len(b or "") for b in p.to_pylist()) <= 500 for p in parts)
+    assert [p.to_pylist() for p in H._parts(pa.array([], pa.string()))] == [[]]
+    made = [(i, b) for i, b in enumerate(bodies)]
+    pages = H.shred_html(spark.createDataFrame(made, "page_id long, html string").coalesce(1))
+    got = {r["page_id"]: r["n"] for r in pages.select("page_id", F.size("dom.nodes").alias("n")).collect()}
+    assert [got[i] for i in range(len(bodies))] == [50, 0, 0, 200, 1, 1] * 3
