@@ -95,7 +95,7 @@ def records_of(df: DataFrame, v: str, path: str | None = None, out: str = "recor
     objects = F.col("__objects")
     plain = (F.size(objects) == 0) & (F.size(items) > 0) & ~F.exists(items, is_list)  # scalars alone
     settled = (F.lit(bool(path)) & items.isNotNull()) | (F.size(objects) > 0) | plain
-    df = find_record_arrays(df, v, "__arrays", ~F.coalesce(settled, F.lit(False)))
+    df = find_record_arrays(df, v, "__arrays", ~F.coalesce(settled, F.lit(False)), limit=1)  # the best of all
     values = F.transform(
         items, lambda x: F.parse_json(F.concat(F.lit('{"value":'), F.to_json(x), F.lit("}")))
     )
@@ -126,7 +126,7 @@ def flatten_record(df: DataFrame, v: str, out: str = "record", depth: int | None
 def describe_payload(df: DataFrame, v: str, out: str = "payload") -> DataFrame:
     """struct<records_path, keys, n> of a document: its best record array, or
     the top-level keys, or the length of a plain list."""
-    df = find_record_arrays(df, v, "__arrays")
+    df = find_record_arrays(df, v, "__arrays", limit=1)  # the best of all
     best = F.get(F.col("__arrays"), F.lit(0))
     return df.withColumn(
         out,

@@ -131,3 +131,16 @@ def test_page_facts_are_not_broadcast(spark):
     assert [r["value"] for r in shared.collect()] == ["1200.5"]
     assert {r["value"] for r in records.collect()} == {"1200.5", " "}
     assert [(r["n_values"], r["ratio"]) for r in ratio.collect()] == [(4, 0.0)]
+
+
+def test_best_array_alone_is_the_first_of_all():
+    import json
+
+    from pagemill.functions.json_walk import _read, arrays_in, flat
+
+    value = json.loads('{"b":[{"x":1},{"y":2}],"a":[{"x":1},{"y":2}],"c":{"d":[[{"k":1},{"k":2}],0]},"":{"e":[{},{}]},"n":[{},1]}')
+    every = arrays_in(value, None, None, None)
+    assert [(a[0], a[1]) for a in every] == [("a", [".a"]), ("b", [".b"]), ("c.d[0]", [".c", ".d", "[0"]), ("e", [".", ".e"])]
+    assert arrays_in(value, None, None, 1) == every[:1] and arrays_in(value, 1, None, None) == every[:2]
+    leaves = flat(_read('{"a":{"b":1.50,"c":true},"l":[1,"x",null],"o":[{"k":2},"s"],"e":[],"n":null}'), None, None)
+    assert leaves == [("l", "1, x, "), ("e", None), ("n", None), ("a.b", "1.50"), ("a.c", "true"), ("o.0.k", "2"), ("o.1", "s")]
