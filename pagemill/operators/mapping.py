@@ -32,10 +32,11 @@ def match_fields(catalog: DataFrame, requested: list[str]) -> DataFrame:
     catalog(dataset_id, column, ordinal) may list millions of datasets. The
     requested names are a short literal list carried in every row, so a catalog
     row is scored once against each of them without any join; the best column
-    per (dataset, request) is a minimum, folded before the exchange.
+    per (dataset, request) is a minimum, folded before the exchange. The catalog is dealt
+    evenly first: the fold sorts in memory all that its task was given.
     """
     synonyms = _synonyms()
-    catalog = catalog.withColumn("__key", normalize_name("column"))
+    catalog = catalog.hint("rebalance").withColumn("__key", normalize_name("column"))
     key = F.col("__key")
 
     def rank(name):

@@ -133,6 +133,15 @@ def test_page_facts_are_not_broadcast(spark):
     assert [(r["n_values"], r["ratio"]) for r in ratio.collect()] == [(4, 0.0)]
 
 
+def test_catalog_is_dealt_evenly_before_its_fold(spark):
+    from pagemill.operators.mapping import match_fields
+
+    catalog = spark.createDataFrame([(1, "Price", 0), (1, "Country", 1), (2, "x", 0)], "dataset_id long, column string, ordinal int")
+    out = match_fields(catalog, ["price"])
+    assert "RoundRobinPartitioning" in out._jdf.queryExecution().executedPlan().toString()
+    assert {(r["dataset_id"], r["matched_column"]) for r in out.collect()} == {(1, "Price"), (2, None)}
+
+
 def test_best_array_alone_is_the_first_of_all():
     import json
 
