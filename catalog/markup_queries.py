@@ -328,11 +328,13 @@ SELECT p_partkey AS page_id, CASE WHEN p_partkey % 3 = 2 THEN 'file' ELSE 'feed'
   CASE WHEN p_partkey % 3 = 2 THEN 0.95 ELSE 0.9 END::DOUBLE AS score,
   CASE WHEN p_partkey % 3 <> 2 THEN p_size + 1 END::BIGINT AS n_rows FROM part""")
 def feed_candidates(spark, d):
-    """Feeds of both kinds; an address of a third ends like a file and is one."""
+    """Feeds of both kinds; an address of a third ends like a file and is one.
+    Parts are dealt evenly first: their file is small, the work on their pages is not."""
     k = F.col("p_partkey") % 3
     name = F.when(k == 0, "item").otherwise("entry")
     entry = F.concat(F.lit("<"), name, F.lit("><title>x</title></"), name, F.lit(">"))
-    pages = table(spark, d, "part").select(
+    parts = table(spark, d, "part").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    pages = parts.select(
         F.col("p_partkey").alias("page_id"),
         F.concat(F.lit("https://f.example.org/"), F.col("p_partkey").cast("string"), F.when(k == 2, ".csv").otherwise("")).alias("url"),
         F.concat(F.lit("<rss><channel><items>2</items>"), F.repeat(entry, (F.col("p_size") + 1).cast("int")), F.lit("</channel></rss>")).alias("html"),

@@ -153,3 +153,15 @@ def test_best_array_alone_is_the_first_of_all():
     assert arrays_in(value, None, None, 1) == every[:1] and arrays_in(value, 1, None, None) == every[:2]
     leaves = flat(_read('{"a":{"b":1.50,"c":true},"l":[1,"x",null],"o":[{"k":2},"s"],"e":[],"n":null}'), None, None)
     assert leaves == [("l", "1, x, "), ("e", None), ("n", None), ("a.b", "1.50"), ("a.c", "true"), ("o.0.k", "2"), ("o.1", "s")]
+
+
+def test_feed_pages_are_dealt_evenly(spark, tmp_path):
+    from catalog import all_queries, base
+
+    all_queries.load()
+    parts = spark.createDataFrame([(i, 2) for i in range(6)], "p_partkey long, p_size int")
+    parts.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    found = base.QUERIES["win3_feed_candidates"](spark, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert 0 <= plan.index("[shred(") < plan.index("RoundRobinPartitioning")
+    assert sorted(r["kind"] for r in found.collect()) == ["feed"] * 4 + ["file"] * 2
