@@ -3,18 +3,24 @@ longest suffix.
 
 A text is its words (A-Z lower-cased) and one end token; a start mark stands before
 it. Words are 64-bit hashes. The root holds the smoothed word counts of the base
-score. A context of 1 to `depth` words is a candidate if it holds at least
-`least_context` of all training tokens; its next words are stored from a share of
-`least_next` on. These two shares bound the tree whatever the corpus: at most
-1 / least_context contexts and 1 / least_next next words for each depth. A candidate
-is retained if its counts diverge from its parent's (the context without its first
-word) by at least `divergence` nats: count times the Kullback-Leibler divergence over
-the stored next words and the rest. Ancestors of retained contexts stay.
+score. Every context of 1 to `depth` words of the training texts is a candidate, and
+every next word that it has `least` times is stored, however large the corpus is. A
+candidate is retained if its counts diverge from its parent's (the context without its
+first word) by at least `divergence` nats: count times the Kullback-Leibler divergence
+over the stored next words and the rest. Ancestors of retained contexts stay, and so do
+contexts of more than BRANCH tokens.
 
 A next-word distribution is the stored counts less `discount`, and the mass left goes
 to the parent's distribution, so that every state sums to one. A token is scored by
 the longest suffix of its past that is a state.
 
+The tree is never in one place. Tokens are dealt with the words before them, by the
+last of these, so a task has whole branches: it grows them from its training tokens and
+scores all its tokens with them, a few at a time. A branch of more than BRANCH tokens is dealt by its
+longer contexts, or, where these are as frequent, by texts. Counts of the contexts of such
+branches, one for BRANCH tokens at most, are summed in Spark and sent to the parts of the
+branch. Blocks of texts get back the scores of their tokens and add them up.
+
 Word counts of the whole corpus are summed in Spark. While they are few they are sent
 to all tasks; beyond MAX_BROADCAST_WORDS each block of texts is sent the counts of its
 own words, by a join and a cogroup.
@@ -26,12 +32,13 @@ probability of an unknown word, which is then 1.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import hashing
@@ -41,16 +48,20 @@ U, I = np.uint64, np.int64
 START, END = U(0x0123456789ABCDEF), U(0x0FEDCBA987654321)
 GROW = U(0xC2B2AE3D27D4EB4F)
 PAIR = U(0xA0761D6478BD642F)
+SPREAD = U(0x9FB21C651E98DF25)
 MAX_BROADCAST_WORDS = 6_000_000
 BLOCK_BYTES = 16 << 20
 FLUSH = 1_500_000
+BRANCH = 500_000  # tokens that are grown at once, about; a branch above is dealt by longer contexts
+PART = 3_000_000  # tokens of a part, about, whose branches are grown one after another
+CHUNK, CHUNK_ROWS, BATCH_ROWS = 500_000, 32_000, 10_000  # tokens and texts that are dealt at once
+AT_START, UNDEFINED, UNKNOWN = -1, -2, -3  # numbers beside those of words
 
 
 @dataclass(frozen=True)
 class Shape:
     depth: int = 3
-    least_context: float = 2e-6
-    least_next: float = 2.5e-7
+    least: int = 2
     divergence: float = 10.0
     discount: float = 0.5
 
@@ -132,25 +143,6 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def count_next(texts: DataFrame, wanted, depth: int, least: int) -> DataFrame:
-    """(context, parent, word, n) of next words of the wanted contexts, n >= least."""
-
-    def run(batches):
-        sums, known = Sums(["context", "parent", "word"]), wanted.value
-        for b in batches:
-            for tokens, starts in sequences(b.column(0)):
-                context = contexts(tokens, depth)
-                usable = (reach(starts, len(tokens)) >= depth) & found(known, context)[0]
-                context, word = context[usable], tokens[usable]
-                parent = contexts(tokens, depth - 1)[usable] if depth > 1 else np.zeros(len(word), U)
-                sums.add(hashing.mix(context * PAIR + word), [context, parent, word])
-                yield from sums.batches(False)
-        yield from sums.batches(True)
-
-    rows = texts.mapInArrow(run, "context bigint, parent bigint, word bigint, n bigint")
-    return rows.groupBy("context", "parent", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-
-
 def found(table: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(is the value in the sorted table, at which place)."""
     if not len(table):
@@ -194,97 +186,474 @@ class Tree:
         return p
 
 
-def grow(texts: DataFrame, words: DataFrame, shape: Shape) -> Tree:
-    """Learns the tree from training texts and their word counts."""
-    spark = texts.sparkSession
-    total, distinct = words.agg(F.sum("n"), F.count("*")).first()
-    total = total or 0
-    tree = Tree(total, distinct)
-    least_context, least_next = max(2, int(shape.least_context * total)), max(2, int(shape.least_next * total))
-    top = np.array([tuple(r) for r in words.where(F.col("n") >= least_context).collect()], I).reshape(-1, 2)
-    context, size = top[:, 0].astype(U), top[:, 1]
-    keep = context != END
-    texts_n = int(size[~keep][0]) if (~keep).any() else 0
-    context, size = np.append(context[keep], START), np.append(size[keep], texts_n)
-    # (context, parent, count, words, counts) of each depth, all bounded by the shares
-    tables = []
-    for depth in range(1, shape.depth + 1):
-        order = np.argsort(context)
-        context, size = context[order], size[order]
-        if not len(context) or not total:
+@dataclass
+class Lookup:
+    """Words in order of their hashes, with their numbers and counts."""
+
+    word: np.ndarray
+    number: np.ndarray
+    n: np.ndarray
+
+    @classmethod
+    def of(cls, table: pa.Table) -> Lookup:
+        """Of (word, n), numbered by their counts, or of (word, n, number)."""
+        word, n = _ordered(table)
+        if table.num_columns > 2:
+            number = table.column(2).to_numpy()[np.argsort(table.column(0).to_numpy().astype(U))]
+        else:
+            number = np.empty(len(word), I)
+            number[np.argsort(-n, kind="stable")] = np.arange(len(word))
+        return cls(word, number.astype(np.int32), n)
+
+    def by_number(self, column: np.ndarray) -> np.ndarray:
+        out = np.empty_like(column)
+        out[self.number] = column
+        return out
+
+
+class Corpus:
+    """(doc_id, held_out, text) rows with their word counts, and how to go over the
+    texts with the numbers of their words."""
+
+    def __init__(self, every: DataFrame, words: DataFrame, shape: Shape, max_words: int) -> None:
+        self.every, self.words, self.shape = every, words, shape
+        total, distinct = words.agg(F.sum("n"), F.count("*")).first()
+        self.tree = Tree(total or 0, distinct)
+        self.few = distinct <= max_words
+        send = every.sparkSession.sparkContext.broadcast
+        if self.few:
+            self.sent = send(Lookup.of(words.toArrow()))
+            return
+        self.words = stored(_numbered(words, distinct), "numbered")
+        size = every.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
+        block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(size // BLOCK_BYTES + 1)).alias("block")
+        self.blocks = stored(every.select(block, "doc_id", "held_out", "text"), "blocks")
+
+        def distinct_words(table: pa.Table) -> pa.Table:
+            seen = [np.unique(t) for t, _ in sequences(table.column("text"))]
+            seen = np.unique(np.concatenate(seen)) if seen else np.zeros(0, U)
+            return pa.table({"block": pa.array(np.full(len(seen), table.column("block")[0].as_py(), I)), "word": pa.array(seen.astype(I))})
+
+        need = self.blocks.select("block", "text").groupBy("block").applyInArrow(distinct_words, "block bigint, word bigint")
+        self.given = need.join(self.words, "word").select("block", "word", "n", "number")
+
+    def numbers(self, words: np.ndarray) -> np.ndarray:
+        """Numbers of a few words by their hashes; UNKNOWN if they are in no text."""
+        if self.few:
+            known, at = found(self.sent.value.word, words)
+            return np.where(known, self.sent.value.number[at] if known.any() else 0, UNKNOWN)
+        rows = self.words.where(F.col("word").isin([int(w) for w in words.astype(I)])).select("word", "number").collect()
+        by = {r["word"]: r["number"] for r in rows}
+        return np.array([by.get(int(w), UNKNOWN) for w in words.astype(I)], I)
+
+    def over(self, step: Callable, schema: str) -> DataFrame:
+        """step(task, batches of (doc_id, held_out, text), lookup) for all texts."""
+        if self.few:
+            sent = self.sent
+
+            def run(batches):
+                from pyspark import TaskContext
+
+                yield from step(TaskContext.get().partitionId(), batches, sent.value)
+
+            return self.every.mapInArrow(run, schema)
+        names = [f.split()[0] for f in schema.split(", ")]
+
+        def run_block(texts: pa.Table, counts: pa.Table) -> pa.Table:
+            block = texts.column("block")[0].as_py() if texts.num_rows else 0
+            texts = texts.select(["doc_id", "held_out", "text"]).combine_chunks()
+            made = list(step(block, texts.to_batches(), Lookup.of(counts.select(["word", "n", "number"]))))
+            return pa.Table.from_batches([m.select(names) for m in made])
+
+        return self.blocks.groupBy("block").cogroup(self.given.groupBy("block")).applyInArrow(run_block, schema)
+
+
+def _numbered(words: DataFrame, distinct: int) -> DataFrame:
+    """(word, n, number) with numbers from 0 on, made in buckets of words."""
+    bucket = F.pmod(F.xxhash64("word"), F.lit(distinct // 100_000 + 1)).alias("bucket")
+    placed = stored(words.select("word", "n", bucket), "word-buckets")
+    sizes = placed.groupBy("bucket").agg(F.count("*").alias("c")).orderBy("bucket").collect()
+    first = np.cumsum([0, *[r["c"] for r in sizes]]).tolist()
+    starts = words.sparkSession.createDataFrame([(r["bucket"], a) for r, a in zip(sizes, first)], "bucket bigint, first bigint")
+    place = F.row_number().over(Window.partitionBy("bucket").orderBy("word")) - 1
+    return placed.join(F.broadcast(starts), "bucket").select("word", "n", (F.col("first") + place).cast("int").alias("number"))
+
+
+def values(numbers: np.ndarray) -> np.ndarray:
+    return (numbers.astype(I) - UNKNOWN).astype(U)
+
+
+def suffixes(past: list[np.ndarray], at_start: U) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """(hashes of the contexts of 1, 2, ... words, whether they are defined) of tokens,
+    given the words before them, the last one first, as (number, value)."""
+    out, defined, there = [], [], None
+    for depth in range(1, len(past) + 1):
+        number, value = past[depth - 1]
+        there = number >= AT_START if there is None else there & (number >= AT_START)
+        context = np.where(number == AT_START, at_start, value)
+        for k in range(depth - 2, -1, -1):
+            context = extend(context, past[k][1])
+        out.append(context)
+        defined.append(there)
+    return out, defined
+
+
+def numbered_tokens(batches, lookup: Lookup, depth: int) -> Iterator[tuple]:
+    """(batch, tokens, starts, place in the lookup, known, [word numbers before each token,
+    the last first], word numbers) of slices of texts."""
+    for b in batches:
+        for a in range(0, b.num_rows, BATCH_ROWS):
+            part, row = b.slice(a, BATCH_ROWS), 0
+            for tokens, starts in sequences(part.column(part.num_columns - 1)):
+                known, at = found(lookup.word, tokens)
+                number = np.where(known, lookup.number[at] if len(lookup.number) else 0, UNKNOWN).astype(np.int32)
+                number[starts[:-1]] = AT_START
+                back, past = reach(starts, len(tokens)), []
+                for k in range(1, depth + 1):
+                    before = np.full(len(tokens), UNDEFINED, np.int32)
+                    before[k:] = number[:-k] if k < len(number) else number[:0]
+                    before[back < k] = UNDEFINED
+                    past.append(before)
+                n = len(starts) - 1
+                yield part.slice(row, n), tokens, starts, at, known, past, number
+                row += n
+
+
+@dataclass
+class Heavy:
+    """Contexts of one depth with more than BRANCH training tokens, in order of their
+    hashes: tokens, mass left to the parent, first of their twigs and number of twigs."""
+
+    context: np.ndarray
+    size: np.ndarray
+    rest: np.ndarray
+    first: np.ndarray
+    twigs: np.ndarray
+
+
+@dataclass
+class Plan:
+    """Twigs are branches that are grown at once; a part has several."""
+
+    parts: int
+    twigs: int
+    heavy: list[Heavy]
+
+    def deal(self, past: list[np.ndarray], row: np.ndarray, chunk: int) -> np.ndarray:
+        """The twig of every token."""
+        contexts, defined = suffixes([(p, values(p)) for p in past], values(np.array([AT_START]))[0])
+        single = hashing.mix(row.astype(U) + hashing.mix(np.array([chunk], I).astype(U)))
+        by = [np.where(d, hashing.mix(c + SPREAD), single) for c, d in zip(contexts, defined)]
+        twig = (by[0] % U(self.twigs)).astype(I)
+        on = np.flatnonzero(defined[0])
+        for depth, heavy in enumerate(self.heavy):
+            there, at = found(heavy.context, contexts[depth][on])
+            on, at = on[there], at[there]
+            finer = by[depth + 1] if depth + 1 < len(by) else single
+            twig[on] = heavy.first[at] + (finer[on] % heavy.twigs[at].astype(U)).astype(I)
+            on = on[defined[depth + 1][on]] if depth + 1 < len(by) else on
+        return twig
+
+
+def planned(corpus: Corpus, branch: int) -> tuple[Plan, DataFrame | None]:
+    """How tokens are dealt, and (part, twig, depth, context, word, n) of next words of
+    heavy contexts for the twigs that need them."""
+    tree, depths, least = corpus.tree, corpus.shape.depth, corpus.shape.least
+    spark = corpus.every.sparkSession
+    plan = Plan(tree.total // PART + 1, tree.total // branch + 1, [])
+    ends, rows = 0, []
+    if tree.total > branch:
+        top = corpus.words.where(F.col("n") > branch).select("word", "n").collect()
+        end = corpus.words.where(F.col("word") == int(END.astype(I))).select("n").first()
+        ends = end["n"] if end else 0
+        number = corpus.numbers(np.array([r["word"] for r in top], I).astype(U))
+        rows = [((int(k),), r["n"]) for k, r in zip(number, top) if r["word"] != int(END.astype(I))]
+        if ends > branch:
+            rows.append(((AT_START,), ends))
+    end_number = int(corpus.numbers(np.array([END]))[0])
+    free, given, placed, own = plan.twigs, None, [], {}
+    for depth in range(1, depths + 1):
+        if not rows:
             break
+        # a context is its words, the first one first
+        hashes = [int(_context(words)) for words, _ in rows]
+        order = np.argsort(np.array(hashes, U))
+        rows, context = [rows[k] for k in order], np.array(hashes, U)[order]
         wanted = spark.sparkContext.broadcast(context)
-        rows = count_next(texts, wanted, depth, least_next).toArrow()
-        c, parent, word, n = (rows.column(k).to_numpy().astype(U) for k in range(4))
-        n = n.astype(I)
-        tables.append((context, size, c, parent, word, n))
-        longer = (n >= least_context) & (word != END)
-        context = extend(c[longer], word[longer])
-        size = n[longer]
-        context, first = np.unique(context, return_index=True)
-        size = size[first]
-    # word counts at the root, for the divergence of the first level
-    if tables:
-        need = spark.createDataFrame(pa.table({"word": pa.array(np.unique(tables[0][4]).astype(I))}))
-        have = words.join(need, "word").toArrow()
-        root = have.column(0).to_numpy().astype(U)
-        root_n, order = have.column(1).to_numpy(), np.argsort(root)
-        root, root_p = root[order], tree.base(root_n[order])
-    kept_below: np.ndarray = np.zeros(0, U)
-    levels = []
-    for depth in range(len(tables), 0, -1):
-        context, size, c, parent, word, n = tables[depth - 1]
-        at = found(context, c)[1]
-        p = n / size[at]
-        if depth == 1:
-            q = root_p[found(root, word)[1]]
-        else:
-            upper = tables[depth - 2]
-            key = hashing.mix(upper[2] * PAIR + upper[4])
-            order = np.argsort(key)
-            q_n = upper[5][order][found(key[order], hashing.mix(parent * PAIR + word))[1]]
-            q = q_n / upper[1][found(upper[0], parent)[1]]
-        q = np.minimum(q, 1.0)
-        gain = np.bincount(at, p * np.log(p / q), len(context))
-        rest_p = np.maximum(1 - np.bincount(at, p, len(context)), 0)
-        rest_q = np.maximum(1 - np.bincount(at, q, len(context)), 1e-12)
+        table = stored(_next_words(corpus, wanted, depth, least), "next-words")
+        sums = {r["context"]: (r["n"], r["c"]) for r in table.groupBy("context").agg(F.sum("n").alias("n"), F.count("*").alias("c")).collect()}
+        size = np.array([n for _, n in rows], I)
+        held = np.array([sums.get(int(c), (0, 0)) for c in context.astype(I)], float)
+        twigs = -(-size // branch)
+        first = free + np.cumsum(twigs) - twigs
+        free = int(first[-1] + twigs[-1])
+        plan.heavy.append(Heavy(context, size, 1 - (held[:, 0] - corpus.shape.discount * held[:, 1]) / size, first, twigs))
+        for (words, _), f, k in zip(rows, first.tolist(), twigs.tolist()):
+            for skip in range(depth):  # the context and its ancestors
+                placed += [(int(_context(words[skip:]).astype(I)), depth - skip, f + i) for i in range(k)]
+        table = table.withColumn("depth", F.lit(depth))
+        given = table if given is None else given.union(table)
+        own |= {int(c): words for c, (words, _) in zip(context.astype(I), rows)}
+        longer = table.where((F.col("n") > branch) & (F.col("word") != end_number)).collect()
+        rows = [((*own[r["context"]], r["word"]), r["n"]) for r in longer]
+    if given is not None:
+        where = spark.createDataFrame(placed, "context bigint, depth int, twig bigint")
+        given = given.join(F.broadcast(where), ["context", "depth"]).select((F.col("twig") % plan.parts).alias("part"), "twig", "depth", "context", "word", "n")
+    return plan, given
+
+
+def _context(words: tuple[int, ...]) -> np.uint64:
+    numbers = values(np.array(words))
+    out = numbers[:1]
+    for w in numbers[1:]:
+        out = extend(out, w)
+    return out[0]
+
+
+def _next_words(corpus: Corpus, wanted, depth: int, least: int) -> DataFrame:
+    """(context, word, n) of next words of the wanted contexts in training texts, n >= least."""
+
+    def step(_, batches, lookup):
+        sums, known = Sums(["context", "word"]), wanted.value
+        for part, _, starts, _, _, past, number in numbered_tokens(batches, lookup, depth):
+            contexts, defined = suffixes([(p, values(p)) for p in past], values(np.array([AT_START]))[0])
+            free = ~part.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            usable = defined[-1] & np.repeat(free, np.diff(starts)) & found(known, contexts[-1])[0]
+            context, word = contexts[-1][usable], number[usable].astype(I)
+            sums.add(hashing.mix(context * PAIR + values(word)), [context, word])
+            yield from sums.batches(False)
+        yield from sums.batches(True)
+
+    rows = corpus.over(step, "context bigint, word bigint, n bigint")
+    return rows.groupBy("context", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+
+
+@dataclass
+class Grown:
+    """States of one depth in a twig: place of each token's context and of its pair of
+    context and word (for the tokens `on`), what is known of these."""
+
+    on: np.ndarray
+    context: np.ndarray
+    pair: np.ndarray
+    contexts: np.ndarray | None
+    pairs: np.ndarray | None
+    keep: np.ndarray
+    rest: np.ndarray
+    share: np.ndarray
+    of: np.ndarray
+
+
+def grown(contexts: list[np.ndarray], defined: list[np.ndarray], word: np.ndarray, trains: np.ndarray, base: np.ndarray,
+          shape: Shape, heavy: list[Heavy], given: list[tuple[np.ndarray, np.ndarray]], named: bool = False) -> list[Grown]:
+    """Branches of the tree from the tokens of a twig: values of the words, whether they
+    are of training texts, probabilities at the root; and (pair, count) of the next
+    words of heavy contexts, in order of the pairs, for each depth."""
+    levels: list[Grown] = []
+    q_of = base
+    first_of = []
+    for depth, (context, there) in enumerate(zip(contexts, defined), 1):
+        on = np.flatnonzero(there).astype(np.int32)
+        u, first, at = np.unique(context[on], return_index=True, return_inverse=True)
+        pairs, pair_first, pair_at = np.unique(hashing.mix(context[on] * PAIR + word[on]), return_index=True, return_inverse=True)
+        at, pair_at = at.astype(np.int32), pair_at.astype(np.int32)
+        size = np.bincount(at, trains[on], len(u)).astype(float)
+        n = np.bincount(pair_at, trains[on], len(pairs)).astype(float)
+        of = at[pair_first]  # the context of a pair
+        known = np.zeros(len(u), bool)
+        if depth <= len(heavy):
+            known, place = found(heavy[depth - 1].context, u)
+            size[known] = heavy[depth - 1].size[place[known]]
+            summed = known[of]
+            has, where = found(given[depth - 1][0], pairs)
+            n[summed] = np.where(has, given[depth - 1][1][where] if len(given[depth - 1][1]) else 0, 0)[summed]
+        p = n / np.maximum(size[of], 1)
+        q = np.minimum(q_of[on[pair_first]], 1.0)
+        held = n >= shape.least
+        p_held, q_held, of_held = p[held], q[held], of[held]
+        gain = np.bincount(of_held, p_held * np.log(p_held / q_held), len(u)).astype(float)
+        rest_p = np.maximum(1 - np.bincount(of_held, p_held, len(u)), 0)
+        rest_q = np.maximum(1 - np.bincount(of_held, q_held, len(u)), 1e-12)
         gain += np.where(rest_p > 0, rest_p * np.log(np.maximum(rest_p, 1e-300) / rest_q), 0)
-        keep = (gain * size >= shape.divergence) | found(np.unique(kept_below), context)[0]
-        if depth > 1:
-            has, where = found(context, c)
-            kept_below = np.unique(parent[keep[where] & has])
-        share = (n - shape.discount) / size[at]
-        rest = 1 - np.bincount(at, share, len(context))
-        mine = keep[at]
-        pair = hashing.mix(c[mine] * PAIR + word[mine])
-        order = np.argsort(pair)
-        levels.append(Level(context[keep], rest[keep], pair[order], share[mine][order]))
-    tree.levels = levels[::-1]
-    return tree
+        share = np.where(held, (n - shape.discount) / np.maximum(size[of], 1), 0.0)
+        rest = 1.0 - np.bincount(of, share, len(u))
+        keep = (gain * size >= shape.divergence) | known
+        if known.any():
+            rest[known] = heavy[depth - 1].rest[place[known]]
+        levels.append(Grown(on, at, pair_at, u if named else None, pairs if named else None, keep, rest, share, of))
+        first_of.append(on[first])
+        q_of = np.ones(len(word))
+        q_of[on] = p[pair_at]
+    for depth in range(len(levels) - 1, 0, -1):  # ancestors stay
+        level, upper = levels[depth], levels[depth - 1]
+        place = np.zeros(len(word), I)
+        place[upper.on] = upper.context
+        upper.keep[place[first_of[depth][level.keep]]] = True
+    return levels
+
+
+def scored(levels: list[Grown], base: np.ndarray) -> np.ndarray:
+    """Probability of every token of a twig, given the root's."""
+    p, live = base.copy(), np.ones(len(base), bool)
+    for level in levels:
+        kept = level.keep[level.context] & live[level.on]
+        live = np.zeros(len(base), bool)
+        live[level.on[kept]] = True
+        own = level.share[level.pair[kept]]
+        p[level.on[kept]] = own + level.rest[level.context[kept]] * p[level.on[kept]]
+    return p
 
 
 RESULT = (
     "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 )
+TEXTS = {"doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base_score": pa.float64()}
+
+
+def _schema(fields: dict[str, pa.DataType]) -> str:
+    plain = {pa.int64(): "bigint", pa.int32(): "int", pa.int16(): "smallint", pa.bool_(): "boolean", pa.float64(): "double"}
+    return ", ".join(f"{k} {f'array<{plain[t.value_type]}>' if isinstance(t, pa.ListType) else plain[t]}" for k, t in fields.items())
+
+
+def _lists(offsets: np.ndarray, column: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(column, kind))
+
+
+def _dealt_fields(depth: int) -> dict[str, pa.DataType]:
+    words = {f"{half}{k}": pa.list_(pa.int16()) for half in ("low", "high") for k in range(depth + 1)}
+    tokens = {**words, "row": pa.list_(pa.int16()), "n": pa.list_(pa.int64())}
+    return {"part": pa.int64(), "twig": pa.int64(), "chunk": pa.int64(), **tokens, **{k: pa.list_(t) for k, t in TEXTS.items()}}
+
+
+def dealt(corpus: Corpus, plan: Plan) -> DataFrame:
+    """Tokens with the words before them, as lists for each twig and chunk of texts, and
+    one row about the texts of each chunk. Rows of texts that are held out are
+    inverted. Counts of the words come along if they are not sent to all tasks."""
+    depth, few, tree = corpus.shape.depth, corpus.few, corpus.tree
+    fields = _dealt_fields(depth)
+
+    def step(task, batches, lookup):
+        chunk, texts, columns, rows, size = task << 32, [], [], 0, 0
+
+        def batch():
+            past = [np.concatenate([c[k] for c in columns]) for k in range(depth)]
+            word, row = (np.concatenate([c[k] for c in columns]) for k in (depth, depth + 1))
+            n = None if few else np.concatenate([c[depth + 2] for c in columns])
+            columns.clear()
+            twig = plan.deal(past, np.where(row < 0, ~row, row), chunk)
+            order = np.lexsort((*past[1:2], twig * (1 << 32) + past[0].astype(I) - UNKNOWN))
+            twig = twig[order]
+            new = np.flatnonzero(np.append(True, twig[1:] != twig[:-1]))
+            offsets = np.append(new, len(twig))
+            made = {"part": pa.array(twig[new] % plan.parts), "twig": pa.array(twig[new]), "chunk": pa.array(np.full(len(new), chunk, I))}
+            for k, c in enumerate([word, *past]):
+                v = c[order] - UNKNOWN  # frequent words have small numbers, so the upper halves compress well
+                made[f"low{k}"] = _lists(offsets, (v & 0xFFFF).astype(np.uint16).view(np.int16), pa.int16())
+                made[f"high{k}"] = _lists(offsets, (v >> 16).astype(np.int16), pa.int16())
+            made["row"] = _lists(offsets, row[order], pa.int16())
+            if not few:
+                made["n"] = _lists(offsets, n[order], pa.int64())
+            about = {"part": pa.array([(chunk * 31 + (chunk >> 32)) % plan.parts], pa.int64()), "chunk": pa.array([chunk], pa.int64())}
+            for k, name in enumerate(TEXTS):
+                column = pa.concat_arrays([t[k] for t in texts])
+                about[name] = pa.ListArray.from_arrays(pa.array([0, len(column)], pa.int32()), column)
+            for m in (made, about):
+                count = len(m["part"])
+                yield pa.RecordBatch.from_arrays([m[f] if f in m else pa.nulls(count, t) for f, t in fields.items()], list(fields))
+
+        for part, tokens, starts, at, known, past, number in numbered_tokens(batches, lookup, depth):
+            mark, n_texts = starts[:-1], len(starts) - 1
+            if texts and (rows + n_texts > CHUNK_ROWS or size + len(tokens) > CHUNK):
+                yield from batch()
+                chunk, texts, columns, rows, size = chunk + 1, [], [], 0, 0
+            known = known.copy()
+            known[mark] = False
+            count = np.where(known, lookup.n[at] if len(lookup.n) else 0, 0)
+            base = np.log10(tree.base(count)) if tree.total else np.zeros(len(tokens))
+            base[mark] = 0.0
+            sums = [np.add.reduceat(x, mark) for x in (known.astype(I), base)]
+            texts.append([part.column(0), part.column(1), pa.array(np.diff(starts) - 1), pa.array(sums[0]), pa.array(sums[1])])
+            own = np.arange(rows, rows + n_texts)
+            own = np.where(part.column(1).to_numpy(zero_copy_only=False).astype(bool), ~own, own).astype(np.int16)
+            real = np.ones(len(tokens), bool)
+            real[mark] = False
+            columns.append([*(p[real] for p in past), number[real], np.repeat(own, np.diff(starts))[real], None if few else count[real]])
+            rows, size = rows + n_texts, size + len(tokens)
+        if texts:
+            yield from batch()
+
+    return corpus.over(step, _schema(fields))
+
+
+def _flat(table: pa.Table, name: str) -> np.ndarray:
+    return table.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+
+
+def _branches(corpus: Corpus, plan: Plan, counts, value: Callable = values, at_start: U | None = None) -> Callable:
+    """(the levels of a twig, base probabilities), of its dealt tokens and the given counts."""
+    shape, tree = corpus.shape, corpus.tree
+    at_start = values(np.array([AT_START]))[0] if at_start is None else at_start
+
+    def run(tokens: pa.Table, given: pa.Table | None) -> tuple[list[Grown], np.ndarray]:
+        halves = [(_flat(tokens, f"low{k}"), _flat(tokens, f"high{k}")) for k in range(shape.depth + 1)]
+        numbers = [(low.view(np.uint16).astype(np.int32) | high.astype(np.int32) << 16) + UNKNOWN for low, high in halves]
+        if counts is not None:
+            n = np.where(numbers[0] >= 0, counts.value[np.maximum(numbers[0], 0)] if len(counts.value) else 0, 0)
+        else:
+            n = _flat(tokens, "n")
+        base = tree.base(n) if tree.total else np.ones(len(n))
+        contexts, defined = suffixes([(c, value(c)) for c in numbers[1:]], at_start)
+        sent = []
+        for depth in range(1, len(plan.heavy) + 1):
+            mine = given.filter(pa.compute.equal(given.column("depth"), depth)) if given is not None else None
+            if mine is None:
+                sent.append((np.zeros(0, U), np.zeros(0, I)))
+                continue
+            context, word, count = (mine.column(c).to_numpy() for c in ("context", "word", "n"))
+            pair = hashing.mix(context.astype(U) * PAIR + values(word))
+            order = np.argsort(pair)
+            sent.append((pair[order], count[order]))
+        trains = (_flat(tokens, "row") >= 0).astype(float)
+        return grown(contexts, defined, value(numbers[0]), trains, base, shape, plan.heavy, sent, counts is not None and at_start == START), base
+
+    return run
 
 
-def _scored(batch: pa.RecordBatch, tree: Tree, words: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows of RESULT for a batch of (id, held_out, text), with word counts in order."""
-    row = 0
-    for tokens, starts in sequences(batch.column(2)):
-        n = len(starts) - 1
-        known, at = found(words, tokens)
-        count = np.where(known, counts[at] if len(counts) else 0, 0)
-        base = tree.base(count) if tree.total else np.ones(len(tokens))
-        p = tree.score(tokens, starts, base)
-        mark = starts[:-1]
-        base[mark], p[mark], known[mark] = 1.0, 1.0, False
-        sums = [np.add.reduceat(x, mark) for x in (known.astype(I), np.log10(base), np.log10(p))]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0).slice(row, n), batch.column(1).slice(row, n), pa.array(np.diff(starts) - 1), pa.array(sums[0]),
-             pa.array(np.full(n, tree.total, I)), pa.array(sums[1]), pa.array(sums[2])],
-            [f.split()[0] for f in RESULT.split(", ")])
-        row += n
+def grow(texts: DataFrame, words: DataFrame, shape: Shape) -> Tree:
+    """The whole tree of training texts with these word counts, collected, for corpora
+    whose tree fits one machine. Scores of a corpus come from `score`."""
+    every = texts.select(F.lit(None).cast("bigint").alias("doc_id"), F.lit(False).alias("held_out"), texts.columns[0])
+    corpus = Corpus(every, words, shape, 1 << 31)
+    sent = corpus.sent
+    plan = Plan(corpus.tree.total // BRANCH + 1, corpus.tree.total // BRANCH + 1, [])
+    counts = every.sparkSession.sparkContext.broadcast(sent.value.by_number(sent.value.n))
+    known = every.sparkSession.sparkContext.broadcast(sent.value.by_number(sent.value.word))
+
+    def value(numbers: np.ndarray) -> np.ndarray:
+        words = known.value
+        return np.where(numbers >= 0, words[np.maximum(numbers, 0)], values(numbers)) if len(words) else values(numbers)
+
+    branches = _branches(corpus, plan, counts, value, START)
+
+    def run(table: pa.Table) -> pa.Table:
+        made = []
+        for depth, x in enumerate(branches(table.filter(pa.compute.is_valid(table.column("row"))), None)[0], 1):
+            pair = x.keep[x.of] & (x.share > 0)
+            for kind, key, number in ((0, x.contexts[x.keep], x.rest[x.keep]), (1, x.pairs[pair], x.share[pair])):
+                made.append(pa.table({"depth": pa.array(np.full(len(key), depth, I)), "kind": pa.array(np.full(len(key), kind, I)),
+                                      "hash": pa.array(key.astype(I)), "x": pa.array(number)}))
+        return pa.concat_tables(made)
+
+    rows = dealt(corpus, plan).groupBy("part").applyInArrow(run, "depth bigint, kind bigint, hash bigint, x double").toArrow()
+    depth, kind, key, x = (rows.column(k).to_numpy() for k in range(4))
+    for d in range(1, shape.depth + 1):
+        states = []
+        for k in (0, 1):
+            mine = (depth == d) & (kind == k)
+            order = np.argsort(key[mine].astype(U))
+            states += [key[mine].astype(U)[order], x[mine][order]]
+        corpus.tree.levels.append(Level(*states))
+    return corpus.tree
 
 
 def _ordered(table: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -295,45 +664,61 @@ def _ordered(table: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text", shape: Shape = Shape(),
-          max_words: int = MAX_BROADCAST_WORDS) -> DataFrame:
+          max_words: int = MAX_BROADCAST_WORDS, branch: int = BRANCH) -> DataFrame:
     """RESULT for every row of docs; texts with crc32(id as text) mod 10 = 0 are held out."""
     spark = docs.sparkSession
     number = F.col(key).cast("bigint")
     held = (F.crc32(F.coalesce(number.cast("string"), F.lit("")).cast("binary")) % 10 == 0).alias("held_out")
     every = docs.select(number.alias("doc_id"), held, F.col(text).alias("text"))
-    texts = every.where(~F.col("held_out")).select("text")
-    words = stored(count_words(texts), "words")
-    tree = spark.sparkContext.broadcast(grow(texts, words, shape))
-    if tree.value.distinct <= max_words:
-        counts = spark.sparkContext.broadcast(_ordered(words.toArrow()))
-
-        def run(batches):
-            for b in batches:
-                yield from _scored(b, tree.value, *counts.value)
-
-        return every.mapInArrow(run, RESULT)
-    return _scored_in_blocks(every, words, tree)
-
-
-def _scored_in_blocks(every: DataFrame, words: DataFrame, tree) -> DataFrame:
-    """The same rows where the word counts are too many to be sent to all tasks."""
-    size = every.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
-    blocks = size // BLOCK_BYTES + 1
-    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block")
-    placed = stored(every.select(block, "doc_id", "held_out", "text"), "blocks")
-
-    def distinct(table: pa.Table) -> pa.Table:
-        seen = [np.unique(t) for t, _ in sequences(table.column("text"))]
-        seen = np.unique(np.concatenate(seen)) if seen else np.zeros(0, U)
-        return pa.table({"block": pa.array(np.full(len(seen), table.column("block")[0].as_py(), I)), "word": pa.array(seen.astype(I))})
-
-    need = placed.select("block", "text").groupBy("block").applyInArrow(distinct, "block bigint, word bigint")
-    given = need.join(words, "word").select("block", "word", "n")
-
-    def run(texts: pa.Table, counts: pa.Table) -> pa.Table:
-        texts = texts.select(["doc_id", "held_out", "text"]).combine_chunks()
-        known = _ordered(counts.select(["word", "n"]))
-        made = [r for b in texts.to_batches() for r in _scored(b, tree.value, *known)]
-        return pa.Table.from_batches(made)
-
-    return placed.groupBy("block").cogroup(given.groupBy("block")).applyInArrow(run, RESULT)
+    words = stored(count_words(every.where(~F.col("held_out")).select("text")), "words")
+    corpus = Corpus(every, words, shape, max_words)
+    plan, given = planned(corpus, branch)
+    counts = spark.sparkContext.broadcast(corpus.sent.value.by_number(corpus.sent.value.n)) if corpus.few else None
+    branches = _branches(corpus, plan, counts)
+    total = corpus.tree.total
+    fields = {"chunk": pa.int64(), "row": pa.list_(pa.int16()), "p": pa.list_(pa.float64()), **{k: pa.list_(t) for k, t in TEXTS.items()}}
+
+    def run(table: pa.Table, sent: pa.Table | None = None) -> pa.Table:
+        """Sums of the logarithms for the texts of each chunk."""
+        about = table.filter(pa.compute.is_valid(table.column("doc_id")))
+        table = table.filter(pa.compute.is_valid(table.column("row")))
+        made = {name: about.column(name).combine_chunks() for name in ("chunk", *TEXTS)}
+        out = [pa.RecordBatch.from_arrays([made[f] if f in made else pa.nulls(about.num_rows, t) for f, t in fields.items()], list(fields))]
+        chunks = np.unique(table.column("chunk").to_numpy())
+        where, sums = [np.zeros(0, I)], [np.zeros(0)]
+        for twig in pa.compute.unique(table.column("twig")):
+            own = table.filter(pa.compute.equal(table.column("twig"), twig))
+            levels, base = branches(own, None if sent is None else sent.filter(pa.compute.equal(sent.column("twig"), twig)))
+            p, row = np.log10(scored(levels, base)), _flat(own, "row").astype(I)
+            del levels
+            sizes = np.diff(own.column("row").combine_chunks().offsets.to_numpy())
+            chunk = np.repeat(np.searchsorted(chunks, own.column("chunk").to_numpy()), sizes)
+            texts, at = np.unique(chunk * CHUNK_ROWS + np.where(row < 0, ~row, row), return_inverse=True)
+            where.append(texts)
+            sums.append(np.bincount(at, p, len(texts)))
+        texts, at = np.unique(np.concatenate(where), return_inverse=True)
+        offsets = np.searchsorted(texts, np.arange(len(chunks) + 1) * CHUNK_ROWS)
+        made = {"chunk": pa.array(chunks), "row": _lists(offsets, texts % CHUNK_ROWS, pa.int16()),
+                "p": _lists(offsets, np.bincount(at, np.concatenate(sums), len(texts)).astype(float), pa.float64())}
+        out.append(pa.RecordBatch.from_arrays([made[f] if f in made else pa.nulls(len(chunks), t) for f, t in fields.items()], list(fields)))
+        return pa.Table.from_batches(out)
+
+    def add(table: pa.Table) -> pa.Table:
+        """The texts of a chunk with the sums of all parts."""
+        about = table.filter(pa.compute.is_valid(table.column("doc_id")))
+        made = {name: about.column(name).combine_chunks().flatten() for name in TEXTS}
+        n = len(made["doc_id"])
+        made["train_tokens"] = pa.array(np.full(n, total, I))
+        made["score"] = pa.array(np.bincount(_flat(table, "row"), _flat(table, "p"), n))
+        names = [f.split()[0] for f in RESULT.split(", ")]
+        return pa.table([made[f] for f in names], names)
+
+    parts = dealt(corpus, plan).groupBy("part")
+    if given is None:
+        sums = parts.applyInArrow(lambda table: run(table), _schema(fields))
+    else:
+        def run_given(table: pa.Table, sent: pa.Table) -> pa.Table:
+            return run(table, sent)
+
+        sums = parts.cogroup(given.groupBy("part")).applyInArrow(run_given, _schema(fields))
+    return sums.groupBy("chunk").applyInArrow(add, RESULT)

@@ -302,6 +302,84 @@ def test_suffix_tree_states_sum_to_one(docs_of):
     assert total == pytest.approx(1.0)
 
 
+def plain_scores(pairs, branch, of=None, depth=3, divergence=10.0):
+    """Scores by a tree in dictionaries, with every context and next word that occurs twice."""
+    split = {i: ["<s>", *(t or "").lower().split(), "</s>"] for i, t in pairs}
+    count, words = {}, Counter()
+    for i, t in split.items():
+        if zlib.crc32(str(i).encode()) % 10:
+            for k in range(1, len(t)):
+                words[t[k]] += 1
+                for d in range(1, min(depth, k) + 1):
+                    count.setdefault(tuple(t[k - d : k]), Counter())[t[k]] += 1
+    total = sum(words.values())
+    base = lambda w: (words[w] + 0.1) / (total + 0.1 * (len(words) + 1))
+    keep = set()
+    for c, after in count.items():
+        size, up = sum(after.values()), count.get(c[1:])
+        q = (lambda w: up[w] / sum(up.values())) if len(c) > 1 else (lambda w: min(base(w), 1.0))
+        held = [w for w in after if after[w] >= 2]
+        gain = sum(after[w] / size * math.log(after[w] / size / q(w)) for w in held)
+        rest = 1 - sum(after[w] for w in held) / size
+        if rest > 1e-12:
+            gain += rest * math.log(rest / max(1 - sum(q(w) for w in held), 1e-12))
+        if gain * size >= divergence or size > branch:
+            keep |= {c[k:] for k in range(len(c))}
+    out = {}
+    for i, t in split.items():
+        if of is not None and i not in of:
+            continue
+        out[i] = 0.0
+        for k in range(1, len(t)):
+            p = base(t[k])
+            for d in range(1, min(depth, k) + 1):
+                after = count.get(c := tuple(t[k - d : k]), Counter())
+                if c not in keep:
+                    break
+                size = sum(after.values())
+                held = [w for w in after if after[w] >= 2]
+                own = (after[t[k]] - 0.5) / size if t[k] in held else 0.0
+                p = own + (1 - sum(after[w] - 0.5 for w in held) / size) * p
+            out[i] += math.log10(p)
+    return out
+
+
+@pytest.mark.parametrize("branch, max_words", [(1 << 40, 1 << 20), (800_000, 0)])
+def test_suffix_tree_keeps_rare_contexts_of_a_large_corpus(docs_of, branch, max_words):
+    """A passage that occurs twice among more tokens than any share of them would keep
+    is learnt, however branches are dealt."""
+    r = random.Random(9)
+    some = [f"w{int(r.paretovariate(0.7))}" for _ in range(60)]
+    texts = [" ".join(r.choice(some) if r.random() < 0.7 else "of the" for _ in range(60)) for _ in range(300)]
+    texts += ["of the " * 30000] * 60
+    rare = " ".join(f"rare{k}" for k in range(30))
+    texts += [rare, rare, rare, None, "", "never seen words"]
+    pairs = [(i * 10 + 3, t) for i, t in enumerate(texts)]
+    rows = {x.doc_id: x for x in suffix_tree.score(docs_of(pairs), max_words=max_words, branch=branch).collect()}
+    assert len(rows) == len(pairs) and rows[pairs[0][0]].train_tokens > 2.5e6
+    short = {i for i, t in pairs if len(t or "") < 1000}
+    want = plain_scores(pairs, branch, short)
+    for i in short:
+        assert rows[i].score == pytest.approx(want[i], rel=1e-9)
+    learnt = [rows[i] for i, t in pairs if t == rare]
+    assert all(x.score > x.base_score + 60 for x in learnt)
+
+
+@pytest.mark.parametrize("branch", [300, 40])
+def test_suffix_tree_branches_dealt_by_longer_contexts(docs_of, branch):
+    """Heavy contexts of every depth are whole, wherever their tokens are."""
+    r = random.Random(5)
+    line = "the cat sat on the mat and the dog ran off to see".split()
+    texts = [" ".join(line[: r.randint(3, 13)] + [r.choice("xyz")]) for _ in range(300)] + ["the cat sat on " * 20] * 9 + [None, ""]
+    pairs = list(enumerate(texts))
+    want = plain_scores(pairs, branch)
+    for max_words in (1 << 20, 0):
+        rows = suffix_tree.score(docs_of(pairs), max_words=max_words, branch=branch).collect()
+        assert len(rows) == len(pairs)
+        for x in rows:
+            assert x.score == pytest.approx(want[x.doc_id], rel=1e-9)
+
+
 def test_suffix_tree_without_training_texts(docs_of):
     held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 10 == 0][:3]
     rows = suffix_tree.score(docs_of([(i, "a b") for i in held] + [(None, None)])).collect()
