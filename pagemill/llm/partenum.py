@@ -17,7 +17,8 @@ Equal sets are one node. In a bucket all nodes are compared with the smallest, a
 nodes that are then in different components with each other, in blocks of bounded
 size. A comparison looks at parity sketches first: four bits or more for each shingle, whose
 difference is never more than that of the sets, so it drops no similar pair. What passes
-is compared by the whole sets. Sets are 64-bit hashes of windows.
+is compared by the whole sets; those of the nodes of a block are sent to its task, so no
+row is made for a pair of the block that is not a link. Sets are 64-bit hashes of windows.
 
 Null and empty texts, and texts without words, have no shingles and are linked with
 nothing. Repeated rows are equal sets. A null id is ignored when the smallest id of
@@ -220,54 +221,96 @@ def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([u.filter(pa.array(near, pa.bool_())), v.filter(pa.array(near, pa.bool_()))], ["u", "v"])
 
 
-def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (sig, i, j, block, node, component, n, sketch), ordered by (sig, i, j): pairs of
-    nodes of one piece in different components whose sketches do not rule them out. In
-    a piece of two blocks only pairs across them are compared."""
-    seen: set[tuple[int, int]] = set()
-
-    def piece(rows: list[dict]) -> None:
-        by_width: dict[int, list[dict]] = {}
-        for r in rows:
-            by_width.setdefault(len(r["sketch"]), []).append(r)
-        groups = [
-            (g, np.array([r["component"] for r in g]), np.array([r["n"] for r in g]), np.array([r["block"] for r in g]),
-             np.stack([_words_of(r["sketch"]) for r in g]))
-            for g in by_width.values()
-        ]
-        across = rows[0]["i"] != rows[0]["j"]
-        for k, r in enumerate(rows):
-            one = _words_of(r["sketch"])
-            for g, component, n, block, sketch in groups:
-                fits = (component > r["component"]) & (10 * np.minimum(n, r["n"]) >= 8 * np.maximum(n, r["n"]))
-                if across:
-                    fits &= block != r["block"]
-                at = np.flatnonzero(fits)
-                if len(at):
-                    at = at[apart(sketch[at], one) <= (n[at] + r["n"]) // 9]
-                    for x in at.tolist():
-                        seen.add(tuple(sorted((r["node"], g[x]["node"]))))
-
-    def batch() -> pa.RecordBatch:
-        made = list(seen)
-        seen.clear()
-        return pa.RecordBatch.from_arrays(
-            [pa.array([p[0] for p in made], pa.int64()), pa.array([p[1] for p in made], pa.int64())], ["u", "v"])
+PIECE = "sig bigint, i int, j int, block int, node bigint, component bigint, n bigint, sketch binary"
+
 
-    rows, key = [], None
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of rows that agree in the first three columns (sig, i, j), from rows in order."""
+    held: list[pa.RecordBatch] = []
     for b in batches:
-        for r in b.to_pylist():
-            own = (r["sig"], r["i"], r["j"])
-            if own != key and rows:
-                piece(rows)
-                rows = []
-            key = own
-            rows.append(r)
-        if len(seen) > 200_000:
-            yield batch()
-    if rows:
-        piece(rows)
-    yield batch()
+        keys = [b.column(k).to_numpy() for k in range(3)]
+        new = np.zeros(b.num_rows, bool)
+        for k in keys:
+            new[1:] |= k[1:] != k[:-1]
+        if held and b.num_rows:
+            new[0] = any(held[-1].column(k)[held[-1].num_rows - 1].as_py() != b.column(k)[0].as_py() for k in range(3))
+        first = 0
+        for at in np.flatnonzero(new).tolist():
+            if at:
+                held.append(b.slice(first, at - first))
+            yield pa.Table.from_batches(held)
+            held, first = [], at
+        if b.num_rows:
+            held.append(b.slice(first))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _near_pairs(piece: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, later rows) of nodes of a piece in different components whose sketches do
+    not rule them out. In a piece of two blocks only pairs across them are compared."""
+    component, n, block = (piece.column(c).to_numpy() for c in ("component", "n", "block"))
+    sketches = [_words_of(x) for x in piece.column("sketch").to_pylist()]
+    widths = np.array([len(x) for x in sketches])
+    groups = [(at, np.stack([sketches[k] for k in at])) for at in (np.flatnonzero(widths == w) for w in np.unique(widths))]
+    across = piece.column("i")[0].as_py() != piece.column("j")[0].as_py()
+    for k, one in enumerate(sketches):
+        out = []
+        for at, stacked in groups:
+            fits = (at > k) & (component[at] != component[k]) & (10 * np.minimum(n[at], n[k]) >= 8 * np.maximum(n[at], n[k]))
+            if across:
+                fits &= block[at] != block[k]
+            chosen = np.flatnonzero(fits)
+            out.append(at[chosen[apart(stacked[chosen], one) <= (n[at[chosen]] + n[k]) // 9]] if len(chosen) else at[:0])
+        found = np.sort(np.concatenate(out))
+        if len(found):
+            yield k, found
+
+
+def _doubtful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of PIECE, ordered by (sig, i, j), that have a near pair in their piece."""
+    for piece in _pieces(batches):
+        wanted = np.zeros(piece.num_rows, bool)
+        for k, others in _near_pairs(piece):
+            wanted[k] = True
+            wanted[others] = True
+        if wanted.any():
+            yield from piece.filter(pa.array(wanted)).combine_chunks().to_batches()
+
+
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of such rows with their whole sets: links (u, v) that join all similar nodes of a
+    piece, fewer than it has nodes."""
+    for piece in _pieces(batches):
+        node, component = piece.column("node").to_numpy(), piece.column("component").to_numpy()
+        whole = piece.column("set").combine_chunks()
+        ends, flat = whole.offsets.to_numpy(), whole.values.to_numpy()
+        root = {c: c for c in component.tolist()}
+
+        def top(c: int) -> int:
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        made = []
+        for k, others in _near_pairs(piece):
+            one = flat[ends[k] : ends[k + 1]]
+            for x in others.tolist():
+                a, b = top(int(component[k])), top(int(component[x]))
+                if a == b:
+                    continue
+                other = flat[ends[x] : ends[x + 1]]
+                both = len(np.intersect1d(one, other, assume_unique=True))
+                if 100 * both >= 80 * (len(one) + len(other) - both):
+                    root[a] = b
+                    made.append((int(node[k]), int(node[x])))
+        if made:
+            yield pa.RecordBatch.from_arrays([pa.array([m[k] for m in made], pa.int64()) for k in (0, 1)], ["u", "v"])
+
+
+def _by_piece(rows: DataFrame) -> DataFrame:
+    return rows.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
 
 
 def _linked(pairs: DataFrame, described: DataFrame, base: DataFrame) -> DataFrame:
@@ -368,9 +411,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     placed = placed.join(sketches, "node").select(
         "sig", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component", "n", "sketch"
     )
-    ordered = placed.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
-    more = stored(ordered.mapInArrow(_compared, "u bigint, v bigint").distinct(), "partenum-pairs")
-    more = _linked(more, described, base)
+    doubtful = stored(_by_piece(placed).mapInArrow(_doubtful, PIECE), "partenum-doubtful")
+    sets = _node_sets(doubtful.select("node").distinct(), described, base)
+    whole = doubtful.join(sets, "node").select(*doubtful.columns, "set")
+    more = stored(_by_piece(whole).mapInArrow(_verified, "u bigint, v bigint").distinct(), "partenum-links")
     if not more.isEmpty():
         label = components(links.union(more), "partenum-components")
     return _result(described, label, key)

@@ -132,6 +132,29 @@ def test_signatures_of_similar_sets_meet():
                 assert len(np.intersect1d(partenum.signatures(a, common), partenum.signatures(b, common)))
 
 
+def test_partenum_makes_no_row_for_a_pair_that_is_no_link():
+    """Many sets about the threshold: sketches pass most pairs, links are fewer than nodes."""
+    r = np.random.default_rng(3)
+    base = np.unique(r.integers(1, 1 << 62, 200, dtype=np.uint64))
+    sets = [np.unique(np.concatenate([base[:170], r.integers(1, 1 << 62, 30, dtype=np.uint64)])) for _ in range(60)]
+    sets += [np.append(sets[0][:-1], np.uint64(1 << 63)), np.append(sets[0][:-2], np.uint64(1 << 63))]
+    table = pa.table({
+        "sig": pa.array([7] * 62), "i": pa.array([0] * 62, pa.int32()), "j": pa.array([0] * 62, pa.int32()),
+        "block": pa.array([0] * 62, pa.int32()), "node": pa.array(range(62)), "component": pa.array(range(62)),
+        "n": pa.array([len(s) for s in sets]), "sketch": pa.array([partenum.sketch_of(s) for s in sets]),
+        "set": pa.array([np.sort(s).astype(np.int64).tolist() for s in sets], pa.list_(pa.int64()))})
+    rows = table.to_batches(max_chunksize=7)
+    doubtful = list(partenum._doubtful(iter(b.drop_columns(["set"]) for b in rows)))
+    assert 3 <= sum(b.num_rows for b in doubtful) <= 62
+    links = [(u, v) for b in partenum._verified(iter(rows)) for u, v in zip(*(c.to_pylist() for c in b.columns))]
+    close = lambda a, b: 100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b))
+    assert all(close(sets[u], sets[v]) for u, v in links) and len(links) < 62
+    root = list(range(62))
+    for u, v in links:
+        root = [root[u] if x == root[v] else x for x in root]
+    assert all(root[a] == root[b] for a in range(62) for b in range(a) if close(sets[a], sets[b]))
+
+
 def test_components(spark):
     r = random.Random(5)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(400 + i, 401 + i) for i in range(60)]
