@@ -53,7 +53,8 @@ MAX_BROADCAST_WORDS = 6_000_000
 BLOCK_BYTES = 16 << 20
 FLUSH = 1_500_000
 BRANCH = 500_000  # tokens that are grown at once, about; a branch above is dealt by longer contexts
-PART = 3_000_000  # tokens of a part, about, whose branches are grown one after another
+PART = 2_000_000  # tokens of a part, about, whose branches are grown one after another
+FINER = 4  # pieces of a twig, by the same contexts, that are grown one after another
 CHUNK, CHUNK_ROWS, BATCH_ROWS = 500_000, 32_000, 10_000  # tokens and texts that are dealt at once
 AT_START, UNDEFINED, UNKNOWN = -1, -2, -3  # numbers beside those of words
 
@@ -101,6 +102,16 @@ def reach(starts: np.ndarray, n: int) -> np.ndarray:
     return np.arange(n) - np.repeat(starts[:-1], sizes)
 
 
+def ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct keys in order, where one of each is, the place of every key among them)."""
+    order = np.argsort(keys).astype(np.int32)
+    keys = keys[order]
+    new = np.append(len(keys) > 0, keys[1:] != keys[:-1])[: len(keys)]
+    at = np.empty(len(keys), np.int32)
+    at[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    return keys[new], order[new], at
+
+
 class Sums:
     """Counts of keys with the columns that belong to them, folded now and then."""
 
@@ -108,8 +119,8 @@ class Sums:
         self.names, self.held, self.size = names, [], 0
 
     def add(self, key: np.ndarray, columns: list[np.ndarray], n: np.ndarray | None = None) -> None:
-        u, at, inverse = np.unique(key, return_index=True, return_inverse=True)
-        total = np.bincount(inverse, n, len(u)).astype(I)
+        u, at, place = ranked(key)
+        total = np.bincount(place, n, len(u)).astype(I)
         self.held.append((u, [c[at] for c in columns], total))
         self.size += len(u)
 
@@ -305,7 +316,8 @@ def numbered_tokens(batches, lookup: Lookup, depth: int) -> Iterator[tuple]:
         for a in range(0, b.num_rows, BATCH_ROWS):
             part, row = b.slice(a, BATCH_ROWS), 0
             for tokens, starts in sequences(part.column(part.num_columns - 1)):
-                known, at = found(lookup.word, tokens)
+                u, _, place = ranked(tokens)
+                known, at = (x[place] for x in found(lookup.word, u))
                 number = np.where(known, lookup.number[at] if len(lookup.number) else 0, UNKNOWN).astype(np.int32)
                 number[starts[:-1]] = AT_START
                 back, past = reach(starts, len(tokens)), []
@@ -333,24 +345,25 @@ class Heavy:
 
 @dataclass
 class Plan:
-    """Twigs are branches that are grown at once; a part has several."""
+    """A twig is some branches, dealt in FINER pieces that are grown at once; a part has
+    several twigs."""
 
     parts: int
     twigs: int
     heavy: list[Heavy]
 
     def deal(self, past: list[np.ndarray], row: np.ndarray, chunk: int) -> np.ndarray:
-        """The twig of every token."""
+        """The twig of every token, times FINER, and the piece."""
         contexts, defined = suffixes([(p, values(p)) for p in past], values(np.array([AT_START]))[0])
         single = hashing.mix(row.astype(U) + hashing.mix(np.array([chunk], I).astype(U)))
         by = [np.where(d, hashing.mix(c + SPREAD), single) for c, d in zip(contexts, defined)]
-        twig = (by[0] % U(self.twigs)).astype(I)
+        twig = (by[0] % U(FINER * self.twigs)).astype(I)
         on = np.flatnonzero(defined[0])
         for depth, heavy in enumerate(self.heavy):
             there, at = found(heavy.context, contexts[depth][on])
             on, at = on[there], at[there]
             finer = by[depth + 1] if depth + 1 < len(by) else single
-            twig[on] = heavy.first[at] + (finer[on] % heavy.twigs[at].astype(U)).astype(I)
+            twig[on] = FINER * heavy.first[at] + (finer[on] % (FINER * heavy.twigs[at]).astype(U)).astype(I)
             on = on[defined[depth + 1][on]] if depth + 1 < len(by) else on
         return twig
 
@@ -454,9 +467,8 @@ def grown(contexts: list[np.ndarray], defined: list[np.ndarray], word: np.ndarra
     first_of = []
     for depth, (context, there) in enumerate(zip(contexts, defined), 1):
         on = np.flatnonzero(there).astype(np.int32)
-        u, first, at = np.unique(context[on], return_index=True, return_inverse=True)
-        pairs, pair_first, pair_at = np.unique(hashing.mix(context[on] * PAIR + word[on]), return_index=True, return_inverse=True)
-        at, pair_at = at.astype(np.int32), pair_at.astype(np.int32)
+        u, first, at = ranked(context[on])
+        pairs, pair_first, pair_at = ranked(hashing.mix(context[on] * PAIR + word[on]))
         size = np.bincount(at, trains[on], len(u)).astype(float)
         n = np.bincount(pair_at, trains[on], len(pairs)).astype(float)
         of = at[pair_first]  # the context of a pair
@@ -468,9 +480,8 @@ def grown(contexts: list[np.ndarray], defined: list[np.ndarray], word: np.ndarra
             has, where = found(given[depth - 1][0], pairs)
             n[summed] = np.where(has, given[depth - 1][1][where] if len(given[depth - 1][1]) else 0, 0)[summed]
         p = n / np.maximum(size[of], 1)
-        q = np.minimum(q_of[on[pair_first]], 1.0)
         held = n >= shape.least
-        p_held, q_held, of_held = p[held], q[held], of[held]
+        p_held, q_held, of_held = p[held], np.minimum(q_of[on[pair_first[held]]], 1.0), of[held]
         gain = np.bincount(of_held, p_held * np.log(p_held / q_held), len(u)).astype(float)
         rest_p = np.maximum(1 - np.bincount(of_held, p_held, len(u)), 0)
         rest_q = np.maximum(1 - np.bincount(of_held, q_held, len(u)), 1e-12)
@@ -484,6 +495,7 @@ def grown(contexts: list[np.ndarray], defined: list[np.ndarray], word: np.ndarra
         first_of.append(on[first])
         q_of = np.ones(len(word))
         q_of[on] = p[pair_at]
+        del u, first, pairs, pair_first, n, p, held, gain, size, rest_p, rest_q
     for depth in range(len(levels) - 1, 0, -1):  # ancestors stay
         level, upper = levels[depth], levels[depth - 1]
         place = np.zeros(len(word), I)
@@ -511,7 +523,7 @@ TEXTS = {"doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "
 
 
 def _schema(fields: dict[str, pa.DataType]) -> str:
-    plain = {pa.int64(): "bigint", pa.int32(): "int", pa.int16(): "smallint", pa.bool_(): "boolean", pa.float64(): "double"}
+    plain = {pa.int64(): "bigint", pa.int32(): "int", pa.binary(): "binary", pa.int16(): "smallint", pa.bool_(): "boolean", pa.float64(): "double"}
     return ", ".join(f"{k} {f'array<{plain[t.value_type]}>' if isinstance(t, pa.ListType) else plain[t]}" for k, t in fields.items())
 
 
@@ -519,18 +531,59 @@ def _lists(offsets: np.ndarray, column: np.ndarray, kind: pa.DataType) -> pa.Arr
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(column, kind))
 
 
-def _dealt_fields(depth: int) -> dict[str, pa.DataType]:
-    words = {f"{half}{k}": pa.list_(pa.int16()) for half in ("low", "high") for k in range(depth + 1)}
-    tokens = {**words, "row": pa.list_(pa.int16()), "n": pa.list_(pa.int64())}
-    return {"part": pa.int64(), "twig": pa.int64(), "chunk": pa.int64(), **tokens, **{k: pa.list_(t) for k, t in TEXTS.items()}}
+DEALT = {"part": pa.int64(), "chunk": pa.int64(), "n_tokens_dealt": pa.int64(), "n_twigs": pa.int64(), "packed": pa.binary(),
+         **{k: pa.list_(t) for k, t in TEXTS.items()}}
+
+
+def packed(columns: list[np.ndarray], twigs: np.ndarray, sizes: np.ndarray) -> bytes:
+    """Columns of tokens in order of their twigs, and the sizes of these, compressed. Bytes
+    of a column lie by their place in the number, so the upper ones are long runs."""
+    planes = [np.ascontiguousarray(c.view(np.uint8).reshape(-1, c.itemsize).T).ravel() for c in columns]
+    return pa.compress(np.concatenate([twigs.view(np.uint8), sizes.view(np.uint8), *planes]), "zstd", asbytes=True)
+
+
+def unpacked(blob: pa.Buffer, n: int, n_twigs: int, kinds: list[type]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(twigs, their sizes, columns) of n tokens."""
+    end = 16 * n_twigs
+    data = np.frombuffer(pa.decompress(blob, end + n * sum(np.dtype(k).itemsize for k in kinds), "zstd"), np.uint8)
+    columns = []
+    for kind in kinds:
+        width = np.dtype(kind).itemsize
+        columns.append(np.ascontiguousarray(data[end : end + n * width].reshape(width, n).T).view(kind).ravel())
+        end += n * width
+    return data[: 8 * n_twigs].view(I), data[8 * n_twigs : 16 * n_twigs].view(I), columns
+
+
+def _token_kinds(depth: int, few: bool) -> list[type]:
+    """Numbers of a token's word and of those before it, its text, its word's count."""
+    return [np.int32] * (depth + 1) + [np.int16] + ([] if few else [I])
+
+
+def _twigs(table: pa.Table, depth: int, few: bool) -> Iterator[tuple[int, list[np.ndarray], np.ndarray]]:
+    """(twig and piece, columns of its tokens, the table's row of each) of a part's rows."""
+    counts = table.column("n_tokens_dealt").to_numpy()
+    kinds, total, end = _token_kinds(depth, few), int(counts.sum()), 0
+    every, held, row = [np.empty(total, k) for k in kinds], np.empty(total, np.int32), np.empty(total, np.int32)
+    number: dict[int, int] = {}
+    rows = zip(table.column("packed"), counts.tolist(), table.column("n_twigs").to_pylist())
+    for k, (blob, n, n_twigs) in enumerate(rows):
+        twigs, sizes, columns = unpacked(blob.as_buffer(), n, n_twigs, kinds)
+        for whole, c in zip(every, columns):
+            whole[end : end + n] = c
+        held[end : end + n] = np.repeat([number.setdefault(t, len(number)) for t in twigs.tolist()], sizes)
+        row[end : end + n] = k
+        end += n
+    for twig, k in number.items():
+        at = np.flatnonzero(held == k)
+        yield twig, [c[at] for c in every], row[at]
 
 
 def dealt(corpus: Corpus, plan: Plan) -> DataFrame:
-    """Tokens with the words before them, as lists for each twig and chunk of texts, and
+    """Tokens with the words before them, packed for each part and chunk of texts, and
     one row about the texts of each chunk. Rows of texts that are held out are
     inverted. Counts of the words come along if they are not sent to all tasks."""
     depth, few, tree = corpus.shape.depth, corpus.few, corpus.tree
-    fields = _dealt_fields(depth)
+    fields = DEALT
 
     def step(task, batches, lookup):
         chunk, texts, columns, rows, size = task << 32, [], [], 0, 0
@@ -541,18 +594,26 @@ def dealt(corpus: Corpus, plan: Plan) -> DataFrame:
             n = None if few else np.concatenate([c[depth + 2] for c in columns])
             columns.clear()
             twig = plan.deal(past, np.where(row < 0, ~row, row), chunk)
-            order = np.lexsort((*past[1:2], twig * (1 << 32) + past[0].astype(I) - UNKNOWN))
+            # by part, then by twig
+            whole = twig // FINER
+            place = (whole % plan.parts * (int(whole.max(initial=0)) // plan.parts + 1) + whole // plan.parts) * FINER + twig % FINER
+            order = np.argsort(place * (1 << 32) + past[0].astype(I) - UNKNOWN)
+            del place, whole
             twig = twig[order]
-            new = np.flatnonzero(np.append(True, twig[1:] != twig[:-1]))
-            offsets = np.append(new, len(twig))
-            made = {"part": pa.array(twig[new] % plan.parts), "twig": pa.array(twig[new]), "chunk": pa.array(np.full(len(new), chunk, I))}
-            for k, c in enumerate([word, *past]):
-                v = c[order] - UNKNOWN  # frequent words have small numbers, so the upper halves compress well
-                made[f"low{k}"] = _lists(offsets, (v & 0xFFFF).astype(np.uint16).view(np.int16), pa.int16())
-                made[f"high{k}"] = _lists(offsets, (v >> 16).astype(np.int16), pa.int16())
-            made["row"] = _lists(offsets, row[order], pa.int16())
-            if not few:
-                made["n"] = _lists(offsets, n[order], pa.int64())
+            # frequent words have small numbers, so the upper bytes compress well
+            every = [*(c[order] - np.int32(UNKNOWN) for c in (word, *past)), row[order], *([] if few else [n[order]])]
+            del past, word, row, n, order
+            new = np.flatnonzero(np.append(len(twig) > 0, twig[1:] != twig[:-1]))
+            twigs, sizes = twig[new], np.diff(np.append(new, len(twig)))
+            part = twigs // FINER % plan.parts
+            first = np.flatnonzero(np.append(len(part) > 0, part[1:] != part[:-1]))
+            made = {name: [] for name in ("part", "chunk", "n_tokens_dealt", "n_twigs", "packed")}
+            for a, z in zip(first.tolist(), [*first[1:].tolist(), len(part)]):
+                at, to = int(new[a]), int(new[z]) if z < len(new) else len(twig)
+                values = (int(part[a]), chunk, to - at, z - a, packed([c[at:to] for c in every], twigs[a:z], sizes[a:z]))
+                for name, v in zip(made, values):
+                    made[name].append(v)
+            made = {name: pa.array(v, fields[name]) for name, v in made.items()}
             about = {"part": pa.array([(chunk * 31 + (chunk >> 32)) % plan.parts], pa.int64()), "chunk": pa.array([chunk], pa.int64())}
             for k, name in enumerate(TEXTS):
                 column = pa.concat_arrays([t[k] for t in texts])
@@ -590,17 +651,16 @@ def _flat(table: pa.Table, name: str) -> np.ndarray:
 
 
 def _branches(corpus: Corpus, plan: Plan, counts, value: Callable = values, at_start: U | None = None) -> Callable:
-    """(the levels of a twig, base probabilities), of its dealt tokens and the given counts."""
+    """(the levels of a twig, base probabilities), of the columns of its tokens and the given counts."""
     shape, tree = corpus.shape, corpus.tree
     at_start = values(np.array([AT_START]))[0] if at_start is None else at_start
 
-    def run(tokens: pa.Table, given: pa.Table | None) -> tuple[list[Grown], np.ndarray]:
-        halves = [(_flat(tokens, f"low{k}"), _flat(tokens, f"high{k}")) for k in range(shape.depth + 1)]
-        numbers = [(low.view(np.uint16).astype(np.int32) | high.astype(np.int32) << 16) + UNKNOWN for low, high in halves]
+    def run(tokens: list[np.ndarray], given: pa.Table | None) -> tuple[list[Grown], np.ndarray]:
+        numbers = [c + np.int32(UNKNOWN) for c in tokens[: shape.depth + 1]]
         if counts is not None:
             n = np.where(numbers[0] >= 0, counts.value[np.maximum(numbers[0], 0)] if len(counts.value) else 0, 0)
         else:
-            n = _flat(tokens, "n")
+            n = tokens[shape.depth + 2]
         base = tree.base(n) if tree.total else np.ones(len(n))
         contexts, defined = suffixes([(c, value(c)) for c in numbers[1:]], at_start)
         sent = []
@@ -613,7 +673,7 @@ def _branches(corpus: Corpus, plan: Plan, counts, value: Callable = values, at_s
             pair = hashing.mix(context.astype(U) * PAIR + values(word))
             order = np.argsort(pair)
             sent.append((pair[order], count[order]))
-        trains = (_flat(tokens, "row") >= 0).astype(float)
+        trains = (tokens[shape.depth + 1] >= 0).astype(float)
         return grown(contexts, defined, value(numbers[0]), trains, base, shape, plan.heavy, sent, counts is not None and at_start == START), base
 
     return run
@@ -636,12 +696,13 @@ def grow(texts: DataFrame, words: DataFrame, shape: Shape) -> Tree:
     branches = _branches(corpus, plan, counts, value, START)
 
     def run(table: pa.Table) -> pa.Table:
-        made = []
-        for depth, x in enumerate(branches(table.filter(pa.compute.is_valid(table.column("row"))), None)[0], 1):
-            pair = x.keep[x.of] & (x.share > 0)
-            for kind, key, number in ((0, x.contexts[x.keep], x.rest[x.keep]), (1, x.pairs[pair], x.share[pair])):
-                made.append(pa.table({"depth": pa.array(np.full(len(key), depth, I)), "kind": pa.array(np.full(len(key), kind, I)),
-                                      "hash": pa.array(key.astype(I)), "x": pa.array(number)}))
+        made = [pa.table({c: pa.array([], t) for c, t in (("depth", pa.int64()), ("kind", pa.int64()), ("hash", pa.int64()), ("x", pa.float64()))})]
+        for _, tokens, _ in _twigs(table.filter(pa.compute.is_valid(table.column("packed"))), shape.depth, True):
+            for depth, x in enumerate(branches(tokens, None)[0], 1):
+                pair = x.keep[x.of] & (x.share > 0)
+                for kind, key, number in ((0, x.contexts[x.keep], x.rest[x.keep]), (1, x.pairs[pair], x.share[pair])):
+                    made.append(pa.table({"depth": pa.array(np.full(len(key), depth, I)), "kind": pa.array(np.full(len(key), kind, I)),
+                                          "hash": pa.array(key.astype(I)), "x": pa.array(number)}))
         return pa.concat_tables(made)
 
     rows = dealt(corpus, plan).groupBy("part").applyInArrow(run, "depth bigint, kind bigint, hash bigint, x double").toArrow()
@@ -675,31 +736,38 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", shape: Shape
     plan, given = planned(corpus, branch)
     counts = spark.sparkContext.broadcast(corpus.sent.value.by_number(corpus.sent.value.n)) if corpus.few else None
     branches = _branches(corpus, plan, counts)
-    total = corpus.tree.total
+    total, depth, few = corpus.tree.total, shape.depth, corpus.few
     fields = {"chunk": pa.int64(), "row": pa.list_(pa.int16()), "p": pa.list_(pa.float64()), **{k: pa.list_(t) for k, t in TEXTS.items()}}
 
     def run(table: pa.Table, sent: pa.Table | None = None) -> pa.Table:
         """Sums of the logarithms for the texts of each chunk."""
         about = table.filter(pa.compute.is_valid(table.column("doc_id")))
-        table = table.filter(pa.compute.is_valid(table.column("row")))
+        table = table.filter(pa.compute.is_valid(table.column("packed")))
         made = {name: about.column(name).combine_chunks() for name in ("chunk", *TEXTS)}
         out = [pa.RecordBatch.from_arrays([made[f] if f in made else pa.nulls(about.num_rows, t) for f, t in fields.items()], list(fields))]
-        chunks = np.unique(table.column("chunk").to_numpy())
+        chunks, chunk_of = np.unique(table.column("chunk").to_numpy(), return_inverse=True)
         where, sums = [np.zeros(0, I)], [np.zeros(0)]
-        for twig in pa.compute.unique(table.column("twig")):
-            own = table.filter(pa.compute.equal(table.column("twig"), twig))
-            levels, base = branches(own, None if sent is None else sent.filter(pa.compute.equal(sent.column("twig"), twig)))
-            p, row = np.log10(scored(levels, base)), _flat(own, "row").astype(I)
-            del levels
-            sizes = np.diff(own.column("row").combine_chunks().offsets.to_numpy())
-            chunk = np.repeat(np.searchsorted(chunks, own.column("chunk").to_numpy()), sizes)
-            texts, at = np.unique(chunk * CHUNK_ROWS + np.where(row < 0, ~row, row), return_inverse=True)
+
+        def fold() -> None:
+            texts, at = np.unique(np.concatenate(where), return_inverse=True)
+            sums[:] = [np.bincount(at, np.concatenate(sums), len(texts)).astype(float)]
+            where[:] = [texts]
+
+        for twig, tokens, from_row in _twigs(table, depth, few):
+            levels, base = branches(tokens, None if sent is None else sent.filter(pa.compute.equal(sent.column("twig"), twig // FINER)))
+            p, row = np.log10(scored(levels, base)), tokens[depth + 1].astype(I)
+            del levels, tokens, base
+            texts, at = np.unique(chunk_of[from_row] * CHUNK_ROWS + np.where(row < 0, ~row, row), return_inverse=True)
             where.append(texts)
             sums.append(np.bincount(at, p, len(texts)))
-        texts, at = np.unique(np.concatenate(where), return_inverse=True)
+            del p, row, at, from_row
+            if sum(map(len, where[1:])) > max(CHUNK, len(where[0])):
+                fold()
+        fold()
+        texts = where[0]
         offsets = np.searchsorted(texts, np.arange(len(chunks) + 1) * CHUNK_ROWS)
         made = {"chunk": pa.array(chunks), "row": _lists(offsets, texts % CHUNK_ROWS, pa.int16()),
-                "p": _lists(offsets, np.bincount(at, np.concatenate(sums), len(texts)).astype(float), pa.float64())}
+                "p": _lists(offsets, sums[0], pa.float64())}
         out.append(pa.RecordBatch.from_arrays([made[f] if f in made else pa.nulls(len(chunks), t) for f, t in fields.items()], list(fields)))
         return pa.Table.from_batches(out)
 

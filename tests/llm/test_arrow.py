@@ -403,6 +403,23 @@ def test_suffix_tree_branches_dealt_by_longer_contexts(docs_of, branch):
             assert x.score == pytest.approx(want[x.doc_id], rel=1e-9)
 
 
+def test_suffix_tree_packs_tokens_and_grows_pieces_of_twigs():
+    """Dealt tokens come back as they were, in fewer bytes, and a twig is grown in pieces
+    that have whole contexts."""
+    r = np.random.default_rng(4)
+    words = np.minimum(r.zipf(1.3, 20_000), 1 << 20).astype(np.int32)
+    columns = [words, words[::-1].copy(), r.integers(-500, 500, len(words)).astype(np.int16)]
+    twigs, sizes = np.array([3, 1 << 40], np.int64), np.array([7, len(words) - 7], np.int64)
+    blob = suffix_tree.packed(columns, twigs, sizes)
+    assert len(blob) < 0.7 * sum(c.nbytes for c in columns)
+    got = suffix_tree.unpacked(blob, len(words), 2, [np.int32, np.int32, np.int16])
+    assert all(np.array_equal(a, b) and a.dtype == b.dtype for a, b in zip([*got[:2], *got[2]], [twigs, sizes, *columns]))
+    plan = suffix_tree.Plan(1, 2, [])
+    pieces = plan.deal([words, words[::-1].copy()], np.zeros(len(words), np.int64), 0)
+    assert len(set(pieces.tolist())) == 2 * suffix_tree.FINER
+    assert len(set(zip(words.tolist(), pieces.tolist()))) == len(set(words.tolist()))
+
+
 def test_suffix_tree_without_training_texts(docs_of):
     held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 10 == 0][:3]
     rows = suffix_tree.score(docs_of([(i, "a b") for i in held] + [(None, None)])).collect()
