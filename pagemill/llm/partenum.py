@@ -15,7 +15,7 @@ by chance) also enumerate single shingles, floor(|r| / 5) + 1 of them. No link i
 
 Equal sets are one node. In a bucket all nodes are compared with the smallest, and
 nodes that are then in different components with each other, in blocks of bounded
-size. A comparison looks at parity sketches first: four bits or more for each shingle, whose
+size. Buckets of the same nodes are one. A comparison looks at parity sketches first: four bits or more for each shingle, whose
 difference is never more than that of the sets, so it drops no similar pair. What passes
 is compared by the whole sets; those of the nodes of a block are sent to its task, so no
 row is made for a pair of the block that is not a link. Sets are 64-bit hashes of windows.
@@ -309,6 +309,16 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([m[k] for m in made], pa.int64()) for k in (0, 1)], ["u", "v"])
 
 
+def _once(named: DataFrame) -> DataFrame:
+    """(sig, size) of buckets (sig, node, component) with nodes of several components, one
+    for each set of nodes: similar texts share many signatures, but are compared once."""
+    content = [F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.xxhash64("node", F.lit(1)).cast("decimal(38,0)")).alias("y")]
+    mixed = named.groupBy("sig").agg(
+        F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("size"), *content
+    ).where("a <> b")
+    return mixed.groupBy("size", "x", "y").agg(F.min("sig").alias("sig")).select("sig", "size")
+
+
 def _by_piece(rows: DataFrame) -> DataFrame:
     return rows.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
 
@@ -403,9 +413,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     # what is left to compare: nodes of one bucket in different components
     named = buckets.join(label, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("component"))
     named = stored(named.distinct(), "partenum-named")
-    mixed = named.groupBy("sig").agg(
-        F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("size")
-    ).where("a <> b").select("sig", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    mixed = _once(named).select("sig", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     own = F.pmod("node", "blocks").cast("int")
     placed = named.join(mixed, "sig").withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.join(sketches, "node").select(

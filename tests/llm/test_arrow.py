@@ -3,6 +3,7 @@
 import heapq
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -155,6 +156,13 @@ def test_partenum_makes_no_row_for_a_pair_that_is_no_link():
     assert all(root[a] == root[b] for a in range(62) for b in range(a) if close(sets[a], sets[b]))
 
 
+def test_partenum_compares_buckets_of_the_same_nodes_once(spark):
+    """Similar texts share many signatures; buckets of other nodes stay."""
+    rows = [(sig, node, node) for sig in range(40) for node in (5, 6, 7)] + [(50, 5, 5), (50, 6, 6), (60, 6, 6), (60, 7, 7), (70, 5, 5), (70, 7, 5)]
+    got = partenum._once(spark.createDataFrame(rows, "sig bigint, node bigint, component bigint")).collect()
+    assert sorted((r.sig, r.size) for r in got) == [(0, 3), (50, 2), (60, 2)]
+
+
 def test_components(spark):
     r = random.Random(5)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(400 + i, 401 + i) for i in range(60)]
@@ -509,6 +517,16 @@ def test_pages_do_not_depend_on_the_size_of_a_group(spark):
     assert cut == whole
 
 
+def test_a_group_of_a_large_host_takes_little_memory():
+    r = np.random.default_rng(8)
+    line = "".join(f"{w:04x} " for w in r.integers(0, 1 << 16, host_suffixes.GROUP_BYTES // 5 // 100)).strip()
+    table = pa.table({"page_key": pa.array(range(100)), "kinds": pa.array([bytes([page_blocks.CONTENT])] * 100, pa.binary()), "lines": [line] * 100})
+    tracemalloc.start()
+    group = host_suffixes._group(table)
+    assert len(group.hashes()) and tracemalloc.get_traced_memory()[1] < 150e6
+    tracemalloc.stop()
+
+
 def test_copies_with_a_line_of_their_own_stay_and_notices_go(spark):
     r = random.Random(9)
     prose = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
