@@ -40,7 +40,7 @@ from . import hashing
 from .page_blocks import CHROME, CONTENT, blocks
 
 RUN = 8
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 20 << 20
 PIECE = 100_000
 MAX_BROADCAST_HOSTS = 1_000_000
 HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)"
