@@ -1,10 +1,12 @@
-"""Intermediate tables in the folder that all executors share."""
+"""Intermediate tables in the folder that all executors share, and freed memory of tasks."""
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -28,6 +30,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Hands memory that is free back to the system: a Python worker is used again, and
+    would keep what its earlier tasks had at most."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def unused(columns: list[str], *names: str) -> list[str]:
     """The names, with underscores before those that a column already has."""
     taken = {c.lower() for c in columns}

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import hashing
-from .storage import stored
+from .storage import release, stored
 
 U, I = np.uint64, np.int64
 START, END = U(0x0123456789ABCDEF), U(0x0FEDCBA987654321)
@@ -199,7 +199,7 @@ class Tree:
 
 @dataclass
 class Lookup:
-    """Words in order of their hashes, with their numbers and counts."""
+    """Words in order of their hashes, with their numbers and counts, as narrow as these are."""
 
     word: np.ndarray
     number: np.ndarray
@@ -214,7 +214,7 @@ class Lookup:
         else:
             number = np.empty(len(word), I)
             number[np.argsort(-n, kind="stable")] = np.arange(len(word))
-        return cls(word, number.astype(np.int32), n)
+        return cls(word, number.astype(np.int32), n.astype(np.min_scalar_type(n.max(initial=0))))
 
     def by_number(self, column: np.ndarray) -> np.ndarray:
         out = np.empty_like(column)
@@ -495,7 +495,7 @@ def grown(contexts: list[np.ndarray], defined: list[np.ndarray], word: np.ndarra
         first_of.append(on[first])
         q_of = np.ones(len(word))
         q_of[on] = p[pair_at]
-        del u, first, pairs, pair_first, n, p, held, gain, size, rest_p, rest_q
+        del u, first, pairs, pair_first, n, p, held, gain, size, rest_p, rest_q, p_held, q_held, of_held
     for depth in range(len(levels) - 1, 0, -1):  # ancestors stay
         level, upper = levels[depth], levels[depth - 1]
         place = np.zeros(len(word), I)
@@ -560,13 +560,16 @@ def _token_kinds(depth: int, few: bool) -> list[type]:
 
 
 def _twigs(table: pa.Table, depth: int, few: bool) -> Iterator[tuple[int, list[np.ndarray], np.ndarray]]:
-    """(twig and piece, columns of its tokens, the table's row of each) of a part's rows."""
-    counts = table.column("n_tokens_dealt").to_numpy()
+    """(twig and piece, columns of its tokens, the table's row of each) of a part's rows;
+    rows about texts are passed over."""
+    counts = table.column("n_tokens_dealt").fill_null(0).to_numpy()
     kinds, total, end = _token_kinds(depth, few), int(counts.sum()), 0
     every, held, row = [np.empty(total, k) for k in kinds], np.empty(total, np.int32), np.empty(total, np.int32)
     number: dict[int, int] = {}
     rows = zip(table.column("packed"), counts.tolist(), table.column("n_twigs").to_pylist())
     for k, (blob, n, n_twigs) in enumerate(rows):
+        if not blob.is_valid:
+            continue
         twigs, sizes, columns = unpacked(blob.as_buffer(), n, n_twigs, kinds)
         for whole, c in zip(every, columns):
             whole[end : end + n] = c
@@ -586,6 +589,7 @@ def dealt(corpus: Corpus, plan: Plan) -> DataFrame:
     fields = DEALT
 
     def step(task, batches, lookup):
+        release()
         chunk, texts, columns, rows, size = task << 32, [], [], 0, 0
 
         def batch():
@@ -629,7 +633,7 @@ def dealt(corpus: Corpus, plan: Plan) -> DataFrame:
                 chunk, texts, columns, rows, size = chunk + 1, [], [], 0, 0
             known = known.copy()
             known[mark] = False
-            count = np.where(known, lookup.n[at] if len(lookup.n) else 0, 0)
+            count = np.where(known, lookup.n[at] if len(lookup.n) else 0, 0).astype(I)
             base = np.log10(tree.base(count)) if tree.total else np.zeros(len(tokens))
             base[mark] = 0.0
             sums = [np.add.reduceat(x, mark) for x in (known.astype(I), base)]
@@ -697,7 +701,7 @@ def grow(texts: DataFrame, words: DataFrame, shape: Shape) -> Tree:
 
     def run(table: pa.Table) -> pa.Table:
         made = [pa.table({c: pa.array([], t) for c, t in (("depth", pa.int64()), ("kind", pa.int64()), ("hash", pa.int64()), ("x", pa.float64()))})]
-        for _, tokens, _ in _twigs(table.filter(pa.compute.is_valid(table.column("packed"))), shape.depth, True):
+        for _, tokens, _ in _twigs(table, shape.depth, True):
             for depth, x in enumerate(branches(tokens, None)[0], 1):
                 pair = x.keep[x.of] & (x.share > 0)
                 for kind, key, number in ((0, x.contexts[x.keep], x.rest[x.keep]), (1, x.pairs[pair], x.share[pair])):
@@ -741,11 +745,13 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", shape: Shape
 
     def run(table: pa.Table, sent: pa.Table | None = None) -> pa.Table:
         """Sums of the logarithms for the texts of each chunk."""
+        release()
         about = table.filter(pa.compute.is_valid(table.column("doc_id")))
-        table = table.filter(pa.compute.is_valid(table.column("packed")))
         made = {name: about.column(name).combine_chunks() for name in ("chunk", *TEXTS)}
         out = [pa.RecordBatch.from_arrays([made[f] if f in made else pa.nulls(about.num_rows, t) for f, t in fields.items()], list(fields))]
-        chunks, chunk_of = np.unique(table.column("chunk").to_numpy(), return_inverse=True)
+        dealt_rows = pa.compute.is_valid(table.column("packed")).to_numpy()
+        chunk_of = np.zeros(table.num_rows, I)
+        chunks, chunk_of[dealt_rows] = np.unique(table.column("chunk").to_numpy()[dealt_rows], return_inverse=True)
         where, sums = [np.zeros(0, I)], [np.zeros(0)]
 
         def fold() -> None:

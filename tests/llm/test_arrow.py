@@ -428,6 +428,20 @@ def test_suffix_tree_packs_tokens_and_grows_pieces_of_twigs():
     assert len(set(zip(words.tolist(), pieces.tolist()))) == len(set(words.tolist()))
 
 
+def test_suffix_tree_reads_a_part_without_a_copy_and_keeps_counts_narrow():
+    columns = [np.arange(6, dtype=np.int32)] * 4 + [np.zeros(6, np.int16)]
+    blob = suffix_tree.packed(columns, np.array([5, 7], np.int64), np.array([2, 4], np.int64))
+    about = {"packed": None, "n_tokens_dealt": None, "n_twigs": None}  # a row about texts
+    table = pa.Table.from_pylist([about, {"packed": blob, "n_tokens_dealt": 6, "n_twigs": 2}, about],
+                                 pa.schema([("packed", pa.binary()), ("n_tokens_dealt", pa.int64()), ("n_twigs", pa.int64())]))
+    got = {twig: (tokens[0].tolist(), row.tolist()) for twig, tokens, row in suffix_tree._twigs(table, 3, True)}
+    assert got == {5: ([0, 1], [1, 1]), 7: ([2, 3, 4, 5], [1] * 4)}
+    lookup = suffix_tree.Lookup.of(pa.table({"word": [3, 1, 2], "n": [70_000, 5, 9]}))
+    assert lookup.n.tolist() == [5, 9, 70_000] and lookup.n.itemsize == 4 and lookup.number.tolist() == [2, 1, 0]
+    assert (lookup.n + 0.1).dtype == np.float64
+    assert len(suffix_tree.Lookup.of(pa.table({"word": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})).n) == 0
+
+
 def test_suffix_tree_without_training_texts(docs_of):
     held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 10 == 0][:3]
     rows = suffix_tree.score(docs_of([(i, "a b") for i in held] + [(None, None)])).collect()
