@@ -21,9 +21,12 @@ without such elements. A page of which nothing would be left stays whole.
 
 The pages of a host lie together; a host of more than GROUP_BYTES is cut into groups
 of about that size by a hash of its pages, so no task holds more. Each group then gives
-a hash of every run in its suffix array, Spark adds them up over the host, and a group
-gets back those of its runs that any two pages of the host have. So the size of a group
-changes no result. Null, empty and broken pages give the text that can be read, or an
+a mark, the first bits of a hash, for every run in its suffix array, and gets back the marks that it has
+on two pages or another group has too; the few wrong ones do no harm. Runs with these marks
+are given with their whole hashes, added up over the host, and a group gets back those of
+its runs that any two pages of the host have. So the size of a group changes no result.
+Marks and runs meet by ranges of their hashes, as many as a host has groups, and travel as
+compressed columns, a row for each group and range. Null, empty and broken pages give the text that can be read, or an
 empty text. Pages without a url form one host. Equal rows are one page.
 """
 
@@ -39,9 +42,10 @@ from pyspark.sql import functions as F
 from . import hashing
 from .page_blocks import CHROME, CONTENT, blocks
 
+U = np.uint64
 RUN = 8
 GROUP_BYTES = 20 << 20
-PIECE = 100_000
+BITS = 27  # of a mark, and those of the number of groups: some million runs of a group seldom have one by chance
 MAX_BROADCAST_HOSTS = 1_000_000
 HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)"
 
@@ -62,7 +66,7 @@ def equal_runs(words: np.ndarray, page: np.ndarray, run: int = RUN) -> tuple[np.
         key = rank * (n + 2)
         inside = np.arange(step, n, dtype=np.int32) < last[: max(n - step, 0)]
         key[: n - step] += rank[step:] * inside
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         key = key[order]
         new = np.append(True, key[1:] != key[:-1])
         del key
@@ -83,16 +87,23 @@ def spread(begins: np.ndarray, n: int, run: int = RUN) -> np.ndarray:
     return np.cumsum(edges[:-1]) > 0
 
 
+def _firsts(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(where each of the ascending hashes is first, its number for every one)."""
+    new = np.append(len(hashes) > 0, hashes[1:] != hashes[:-1])[: len(hashes)]
+    return np.flatnonzero(new), np.cumsum(new) - 1
+
+
 def holders(number: np.ndarray, page: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(how many pages have each run, the least of them), for runs numbered from 0 in
     pages that ascend."""
-    order = np.argsort(number, kind="stable")
-    number, page = number[order], page[order]
-    first = np.ones(len(number), bool)
-    first[1:] = number[1:] != number[:-1]
-    new = first.copy()
-    new[1:] |= page[1:] != page[:-1]
-    return np.bincount(number[new]).astype(np.int64), page[first]
+    if not len(number):
+        return np.zeros(0, np.int64), page[:0]
+    place, rank = _firsts(page)
+    both = np.sort(number.astype(np.int64) << 32 | rank)
+    both = both[_firsts(both)[0]]
+    number = both >> 32
+    first = _firsts(number)[0]
+    return np.bincount(number).astype(np.int64), page[place[both[first] & 0xFFFFFFFF]]
 
 
 def repeated(words: np.ndarray, page: np.ndarray, run: int = RUN) -> np.ndarray:
@@ -112,11 +123,20 @@ def parse(batches):
         yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], kinds, lines], [*names, "kinds", "lines"])
 
 
+def _found(ascending: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(is a value there, at which place)."""
+    if not len(ascending):
+        return np.zeros(len(values), bool), np.zeros(len(values), np.int64)
+    at = np.minimum(np.searchsorted(ascending, values), len(ascending) - 1)
+    return ascending[at] == values, at
+
+
 class Group:
-    """The token streams of some pages of a host, and their runs. Pages ascend by key;
-    equal pages have equal keys."""
+    """The token streams of some pages of a host, and their runs: all, by a suffix array,
+    or those with the given hashes, which ascend. Pages ascend by key; equal pages have
+    equal keys."""
 
-    def __init__(self, pages: pa.Table) -> None:
+    def __init__(self, pages: pa.Table, given: np.ndarray | None = None) -> None:
         self.pages = pages
         self.keys = pages.column("page_key").to_numpy()
         lines, words, counts = pages.column("lines").combine_chunks(), [], []
@@ -126,9 +146,22 @@ class Group:
             counts.append(np.diff(at))
         self.words = np.concatenate([np.zeros(0, np.uint64), *words])
         self.page = np.repeat(np.arange(len(self.keys), dtype=np.int32), np.concatenate([np.zeros(0, np.int64), *counts]))
-        self.begins, self.number = equal_runs(self.words, self.page)
+        if given is None:
+            self.begins, self.number = equal_runs(self.words, self.page)
+        elif len(given):
+            begins, hashes = self.windows()
+            there, at = _found(given, hashes)
+            self.begins, self.number = begins[there], at[there]
+        else:
+            self.begins = self.number = np.zeros(0, np.int32)
         self.holder = self.keys[self.page[self.begins]]
 
+    def windows(self) -> tuple[np.ndarray, np.ndarray]:
+        """(where the runs begin, their hashes)."""
+        last = max(len(self.words) - RUN + 1, 0)
+        begins = np.flatnonzero(self.page[:last] == self.page[RUN - 1 :][:last]).astype(np.int32)
+        return begins, hashing.windows(self.words, RUN)[begins]
+
     def hashes(self) -> np.ndarray:
         """A hash of each run, the same in every group."""
         out = np.zeros(int(self.number.max()) + 1 if len(self.number) else 0, np.int64)
@@ -212,62 +245,178 @@ def _result(group: Group, boilerplate: np.ndarray) -> pa.Table:
     return pa.table({"page_id": group.pages.column("page_id"), "url": group.pages.column("url"), "text": texts})
 
 
-def _rows(table: pa.Table, **columns: np.ndarray) -> pa.Table:
-    """Rows about runs of a group of pages, in pieces that Spark reads one by one."""
-    own = {c: table.column(c)[0].as_py() for c in ("host_id", "grp")}
-    n, pieces = len(next(iter(columns.values()))), []
-    for a in range(0, max(n, 1), PIECE):
-        part = {c: v[a : a + PIECE] for c, v in columns.items()}
-        size = len(part["hash"])
-        pieces.append(pa.RecordBatch.from_pydict({c: np.full(size, v, np.int64) for c, v in own.items()} | part))
-    return pa.Table.from_batches(pieces)
+def _packed(*columns: np.ndarray) -> bytes:
+    """Columns, compressed. Bytes of a column lie by their place in the number, so the
+    upper ones are long runs."""
+    planes = [np.ascontiguousarray(c.astype(np.int64).view(np.uint8).reshape(-1, 8).T).ravel() for c in columns]
+    return pa.compress(np.concatenate(planes), "zstd", asbytes=True)
+
+
+def _unpacked(blob: pa.Buffer, n: int, columns: int) -> list[np.ndarray]:
+    data = np.frombuffer(pa.decompress(blob, 8 * n * columns, "zstd"), np.uint8).reshape(columns, 8, n)
+    return [np.ascontiguousarray(c.T).view(np.int64).ravel() for c in data]
+
+
+def _steps(ascending: np.ndarray) -> np.ndarray:
+    return np.diff(ascending, prepend=ascending[:1] * 0)
+
+
+RUNS = "host_id bigint, grp bigint, groups bigint, bucket bigint, n_runs bigint, n_keys bigint, runs binary, numbers binary"
+
+
+class Runs:
+    """RUNS rows: numbers about runs, a row for the runs of a group in a range of hashes."""
+
+    def __init__(self) -> None:
+        self.rows: dict[str, list] = {f.split()[0]: [] for f in RUNS.split(", ")}
+
+    def add(self, own: tuple, hashes: np.ndarray, *columns: np.ndarray) -> None:
+        """Hashes of runs, which ascend, with columns of keys of pages or counts; keys of a
+        row are stored once."""
+        if len(hashes):
+            keys, at = np.unique(np.concatenate([*columns, np.zeros(0, np.int64)]), return_inverse=True)
+            values = (*own, len(hashes), len(keys), _packed(_steps(hashes), *at.reshape(len(columns), len(hashes))), _packed(_steps(keys)))
+            for column, v in zip(self.rows.values(), values):
+                column.append(v)
+
+    def table(self) -> pa.Table:
+        kinds = {f.split()[0]: pa.binary() if f.endswith("binary") else pa.int64() for f in RUNS.split(", ")}
+        return pa.table({k: pa.array(v, kinds[k]) for k, v in self.rows.items()})
+
+
+def _ranges(hashes: np.ndarray, groups: int, bits: int) -> list[tuple[int, slice]]:
+    """The ranges of ascending hashes of so many bits."""
+    bucket = (hashes >> U(max(bits - 32, 0))) * U(groups) >> U(min(bits, 32))
+    ends = np.searchsorted(bucket, np.arange(groups + 1, dtype=U))
+    return [(k, slice(a, z)) for k, (a, z) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())) if a < z]
 
 
-def _given(hashes: np.ndarray, rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """(is there a row about the run, at which place), for the hashes of runs."""
-    given = rows.column("hash").to_numpy()
-    if not len(given):
-        return np.zeros(len(hashes), bool), np.zeros(len(hashes), np.int64)
-    order = np.argsort(given)
-    at = order[np.minimum(np.searchsorted(given[order], hashes), len(given) - 1)]
-    return given[at] == hashes, at
+def _read(rows: pa.Table, columns: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """(hashes, columns, row of each) of RUNS rows, in order of the hashes."""
+    hashes, numbers, of = [np.zeros(0, U)], [[np.zeros(0, np.int64)] for _ in range(columns)], [np.zeros(0, np.int32)]
+    plain = rows.select(["n_runs", "n_keys"]).to_pylist()
+    for k, (row, blob, keys) in enumerate(zip(plain, rows.column("runs"), rows.column("numbers"))):
+        found = _unpacked(blob.as_buffer(), row["n_runs"], columns + 1)
+        keys = np.cumsum(_unpacked(keys.as_buffer(), row["n_keys"], 1)[0])
+        hashes.append(np.cumsum(found[0].astype(U)))
+        for column, at in zip(numbers, found[1:]):
+            column.append(keys[at])
+        of.append(np.full(row["n_runs"], k, np.int32))
+    hashes, of = np.concatenate(hashes), np.concatenate(of)
+    order = np.argsort(hashes, kind="stable")
+    return hashes[order], [np.concatenate(c)[order] for c in numbers], of[order]
+
+
+def _back(rows: pa.Table, of: np.ndarray, hashes: np.ndarray, *columns: np.ndarray) -> pa.Table:
+    """To every group its runs, given the row that each came with."""
+    out, order = Runs(), np.argsort(of, kind="stable")
+    ends = np.searchsorted(of[order], np.arange(rows.num_rows + 1))
+    for k, row in enumerate(rows.select(["host_id", "grp", "groups", "bucket"]).to_pylist()):
+        at = order[ends[k] : ends[k + 1]]
+        out.add(tuple(row.values()), hashes[at], *(c[at] for c in columns))
+    return out.table()
+
+
+def _mark_bits(groups: int) -> int:
+    return BITS + (groups - 1).bit_length()
+
+
+def pack(batches):
+    """Pages of a group of a host in one compressed piece for each batch."""
+    options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))
+    own, fields = ["host_id", "grp", "groups"], [f.split()[0] for f in PARSED.split(", ")]
+    for b in parse(batches):
+        table = pa.Table.from_batches([b]).sort_by([(c, "ascending") for c in own]).combine_chunks()
+        keys = np.stack([table.column(c).to_numpy() for c in own], 1)
+        first = np.flatnonzero(np.append(len(keys) > 0, (keys[1:] != keys[:-1]).any(1))[: len(keys)])
+        pieces = []
+        for a, z in zip(first.tolist(), [*first[1:].tolist(), len(keys)]):
+            sink = pa.BufferOutputStream()
+            piece = table.select(fields).slice(a, z - a)
+            with pa.ipc.new_stream(sink, piece.schema, options=options) as writer:
+                writer.write_table(piece)
+            pieces.append(sink.getvalue().to_pybytes())
+        yield pa.RecordBatch.from_arrays([*(pa.array(keys[first, k]) for k in range(3)), pa.array(pieces, pa.binary())], [*own, "pages"])
+
+
+def _unpack(table: pa.Table) -> pa.Table:
+    pieces = [pa.ipc.open_stream(p.as_buffer()).read_all() for p in table.column("pages")]
+    return pa.concat_tables(pieces).sort_by("page_key").combine_chunks()
+
+
+def _own(table: pa.Table) -> tuple[int, int, int]:
+    return tuple(table.column(c)[0].as_py() for c in ("host_id", "grp", "groups"))
+
+
+def _to_ranges(table: pa.Table, hashes: np.ndarray, *columns: np.ndarray, bits: int = 64) -> pa.Table:
+    host, grp, groups = _own(table)
+    out = Runs()
+    for bucket, part in _ranges(hashes, groups, bits):
+        out.add((host, grp, groups, bucket), hashes[part], *(c[part] for c in columns))
+    return out.table()
 
 
 def _over_hosts(pages: DataFrame) -> DataFrame:
-    """RESULT for hosts of several groups: (host_id, grp, page_key, page_id, url, kinds, lines)."""
+    """RESULT for hosts of several groups: (host_id, grp, groups, pages), these as `pack` gives them."""
     groups = pages.groupBy("host_id", "grp")
 
-    def runs(table: pa.Table) -> pa.Table:
-        group = _group(table)
-        n, least = holders(group.number, group.holder)
-        hashes = group.hashes()
+    def marks(table: pa.Table) -> pa.Table:
+        """Marks of all runs, with 2 if two pages of the group have one, else 1."""
+        group, bits = Group(_unpack(table)), _mark_bits(_own(table)[2])
+        found = group.hashes().view(U) >> U(64 - bits)
+        many = holders(group.number, group.holder)[0] > 1
         del group
-        return _rows(table, hash=hashes, n=n, least=least)
-
-    def classes(table: pa.Table, rows: pa.Table) -> pa.Table:
-        group = _group(table)
-        hashes = group.hashes()
-        there, at = _given(hashes, rows)
-        n, least = np.ones(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
-        n[there], least[there] = (rows.column(c).to_numpy()[at[there]] for c in ("n", "least"))
-        low, high = group.bounds(group.classes(n, least))
-        return _rows(table, hash=hashes[there], low=low[there], high=high[there])
+        order = np.argsort(found)
+        found, many = found[order], many[order]
+        first = _firsts(found)[0]
+        many = np.maximum.reduceat(many, first) if len(first) else many
+        return _to_ranges(table, found[first], 1 + many.astype(np.int64), bits=bits)
+
+    def shared(rows: pa.Table) -> pa.Table:
+        found, (n,), of = _read(rows, 1)
+        number = _firsts(found)[1]
+        more = np.bincount(number, n)[number] > 1
+        return _back(rows, of[more], found[more])
+
+    def counts(table: pa.Table, rows: pa.Table) -> pa.Table:
+        """Runs with such marks: on how many pages of the group they are, and the least of these."""
+        wanted, _, _ = _read(rows, 0)
+        group = Group(_unpack(table), np.zeros(0, U))
+        begins, hashes = group.windows()
+        there = _found(wanted, hashes >> U(64 - _mark_bits(_own(table)[2])))[0]
+        found, number = np.unique(hashes[there], return_inverse=True)
+        return _to_ranges(table, found, *holders(number, group.keys[group.page[begins[there]]]))
+
+    def totals(rows: pa.Table) -> pa.Table:
+        found, (n, least), of = _read(rows, 2)
+        first, number = _firsts(found)
+        n = np.bincount(number, n).astype(np.int64)[number]
+        least = np.minimum.reduceat(least, first)[number]
+        more = n > 1
+        return _back(rows, of[more], found[more], n[more], least[more])
+
+    def bounds(table: pa.Table, rows: pa.Table) -> pa.Table:
+        found, (n, least), _ = _read(rows, 2)
+        group = Group(_unpack(table), found)
+        return _to_ranges(table, found, *group.bounds(group.classes(n, least)))
+
+    def differ(rows: pa.Table) -> pa.Table:
+        found, (low, high), of = _read(rows, 2)
+        first, number = _firsts(found)
+        more = (np.minimum.reduceat(low, first) < np.maximum.reduceat(high, first))[number]
+        return _back(rows, of[more], found[more])
 
     def run(table: pa.Table, rows: pa.Table) -> pa.Table:
-        group = _group(table)
-        return _result(group, _given(group.hashes(), rows)[0])
+        found, _, _ = _read(rows, 0)
+        return _result(Group(_unpack(table), found), np.ones(len(found), bool))
+
+    def met(rows: DataFrame, step) -> DataFrame:
+        return rows.groupBy("host_id", "bucket").applyInArrow(step, RUNS).groupBy("host_id", "grp")
 
-    # a run comes once from each group, so a list is no longer than the host has groups
-    every = groups.applyInArrow(runs, "host_id bigint, grp bigint, hash bigint, n bigint, least bigint")
-    every = every.groupBy("host_id", "hash").agg(
-        F.sum("n").alias("n"), F.min("least").alias("least"), F.collect_list("grp").alias("grp"))
-    given = every.where(F.col("n") > 1).withColumn("grp", F.explode("grp"))
-    bounds = groups.cogroup(given.groupBy("host_id", "grp")).applyInArrow(
-        classes, "host_id bigint, grp bigint, hash bigint, low bigint, high bigint")
-    bounds = bounds.groupBy("host_id", "hash").agg(
-        F.min("low").alias("low"), F.max("high").alias("high"), F.collect_list("grp").alias("grp"))
-    boilerplate = bounds.where(F.col("low") < F.col("high")).select("host_id", "hash", F.explode("grp").alias("grp"))
-    return groups.cogroup(boilerplate.groupBy("host_id", "grp")).applyInArrow(run, RESULT)
+    every = groups.applyInArrow(marks, RUNS)
+    every = groups.cogroup(met(every, shared)).applyInArrow(counts, RUNS)
+    every = groups.cogroup(met(every, totals)).applyInArrow(bounds, RUNS)
+    return groups.cogroup(met(every, differ)).applyInArrow(run, RESULT)
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html",
@@ -298,6 +447,6 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     if n_large:
         group = F.pmod(F.xxhash64("page_id", "url"), F.col("groups")).alias("grp")
         placed = base.join(large, F.col("host") == F.col("large"))
-        placed = placed.select(F.xxhash64("host").alias("host_id"), group, page_key, "page_id", "url", "html")
-        out = out.unionByName(_over_hosts(placed.mapInArrow(parse, f"host_id bigint, grp bigint, {PARSED}")))
+        placed = placed.select(F.xxhash64("host").alias("host_id"), group, F.col("groups").cast("bigint"), page_key, "page_id", "url", "html")
+        out = out.unionByName(_over_hosts(placed.mapInArrow(pack, "host_id bigint, grp bigint, groups bigint, pages binary")))
     return out.withColumnRenamed("page_id", key).withColumnRenamed("url", url) if (key, url) != ("page_id", "url") else out

@@ -531,6 +531,41 @@ def test_pages_do_not_depend_on_the_size_of_a_group(spark):
     assert cut == whole
 
 
+def test_groups_of_a_host_hand_on_little_for_runs_of_one_page():
+    """Runs of all groups were rows of 40 bytes; these are compressed marks."""
+    r = np.random.default_rng(3)
+    pages = [" ".join(f"{w:x}" for w in r.integers(0, 1 << 40, 1000)) for _ in range(40)]
+    group = host_suffixes.Group(pa.table({"page_key": range(40), "lines": pages}))
+    bits = host_suffixes._mark_bits(5)
+    marks = np.unique(group.hashes().view(np.uint64) >> np.uint64(64 - bits))
+    own = pa.table({"host_id": [1], "grp": [2], "groups": [5]})
+    rows = host_suffixes._to_ranges(own, marks, np.ones(len(marks), np.int64), bits=bits)
+    assert rows.num_rows == 5 and rows.nbytes < 4 * len(marks)
+    back, (n,), of = host_suffixes._read(rows, 1)
+    assert (back == marks).all() and (n == 1).all() and rows.column("bucket").to_pylist() == sorted(set(of.tolist()))
+    odd = np.array([0, 1, 1 << 63, (1 << 64) - 1], np.uint64)  # the ends of the hashes, and of the keys of pages
+    keys = np.array([-(1 << 63), (1 << 63) - 1, 0, -(1 << 63)], np.int64)
+    back, (got,), _ = host_suffixes._read(host_suffixes._to_ranges(own, odd, keys), 1)
+    assert back.tolist() == odd.tolist() and got.tolist() == keys.tolist()
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_cut_hosts_give_what_whole_ones_give(spark, seed):
+    """Copies, equal rows, notices of some pages, pages without words or url, two large hosts."""
+    r = random.Random(seed)
+    prose = lambda n: " ".join(f"w{r.randrange(3000)}" for _ in range(n))
+    notices, bodies, rows = [prose(r.randrange(5, 30)) for _ in range(8)], [prose(r.randrange(60)) for _ in range(40)], []
+    for i in range(150):
+        body = r.choice(bodies) if r.random() < 0.5 else prose(r.randrange(60))
+        parts = [f"<div>{x}</div>" for x in [*r.sample(notices, r.randrange(3)), body, prose(r.randrange(9))]]
+        r.shuffle(parts)
+        rows.append((i, r.choice([None, f"http://a.org/{i}", f"http://b.org/{i}"]), r.choice(["", "<article>x y</article>"]) + "".join(parts)))
+    rows += rows[:20]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = [sorted(map(str, host_suffixes.extract(pages, group_bytes=size).collect())) for size in (1 << 20, 700, 4000)]
+    assert got[0] == got[1] == got[2]
+
+
 def test_a_group_of_a_large_host_takes_little_memory():
     r = np.random.default_rng(8)
     line = "".join(f"{w:04x} " for w in r.integers(0, 1 << 16, host_suffixes.GROUP_BYTES // 5 // 100)).strip()
