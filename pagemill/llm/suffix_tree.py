@@ -346,11 +346,24 @@ class Heavy:
 @dataclass
 class Plan:
     """A twig is some branches, dealt in FINER pieces that are grown at once; a part has
-    several twigs."""
+    several twigs. Twigs of a heavy context follow one another and lie in as few parts as
+    hold them, since each of these is sent the context's next words."""
 
     parts: int
     twigs: int
     heavy: list[Heavy]
+    total: int = 0
+
+    def ends(self) -> np.ndarray:
+        """Training tokens of all twigs up to each, about."""
+        light = max(self.total - sum(int(h.size.sum()) for h in self.heavy[:1]), self.twigs) / self.twigs
+        return np.cumsum(np.concatenate([np.full(self.twigs, light), *(np.repeat(h.size / h.twigs, h.twigs) for h in self.heavy)]))
+
+    def part_of(self) -> np.ndarray:
+        """The part of every twig; parts have about as many tokens each."""
+        ends = self.ends()
+        middle = ends - np.diff(ends, prepend=0) / 2
+        return np.minimum(middle * self.parts / ends[-1], self.parts - 1).astype(I)
 
     def deal(self, past: list[np.ndarray], row: np.ndarray, chunk: int) -> np.ndarray:
         """The twig of every token, times FINER, and the piece."""
@@ -369,11 +382,11 @@ class Plan:
 
 
 def planned(corpus: Corpus, branch: int) -> tuple[Plan, DataFrame | None]:
-    """How tokens are dealt, and (part, twig, depth, context, word, n) of next words of
-    heavy contexts for the twigs that need them."""
+    """How tokens are dealt, and (part, depth, context, word, n) of next words of heavy
+    contexts for the parts whose twigs need them."""
     tree, depths, least = corpus.tree, corpus.shape.depth, corpus.shape.least
     spark = corpus.every.sparkSession
-    plan = Plan(tree.total // PART + 1, tree.total // branch + 1, [])
+    plan = Plan(tree.total // PART + 1, tree.total // branch + 1, [], tree.total)
     ends, rows = 0, []
     if tree.total > branch:
         top = corpus.words.where(F.col("n") > branch).select("word", "n").collect()
@@ -410,8 +423,11 @@ def planned(corpus: Corpus, branch: int) -> tuple[Plan, DataFrame | None]:
         longer = table.where((F.col("n") > branch) & (F.col("word") != end_number)).collect()
         rows = [((*own[r["context"]], r["word"]), r["n"]) for r in longer]
     if given is not None:
-        where = spark.createDataFrame(placed, "context bigint, depth int, twig bigint")
-        given = given.join(F.broadcast(where), ["context", "depth"]).select((F.col("twig") % plan.parts).alias("part"), "twig", "depth", "context", "word", "n")
+        plan.parts = int(plan.ends()[-1]) // PART + 1
+        parts = plan.part_of()[[twig for _, _, twig in placed]].tolist()
+        wanted = sorted({(context, depth, part) for (context, depth, _), part in zip(placed, parts)})
+        where = spark.createDataFrame(wanted, "context bigint, depth int, part bigint")
+        given = given.join(F.broadcast(where), ["context", "depth"]).select("part", "depth", "context", "word", "n")
     return plan, given
 
 
@@ -587,6 +603,9 @@ def dealt(corpus: Corpus, plan: Plan) -> DataFrame:
     inverted. Counts of the words come along if they are not sent to all tasks."""
     depth, few, tree = corpus.shape.depth, corpus.few, corpus.tree
     fields = DEALT
+    part_of = plan.part_of()
+    rank = np.empty(len(part_of), I)
+    rank[np.argsort(part_of, kind="stable")] = np.arange(len(part_of))
 
     def step(task, batches, lookup):
         release()
@@ -599,17 +618,16 @@ def dealt(corpus: Corpus, plan: Plan) -> DataFrame:
             columns.clear()
             twig = plan.deal(past, np.where(row < 0, ~row, row), chunk)
             # by part, then by twig
-            whole = twig // FINER
-            place = (whole % plan.parts * (int(whole.max(initial=0)) // plan.parts + 1) + whole // plan.parts) * FINER + twig % FINER
+            place = rank[twig // FINER] * FINER + twig % FINER
             order = np.argsort(place * (1 << 32) + past[0].astype(I) - UNKNOWN)
-            del place, whole
+            del place
             twig = twig[order]
             # frequent words have small numbers, so the upper bytes compress well
             every = [*(c[order] - np.int32(UNKNOWN) for c in (word, *past)), row[order], *([] if few else [n[order]])]
             del past, word, row, n, order
             new = np.flatnonzero(np.append(len(twig) > 0, twig[1:] != twig[:-1]))
             twigs, sizes = twig[new], np.diff(np.append(new, len(twig)))
-            part = twigs // FINER % plan.parts
+            part = part_of[twigs // FINER]
             first = np.flatnonzero(np.append(len(part) > 0, part[1:] != part[:-1]))
             made = {name: [] for name in ("part", "chunk", "n_tokens_dealt", "n_twigs", "packed")}
             for a, z in zip(first.tolist(), [*first[1:].tolist(), len(part)]):
@@ -654,12 +672,28 @@ def _flat(table: pa.Table, name: str) -> np.ndarray:
     return table.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False)
 
 
+def sent_pairs(plan: Plan, given: pa.Table | None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(pairs of heavy contexts and next words in order, their counts) of each depth."""
+    sent = []
+    for depth in range(1, len(plan.heavy) + 1):
+        mine = given.filter(pa.compute.equal(given.column("depth"), depth)) if given is not None else None
+        if mine is None:
+            sent.append((np.zeros(0, U), np.zeros(0, I)))
+            continue
+        context, word, count = (mine.column(c).to_numpy() for c in ("context", "word", "n"))
+        pair = hashing.mix(context.astype(U) * PAIR + values(word))
+        order = np.argsort(pair)
+        sent.append((pair[order], count[order]))
+    return sent
+
+
 def _branches(corpus: Corpus, plan: Plan, counts, value: Callable = values, at_start: U | None = None) -> Callable:
-    """(the levels of a twig, base probabilities), of the columns of its tokens and the given counts."""
+    """(the levels of a twig, base probabilities), of the columns of its tokens and the counts
+    that its part was given, as `sent_pairs` has them."""
     shape, tree = corpus.shape, corpus.tree
     at_start = values(np.array([AT_START]))[0] if at_start is None else at_start
 
-    def run(tokens: list[np.ndarray], given: pa.Table | None) -> tuple[list[Grown], np.ndarray]:
+    def run(tokens: list[np.ndarray], sent: list[tuple[np.ndarray, np.ndarray]]) -> tuple[list[Grown], np.ndarray]:
         numbers = [c + np.int32(UNKNOWN) for c in tokens[: shape.depth + 1]]
         if counts is not None:
             n = np.where(numbers[0] >= 0, counts.value[np.maximum(numbers[0], 0)] if len(counts.value) else 0, 0)
@@ -667,16 +701,6 @@ def _branches(corpus: Corpus, plan: Plan, counts, value: Callable = values, at_s
             n = tokens[shape.depth + 2]
         base = tree.base(n) if tree.total else np.ones(len(n))
         contexts, defined = suffixes([(c, value(c)) for c in numbers[1:]], at_start)
-        sent = []
-        for depth in range(1, len(plan.heavy) + 1):
-            mine = given.filter(pa.compute.equal(given.column("depth"), depth)) if given is not None else None
-            if mine is None:
-                sent.append((np.zeros(0, U), np.zeros(0, I)))
-                continue
-            context, word, count = (mine.column(c).to_numpy() for c in ("context", "word", "n"))
-            pair = hashing.mix(context.astype(U) * PAIR + values(word))
-            order = np.argsort(pair)
-            sent.append((pair[order], count[order]))
         trains = (tokens[shape.depth + 1] >= 0).astype(float)
         return grown(contexts, defined, value(numbers[0]), trains, base, shape, plan.heavy, sent, counts is not None and at_start == START), base
 
@@ -702,7 +726,7 @@ def grow(texts: DataFrame, words: DataFrame, shape: Shape) -> Tree:
     def run(table: pa.Table) -> pa.Table:
         made = [pa.table({c: pa.array([], t) for c, t in (("depth", pa.int64()), ("kind", pa.int64()), ("hash", pa.int64()), ("x", pa.float64()))})]
         for _, tokens, _ in _twigs(table, shape.depth, True):
-            for depth, x in enumerate(branches(tokens, None)[0], 1):
+            for depth, x in enumerate(branches(tokens, [])[0], 1):
                 pair = x.keep[x.of] & (x.share > 0)
                 for kind, key, number in ((0, x.contexts[x.keep], x.rest[x.keep]), (1, x.pairs[pair], x.share[pair])):
                     made.append(pa.table({"depth": pa.array(np.full(len(key), depth, I)), "kind": pa.array(np.full(len(key), kind, I)),
@@ -759,8 +783,9 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", shape: Shape
             sums[:] = [np.bincount(at, np.concatenate(sums), len(texts)).astype(float)]
             where[:] = [texts]
 
-        for twig, tokens, from_row in _twigs(table, depth, few):
-            levels, base = branches(tokens, None if sent is None else sent.filter(pa.compute.equal(sent.column("twig"), twig // FINER)))
+        pairs = sent_pairs(plan, sent)
+        for _, tokens, from_row in _twigs(table, depth, few):
+            levels, base = branches(tokens, pairs)
             p, row = np.log10(scored(levels, base)), tokens[depth + 1].astype(I)
             del levels, tokens, base
             texts, at = np.unique(chunk_of[from_row] * CHUNK_ROWS + np.where(row < 0, ~row, row), return_inverse=True)

@@ -411,6 +411,33 @@ def test_suffix_tree_branches_dealt_by_longer_contexts(docs_of, branch):
             assert x.score == pytest.approx(want[x.doc_id], rel=1e-9)
 
 
+def test_suffix_tree_sends_next_words_to_few_parts(docs_of, monkeypatch):
+    """Twigs of a heavy context share parts, which get its next words once; parts have
+    about as many tokens each. Scores do not depend on the parts."""
+    r = random.Random(6)
+    words = [f"w{int(r.paretovariate(0.6))}" for _ in range(300)]
+    pairs = [(i, " ".join(r.choice(["the"] + words) if k % 2 else "the" for k in range(40))) for i in range(150)]
+    want = {x.doc_id: x.score for x in suffix_tree.score(docs_of(pairs), branch=60).collect()}
+    monkeypatch.setattr(suffix_tree, "PART", 600)
+    docs = docs_of(pairs)
+    got = {x.doc_id: x.score for x in suffix_tree.score(docs, branch=60).collect()}
+    assert got == pytest.approx(want, rel=1e-9)
+    every = docs.select("doc_id", F.lit(False).alias("held_out"), "text")
+    corpus = suffix_tree.Corpus(every, stored(suffix_tree.count_words(every.select("text")), "words"), suffix_tree.Shape(), 1 << 20)
+    plan, given = suffix_tree.planned(corpus, 60)
+    first = plan.heavy[0]
+    top = int(np.argmax(first.size))
+    rows = given.where((F.col("depth") == 1) & (F.col("context") == int(first.context[top].astype(np.int64)))).collect()
+    words = {x.word for x in rows}
+    # before, a row for each of its twigs; now for each part that has some of them or of longer contexts
+    assert plan.parts > 5 and first.twigs[top] > 40 and len(rows) <= plan.parts * len(words)
+    assert len(rows) == len({(x.part, x.word) for x in rows})
+    of, ends = plan.part_of(), plan.ends()
+    assert len(of) == len(ends) and set(of.tolist()) == set(range(plan.parts)) and (np.diff(of) >= 0).all()
+    sizes = np.bincount(of, np.diff(ends, prepend=0))
+    assert sizes.max() < 1.5 * ends[-1] / plan.parts + 60
+
+
 def test_suffix_tree_packs_tokens_and_grows_pieces_of_twigs():
     """Dealt tokens come back as they were, in fewer bytes, and a twig is grown in pieces
     that have whole contexts."""
